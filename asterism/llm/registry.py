@@ -1,8 +1,10 @@
 """The queries of this subpackage and their SQL, by name."""
 
+from .bpe import op6_bpe
 from .simhash import op8_simhash
 
 QUERIES = {
+    "op6_bpe": op6_bpe,
     "op8_simhash": op8_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
