@@ -1,10 +1,12 @@
 """The queries of this subpackage and their SQL, by name."""
 
 from .bpe import op6_bpe
+from .media import op3_media
 from .pseudonyms import op4_pii
 from .simhash import op8_simhash
 
 QUERIES = {
+    "op3_media": op3_media,
     "op4_pii": op4_pii,
     "op6_bpe": op6_bpe,
     "op8_simhash": op8_simhash,
