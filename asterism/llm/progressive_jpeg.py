@@ -48,6 +48,9 @@ class Scan:
     low: int
 
 
+_NONE = np.zeros(0, np.uint8)
+
+
 @dataclass
 class _Bits:
     """Bits of one scan, as chunks of zeros and ones."""
@@ -66,9 +69,11 @@ class _Bits:
             self.chunks.append((np.repeat(values, sizes) >> shift & 1).astype(np.uint8))
 
     def bytes(self) -> bytes:
-        bits = np.concatenate(self.chunks) if self.chunks else np.zeros(0, np.uint8)
-        pad = np.ones(-len(bits) % 8, np.uint8)
-        return np.packbits(np.concatenate([bits, pad])).tobytes().replace(b"\xff", b"\xff\x00")
+        bits = self.chunks[0] if len(self.chunks) == 1 else np.concatenate(self.chunks) if self.chunks else _NONE
+        packed = bytearray(np.packbits(bits).tobytes())
+        if len(bits) % 8:  # the last byte is filled with ones
+            packed[-1] |= (1 << -len(bits) % 8) - 1
+        return bytes(packed).replace(b"\xff", b"\xff\x00")
 
 
 def category(values: np.ndarray) -> np.ndarray:
@@ -145,64 +150,69 @@ def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-def _mcu_order(image: Image, which: tuple[int, ...]) -> list[tuple[np.ndarray, int]]:
-    """Of an interleaved scan: flat block numbers of each component in scan order, with blocks per MCU."""
-    out = []
-    for i in which:
-        c = image.components[i]
-        rows, cols = c.blocks.shape[:2]
-        n = np.arange(rows * cols).reshape(rows // c.v, c.v, cols // c.h, c.h)
-        out.append((n.transpose(0, 2, 1, 3).reshape(-1), c.h * c.v))
-    return out
+@lru_cache(maxsize=512)
+def _in_order(shapes: tuple[tuple[int, ...], ...]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Of a scan of components (rows, columns, rows used, columns used, v, h): which of them comes when, and for each its places in that order and its blocks there."""
+    if len(shapes) == 1:
+        rows, cols, u, w, *_ = shapes[0]
+        blocks = np.arange(rows * cols).reshape(rows, cols)[:u, :w].reshape(-1)
+        return np.zeros(len(blocks), np.int64), [np.arange(len(blocks))], [blocks]
+    numbers = [np.arange(r * c).reshape(r // v, v, c // h, h).transpose(0, 2, 1, 3).reshape(-1, v * h) for r, c, _, _, v, h in shapes]
+    which = np.tile(np.repeat(np.arange(len(shapes)), [n.shape[1] for n in numbers]), len(numbers[0]))
+    return which, [np.nonzero(which == i)[0] for i in range(len(shapes))], [n.reshape(-1) for n in numbers]
+
+
+def _dc_order(image: Image, scan: Scan) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    chosen = [image.components[i] for i in scan.components]
+    return _in_order(tuple((*c.blocks.shape[:2], *c.used, c.v, c.h) for c in chosen))
 
 
-def _dc_sequence(image: Image, which: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Component and flat block number of each DC of a scan, in order."""
-    if len(which) == 1:
-        c = image.components[which[0]]
-        n = np.arange(c.blocks.shape[0] * c.blocks.shape[1]).reshape(c.blocks.shape[:2])[: c.used[0], : c.used[1]].reshape(-1)
-        return np.full(len(n), which[0]), n
-    order = _mcu_order(image, which)
-    number = np.concatenate([n.reshape(-1, k) for n, k in order], axis=1)
-    comp = np.concatenate([np.full(k, i) for i, (_, k) in zip(which, order, strict=True)])
-    return np.tile(comp, len(number)), number.reshape(-1)
+@lru_cache(maxsize=1)
+def _dc_codes() -> tuple[np.ndarray, np.ndarray]:
+    table = codes(DC_COUNTS, DC_SYMBOLS)
+    return np.array([table[s][0] for s in range(12)]), np.array([table[s][1] for s in range(12)])
 
 
 def _encode_dc(image: Image, scan: Scan) -> tuple[bytes, list[tuple[int, bytes, bytes]]]:
-    comp, number = _dc_sequence(image, scan.components)
-    values = np.zeros(len(comp), np.int64)
-    for i in scan.components:
-        values[comp == i] = image.components[i].blocks.reshape(-1, 64)[number[comp == i], 0] >> scan.low
+    which, places, numbers = _dc_order(image, scan)
+    values = np.zeros(len(which), np.int64)
+    for i, at, blocks in zip(scan.components, places, numbers, strict=True):
+        values[at] = image.components[i].blocks.reshape(-1, 64)[blocks, 0] >> scan.low
     bits = _Bits()
     if scan.high:
         bits.chunks.append((values & 1).astype(np.uint8))
         return bits.bytes(), []
     diff = values.copy()
-    for i in scan.components:
-        own = np.nonzero(comp == i)[0]
-        diff[own[1:]] -= values[own[:-1]]
+    for at in places:
+        diff[at[1:]] -= values[at[:-1]]
     sizes = category(diff)
-    table = codes(DC_COUNTS, DC_SYMBOLS)
-    code, length = (np.array([table[s][k] for s in range(12)]) for k in (0, 1))
+    code, length = _dc_codes()
     bits.many(code[sizes] << sizes | extra(diff, sizes), length[sizes] + sizes)
     return bits.bytes(), [(0, DC_COUNTS, DC_SYMBOLS)]
 
 
 def _encode_ac(image: Image, scan: Scan) -> tuple[bytes, list[tuple[int, bytes, bytes]]]:
     c = image.components[scan.components[0]]
-    band = c.blocks[: c.used[0], : c.used[1], scan.start : scan.end + 1].reshape(-1, scan.end - scan.start + 1).astype(np.int64)
-    now = np.sign(band) * (np.abs(band) >> scan.low)
-    if not scan.high and now.all():
-        sizes = category(now)
-        if (size := int(sizes.max(initial=0))) and size == sizes.min() and size <= 8:  # one symbol throughout
+    band = c.blocks[: c.used[0], : c.used[1], scan.start : scan.end + 1].reshape(-1, scan.end - scan.start + 1)
+    least, most = int(band.min()), int(band.max())
+    if least >> scan.low > 1:  # nothing new in a refining pass
+        if scan.high:
+            items = [(*_eob(len(part)), (part.reshape(-1) >> scan.low & 1).astype(np.uint8)) for part in (band[i : i + MOST_EOB] for i in range(0, len(band), MOST_EOB))]
+            return _coded(items)
+        size = (least >> scan.low).bit_length()
+        if size == (most >> scan.low).bit_length() and size <= 8:  # one symbol throughout
             counts, symbols = huffman(((size, 1),))
             code, n = codes(counts, symbols)[size]
-            out = np.empty((now.size, n + size), np.uint8)
+            out = np.empty((band.size, n + size), np.uint8)
             out[:, :n] = [code >> n - 1 - k & 1 for k in range(n)]
-            out[:, n:] = np.unpackbits(extra(now, sizes).astype(np.uint8).reshape(-1, 1), axis=1)[:, 8 - size :]
-            bits = _Bits([out.reshape(-1)])
-            return bits.bytes(), [(16, counts, symbols)]
-    items = _refining(now) if scan.high else _first(now)
+            out[:, n:] = np.unpackbits((band >> scan.low).astype(np.uint8).reshape(-1, 1), axis=1)[:, 8 - size :]
+            return _Bits([out.reshape(-1)]).bytes(), [(16, counts, symbols)]
+    now = np.sign(band) * (np.abs(band) >> scan.low)
+    return _coded(_refining(now) if scan.high else _first(now))
+
+
+def _coded(items: list[tuple[int, int, int, np.ndarray]]) -> tuple[bytes, list[tuple[int, bytes, bytes]]]:
+    """Bits and table of symbols with their extra and correction bits."""
     weights: dict[int, int] = {}
     for s, *_ in items:
         weights[s] = weights.get(s, 0) + 1
@@ -216,9 +226,6 @@ def _encode_ac(image: Image, scan: Scan) -> tuple[bytes, list[tuple[int, bytes,
     return bits.bytes(), [(16, counts, symbols)]
 
 
-_NONE = np.zeros(0, np.uint8)
-
-
 def _eob(run: int) -> tuple[int, int, int]:
     n = run.bit_length() - 1
     return n << 4, run - (1 << n), n
@@ -289,10 +296,9 @@ def _refining(now: np.ndarray) -> list[tuple[int, int, int, np.ndarray]]:
 
 
 def script(n: int, low: int = 1, split: int = 5) -> list[Scan]:
-    """A usual order of scans for ``n`` components: DC, two bands of AC, then one refining pass for each bit left."""
+    """A usual order of scans for ``n`` components: DC, the first component's AC in two bands, the others' in one, then a refining pass for each bit left."""
     every = tuple(range(n))
-    scans = [Scan(every, 0, 0, 0, low)]
-    scans += [Scan((i,), a, b, 0, low) for i in every for a, b in ((1, split), (split + 1, 63))]
+    scans = [Scan(every, 0, 0, 0, low), Scan((0,), 1, split, 0, low), *(Scan((i,), 1, 63, 0, low) for i in every[1:]), Scan((0,), split + 1, 63, 0, low)]
     for k in range(low, 0, -1):
         scans += [Scan(every, 0, 0, k, k - 1), *(Scan((i,), 1, 63, k, k - 1) for i in every)]
     return scans
@@ -363,27 +369,27 @@ def _signed(value: int, n: int) -> int:
 
 
 def _decode_dc(image: Image, scan: Scan, parts: list[bytes], tables: dict, which: list[int], restart: int) -> None:
-    comp, number = _dc_sequence(image, scan.components)
+    turn, places, numbers = _dc_order(image, scan)
     per_mcu = 1 if len(scan.components) == 1 else sum(image.components[i].h * image.components[i].v for i in scan.components)
-    step = restart * per_mcu if restart else max(1, len(comp))
-    values = np.zeros(len(comp), np.int64)
-    table = {i: tables[w] for i, w in zip(scan.components, which, strict=True)} if not scan.high else {}
-    for part, begin in zip(parts, range(0, len(comp), step), strict=False):
-        reader, end = _Reader(part), min(len(comp), begin + step)
+    step = restart * per_mcu if restart else max(1, len(turn))
+    values = np.zeros(len(turn), np.int64)
+    table = [] if scan.high else [tables[w] for w in which]
+    for part, begin in zip(parts, range(0, len(turn), step), strict=False):
+        reader, end = _Reader(part), min(len(turn), begin + step)
         if scan.high:
             values[begin:end] = reader.array(end - begin)
             continue
-        last, got = dict.fromkeys(scan.components, 0), []
+        last, got = [0] * len(scan.components), []
         symbol, take = reader.symbol, reader.take
-        for i in comp[begin:end].tolist():
+        for i in turn[begin:end].tolist():
             n, _ = symbol(table[i])
             if n:
                 last[i] += _signed(take(n), n)
             got.append(last[i])
         values[begin:end] = got
-    for i in scan.components:
-        own, flat = comp == i, image.components[i].blocks.reshape(-1, 64)
-        flat[number[own], 0] = flat[number[own], 0] | (values[own] << scan.low) if scan.high else values[own] << scan.low
+    for i, at, blocks in zip(scan.components, places, numbers, strict=True):
+        flat, new = image.components[i].blocks.reshape(-1, 64), values[at] << scan.low
+        flat[blocks, 0] = flat[blocks, 0] | new if scan.high else new
 
 
 def _decode_ac(image: Image, scan: Scan, parts: list[bytes], table, restart: int) -> None:
@@ -402,7 +408,7 @@ def _alike(reader: _Reader, n: int, size: int, code: np.ndarray, most: int) -> n
     most = min(most, (reader.size - reader.at) // total)
     for m in (min(TRY, most), most):
         rows = reader.bits[reader.at : reader.at + m * total].reshape(m, total)
-        same = (rows[:, :n] == code).all(axis=1)
+        same = rows[:, 0] == code[0] if n == 1 else (rows[:, :n] == code[:n]).all(axis=1)
         if not same.all():
             rows = rows[: int(np.argmin(same))]
             break
@@ -425,7 +431,9 @@ def _first_band(band: np.ndarray, reader: _Reader, table, low: int) -> None:
             at += 1
             if not zeros and total - at >= TRY:
                 more = _alike(reader, n, size, reader.bits[reader.at - n - size : reader.at - size], total - at)
-                flat[at : at + len(more)] = np.where(more >> size - 1 == 1, more, more - (1 << size) + 1) << low
+                if int(more.min(initial=1 << size)) >> size - 1 == 0:  # some are negative
+                    more = np.where(more >> size - 1 == 1, more, more - (1 << size) + 1)
+                flat[at : at + len(more)] = more << low
                 at += len(more)
         elif zeros == 15:
             at += 16
@@ -436,6 +444,9 @@ def _first_band(band: np.ndarray, reader: _Reader, table, low: int) -> None:
 
 def _correct(values: np.ndarray, bits: np.ndarray, low: int) -> None:
     """Add a correction bit to each coefficient that is not zero."""
+    if len(bits) == len(values) and values.min() > 0:
+        values += bits.astype(values.dtype) << low
+        return
     where = np.nonzero(values)
     old = values[where]
     values[where] = old + np.where(old > 0, 1, -1) * (bits.astype(old.dtype) << low)
