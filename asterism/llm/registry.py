@@ -3,12 +3,16 @@
 from .bpe import op6_bpe
 from .media import op3_media
 from .pseudonyms import op4_pii
+from .mixing import op7_mixing
 from .simhash import op8_simhash
+from .toxicity import op10_toxicity
 
 QUERIES = {
+    "op7_mixing": op7_mixing,
     "op3_media": op3_media,
     "op4_pii": op4_pii,
     "op6_bpe": op6_bpe,
     "op8_simhash": op8_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
