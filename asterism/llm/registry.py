@@ -4,10 +4,12 @@ from .bpe import op6_bpe
 from .media import op3_media
 from .pseudonyms import op4_pii
 from .mixing import op7_mixing
+from .quality_rules import op1_quality
 from .simhash import op8_simhash
 from .toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op7_mixing": op7_mixing,
     "op3_media": op3_media,
     "op4_pii": op4_pii,
