@@ -7,6 +7,7 @@ from .mixing import op7_mixing
 from .quality_rules import op1_quality
 from .simhash import op8_simhash
 from .toxicity import op10_toxicity
+from .url_rules import OP9_SQL, op9_urls
 
 QUERIES = {
     "op1_quality": op1_quality,
@@ -15,6 +16,9 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op6_bpe": op6_bpe,
     "op8_simhash": op8_simhash,
+    "op9_urls": op9_urls,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_urls": OP9_SQL,
+}
