@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -19,8 +20,16 @@ from tokenizers import Tokenizer
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Letters and numbers from here on depend on the Unicode version; texts with them are split by the library itself.
 _SETTLED = regex.compile(r"[^\x00-՗]")
-#: Words kept by each Python worker with their ids.
-CACHE_WORDS = 200_000
+#: Words of one generation that each Python worker keeps with their ids; two generations are kept.
+CACHE_WORDS = 500_000
+#: Longest fragment whose pairs are looked through one by one.
+SHORT = 40
+NEVER = 1 << 29
+
+
+def little_endian(ids: list[int]) -> bytes:
+    """Ids as unsigned 32-bit integers."""
+    return np.array(array("q", ids), copy=False).astype("<u4").tobytes()
 
 
 def _byte_letters() -> dict[str, int]:
@@ -47,17 +56,18 @@ class BytePairCoder:
         vocab = {t: i for t, i in vocab.items() if t not in special}
         self.token = {i: t for t, i in (vocab | special).items()}
         self.single = [vocab[bytes([b])] for b in range(256)]
-        self.merge = {}
+        self.merge, self.made = {}, []
+        if max(vocab.values()) >> 16:
+            raise ValueError("ids over 65535")
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             a, b = (bytes(letters[c] for c in x) for x in (a, b))
-            self.merge[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        self.inside = np.zeros((256, 256), bool)
-        for token in vocab:
-            x = np.frombuffer(token, np.uint8)
-            self.inside[x[:-1], x[1:]] = True
+            self.merge[vocab[a] << 16 | vocab[b]] = rank
+            self.made.append(vocab[a + b])
+        self.inside = {pair for token in vocab for pair in zip(token, token[1:], strict=False)}
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.path, self.cache_words, self.words = path, cache_words, {}
+        self.path, self.cache_words, self.words, self.older = path, cache_words, {}, {}
+        self.table = [self.token.get(i) for i in range(max(self.token) + 1)]
 
     @property
     def library(self):
@@ -67,49 +77,68 @@ class BytePairCoder:
 
     def fragments(self, word: bytes) -> list[bytes]:
         """The word cut at every forced boundary."""
-        if len(word) < 2:
+        inside = self.inside
+        cuts = [i for i, pair in enumerate(zip(word, word[1:], strict=False), 1) if pair not in inside]
+        if not cuts:
             return [word]
-        x = np.frombuffer(word, np.uint8)
-        cuts = [0, *(np.nonzero(~self.inside[x[:-1], x[1:]])[0] + 1).tolist(), len(word)]
-        return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
     def merged(self, fragment: bytes) -> list[int]:
         """Merge the adjacent pair of least rank, leftmost first, until none is left.
 
-        Pairs wait in a heap over a linked list, so a fragment of any length
-        takes n log n steps.
+        Short fragments look through the ranks of their pairs; in longer ones
+        pairs wait in a heap over a linked list, so any length takes n log n steps.
         """
         ids = [self.single[b] for b in fragment]
-        if len(ids) < 2:
-            return ids
-        n, merge = len(ids), self.merge
+        return ids if len(ids) < 2 else self._short(ids) if len(ids) <= SHORT else self._long(ids)
+
+    def _short(self, ids: list[int]) -> list[int]:
+        get, made, never = self.merge.get, self.made, NEVER
+        pairs = [get(a << 16 | b, never) for a, b in zip(ids, ids[1:])]  # noqa: B905
+        pairs.append(never)
+        while (best := min(pairs)) != never:
+            i = pairs.index(best)
+            new = ids[i] = made[best]
+            del ids[i + 1], pairs[i]
+            if i:
+                pairs[i - 1] = get(ids[i - 1] << 16 | new, never)
+            if i + 1 < len(ids):
+                pairs[i] = get(new << 16 | ids[i + 1], never)
+        return ids
+
+    def _long(self, ids: list[int]) -> list[int]:
+        n, get = len(ids), self.merge.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merge.get((ids[i], ids[i + 1])))]
-        heap = [(rank, i, new, a, b) for rank, new, i, a, b in heap]
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := get(ids[i] << 16 | ids[i + 1])) is not None]
         heapify(heap)
         while heap:
-            _, i, new, a, b = heappop(heap)
+            m, i, a, b = heappop(heap)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
+            new = self.made[m]
             ids[i], ids[j] = new, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if m := merge.get((new, ids[k])):
-                    heappush(heap, (m[0], i, m[1], new, ids[k]))
+                if (m := get(new << 16 | ids[k])) is not None:
+                    heappush(heap, (m, i, new, ids[k]))
             p = before[i]
-            if p >= 0 and (m := merge.get((ids[p], new))):
-                heappush(heap, (m[0], p, m[1], ids[p], new))
+            if p >= 0 and (m := get(ids[p] << 16 | new)) is not None:
+                heappush(heap, (m, p, ids[p], new))
         return [x for x in ids if x >= 0]
 
     def word(self, word: str) -> list[int]:
-        out: list[int] = []
+        out = self.older.get(word)
+        if out is not None:
+            self.words[word] = out
+            return out
+        out = []
         for fragment in self.fragments(word.encode("utf-8")):
             out += self.merged(fragment)
         if len(word) <= 64:
             if len(self.words) >= self.cache_words:
-                self.words.clear()
+                self.older, self.words = self.words, {}
             self.words[word] = out
         return out
 
@@ -121,7 +150,10 @@ class BytePairCoder:
         known = self.words.get
         for part in parts:
             ids = known(part)
-            out += self.word(part) if ids is None else ids
+            if ids is None:
+                ids = self.word(part)
+                known = self.words.get
+            out += ids
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text; None counts as empty."""
@@ -138,8 +170,11 @@ class BytePairCoder:
 
     def decode(self, ids) -> str:
         """The text of ids, special tokens included; ids outside the vocabulary stand for nothing."""
-        token = self.token
-        return b"".join([token[i] for i in ids if i in token]).decode("utf-8", "replace")
+        try:
+            return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
+        except (IndexError, TypeError):
+            token = self.token
+            return b"".join([token[i] for i in ids if i in token]).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -190,7 +225,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             for t in batch.column(1):
                 ids = code.encode(t.as_py())
                 counts.append(len(ids))
-                coded.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                coded.append(hashlib.sha256(little_endian(ids)).hexdigest())
                 back.append(hashlib.sha256(code.decode(ids).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(coded), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
