@@ -1,5 +1,6 @@
 """The queries of this subpackage and their SQL, by name."""
 
+from .bilinear import op2_language_model
 from .bpe import op6_bpe
 from .media import op3_media
 from .pseudonyms import op4_pii
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op6_bpe": op6_bpe,
     "op8_simhash": op8_simhash,
+    "op2_language_model": op2_language_model,
     "op9_urls": op9_urls,
     "op10_toxicity": op10_toxicity,
 }
