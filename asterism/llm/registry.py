@@ -3,6 +3,7 @@
 from .bilinear import op2_language_model
 from .bpe import op6_bpe
 from .media import op3_media
+from .passages import op5_passages
 from .pseudonyms import op4_pii
 from .mixing import op7_mixing
 from .quality_rules import op1_quality
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op8_simhash": op8_simhash,
     "op2_language_model": op2_language_model,
+    "op5_passages": op5_passages,
     "op9_urls": op9_urls,
     "op10_toxicity": op10_toxicity,
 }
