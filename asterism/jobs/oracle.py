@@ -159,6 +159,7 @@ SELECT star_id, {r6('abs(a) / 2')} AS area, {r6('sx / (3 * a)')} AS cx, {r6('sy
     "mix_membership": f"WITH {STARS}, d AS (SELECT star_id, {', '.join(f'{p} / ({a} + {b}) AS p{k}_{i}' for i, (a, b) in enumerate(map(_parts, THETAS[:3])) for k, p in ((0, a), (1, b)))} FROM stars) " + " UNION ALL ".join(f"SELECT star_id, {k}::BIGINT AS comp, {r6(f'(p{k}_0 + p{k}_1 + p{k}_2) / 3')} AS p FROM d" for k in (0, 1)),
     "gauss_bands": f"""WITH {STARS}, err AS (SELECT quantile_cont(epm_ra, 0.5) AS e FROM stars), draws AS (SELECT * FROM (VALUES {_DRAWS}) v(mu, s, w)), p AS (SELECT star_id, w * exp(-pow(pm_ra - mu, 2) / (2 * (s * s + e * e))) / (sqrt(s * s + e * e) * sqrt(2 * pi())) AS f FROM stars, err, draws)
 SELECT star_id, {r6('quantile_cont(f, 0.05)')} AS low, {r6('quantile_cont(f, 0.95)')} AS high FROM p GROUP BY star_id""",
+    "chain_write_read": f"WITH {SLICED} SELECT 'kept' AS run_id, count(*) AS n, {r6('sum(theta0)')} AS total FROM sliced UNION ALL SELECT 'burn_in', count(*), {r6('sum(theta0)')} FROM chain WHERE step < {DISCARD}",
     "chain_slice": f"WITH {SLICED} SELECT walker, step, {r6('theta0')} AS theta0 FROM sliced",
     "chain_percentiles": f"WITH {SLICED} {_percentiles('sliced', 'theta0')}",
     "chain_argmax": f"WITH {CHAIN} SELECT walker, step, {r6('theta0')} AS theta0 FROM chain ORDER BY log_prob DESC, step, walker LIMIT 1",

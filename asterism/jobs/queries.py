@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..operators import chains, decontamination, mixture, neighbours, statistics
-from ..sources.catalogues import chain, photometry, stars
+from ..operators import chains, decontamination, mixture, neighbours, statistics, tessellation
+from ..shared import shared_dir
+from ..sources.catalogues import chain, photometry, read_chain, stars, write_chain
+from . import membership, sampler
 
 DR = X.Reddening()
 MEMBER = 0.5
@@ -352,11 +356,90 @@ def corner_hist(spark, d):
     return _rounded(statistics.histogram2d(df, "theta0", "t", 20), "density")
 
 
+def chain_write_read(spark, d):
+    """Each user's chain stored as a run of its own group, one of them read back by partition pruning, all counted."""
+    path = f"{shared_dir(spark)}/asterism-chain-{uuid.uuid4().hex}"
+    sliced = chains.slice_chain(chain(spark, d), DISCARD, THIN)
+    write_chain(sliced, path, "kept")
+    write_chain(chain(spark, d).filter(F.col("step") < DISCARD), path, "burn_in")
+    return read_chain(spark, path).groupBy("run_id").agg(F.count("*").alias("n"), r6(F.sum("theta0")).alias("total"))
+
+
+def _points(spark, d, where: str = "true") -> DataFrame:
+    return stars(spark, d).filter(where).select(F.col("star_id").alias("id"), F.lit(0).cast("long").alias("g"), _color().alias("x"), F.col("band1").alias("y"))
+
+
+def convex_hull(spark, d):
+    return tessellation.convex_hull(stars(spark, d), "ra", "dec")
+
+
+def annuli(spark, d):
+    groups, rings = membership.spatial_groups(stars(spark, d), MIN_STARS)
+    table = spark.createDataFrame(rings or [(0, 0.0, 0.0, 0.0, 0.0)], "group_id long, r_low double, r_high double, area double, fov_ratio double").limit(len(rings))
+    return table.join(groups.groupBy(F.col("g").alias("group_id")).agg(F.count("*").alias("n")), "group_id", "left")
+
+
+def voronoi_cells(spark, d):
+    return tessellation.voronoi_cells(_points(spark, d), PAD).drop("g")
+
+
+def cell_adjacency(spark, d):
+    return tessellation.adjacency(tessellation.voronoi_cells(_points(spark, d), PAD))
+
+
+def cvt(spark, d):
+    return tessellation.centroidal(_points(spark, d), 3, PAD).select("id", "x", "y", "area")
+
+
+def merge_regions(spark, d):
+    cells = tessellation.voronoi_cells(_points(spark, d), PAD)
+    return tessellation.merge_regions(cells, tessellation.adjacency(cells))
+
+
+def dilate_grid(spark, d):
+    return tessellation.region_grid(_points(spark, d), "dilation", 1, PAD, 20.0)[1]
+
+
+def kmeans_centroids(spark, d):
+    return tessellation.kmeans_centroids(_weighted(spark, d), 20)
+
+
+def _weighted(spark, d) -> DataFrame:
+    points = _points(spark, d)
+    return points.join(statistics.density_weights(points, "id", "x", "y", 20), "id")
+
+
+def cvt_grid(spark, d):
+    return tessellation.region_grid(_weighted(spark, d), "wkmeans", 2, PAD, 30.0, 20)[1]
+
+
+def statistical_membership(spark, d):
+    df = stars(spark, d)
+    roi = [(-8.0, -8.0), (8.0, -8.0), (8.0, 8.0), (-8.0, 8.0)]
+    return membership.statistical_membership(df.filter("is_cluster"), df.filter("is_field").select("star_id", "band1", "band2"), DR, roi, nref=10, step=0.5, threshold=0.3, iterations=2, min_stars=100)
+
+
+def _box(spark, d) -> tuple[list[float], list[float]]:
+    """A box around the middle of the proper motions."""
+    ra, dec = stars(spark, d).agg(F.percentile("pm_ra", 0.5), F.percentile("pm_dec", 0.5)).first()
+    low, high = [ra - 1, dec - 1, 0.01, 0.01, -0.8] * 2 + [0.0], [ra + 1, dec + 1, 2.0, 2.0, 0.8] * 2 + [1.0]
+    return low, high
+
+
+def sampler_init(spark, d):
+    return sampler.start_table(spark, 2, 32, *_box(spark, d))
+
+
+def sampler_run(spark, d):
+    return sampler.sample(stars(spark, d), 2, 32, 60, *_box(spark, d))
+
+
 QUERIES = {f.__name__: f for f in (
     cmd_project, filter_members, split_members, filter_error_cut, filter_quality, split_catalogs, rotate_cmd, roi_filter, fiducial_bins,
     hist_density, hist2d_density, density_weights, membership_percentiles, hexbin_median, describe_column, bbox_center, sky_separation,
     field_density, annulus_assign, knn_join, sigma_clip_median, dr_median, dr_apply, dr_threshold, spline_eval, ring_centroid,
     region_counts, points_in_regions, median_region_count, cell_count_norm, common_regions, cell_counts_points, mc_rate,
     expected_membership, membership_update, mc_membership, bivar_pdf, mvar_pdf, univar_pdf, mix_loglik, mix_log_prior, mix_fix_link,
-    mix_posterior, mix_membership, gauss_bands, chain_slice, chain_percentiles, chain_argmax, trace_long, corner_hist,
+    mix_posterior, mix_membership, gauss_bands, chain_write_read, convex_hull, annuli, voronoi_cells, cell_adjacency, cvt, merge_regions,
+    dilate_grid, kmeans_centroids, cvt_grid, statistical_membership, sampler_init, sampler_run, chain_slice, chain_percentiles, chain_argmax, trace_long, corner_hist,
 )}
