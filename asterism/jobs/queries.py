@@ -357,7 +357,7 @@ def corner_hist(spark, d):
 
 
 def chain_write_read(spark, d):
-    """Each user's chain stored as a run of its own group, one of them read back by partition pruning, all counted."""
+    """Burn-in and kept steps stored as two runs, read back and summed by run."""
     path = f"{shared_dir(spark)}/asterism-chain-{uuid.uuid4().hex}"
     sliced = chains.slice_chain(chain(spark, d), DISCARD, THIN)
     write_chain(sliced, path, "kept")
