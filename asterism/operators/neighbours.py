@@ -33,7 +33,6 @@ def nearest(points: DataFrame, refs: DataFrame, k: int, ties: bool = False, max_
     span = max(x1, a1) - min(x0, a0), max(y1, b1) - min(y0, b0)
     extent = math.hypot(*span) or 1.0
     side = min(extent, max(math.sqrt(max(x1 - x0, 1e-9) * max(y1 - y0, 1e-9) * k / n), extent / 2**40))
-    side /= 2
     pending, parts = materialise(points), []
     by = Window.partitionBy("id").orderBy("d2", "ref")
     for _ in range(max_rounds):
