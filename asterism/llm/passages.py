@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ LEAST_WORDS = 15
 TILE = 256
 _CACHE = 300_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
-_words: dict[str, int] = {}
+_words: dict[bytes, int] = {}
 
 
 def _mixed(x: np.ndarray, k: int) -> np.ndarray:
@@ -37,82 +38,109 @@ def _mixed(x: np.ndarray, k: int) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def _hashes(words: list[str]) -> np.ndarray:
-    """Hash of each word in lower case, those of A to Z alone lowered."""
-    known, out = _words.get, []
-    for w in words:
-        h = known(w)
-        if h is None:
-            h = xxhash.xxh64_intdigest(w.encode("utf-8", "replace").lower())
-            if len(_words) >= _CACHE:
-                _words.clear()
-            if len(w) <= 64:
-                _words[w] = h
-        out.append(h)
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """Hash of each word."""
+    known = _words
+    out = [known.get(w) for w in words]
+    if None in out:
+        for i, h in enumerate(out):
+            if h is None:
+                w = words[i]
+                out[i] = h = xxhash.xxh64_intdigest(w)
+                if len(known) >= _CACHE:
+                    known.clear()
+                if len(w) <= 64:
+                    known[w] = h
     return np.array(out, np.uint64)
 
 
-def cuts(h: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """First words of the paragraphs. They depend on the words around alone, so a passage is cut alike wherever it stands."""
-    n = len(h)
-    if n == 0:
-        return np.zeros(0, np.int64)
-    x = _mixed(h + np.uint64(3) * np.append(h[1:], h[:1] * np.uint64(0)), 0)
-    pad = np.full(reach, np.iinfo(np.uint64).max, np.uint64)
-    wide, least = np.concatenate([pad, x, pad]), np.ones(n, bool)
+@dataclass
+class Paragraphs:
+    """Of several texts, end to end: first words and ends, text of each, hash of the whole, hash of the shingle that begins at each word, and shingles of each."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    text: np.ndarray
+    whole: np.ndarray
+    runs: np.ndarray
+    shingles: np.ndarray
+
+    def number(self) -> np.ndarray:
+        """Place of each paragraph in its text."""
+        first = np.append(0, np.nonzero(np.diff(self.text))[0] + 1) if len(self.text) else np.zeros(0, np.int64)
+        return np.arange(len(self.text)) - np.repeat(first, np.diff(np.append(first, len(self.text))))
+
+    def sets(self) -> list[np.ndarray]:
+        """Hashes of each paragraph's shingles; a short one is one shingle."""
+        return [self.runs[a : a + n] if b - a >= SHINGLE else self.whole[i : i + 1] for i, (a, b, n) in enumerate(zip(self.starts.tolist(), self.ends.tolist(), self.shingles.tolist(), strict=True))]
+
+    def least(self, band: int) -> np.ndarray:
+        """MinHash value of each paragraph with LEAST_SHINGLES or more."""
+        if not len(self.starts):
+            return np.zeros(0, np.uint64)
+        values = _mixed(self.runs, 5 + band)
+        place = np.arange(len(values)) - np.repeat(self.starts, self.ends - self.starts)
+        values[place >= np.repeat(self.shingles, self.ends - self.starts)] = np.iinfo(np.uint64).max
+        return np.minimum.reduceat(values, self.starts)
+
+
+def cut(texts: list[list[bytes]], reach: int = REACH) -> Paragraphs:
+    """Cut texts, given as words in lower case, into paragraphs.
+
+    A paragraph begins at the first word and at each whose hash with the next
+    word is least among ``reach`` words to either side. That depends on the
+    words around alone, so a passage is cut alike wherever it stands.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    h = _hashes([w for t in texts for w in t])
+    n, none = len(h), np.zeros(0, np.int64)
+    if not n:
+        return Paragraphs(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none)
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    behind = sizes[doc] - 1 - place
+    x = _mixed(h + np.uint64(3) * np.where(behind > 0, np.append(h[1:], np.uint64(0)), np.uint64(0)), 0)
+    most = np.iinfo(np.uint64).max
+    least, wide = np.ones(n, bool), np.concatenate([np.full(reach, most), x, np.full(reach, most)])
     for d in range(1, reach + 1):
-        least &= x < wide[reach - d : reach - d + n]
-        least &= x <= wide[reach + d : reach + d + n]
-    least[0] = True
-    return np.nonzero(least)[0]
-
-
-def paragraphs(words: list[str], reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Starts, ends, hashes of the whole, and hashes of the shingles of each paragraph; a short one is one shingle."""
-    h = _hashes(words)
-    starts = cuts(h, reach)
-    ends = np.append(starts[1:], len(h))
-    whole, shingles = np.zeros(len(starts), np.uint64), []
-    if len(h):
-        rank = np.arange(len(h)) - np.repeat(starts, ends - starts)
-        whole = _mixed(np.add.reduceat(_mixed(h, 1) * _mixed(rank.astype(np.uint64) + np.uint64(1), 2), starts) + (ends - starts).astype(np.uint64), 3)
-        run = np.zeros(max(0, len(h) - SHINGLE + 1), np.uint64)
-        for k in range(SHINGLE):
-            run = _mixed(run + h[k : k + len(run)], 4)
-        shingles = [run[a : b - SHINGLE + 1] if b - a >= SHINGLE else whole[i : i + 1] for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True))]
-    return starts, ends, whole, shingles
-
-
-def _scan(docs: DataFrame, bands: bool, shingles: bool, reach: int) -> DataFrame:
-    """A row for each paragraph: document, number, words, hash, and on demand MinHash values or shingles."""
-    schema = "doc long, k int, n int, h long" + (", m array<bigint>" if bands or shingles else "")
+        least &= (x < wide[reach - d : reach - d + n]) | (place < d)
+        least &= (x <= wide[reach + d : reach + d + n]) | (behind < d)
+    least |= place == 0
+    starts = np.nonzero(least)[0]
+    ends = np.append(starts[1:], n)
+    rank = (np.arange(n) - np.repeat(starts, ends - starts)).astype(np.uint64)
+    whole = _mixed(np.add.reduceat(_mixed(h, 1) * _mixed(rank + np.uint64(1), 2), starts) + (ends - starts).astype(np.uint64), 3)
+    wide, runs = np.concatenate([h, np.zeros(SHINGLE, np.uint64)]), np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        runs = _mixed(runs + wide[k : k + n], 4)
+    return Paragraphs(starts, ends, doc[starts], whole, runs, np.maximum(1, ends - starts - SHINGLE + 1))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
+def _scan(docs: DataFrame, what: str, reach: int) -> DataFrame:
+    """A row for each paragraph: ``doc, h``, and its number (``k``), MinHash values (``m``, null for short ones) or shingles (``s``)."""
+    schema = "doc long, h long" + {"k": ", k int", "m": "".join(f", m{b} long" for b in range(BANDS)), "s": ", s array<bigint>"}[what]
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                doc, k, n, h, m = [], [], [], [], []
-                for d, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    starts, ends, whole, sets = paragraphs(WORD.findall(t.as_py() or ""), reach)
-                    doc.append(np.full(len(starts), d, np.int64))
-                    k.append(np.arange(len(starts), dtype=np.int32))
-                    n.append((ends - starts).astype(np.int32))
-                    h.append(whole.view(np.int64))
-                    if (bands or shingles) and len(starts):
-                        sizes = np.array([len(s) for s in sets])
-                        flat = np.concatenate(sets)
-                        if shingles:
-                            m += [s.view(np.int64) for s in sets]
-                        else:
-                            at = np.cumsum(np.append(0, sizes[:-1]))
-                            least = np.stack([np.minimum.reduceat(_mixed(flat, 5 + b), at) for b in range(BANDS)], axis=1).view(np.int64)
-                            m += [row if s >= LEAST_SHINGLES else row[:0] for row, s in zip(least, sizes.tolist(), strict=True)]
-                columns = [np.concatenate(x) for x in (doc, k, n, h)]
-                arrays = [pa.array(x) for x in columns]
-                if bands or shingles:
-                    offsets = np.cumsum([0, *map(len, m)])
-                    arrays.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(m) if m else np.zeros(0, np.int64))))
-                yield pa.RecordBatch.from_arrays(arrays, ["doc", "k", "n", "h", *["m"] * (bands or shingles)])
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128)
+                found = cut([words_of(t) for t in part.column(1).to_pylist()], reach)
+                columns = [part.column(0).take(pa.array(found.text)), pa.array(found.whole.view(np.int64))]
+                if what == "k":
+                    columns.append(pa.array(found.number().astype(np.int32)))
+                elif what == "m":
+                    columns += [pa.array(found.least(b).view(np.int64), mask=found.shingles < LEAST_SHINGLES) for b in range(BANDS)]
+                else:
+                    keep = pa.array(found.shingles >= LEAST_SHINGLES)
+                    sets = [s for s, n in zip(found.sets(), found.shingles.tolist(), strict=True) if n >= LEAST_SHINGLES]
+                    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                    columns = [c.filter(keep) for c in columns] + [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(flat.view(np.int64)))]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.mapInArrow(run, schema)
 
@@ -148,33 +176,48 @@ def _verify(similarity: float):
     return run
 
 
-def near_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, reach: int = REACH, tile: int = TILE) -> DataFrame:
-    """``a, b``: links between hashes of different paragraphs (``docs``: doc, text) that are similar enough.
+def distinct_paragraphs(docs: DataFrame, reach: int = REACH) -> DataFrame:
+    """``h, first, last`` (least and greatest document) and MinHash values of every different paragraph of ``docs`` (doc, text)."""
+    values = [F.first(f"m{b}").alias(f"m{b}") for b in range(BANDS)]
+    return materialise(_scan(docs, "m", reach).groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), *values))
+
+
+def near_paragraphs(docs: DataFrame, distinct: DataFrame, similarity: float = SIMILARITY, reach: int = REACH, tile: int = TILE) -> DataFrame:
+    """``a, b``: links between hashes of different paragraphs that are similar enough.
 
     Equal paragraphs count once. Those that share a MinHash value meet in a
     bucket; a bucket of over ``tile`` paragraphs is cut into tiles, and pairs of
     tiles are spread over the tasks, so all candidates are verified however
     large a bucket is.
     """
-    bands = _scan(docs, True, False, reach).filter(F.size("m") > 0).select("h", F.posexplode("m").alias("band", "value"))
-    met = bands.groupBy("band", "value").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.approx_count_distinct("h", 0.05).alias("c")).filter("low != high")
-    met = materialise(met.select("band", "value", F.ceil(F.col("c") / tile).cast("int").alias("tiles")))
-    wide = _scan(docs, False, True, reach).filter(F.size("m") >= LEAST_SHINGLES)
-    keyed = _scan(docs, True, False, reach).filter(F.size("m") > 0).select("h", F.posexplode("m").alias("band", "value")).join(met, ["band", "value"]).select("h", "band", "value", "tiles").distinct()
-    keyed = materialise(keyed)
-    sets = wide.join(keyed.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("m").alias("s"))
+    band = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col(f"m{b}").alias("value")) for b in range(BANDS))))
+    bands = distinct.filter("m0 is not null").select("h", band.alias("e")).select("h", "e.band", "e.value")
+    sized = bands.groupBy("band", "value").agg(F.count("*").alias("c")).filter("c > 1")
+    keyed = materialise(bands.join(sized, ["band", "value"]).select("h", "band", "value", F.ceil(F.col("c") / tile).cast("int").alias("tiles")))
+    chosen = keyed.select("h").distinct()
+    sets = _scan(docs, "s", reach).select("h", "s").join(chosen, "h", "left_semi").groupBy("h").agg(F.first("s").alias("s"))
     members = keyed.join(sets, "h").withColumn("t", F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int"))
     tiles = materialise(members.groupBy("band", "value", "t").agg(F.collect_list(F.struct("h", "s")).alias("rows"), F.first("tiles").alias("tiles")))
     one = tiles.filter(F.size("rows") > 1).select("rows", F.lit(None).cast(tiles.schema["rows"].dataType).alias("other"))
     left = tiles.filter("tiles > 1").withColumn("t2", F.explode(F.sequence(F.col("t"), F.col("tiles") - 1))).filter("t2 > t").drop("tiles")
-    right = tiles.select("band", "value", F.col("t").alias("t2"), F.col("rows").alias("other"))
+    right = tiles.filter("tiles > 1").select("band", "value", F.col("t").alias("t2"), F.col("rows").alias("other"))
     two = left.join(right, ["band", "value", "t2"]).select("rows", "other")
     links = materialise(one.union(two).mapInArrow(_verify(similarity), "a long, b long").distinct())
-    for t in (met, keyed, tiles):
-        discard(t)
+    discard(keyed)
+    discard(tiles)
     return links
 
 
+def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, reach: int = REACH, tile: int = TILE) -> DataFrame:
+    """``h, first``: paragraphs whose component several documents have, with the least of these."""
+    distinct = distinct_paragraphs(docs, reach)
+    roots = materialise(connected_components(near_paragraphs(docs, distinct, similarity, reach, tile)).select(F.col("node").alias("h"), "root"))
+    alone = distinct.select("h", "first", "last").join(roots, "h", "left_anti").filter("first != last").select("h", "first")
+    linked = distinct.select("h", "first", "last").join(roots, "h")
+    spans = linked.groupBy("root").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first != last").select("root", "first")
+    return materialise(alone.union(roots.join(spans, "root").select("h", "first")))
+
+
 def _without(least_words: int, reach: int):
     """Take runs of repeated paragraphs out of each text."""
 
@@ -186,7 +229,8 @@ def _without(least_words: int, reach: int):
                 gone, parts, at = [], [], 0
                 if ks:
                     found = list(WORD.finditer(text))
-                    starts, ends, *_ = paragraphs([m[0] for m in found], reach)
+                    cuts = cut([words_of(text)], reach)
+                    starts, ends = cuts.starts, cuts.ends
                     ks = sorted(set(ks))
                     runs, first = [], 0
                     for i in range(1, len(ks) + 1):
@@ -228,11 +272,8 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     late = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 2).bitwiseOR(F.lit(1 << 62))
     named = docs.select(*own, F.coalesce(F.col(id_col).cast("long"), late).alias("_key"))
     texts = named.select(F.col("_key").alias("doc"), F.col(text_col).alias("text"))
-    links = near_paragraphs(texts, similarity, reach, tile)
-    roots = connected_components(links).select(F.col("node").alias("h"), "root")
-    rows = _scan(texts, False, False, reach).join(roots, "h", "left").select("doc", "k", F.coalesce("root", "h").alias("c"))
-    shared = materialise(rows.groupBy("c").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first != last").select("c", "first"))
-    again = _scan(texts, False, False, reach).join(roots, "h", "left").select("doc", "k", F.coalesce("root", "h").alias("c")).join(shared, "c").filter("doc != first")
+    shared = repeated_paragraphs(texts, similarity, reach, tile)
+    again = _scan(texts, "k", reach).join(shared, "h").filter("doc != first")
     marks = again.groupBy(F.col("doc").alias("_key")).agg(F.collect_set("k").alias("_ks"), F.min("first").alias("_first"))
     joined = named.join(marks, "_key", "left").select(*own, F.col(text_col).alias("_text"), "_ks", "_first")
     plain = docs.select(*own, F.lit(None).cast("long").alias("_first"), F.lit(None).cast("string").alias("kept_text"), F.lit(None).cast("long").alias("removed_words"), F.lit(None).cast("array<struct<start:bigint,end:bigint,words:bigint>>").alias("removed"))

@@ -9,18 +9,26 @@ def words(rng, n):
     return [f"w{rng.randrange(100_000)}" for _ in range(n)]
 
 
+def one(text):
+    found = p.cut([p.words_of(" ".join(text))])
+    return found.starts, found.ends, found.whole, found.sets()
+
+
 def test_cuts_depend_on_content_alone():
     rng = random.Random(1)
     passage = words(rng, 80)
     found = []
     for _ in range(2):
         before, after = words(rng, rng.randint(0, 40)), words(rng, rng.randint(0, 40))
-        starts, ends, whole, _ = p.paragraphs(before + passage + after)
+        starts, ends, whole = one(before + passage + after)[:3]
         assert starts[0] == 0 and list(starts[1:]) == list(ends[:-1]) and ends[-1] == len(before + passage + after)
         found.append({(a - len(before), b - len(before), h) for a, b, h in zip(starts.tolist(), ends.tolist(), whole.tolist(), strict=True) if a - len(before) >= p.REACH and b - len(before) < 75})
     same = found[0] & found[1]
     assert sum(b - a for a, b, _ in same) >= 45
-    assert len(p.paragraphs([])[0]) == 0 and len(p.paragraphs(["x"])[0]) == 1
+    assert len(one([])[0]) == 0 and len(one(["x"])[0]) == 1
+    texts = [words(rng, n) for n in (0, 1, 3, 200, 0, 70)]
+    many = p.cut([p.words_of(" ".join(t)) for t in texts])
+    assert list(zip(many.text.tolist(), many.number().tolist(), many.whole.tolist(), map(tuple, many.sets()), strict=True)) == [(i, k, h, tuple(s)) for i, t in enumerate(texts) for k, (h, s) in enumerate(zip(one(t)[2].tolist(), one(t)[3], strict=True))]
 
 
 def test_links_against_brute_force(spark):
@@ -37,7 +45,7 @@ def test_links_against_brute_force(spark):
     df = spark.createDataFrame(docs, "doc long, text string")
     sets = {}
     for _, t in docs:
-        _, _, whole, shingles = p.paragraphs(t.split())
+        _, _, whole, shingles = one(t.split())
         for h, s in zip(whole.view(np.int64).tolist(), shingles, strict=True):
             sets[h] = frozenset(s.tolist())
     hs = sorted(sets)
@@ -56,7 +64,7 @@ def test_links_against_brute_force(spark):
                 pairs += 1
     assert pairs > 20
     for tile in (3, 256):
-        got = {r["node"]: r["root"] for r in connected_components(p.near_paragraphs(df, tile=tile)).collect()}
+        got = {r["node"]: r["root"] for r in connected_components(p.near_paragraphs(df, p.distinct_paragraphs(df), tile=tile)).collect()}
         wrong = [h for h in hs if got.get(h, h) != find(h)]
         assert len(wrong) <= 0.03 * len(hs)  # MinHash finds 0.992 of the pairs at the least similarity
         assert all(find(h) == find(got[h]) for h in got)  # and what is linked is verified
