@@ -29,7 +29,7 @@ NUMBER = re.compile(
     r"|(?P<date>\d{4}([-/.])\d{1,2}\3\d{1,2}|\d{1,2}([-/.])\d{1,2}\4\d{4})"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
     r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}|(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4})"
-    r"|(?P<card>\d(?:[ -]?\d){12,18})"
+    r"|(?P<card>\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})"
     r")(?![\w@]|-\d)"
 )
 
