@@ -330,7 +330,7 @@ def mix_membership(spark, d):
 
 def gauss_bands(spark, d):
     df = stars(spark, d)
-    error = df.agg(F.percentile("epm_ra", 0.5)).first()[0]
+    error = statistics.exact_quantiles(df, "epm_ra", (0.5,))[0]
     draws = [(t[0], t[2], t[10]) for t in THETAS]
     return _rounded(mixture.density_bands(df, "star_id", "pm_ra", draws, error or 0.0), "low", "high")
 
@@ -421,7 +421,7 @@ def statistical_membership(spark, d):
 
 def _box(spark, d) -> tuple[list[float], list[float]]:
     """A box around the middle of the proper motions."""
-    ra, dec = stars(spark, d).agg(F.percentile("pm_ra", 0.5), F.percentile("pm_dec", 0.5)).first()
+    ra, dec = (statistics.exact_quantiles(stars(spark, d), c, (0.5,))[0] for c in ("pm_ra", "pm_dec"))
     low, high = [ra - 1, dec - 1, 0.01, 0.01, -0.8] * 2 + [0.0], [ra + 1, dec + 1, 2.0, 2.0, 0.8] * 2 + [1.0]
     return low, high
 

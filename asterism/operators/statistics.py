@@ -65,15 +65,58 @@ def density_weights(df: DataFrame, key: str, x: str, y: str, bins: int = 200) ->
     return joined.groupBy(key).agg(F.sum(part).alias("weight"))
 
 
+def exact_quantiles(df: DataFrame, col: str, at: tuple[float, ...], few: int = 4096, bins: int = 1024) -> list[float | None]:
+    """Exact percentiles of a whole column with linear interpolation, for any number of rows.
+
+    Each wanted rank starts with the range of all values as its bracket. A pass
+    counts the rows of every bracket by bin, which shuffles at most ``bins``
+    rows per bracket and task, and narrows it to the bin with the rank; at most
+    ``few`` values of a bracket reach the driver in the end. Null and NaN are
+    left out; without values all percentiles are None.
+    """
+    x = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    n, low, high = x.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None] * len(at)
+    places = [p * (n - 1) for p in at]
+    open_ = {r: (low, high, 0, n) for p in places for r in (math.floor(p), min(math.floor(p) + 1, n - 1))}
+    found: dict[int, float] = {}
+    while True:
+        found |= {r: b[0] for r, b in open_.items() if b[0] == b[1]}
+        open_ = {r: b for r, b in open_.items() if r not in found}
+        wide = sorted({b for b in open_.values() if b[3] > few})
+        if not wide:
+            break
+        inside = F.array(*(F.when(F.col("v").between(a, b), F.struct(F.lit(i).alias("i"), F.least(F.floor((F.col("v") - a) / ((b - a) / bins)), F.lit(bins - 1)).alias("k"))) for i, (a, b, *_) in enumerate(wide)))
+        counted = x.select("v", F.explode(F.filter(inside, lambda s: s.isNotNull())).alias("s")).groupBy("s.i", "s.k").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
+        cells = {i: sorted((r["k"], r["a"], r["b"], r["n"]) for r in counted if r["i"] == i) for i in range(len(wide))}
+        for r, b in list(open_.items()):
+            if b in wide:
+                below = b[2]
+                for _, lo, hi, m in cells[wide.index(b)]:
+                    if r < below + m:
+                        open_[r] = (lo, hi, below, m)
+                        break
+                    below += m
+    if open_:
+        brackets = sorted(set(open_.values()))
+        any_ = F.lit(False)
+        for a, b, *_ in brackets:
+            any_ = any_ | F.col("v").between(a, b)
+        values = sorted(r["v"] for r in x.filter(any_).collect())
+        found |= {r: [v for v in values if a <= v <= b][r - below] for r, (a, b, below, _) in open_.items()}
+    return [found[math.floor(p)] + (found[min(math.floor(p) + 1, n - 1)] - found[math.floor(p)]) * (p - math.floor(p)) for p in places]
+
+
 def percentiles(df: DataFrame, col: str, at: tuple[float, ...] = (0.16, 0.5, 0.84)) -> DataFrame:
     """``q, value``: exact percentiles with linear interpolation."""
-    row = df.agg(F.percentile(col, F.array(*map(F.lit, at))).alias("v"))
-    return row.select(F.posexplode("v").alias("i", "value")).select(F.get(F.array(*map(F.lit, at)), F.col("i")).alias("q"), "value")
+    return df.sparkSession.createDataFrame(list(zip(map(float, at), exact_quantiles(df, col, at), strict=True)), "q double, value double")
 
 
 def describe(df: DataFrame, col: str) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles of a column, in one row."""
-    return df.agg(F.count(col).alias("n"), F.mean(col).alias("mean"), F.stddev(col).alias("std"), F.min(col).alias("min"), *(F.percentile(col, p).alias(f"p{round(100 * p)}") for p in (0.25, 0.5, 0.75)), F.max(col).alias("max"))
+    quartiles = exact_quantiles(df, col, (0.25, 0.5, 0.75))
+    return df.agg(F.count(col).alias("n"), F.mean(col).alias("mean"), F.stddev(col).alias("std"), F.min(col).alias("min"), *(F.lit(v).cast("double").alias(f"p{p}") for p, v in zip((25, 50, 75), quartiles, strict=True)), F.max(col).alias("max"))
 
 
 def binned_medians(df: DataFrame, ordinate: str, abscissa: str, step: float) -> DataFrame:

@@ -35,6 +35,16 @@ def test_clipping_without_spread(spark):
     assert got == {1: (0, 2.0), 2: (5, 1.0)}
 
 
+def test_quantiles_of_many_rows_and_ties(spark):
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.normal(size=3000), np.full(4000, 0.25), rng.exponential(1e6, 500), [-1e9]])
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,), (float("nan"),)], "x double")
+    at = (0.0, 0.01, 0.16, 0.5, 0.84, 0.999, 1.0)
+    for few in (10, 10**6):
+        assert statistics.exact_quantiles(df, "x", at, few=few, bins=16) == pytest.approx(np.quantile(v, at).tolist())
+    assert statistics.exact_quantiles(df.limit(0), "x", (0.5,)) == [None]
+
+
 def test_summaries_of_nothing(spark):
     df = spark.createDataFrame([], "x double, y double")
     assert statistics.histogram(df, "x").count() == statistics.histogram2d(df, "x", "y").count() == statistics.hexagon_medians(df, "x", "y", "x").count() == statistics.binned_medians(df, "x", "y", 0.1).count() == 0
