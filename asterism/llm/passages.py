@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +30,7 @@ LEAST_SHINGLES = 5
 #: Paragraphs in a row that repeat are taken out from so many words on.
 LEAST_WORDS = 15
 TILE = 256
-_CACHE = 300_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
-_words: dict[bytes, int] = {}
 
 
 def _mixed(x: np.ndarray, k: int) -> np.ndarray:
@@ -39,19 +40,10 @@ def _mixed(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
-    """Hash of each word."""
-    known = _words
-    out = [known.get(w) for w in words]
-    if None in out:
-        for i, h in enumerate(out):
-            if h is None:
-                w = words[i]
-                out[i] = h = xxhash.xxh64_intdigest(w)
-                if len(known) >= _CACHE:
-                    known.clear()
-                if len(w) <= 64:
-                    known[w] = h
-    return np.array(out, np.uint64)
+    """Hash of each word: different words are numbered, each is hashed once, and looked up by number."""
+    number: dict[bytes, int] = defaultdict(count().__next__)
+    at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))[at]
 
 
 @dataclass
@@ -109,37 +101,40 @@ def cut(texts: list[list[bytes]], reach: int = REACH) -> Paragraphs:
     starts = np.nonzero(least)[0]
     ends = np.append(starts[1:], n)
     rank = (np.arange(n) - np.repeat(starts, ends - starts)).astype(np.uint64)
-    whole = _mixed(np.add.reduceat(_mixed(h, 1) * _mixed(rank + np.uint64(1), 2), starts) + (ends - starts).astype(np.uint64), 3)
+    whole = _mixed(np.add.reduceat(h * _mixed(rank + np.uint64(1), 2), starts) + (ends - starts).astype(np.uint64), 3)
     wide, runs = np.concatenate([h, np.zeros(SHINGLE, np.uint64)]), np.zeros(n, np.uint64)
     for k in range(SHINGLE):
-        runs = _mixed(runs + wide[k : k + n], 4)
-    return Paragraphs(starts, ends, doc[starts], whole, runs, np.maximum(1, ends - starts - SHINGLE + 1))
+        runs = runs * _MIX[0] + wide[k : k + n]
+    return Paragraphs(starts, ends, doc[starts], whole, _mixed(runs, 4), np.maximum(1, ends - starts - SHINGLE + 1))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()
+def words_of(text: str | bytes | None) -> list[bytes]:
+    """Words with A to Z in lower case, as UTF-8."""
+    text = text or b""
+    return (text if isinstance(text, bytes) else text.encode("utf-8", "replace")).lower().split()
 
 
 def _scan(docs: DataFrame, what: str, reach: int) -> DataFrame:
-    """A row for each paragraph: ``doc, h``, and its number (``k``), MinHash values (``m``, null for short ones) or shingles (``s``)."""
-    schema = "doc long, h long" + {"k": ", k int", "m": "".join(f", m{b} long" for b in range(BANDS)), "s": ", s array<bigint>"}[what]
+    """A row for each paragraph: ``doc, h``, and its number and words (``k``), MinHash values (``m``, null for short ones) or shingles (``s``)."""
+    schema = "doc long, h long" + {"k": ", k int, n int", "m": "".join(f", m{b} long" for b in range(BANDS)), "s": ", s array<bigint>"}[what]
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
-                found = cut([words_of(t) for t in part.column(1).to_pylist()], reach)
+                found = cut([words_of(t) for t in part.column(1).cast(pa.binary()).to_pylist()], reach)
                 columns = [part.column(0).take(pa.array(found.text)), pa.array(found.whole.view(np.int64))]
                 if what == "k":
-                    columns.append(pa.array(found.number().astype(np.int32)))
+                    columns += [pa.array(found.number().astype(np.int32)), pa.array((found.ends - found.starts).astype(np.int32))]
                 elif what == "m":
                     columns += [pa.array(found.least(b).view(np.int64), mask=found.shingles < LEAST_SHINGLES) for b in range(BANDS)]
                 else:
-                    keep = pa.array(found.shingles >= LEAST_SHINGLES)
-                    sets = [s for s, n in zip(found.sets(), found.shingles.tolist(), strict=True) if n >= LEAST_SHINGLES]
-                    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                    columns = [c.filter(keep) for c in columns] + [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(flat.view(np.int64)))]
+                    keep = found.shingles >= LEAST_SHINGLES
+                    sizes, starts = found.shingles[keep], found.starts[keep]
+                    ends = np.cumsum(sizes)
+                    flat = found.runs[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+                    columns = [c.filter(pa.array(keep)) for c in columns] + [pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat.view(np.int64)))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.mapInArrow(run, schema)
@@ -218,40 +213,54 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, reach:
     return materialise(alone.union(roots.join(spans, "root").select("h", "first")))
 
 
+def _runs(marks: list[dict], least_words: int) -> list[tuple[int, int]]:
+    """First and last number of paragraphs (k, n words) that follow each other and have ``least_words`` together."""
+    out: list[tuple[int, int]] = []
+    first = last = words = None
+    for k, n in [*sorted({(m["k"], m["n"]) for m in marks}), (-1, 0)]:
+        if last is not None and k == last + 1:
+            last, words = k, words + n
+            continue
+        if last is not None and words >= least_words:
+            out.append((first, last))
+        first = last = k
+        words = n
+    return out
+
+
+def _taken(text: str, runs: list[tuple[int, int]], reach: int) -> tuple[str, list[dict]]:
+    """A text without the paragraphs of ``runs``, and the spans of characters taken out."""
+    found, cuts = list(WORD.finditer(text)), cut([words_of(text)], reach)
+    parts, at, gone = [], 0, []
+    for a, b in runs:
+        begin, end = found[cuts.starts[a]].start(), found[cuts.ends[b] - 1].end()
+        while end < len(text) and text[end] == " ":
+            end += 1
+        parts.append(text[at:begin])
+        gone.append({"start": begin, "end": end, "words": int(cuts.ends[b] - cuts.starts[a])})
+        at = end
+    return "".join([*parts, text[at:]]), gone
+
+
 def _without(least_words: int, reach: int):
-    """Take runs of repeated paragraphs out of each text."""
+    """Take runs of repeated paragraphs out of the texts that have some; the others pass as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))
         for batch in batches:
-            texts, removed, spans = [], [], []
-            for t, ks in zip(batch.column("_text"), batch.column("_ks"), strict=True):
-                text, ks = t.as_py(), ks.as_py()
-                gone, parts, at = [], [], 0
-                if ks:
-                    found = list(WORD.finditer(text))
-                    cuts = cut([words_of(text)], reach)
-                    starts, ends = cuts.starts, cuts.ends
-                    ks = sorted(set(ks))
-                    runs, first = [], 0
-                    for i in range(1, len(ks) + 1):
-                        if i == len(ks) or ks[i] != ks[i - 1] + 1:
-                            runs.append((ks[first], ks[i - 1]))
-                            first = i
-                    for a, b in runs:
-                        if ends[b] - starts[a] >= least_words:
-                            begin, end = found[starts[a]].start(), found[ends[b] - 1].end()
-                            while end < len(text) and text[end] == " ":
-                                end += 1
-                            parts.append(text[at:begin])
-                            gone.append((begin, end, int(ends[b] - starts[a])))
-                            at = end
-                texts.append(text if not gone else "".join([*parts, text[at:]]))
-                removed.append(sum(n for *_, n in gone))
-                spans.append([{"start": a, "end": b, "words": n} for a, b, n in gone])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))
+            text, marks = batch.column("_text"), batch.column("_ks")
+            spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            changed, texts = np.zeros(batch.num_rows, bool), []
+            for i in np.nonzero(marks.is_valid().to_numpy(zero_copy_only=False))[0].tolist():
+                runs = _runs(marks[i].as_py(), least_words)
+                if runs:
+                    new, spans[i] = _taken(text[i].as_py(), runs, reach)
+                    texts.append(new)
+                    changed[i] = True
+            kept = pc.replace_with_mask(text, pa.array(changed), pa.array(texts, text.type))
             own = [i for i, c in enumerate(batch.schema.names) if c not in ("_text", "_ks")]
-            made = [pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array(spans, kind)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), *made], [*(batch.schema.names[i] for i in own), "kept_text", "removed_words", "removed"])
+            removed = pa.array([sum(g["words"] for g in gone) for gone in spans], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), kept, removed, pa.array(spans, kind)], [*(batch.schema.names[i] for i in own), "kept_text", "removed_words", "removed"])
 
     return run
 
@@ -274,7 +283,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = named.select(F.col("_key").alias("doc"), F.col(text_col).alias("text"))
     shared = repeated_paragraphs(texts, similarity, reach, tile)
     again = _scan(texts, "k", reach).join(shared, "h").filter("doc != first")
-    marks = again.groupBy(F.col("doc").alias("_key")).agg(F.collect_set("k").alias("_ks"), F.min("first").alias("_first"))
+    marks = again.groupBy(F.col("doc").alias("_key")).agg(F.collect_list(F.struct("k", "n")).alias("_ks"), F.min("first").alias("_first"))
     joined = named.join(marks, "_key", "left").select(*own, F.col(text_col).alias("_text"), "_ks", "_first")
     plain = docs.select(*own, F.lit(None).cast("long").alias("_first"), F.lit(None).cast("string").alias("kept_text"), F.lit(None).cast("long").alias("removed_words"), F.lit(None).cast("array<struct<start:bigint,end:bigint,words:bigint>>").alias("removed"))
     done = joined.select(*own, "_first", "_text", "_ks").mapInArrow(_without(least_words, reach), plain.schema)
