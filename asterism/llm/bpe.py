@@ -21,7 +21,7 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 #: Letters and numbers from here on depend on the Unicode version; texts with them are split by the library itself.
 _SETTLED = regex.compile(r"[^\x00-՗]")
 #: Words of one generation that each Python worker keeps with their ids; two generations are kept.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 #: Longest fragment whose pairs are looked through one by one.
 SHORT = 40
 NEVER = 1 << 29
@@ -183,8 +183,13 @@ def coder(path: str) -> BytePairCoder:
     return BytePairCoder(path)
 
 
-def encode_texts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with the column ``token_ids`` (array of int). A null text gives no ids. An older ``token_ids`` is replaced."""
+def encode_texts(docs: DataFrame, path: str, text_col: str = "text", check: bool = False) -> DataFrame:
+    """``docs`` with the column ``token_ids`` (array of int). A null text gives no ids.
+
+    With ``check``, ``exact`` tells whether the ids decode to the text (null:
+    the empty one); encoding and decoding then share one pass and one Python
+    worker per task. Older columns of these names are replaced.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path)
@@ -192,13 +197,20 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text") -> DataFram
             at = batch.schema.names.index(text_col)
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                ids = [pa.array(code.encode(t.as_py()), pa.int32()) for t in part.column(at)]
+                ids, exact = [], []
+                for t in part.column(at):
+                    text = t.as_py()
+                    own = code.encode(text)
+                    ids.append(pa.array(own, pa.int32()))
+                    if check:
+                        exact.append(code.decode(own) == (text or ""))
                 sizes = np.cumsum([0, *map(len, ids)])
                 lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.concat_arrays(ids))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "token_ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, *[pa.array(exact)] * check], [*part.schema.names, "token_ids", *["exact"] * check])
 
-    docs = docs.drop("token_ids")
-    return docs.mapInArrow(run, docs.select("*", F.lit(None).cast("array<int>").alias("token_ids")).schema)
+    docs = docs.drop("token_ids", *["exact"] * check)
+    new = [F.lit(None).cast("array<int>").alias("token_ids"), *[F.lit(None).cast("boolean").alias("exact")] * check]
+    return docs.mapInArrow(run, docs.select("*", *new).schema)
 
 
 def decode_ids(encoded: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
