@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import discard, materialise
@@ -26,9 +26,16 @@ SHINGLE = 5
 BANDS = 3
 SIMILARITY = 0.8
 #: Paragraphs of fewer shingles can't differ and reach the similarity; they match only as a whole.
-LEAST_SHINGLES = 5
+LEAST_SHINGLES = 4
 #: Paragraphs in a row that repeat are taken out from so many words on.
 LEAST_WORDS = 15
+#: A shorter run is taken out if it and the words around that go on like its source are so many: 0.8 of a passage of 50.
+LEAST_GROWN = 40
+#: Words around a source's paragraph that a run of paragraphs is grown along.
+CONTEXT = 64
+#: Growing steps over up to so many words on either side that differ, if a whole shingle after them is equal.
+GAP = 3
+_STEPS = sorted(((a, b) for a in range(GAP + 1) for b in range(GAP + 1) if a or b), key=lambda s: (max(s), sum(s)))
 TILE = 256
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -204,46 +211,140 @@ def near_paragraphs(docs: DataFrame, distinct: DataFrame, similarity: float = SI
 
 
 def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, reach: int = REACH, tile: int = TILE) -> DataFrame:
-    """``h, first``: paragraphs whose component several documents have, with the least of these."""
+    """``h, root, first``: paragraphs whose component (``root``) several documents have, with the least of these."""
     distinct = distinct_paragraphs(docs, reach)
     roots = materialise(connected_components(near_paragraphs(docs, distinct, similarity, reach, tile)).select(F.col("node").alias("h"), "root"))
-    alone = distinct.select("h", "first", "last").join(roots, "h", "left_anti").filter("first != last").select("h", "first")
+    alone = distinct.select("h", "first", "last").join(roots, "h", "left_anti").filter("first != last").select("h", F.col("h").alias("root"), "first")
     linked = distinct.select("h", "first", "last").join(roots, "h")
     spans = linked.groupBy("root").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first != last").select("root", "first")
-    return materialise(alone.union(roots.join(spans, "root").select("h", "first")))
+    return materialise(alone.union(roots.join(spans, "root").select("h", "root", "first")))
 
 
-def _runs(marks: list[dict], least_words: int) -> list[tuple[int, int]]:
-    """First and last number of paragraphs (k, n words) that follow each other and have ``least_words`` together."""
-    out: list[tuple[int, int]] = []
-    first = last = words = None
-    for k, n in [*sorted({(m["k"], m["n"]) for m in marks}), (-1, 0)]:
-        if last is not None and k == last + 1:
-            last, words = k, words + n
-            continue
-        if last is not None and words >= least_words:
-            out.append((first, last))
-        first = last = k
-        words = n
+def _numbers(words: list[bytes]) -> np.ndarray:
+    """32 bits of each word's hash."""
+    return _hashes(words).astype(np.uint32).view(np.int32)
+
+
+def _contexts(reach: int):
+    """The words before (nearest first) and after each asked paragraph of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, asked in zip(batch.column(0), batch.column(1), strict=True):
+                words = words_of(text.as_py())
+                cuts, numbers = cut([words], reach), _numbers(words)
+                whole, root, before, after = cuts.whole.view(np.int64), [], [], []
+                for x in asked.as_py():
+                    if x["k"] < len(whole) and whole[x["k"]] == x["h"]:
+                        begin, end = cuts.starts[x["k"]], cuts.ends[x["k"]]
+                        root.append(x["root"])
+                        before.append(numbers[max(0, begin - CONTEXT) : begin][::-1])
+                        after.append(numbers[end : end + CONTEXT])
+                kind = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(root, pa.int64()), pa.array(before, kind), pa.array(after, kind)], ["root", "before", "after"])
+
+    return run
+
+
+def run_ends(texts: DataFrame, places: DataFrame, reach: int = REACH) -> DataFrame:
+    """``doc, k, n, before, after``: paragraphs at the ends of runs that repeat, with the words around their source.
+
+    ``places`` (doc, h, root, first, k, n) are the shared paragraphs of all
+    documents. The source is the first paragraph of the component in its least
+    document; only CONTEXT words to either side travel, and only to the ends of
+    runs, however long the source or the run is.
+    """
+    row = Window.partitionBy("doc").orderBy("k")
+    ends = places.filter("doc != first").withColumn("_l", F.coalesce(F.col("k") - F.lag("k").over(row) > 1, F.col("k") > 0)).withColumn("_r", F.coalesce(F.lead("k").over(row) - F.col("k") > 1, F.lit(True)))
+    ends = materialise(ends.filter("_l or _r").select("doc", "root", "k", "n", "_l", "_r"))
+    asked = places.filter("doc = first").join(ends.select("root").distinct(), "root", "left_semi").groupBy("root", "doc").agg(F.min(F.struct("k", "h")).alias("at"))
+    asked = asked.groupBy("doc").agg(F.collect_list(F.struct("root", "at.k", "at.h")).alias("asked"))
+    around = texts.join(asked, "doc").select("text", "asked").mapInArrow(_contexts(reach), "root long, before array<int>, after array<int>")
+    around = around.groupBy("root").agg(F.first("before").alias("before"), F.first("after").alias("after"))
+    return ends.join(around, "root").select("doc", "k", "n", F.when(F.col("_l"), F.col("before")).alias("before"), F.when(F.col("_r"), F.col("after")).alias("after"))
+
+
+def _runs(marks: list[dict]) -> list[tuple[int, int, int]]:
+    """First and last number of paragraphs (k, n words) that follow each other, and their words."""
+    out: list[tuple[int, int, int]] = []
+    for k, n in sorted({(m["k"], m["n"]) for m in marks}):
+        if out and k == out[-1][1] + 1:
+            out[-1] = (out[-1][0], k, out[-1][2] + n)
+        else:
+            out.append((k, k, n))
     return out
 
 
-def _taken(text: str, runs: list[tuple[int, int]], reach: int) -> tuple[str, list[dict]]:
-    """A text without the paragraphs of ``runs``, and the spans of characters taken out."""
-    found, cuts = list(WORD.finditer(text)), cut([words_of(text)], reach)
+def grow(left: list[int], right: list[int], before: list[int], after: list[int], words: int, similarity: float = SIMILARITY) -> tuple[int, int]:
+    """How many words to the left and right of ``words`` equal ones go on like the source's (all lists nearest first).
+
+    Equal words first; then gaps of up to GAP words are crossed while the whole
+    keeps the similarity, as the Jaccard index of its aligned shingles.
+    """
+    out = []
+    for own, other in ((left, before), (right, after)):
+        i = 0
+        while i < min(len(own), len(other)) and own[i] == other[i]:
+            i += 1
+        out.append(i)
+    a = b = words + sum(out)
+    same = max(0, a - SHINGLE + 1)
+    for side, (own, other) in enumerate(((left, before), (right, after))):
+        i = j = out[side]
+        a2, b2, same2 = a, b, same
+        while True:
+            for x, y in _STEPS:
+                part = own[i + x : i + x + SHINGLE]
+                if len(part) == SHINGLE and part == other[j + y : j + y + SHINGLE]:
+                    break
+            else:
+                break
+            i, j, n = i + x, j + y, 0
+            while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
+                n += 1
+            i, j, a2, b2, same2 = i + n, j + n, a2 + x + n, b2 + y + n, same2 + n - SHINGLE + 1
+            if same2 >= similarity * (a2 + b2 - 2 * (SHINGLE - 1) - same2):
+                out[side], a, b, same = i, a2, b2, same2
+    return out[0], out[1]
+
+
+def _regions(words: list[bytes], marks: list[dict], similarity: float, least_words: int, reach: int) -> list[tuple[int, int]]:
+    """First words and ends of what repeats: runs of paragraphs, each grown along its source; those that meet are one."""
+    cuts, numbers = cut([words], reach), _numbers(words).tolist()
+    before = {m["k"]: m["before"] for m in marks if m["before"] is not None}
+    after = {m["k"]: m["after"] for m in marks if m["after"] is not None}
+    found: list[tuple[int, int, bool]] = []
+    for first, last, n in _runs(marks):
+        if last >= len(cuts.starts):
+            continue
+        begin, end = int(cuts.starts[first]), int(cuts.ends[last])
+        less, more = grow(numbers[max(0, begin - 2 * CONTEXT) : begin][::-1], numbers[end : end + 2 * CONTEXT], before.get(first, []), after.get(last, []), end - begin, similarity)
+        found.append((begin - less, end + more, n >= least_words))
+    out: list[tuple[int, int, bool]] = []
+    for begin, end, sure in sorted(found):
+        if out and begin <= out[-1][1]:
+            a, b, known = out.pop()
+            begin, end, sure = a, max(b, end), sure or known
+        out.append((begin, end, sure))
+    return [(begin, end) for begin, end, sure in out if sure or end - begin >= LEAST_GROWN]
+
+
+def _taken(text: str, regions: list[tuple[int, int]]) -> tuple[str, list[dict]]:
+    """A text without the words of ``regions``, and the spans of characters taken out."""
+    found = list(WORD.finditer(text))
     parts, at, gone = [], 0, []
-    for a, b in runs:
-        begin, end = found[cuts.starts[a]].start(), found[cuts.ends[b] - 1].end()
+    for a, b in regions:
+        begin, end = found[a].start(), found[b - 1].end()
         while end < len(text) and text[end] == " ":
             end += 1
         parts.append(text[at:begin])
-        gone.append({"start": begin, "end": end, "words": int(cuts.ends[b] - cuts.starts[a])})
+        gone.append({"start": begin, "end": end, "words": b - a})
         at = end
     return "".join([*parts, text[at:]]), gone
 
 
-def _without(least_words: int, reach: int):
-    """Take runs of repeated paragraphs out of the texts that have some; the others pass as they are."""
+def _without(similarity: float, least_words: int, reach: int):
+    """Take what repeats out of the texts that have some; the others pass as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))
@@ -252,9 +353,9 @@ def _without(least_words: int, reach: int):
             spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             changed, texts = np.zeros(batch.num_rows, bool), []
             for i in np.nonzero(marks.is_valid().to_numpy(zero_copy_only=False))[0].tolist():
-                runs = _runs(marks[i].as_py(), least_words)
-                if runs:
-                    new, spans[i] = _taken(text[i].as_py(), runs, reach)
+                regions = _regions(words_of(text[i].as_py()), marks[i].as_py(), similarity, least_words, reach)
+                if regions:
+                    new, spans[i] = _taken(text[i].as_py(), regions)
                     texts.append(new)
                     changed[i] = True
             kept = pc.replace_with_mask(text, pa.array(changed), pa.array(texts, text.type))
@@ -271,8 +372,10 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are cut into paragraphs at words chosen by content, so a passage is
     cut alike inside any text. Equal and similar paragraphs form components; a
     component that several documents have stays in the document of least id and
-    repeats elsewhere. Repeated paragraphs in a row are taken out if they have
-    ``least_words`` words. Repeats within one document stay. Null texts stay
+    repeats elsewhere. Repeated paragraphs in a row grow word by word along
+    their source, across small gaps while the whole stays similar enough. They
+    are taken out if they have ``least_words`` words, or LEAST_GROWN as grown.
+    Repeats within one document stay. Null texts stay
     null; rows without id are told apart by their text; rows of one id count as
     one document. Older columns of these names are replaced.
     """
@@ -282,11 +385,14 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = docs.select(*own, F.coalesce(F.col(id_col).cast("long"), late).alias("_key"))
     texts = named.select(F.col("_key").alias("doc"), F.col(text_col).alias("text"))
     shared = repeated_paragraphs(texts, similarity, reach, tile)
-    again = _scan(texts, "k", reach).join(shared, "h").filter("doc != first")
-    marks = again.groupBy(F.col("doc").alias("_key")).agg(F.collect_list(F.struct("k", "n")).alias("_ks"), F.min("first").alias("_first"))
+    places = materialise(_scan(texts, "k", reach).join(shared, "h"))
+    none = F.lit(None).cast("array<int>")
+    again = places.filter("doc != first").select("doc", "first", "k", "n", none.alias("before"), none.alias("after"))
+    again = again.union(run_ends(texts, places, reach).select("doc", F.lit(None).cast("long").alias("first"), "k", "n", "before", "after"))
+    marks = again.groupBy(F.col("doc").alias("_key")).agg(F.collect_list(F.struct("k", "n", "before", "after")).alias("_ks"), F.min("first").alias("_first"))
     joined = named.join(marks, "_key", "left").select(*own, F.col(text_col).alias("_text"), "_ks", "_first")
     plain = docs.select(*own, F.lit(None).cast("long").alias("_first"), F.lit(None).cast("string").alias("kept_text"), F.lit(None).cast("long").alias("removed_words"), F.lit(None).cast("array<struct<start:bigint,end:bigint,words:bigint>>").alias("removed"))
-    done = joined.select(*own, "_first", "_text", "_ks").mapInArrow(_without(least_words, reach), plain.schema)
+    done = joined.select(*own, "_first", "_text", "_ks").mapInArrow(_without(similarity, least_words, reach), plain.schema)
     return done.select(*own, "kept_text", "removed_words", "removed", F.when(F.col("removed_words") > 0, F.col("_first")).alias("first_doc"))
 
 

@@ -108,3 +108,31 @@ def test_query_keeps_one_of_each(spark, sf_dir):
             else:
                 first.setdefault(g, i)
         assert got[i]["removed_words"] > 0 or got[i]["text"] == docs[i]
+
+
+def test_whole_passages_with_edits_are_taken_out(spark):
+    rng = random.Random(5)
+    rows, inside = [], {}
+    for i in range(300):
+        passage = words(rng, 60 if i % 3 else 51)
+        copy = list(passage)
+        if i % 3 == 1:
+            copy[30] = "changed"
+        elif i % 3 == 2:
+            copy[20:21] = ["two", "more"]
+        before = words(rng, 30)
+        rows += [(i, " ".join(words(rng, 25) + passage + words(rng, 25))), (1000 + i, " ".join(before + copy + words(rng, 30)))]
+        inside[1000 + i] = (len(before), len(copy))
+    got = {r["doc_id"]: r for r in p.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    share = [[], [], []]
+    for i, (_, n) in inside.items():
+        share[(i - 1000) % 3].append(got[i]["removed_words"] / n)
+        assert got[i]["removed_words"] <= n + 6 and got[i - 1000]["removed_words"] == 0
+    assert all(np.mean(s) > 0.9 and np.mean(np.array(s) > 0.95) > 0.9 for s in share), [(np.mean(s), np.mean(np.array(s) > 0.95)) for s in share]
+
+
+def test_growing_keeps_the_similarity():
+    base = list(range(200))
+    assert p.grow(base[:10], base[10:40], base[:8], [*base[10:30], 999, *base[31:60]], 20) == (8, 30)
+    holes = [x if x % 7 else -x - 1 for x in base]
+    assert p.grow([], base, [], holes, 10)[1] <= 7
