@@ -16,8 +16,10 @@ WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 #: Sources that the driver may plan for; more raise an error.
 MAX_SOURCES = 100_000
-#: The dynamic programme covers budgets up to so many words; what lies above is filled before.
+#: The dynamic programme covers budgets up to so many words, or twice the longest document; what lies above is filled before.
 EXACT_WORDS = 1 << 16
+#: With few lengths it covers more: so many words times lengths.
+EXACT_WORK = 1 << 26
 #: Documents of one source and length are ranked in so many parts.
 BUCKETS = 256
 
@@ -44,13 +46,24 @@ def targets(sizes: list[int], weights: list[float], most: float = MOST_COPIES) -
     return out
 
 
+def _bits(number: int) -> np.ndarray:
+    """The places of the bits that are set."""
+    parts = np.frombuffer(number.to_bytes(number.bit_length() // 8 + 1, "little"), np.uint8)
+    at = np.nonzero(parts)[0]
+    row, bit = np.nonzero(np.unpackbits(parts[at][:, None], axis=1, bitorder="little"))
+    return 8 * at[row] + bit
+
+
 def fit_lengths(lengths: list[int], counts: list[int], budget: int, seed: str, exact: int = EXACT_WORDS) -> list[int]:
     """How many documents of each length to take so that they sum to ``budget``, or as near below it as found.
 
     First an equal share of every length, rounded down; then single documents
-    in seeded order until at most ``exact`` words are open; these are settled by
-    a bounded-knapsack programme over reachable sums, kept as bits of one
-    number, each count split into powers of two.
+    in seeded order until at most ``exact`` words are open, or twice the longest
+    length, so that none is too long to be tried, or EXACT_WORK by the number of
+    lengths, so that few are all tried together; these are settled by a
+    bounded-knapsack programme over reachable sums, kept as bits of one number,
+    each count split into powers of two. Of each sum, only the step that first
+    reached it is kept.
     """
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget >= total:
@@ -58,28 +71,30 @@ def fit_lengths(lengths: list[int], counts: list[int], budget: int, seed: str, e
     taken = [c * budget // total if n else 0 for n, c in zip(lengths, counts, strict=True)]
     left = budget - sum(n * t for n, t in zip(lengths, taken, strict=True))
     order = [i for i in sorted(range(len(lengths)), key=lambda i: hashlib.blake2b(f"{seed}|{lengths[i]}".encode(), digest_size=8).digest()) if lengths[i]]
+    exact = max(exact, 2 * max((lengths[i] for i in order), default=0), EXACT_WORK // max(len(order), 1))
     for i in order:
-        if left > exact and taken[i] < counts[i] and lengths[i] <= left - exact // 2:
+        if left > exact and taken[i] < counts[i]:
             more = min(counts[i] - taken[i], (left - exact // 2) // lengths[i])
             taken[i] += more
             left -= more * lengths[i]
-    room = min(left, exact)
-    reach, mask, steps = 1, (1 << room + 1) - 1, []
+    room = left
+    reach, mask, steps, first = 1, (1 << room + 1) - 1, [], np.zeros(room + 1, np.int32)
     for i in order:
         free, k = min(counts[i] - taken[i], room // lengths[i]), 1
         while free > 0 and not reach >> room & 1:
             k = min(k, free)
-            new = (reach | reach << k * lengths[i]) & mask
-            if new != reach:
-                steps.append((i, k, reach))
-                reach = new
+            new = (reach << k * lengths[i]) & mask & ~reach
+            if new:
+                first[_bits(new)] = len(steps)
+                steps.append((i, k))
+                reach |= new
             free -= k
             k *= 2
     at = reach.bit_length() - 1
-    for i, k, before in reversed(steps):
-        if not before >> at & 1:
-            taken[i] += k
-            at -= k * lengths[i]
+    while at:
+        i, k = steps[first[at]]
+        taken[i] += k
+        at -= k * lengths[i]
     return taken
 
 

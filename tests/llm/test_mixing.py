@@ -85,3 +85,27 @@ def test_query_against_the_contract(spark, sf_dir):
             sums |= {x + n for x in sums}
         left = round(target[s]) - min(3, round(target[s]) // total[s]) * total[s]
         assert round(target[s]) - taken[s] == min(left - x for x in sums if x <= left)
+
+
+def test_documents_longer_than_the_exact_part():
+    assert fit_lengths([140_000, 140_001], [1, 1], 150_000, "s") == [0, 1]
+    rng = random.Random(4)
+    for n in (2, 5, 12):
+        lengths = rng.sample(range(65_537, 400_000), n)
+        budget = sum(lengths) * 3 // 5
+        taken = fit_lengths(lengths, [1] * n, budget, "s")
+        sums = {0}
+        for size in lengths:
+            sums |= {x + size for x in sums if x + size <= budget}
+        got = sum(x * t for x, t in zip(lengths, taken, strict=True))
+        assert got == max(sums)
+    lengths = rng.sample(range(65_537, 400_000), 400)
+    counts = [rng.randint(1, 5) for _ in lengths]
+    budget = sum(n * c for n, c in zip(lengths, counts, strict=True)) * 5 // 11
+    assert sum(n * t for n, t in zip(lengths, fit_lengths(lengths, counts, budget, "s"), strict=True)) == budget
+
+
+def test_a_source_of_long_documents(spark):
+    rows = [(1, "a", 140_000), (2, "a", 140_001), (3, "b", 90_001)]
+    got = {r["doc_id"]: r for r in mix_sources(spark.createDataFrame(rows, "doc_id long, source string, size long"), "size", weights=(150, 220)).collect()}
+    assert 149_000 < got[1]["target"] < 151_000 and got[1]["copies"] == 0 and got[2]["copies"] == 1
