@@ -154,7 +154,18 @@ def _cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": pdf["id"], "g": pdf["g"], "x": pdf["x"], "y": pdf["y"], "ring": rings, "touches": touching, "done": done})
 
 
-def voronoi_cells(points: DataFrame, pad: float = 0.0, max_rounds: int = 12) -> DataFrame:
+def _at_every_star(cells: DataFrame, stars: DataFrame) -> DataFrame:
+    """Cells of places (``id``: the least there) given to every star at the place; ``touches`` names all stars of these cells."""
+    c, s = cells.select(F.col("id").alias("_place"), F.col("g").alias("_g"), F.col("x").alias("_x"), F.col("y").alias("_y"), "ring", "touches"), stars
+    here = c["_g"].eqNullSafe(s["g"]) & c["_x"].eqNullSafe(s["x"]) & c["_y"].eqNullSafe(s["y"])
+    held = materialise(s.join(c, here).select("id", "g", "x", "y", "_place"))
+    crowd = held.groupBy(F.col("_place").alias("_next")).agg(F.collect_list("id").alias("ids"))
+    near = c.select("_place", F.explode(F.concat("touches", F.array("_place"))).alias("_next")).join(crowd, "_next").groupBy("_place").agg(F.flatten(F.collect_list("ids")).alias("all"))
+    rows = held.join(c.select("_place", "ring"), "_place").join(near, "_place")
+    return rows.select("id", "g", "x", "y", "ring", F.filter("all", lambda e: e != F.col("id")).alias("touches"))
+
+
+def voronoi_cells(points: DataFrame, pad: float = 0.0, max_rounds: int = 60) -> DataFrame:
     """``id, g, x, y, ring, area, touches`` of every generator (``points``: id, g, x, y) within its group's padded bounding box.
 
     A cell is its box cut by the bisectors with its nearest generators; it is
@@ -162,9 +173,14 @@ def voronoi_cells(points: DataFrame, pad: float = 0.0, max_rounds: int = 12) ->
     corner. Cells that are not go on with twice as many. Groups lie apart on one
     plane, so all are done by the same joins. ``touches``: cells that share an
     edge or a corner. Generators at one place are each other's neighbours and
-    have the same cell.
+    have the same cell; it is cut once, for the least id there. Cells that
+    ``max_rounds`` leave open raise an error.
     """
     points = materialise(points.select("id", "g", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    stars, place = points, ("g", "x", "y")
+    points = materialise(stars.groupBy(*place).agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    crowded = not points.filter("n > 1").isEmpty()
+    points = points.select("id", *place)
     boxes = points.groupBy("g").agg((F.min("x") - pad).alias("x0"), (F.max("x") + pad).alias("x1"), (F.min("y") - pad).alias("y0"), (F.max("y") + pad).alias("y1"), F.count("*").alias("n"))
     low, high, most = points.agg(F.min("x"), F.max("x"), F.count("*")).first()
     if not most:
@@ -186,12 +202,18 @@ def voronoi_cells(points: DataFrame, pad: float = 0.0, max_rounds: int = 12) ->
         made = materialise(rows.mapInPandas(_cells, f"id long, g long, x double, y double, ring {RING}, touches array<long>, done boolean"))
         parts.append(made.filter("done"))
         left = made.filter("not done").select("id", "g", "x", "y")
-        if k >= top[0] or left.isEmpty():
+        if left.isEmpty():
             break
+        if k >= top[0]:
+            raise RuntimeError("cells did not settle against all others")
         todo, k = left, 2 * k
+    else:
+        raise RuntimeError(f"cells did not settle in {max_rounds} rounds")
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
+    if crowded:
+        out = _at_every_star(out, stars)
     return out.select("id", "g", "x", "y", "ring", F.coalesce(ring_area_centroid(F.col("ring"))["area"], F.lit(0.0)).alias("area"), "touches")
 
 

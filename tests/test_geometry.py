@@ -125,3 +125,18 @@ def test_spline_is_exact_for_cubics_and_goes_through_knots(spark, n):
         assert r["x"] == pytest.approx(f(r["y"]), rel=1e-6, abs=1e-6)
     with pytest.raises(ValueError):
         splines.fit([1.0, 1.0], [0.0, 1.0])
+
+
+def test_crowded_places_keep_all_cells(spark):
+    pts = [(0.5, 0.5)] * 60 + [(0, 0), (1, 0), (0, 1), (1, 1)]
+    rows = {r["id"]: r for r in t.voronoi_cells(points(spark, pts), 0.1, max_rounds=1).collect()}
+    assert sorted(rows) == list(range(64))
+    assert {r["area"] for i, r in rows.items() if i < 60} == {rows[0]["area"]} and rows[0]["area"] > 0
+    assert sorted(rows[7]["touches"]) == [i for i in range(64) if i != 7]
+    assert all(i in rows[j]["touches"] for i, r in rows.items() for j in r["touches"])
+
+
+def test_open_cells_are_an_error(spark):
+    ring = [(np.cos(a), np.sin(a)) for a in np.linspace(0, 6.2, 80)]
+    with pytest.raises(RuntimeError):
+        t.voronoi_cells(points(spark, [(0, 0), *ring]), 0.1, max_rounds=1)
