@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,7 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-KEY = "asterism"
+#: The key of the query alone. It is public, so its pseudonyms can be reversed; callers of ``pseudonymise`` bring their own.
+QUERY_KEY = "asterism"
+#: Letters and digits that move together; longer runs are cut into blocks.
+BLOCK = 32
+#: Longer values are not remembered.
+LONGEST_KEPT = 256
 #: Kinds in the order in which overlapping matches are settled.
 KINDS = ("email", "secret", "iban", "card", "ssn", "phone", "ip", "date")
 DAY_ONE, DAY_LAST = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
@@ -34,8 +40,14 @@ NUMBER = re.compile(
 )
 
 
-def _round(key: bytes, tweak: bytes, i: int, x: int) -> int:
-    return int.from_bytes(hashlib.blake2b(tweak + b"|%d|%d" % (i, x), key=key, digest_size=16).digest(), "big")
+def _round(key: bytes, tweak: bytes, i: int, x: int, bits: int) -> int:
+    """``bits`` keyed bits from ``x``."""
+    data = b"%d|%d|%s%s" % (i, len(tweak), tweak, x.to_bytes((bits + 7) // 8, "big"))
+    if bits <= 512:
+        found = hashlib.blake2b(data, key=key, digest_size=(bits + 7) // 8).digest()
+    else:
+        found = hashlib.shake_128(key + data).digest((bits + 7) // 8)
+    return int.from_bytes(found, "big") & ((1 << bits) - 1)
 
 
 def permute(x: int, size: int, key: bytes, tweak: bytes) -> int:
@@ -51,7 +63,7 @@ def permute(x: int, size: int, key: bytes, tweak: bytes) -> int:
     while True:
         left, right = x >> half, x & mask
         for i in range(ROUNDS):
-            left, right = right, left ^ (_round(key, tweak, i, right) & mask)
+            left, right = right, left ^ _round(key, tweak, i, right, half)
         x = left << half | right
         if x < size:
             return x
@@ -66,7 +78,7 @@ def unpermute(x: int, size: int, key: bytes, tweak: bytes) -> int:
     while True:
         left, right = x >> half, x & mask
         for i in reversed(range(ROUNDS)):
-            left, right = right ^ (_round(key, tweak, i, left) & mask), left
+            left, right = right ^ _round(key, tweak, i, left, half), left
         x = left << half | right
         if x < size:
             return x
@@ -117,11 +129,12 @@ def ssn(s: str, key: bytes) -> str | None:
 
 
 def phone(s: str, key: bytes) -> str | None:
-    """A country code stays; the other 7 to 14 digits move."""
-    head = re.match(r"\+\d{1,3}(?=[ .(-])", s)
+    """A country code stays; the other 7 to 14 digits move. Ten digits without a code are taken for numbers of code 1."""
+    head = re.match(r"\+\d{1,3}(?=[ .(-])|\+1(?=\d{10}$)", s)
     at = head.end() if head else 0
     d = _digits(s[at:])
-    return s[:at] + _refill(s[at:], _move(d, key, "phone" + s[:at])) if 7 <= len(d) <= 14 else None
+    code = s[:at] or ("+1" if len(d) == 10 and s[0] != "+" else "")
+    return s[:at] + _refill(s[at:], _move(d, key, "phone" + code)) if 7 <= len(d) <= 14 else None
 
 
 def ip(s: str, key: bytes) -> str | None:
@@ -174,25 +187,45 @@ def iban(s: str, key: bytes) -> str | None:
     return "".join(c if c == " " else next(it) for c in s)
 
 
-def characters(s: str, key: bytes, tweak: str) -> str:
-    """Digits, small and capital ASCII letters move together, each within its class; others stay."""
-    classes = [("0", 10) if "0" <= c <= "9" else ("a", 26) if "a" <= c <= "z" else ("A", 26) if "A" <= c <= "Z" else None for c in s]
+_CLASSES = {c: k for k in (("0", 10), ("a", 26), ("A", 26)) for c in map(chr, range(ord(k[0]), ord(k[0]) + k[1]))}
+
+
+def _block(s: str, key: bytes, tweak: bytes) -> str:
+    """Letters and digits of a short string, moved together."""
     x, size = 0, 1
-    for c, k in zip(s, classes, strict=True):
-        if k:
+    for c in s:
+        if k := _CLASSES.get(c):
             x, size = x * k[1] + ord(c) - ord(k[0]), size * k[1]
-    shape = "".join(k[0] if k else c for c, k in zip(s, classes, strict=True))
-    x = permute(x, size, key, f"{tweak}|{shape}".encode())
+    x = permute(x, size, key, tweak)
     out = []
-    for c, k in zip(reversed(s), reversed(classes), strict=True):
-        if k:
+    for c in reversed(s):
+        if k := _CLASSES.get(c):
             x, r = divmod(x, k[1])
-            out.append(chr(ord(k[0]) + r))
-        else:
-            out.append(c)
+            c = chr(ord(k[0]) + r)
+        out.append(c)
     return "".join(reversed(out))
 
 
+def characters(s: str, key: bytes, tweak: str) -> str:
+    """Digits, small and capital ASCII letters move together, each within its class; others stay.
+
+    A long string moves in blocks, from left to right and back again; what has
+    moved before enters the next block's tweak, so all of it depends on all of
+    it, is still a permutation, and takes time in proportion to its length.
+    """
+    shape = hashlib.blake2b("".join(_CLASSES[c][0] if c in _CLASSES else c for c in s).encode("utf-8", "replace"), digest_size=16).digest()
+    tweak = f"{tweak}|".encode("utf-8", "replace") + shape
+    if len(s) <= BLOCK:
+        return _block(s, key, tweak)
+    parts = [s[i : i + BLOCK] for i in range(0, len(s), BLOCK)]
+    for way, order in ((b">", range(len(parts))), (b"<", range(len(parts) - 1, -1, -1))):
+        seen = hashlib.blake2b(way + tweak, key=key, digest_size=16)
+        for i in order:
+            parts[i] = _block(parts[i], key, seen.copy().digest())
+            seen.update(parts[i].encode("utf-8", "replace"))
+    return "".join(parts)
+
+
 def email(s: str, key: bytes) -> str | None:
     """The part before the @ moves and the domain stays, so addresses of one domain stay together."""
     local, _, domain = s.partition("@")
@@ -213,9 +246,13 @@ _MAKE = {"email": email, "secret": secret, "iban": iban, "card": card, "ssn": ss
 
 
 @lru_cache(maxsize=50_000)
+def _kept(kind: str, value: str, key: bytes) -> str | None:
+    return _MAKE[kind](value, key)
+
+
 def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     """The pseudonym of a value, or None if it isn't a valid one of its kind."""
-    return _MAKE[kind](value, key)
+    return _kept(kind, value, key) if len(value) <= LONGEST_KEPT else _MAKE[kind](value, key)
 
 
 _HINT = re.compile(r"[0-9@]")
@@ -243,15 +280,14 @@ def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     found += [(m.start(), m.end(), m.lastgroup, m[0]) for m in NUMBER.finditer(text)]
     found.sort(key=lambda m: (KINDS.index(m[2]), m[0]))
     taken: list[tuple[int, int, str, str]] = []
-    spans: set[int] = set()
     for start, end, kind, value in found:
-        if not spans.isdisjoint(range(start, end)):
+        at = bisect_left(taken, (start,))
+        if (at and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < end):
             continue
         new = pseudonym(kind, value, key)
         if new is not None:
-            taken.append((start, end, kind, new))
-            spans.update(range(start, end))
-    return sorted(taken)
+            taken.insert(at, (start, end, kind, new))
+    return taken
 
 
 def replaced(text: str, key: bytes) -> tuple[str, list[str]]:
@@ -264,7 +300,7 @@ def replaced(text: str, key: bytes) -> tuple[str, list[str]]:
     return ("".join([*parts, text[at:]]), kinds) if kinds else (text, kinds)
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with personal values replaced in ``text_col``, and ``pii_kinds`` (array of string, one for each value).
 
     Values: e-mail addresses, hexadecimal secrets, IBANs, card numbers, US
@@ -273,8 +309,11 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Dat
     maps to the same pseudonym in every row, so links stay; the mapping is a
     permutation, so different values stay apart. A null text stays null and has
     no kinds; texts without values stay as they are; repeated rows stay. An
-    older column ``pii_kinds`` is replaced.
+    older column ``pii_kinds`` is replaced. Who knows ``key`` can reverse the
+    mapping, so there is no default, and an empty one raises an error.
     """
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     secret_key = hashlib.sha256(key.encode()).digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,5 +330,5 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Dat
 def op4_pii(spark, sf_dir: str) -> DataFrame:
     """Every document with its text under pseudonyms, the number of values and their kinds."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = pseudonymise(docs)
+    found = pseudonymise(docs, QUERY_KEY)
     return found.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_values"), F.array_join(F.array_sort(F.array_distinct("pii_kinds")), ",").alias("kinds"))

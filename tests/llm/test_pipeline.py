@@ -26,7 +26,7 @@ def test_each_stage_against_brute_force(spark, sf_dir):
     comp = brute([simhash.fingerprint(r["text"]) for r in c], ids)
     assert sorted(r["doc_id"] for r in d) == sorted(set(comp.values())) and len(d) < len(c)
 
-    key = pseudonyms.hashlib.sha256(pseudonyms.KEY.encode()).digest()
+    key = pseudonyms.hashlib.sha256(pseudonyms.QUERY_KEY.encode()).digest()
     assert {r["doc_id"]: r["text"] for r in f} == {r["doc_id"]: pseudonyms.replaced(r["text"], key)[0] for r in e}
     assert all(r["n_chars"] == len(r["text"]) for r in f)
 

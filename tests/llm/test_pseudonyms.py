@@ -1,6 +1,8 @@
 import datetime as dt
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from asterism.llm import pseudonyms as p
@@ -67,11 +69,45 @@ def test_what_is_no_value_stays():
 def test_rows_and_odd_inputs(spark):
     rows = [(1, "mail a@b.example.com", "k"), (1, "mail a@b.example.com", "k"), (2, None, None), (3, "", "k"), (4, "9" * 100_000 + " 10.1.2.3 " + "w " * 100_000, "k"), (None, "call +1 (974) 555-3436%%%", "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, pii_kinds string")
-    got = p.pseudonymise(df).collect()
+    got = p.pseudonymise(df, "k").collect()
     assert sorted(len(r["pii_kinds"]) for r in got) == [0, 0, 1, 1, 1, 1]
     assert len({r["text"] for r in got if r["doc_id"] == 1}) == 1
     assert "555-3436" not in [r["text"] for r in got if r["doc_id"] is None][0]
-    assert p.pseudonymise(df.limit(0)).count() == 0
+    assert p.pseudonymise(df.limit(0), "k").count() == 0
+
+
+@pytest.mark.parametrize("n", [33, 10_000, 1_000_000])
+def test_long_values(n):
+    rng = random.Random(n)
+    run = "".join(rng.choice("0123456789abcdef") for _ in range(n - 1)) + "7"
+    started = time.perf_counter()
+    out, kinds = p.replaced(f"dump {run} end", KEY)
+    assert kinds == ["secret"] and len(out) == n + 9 and sum(a != b for a, b in zip(out[5:-4], run, strict=True)) > 0.8 * n
+    assert p.unpermute(int(out[5:-4], 16), 16**n, KEY, b"secret%d" % n) == int(run, 16)
+    name = "".join(rng.choice("abcXYZ019._") for _ in range(n)) + "a"
+    out, kinds = p.replaced(f"to {name}@mail.example.com!", KEY)
+    assert kinds == ["email"] and out.endswith("@mail.example.com!")
+    kind = lambda s: re.sub("[0-9]", "9", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", s)))
+    assert kind(out[: len(name) + 3]) == kind("to " + name)
+    other, _ = p.replaced(f"to {name[:-1]}b@mail.example.com!", KEY)
+    assert out[3:20] != name[3:20] and other[:30] != out[:30]  # a change at the end moves the beginning
+    assert time.perf_counter() - started < 60
+
+
+@given(st.text("ab0Z.", min_size=60, max_size=70), st.text("ab0Z.", min_size=60, max_size=70))
+def test_long_names_stay_apart(a, b):
+    assert (p.characters(a, KEY, "t") == p.characters(b, KEY, "t")) == (a == b)
+
+
+def test_numbers_link_with_and_without_code():
+    plain = p.phone("555-123-4567", KEY)
+    assert p.phone("+1 555-123-4567", KEY) == "+1 " + plain and p.phone("+15551234567", KEY) == "+1" + plain.replace("-", "") and p.phone("(555) 123-4567", KEY).replace(") ", "-")[1:] == plain
+    assert p.phone("+44 555-123-4567", KEY) != "+44 " + plain
+
+
+def test_a_key_is_needed(spark):
+    with pytest.raises(ValueError):
+        p.pseudonymise(spark.range(1).selectExpr("id doc_id", "'x' text"), "")
 
 
 def test_query_catches_planted_forms_and_leaves_the_rest(spark, sf_dir):
