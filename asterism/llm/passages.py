@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..shared import discard, materialise
 from .components import connected_components
+from .similar_sets import TILE, in_buckets, similar_links
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: A paragraph begins at each word whose hash is least among so many words to either side.
@@ -36,7 +37,6 @@ CONTEXT = 64
 #: Growing steps over up to so many words on either side that differ, if a whole shingle after them is equal.
 GAP = 3
 _STEPS = sorted(((a, b) for a in range(GAP + 1) for b in range(GAP + 1) if a or b), key=lambda s: (max(s), sum(s)))
-TILE = 256
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -46,6 +46,16 @@ def _mixed(x: np.ndarray, k: int) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
+def _undone(x: np.ndarray, k: int) -> np.ndarray:
+    """The inverse of ``_mixed``."""
+    back = lambda i: np.uint64(pow(int(_MIX[i % 5]), -1, 1 << 64))
+    x = x ^ x >> np.uint64(32)
+    x = x * back(k + 2)
+    x = x ^ x >> np.uint64(29) ^ x >> np.uint64(58)
+    x = (x - np.uint64(k)) * back(k)
+    return x ^ x >> np.uint64(31) ^ x >> np.uint64(62)
+
+
 def _hashes(words: list[bytes]) -> np.ndarray:
     """Hash of each word: different words are numbered, each is hashed once, and looked up by number."""
     number: dict[bytes, int] = defaultdict(count().__next__)
@@ -74,13 +84,13 @@ class Paragraphs:
         return [self.runs[a : a + n] if b - a >= SHINGLE else self.whole[i : i + 1] for i, (a, b, n) in enumerate(zip(self.starts.tolist(), self.ends.tolist(), self.shingles.tolist(), strict=True))]
 
     def least(self, band: int) -> np.ndarray:
-        """MinHash value of each paragraph with LEAST_SHINGLES or more."""
+        """The shingle of each paragraph (with LEAST_SHINGLES or more) whose hash is least in this band's order."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
         values = _mixed(self.runs, 5 + band)
         place = np.arange(len(values)) - np.repeat(self.starts, self.ends - self.starts)
         values[place >= np.repeat(self.shingles, self.ends - self.starts)] = np.iinfo(np.uint64).max
-        return np.minimum.reduceat(values, self.starts)
+        return _undone(np.minimum.reduceat(values, self.starts), 5 + band)
 
 
 def cut(texts: list[list[bytes]], reach: int = REACH) -> Paragraphs:
@@ -122,8 +132,8 @@ def words_of(text: str | bytes | None) -> list[bytes]:
 
 
 def _scan(docs: DataFrame, what: str, reach: int) -> DataFrame:
-    """A row for each paragraph: ``doc, h``, and its number and words (``k``), MinHash values (``m``, null for short ones) or shingles (``s``)."""
-    schema = "doc long, h long" + {"k": ", k int, n int", "m": "".join(f", m{b} long" for b in range(BANDS)), "s": ", s array<bigint>"}[what]
+    """A row for each paragraph of ``docs`` (doc, text, row): ``doc, h``, and its row, number and words (``k``), least shingles (``m``, null for short ones) or shingles (``s``)."""
+    schema = "doc long, h long" + {"k": ", row long, k int, n int", "m": "".join(f", m{b} long" for b in range(BANDS)), "s": ", s array<bigint>"}[what]
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +143,7 @@ def _scan(docs: DataFrame, what: str, reach: int) -> DataFrame:
                 found = cut([words_of(t) for t in part.column(1).cast(pa.binary()).to_pylist()], reach)
                 columns = [part.column(0).take(pa.array(found.text)), pa.array(found.whole.view(np.int64))]
                 if what == "k":
-                    columns += [pa.array(found.number().astype(np.int32)), pa.array((found.ends - found.starts).astype(np.int32))]
+                    columns += [part.column(2).take(pa.array(found.text)), pa.array(found.number().astype(np.int32)), pa.array((found.ends - found.starts).astype(np.int32))]
                 elif what == "m":
                     columns += [pa.array(found.least(b).view(np.int64), mask=found.shingles < LEAST_SHINGLES) for b in range(BANDS)]
                 else:
@@ -147,37 +157,6 @@ def _scan(docs: DataFrame, what: str, reach: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _verify(similarity: float):
-    """Exact Jaccard of the shingle sets of one or two tiles; a link to the least hash each paragraph reaches there."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [(x["h"], frozenset(x["s"])) for x in left]
-                other = [(x["h"], frozenset(x["s"])) for x in right] if right is not None else rows
-                root = {h: h for h, _ in rows + other}
-
-                def find(x, root=root):
-                    while root[x] != x:
-                        root[x] = x = root[root[x]]
-                    return x
-
-                for i, (h, s) in enumerate(rows):
-                    for g, t in other if right is not None else other[:i]:
-                        if min(len(s), len(t)) >= similarity * max(len(s), len(t)) and (u := find(h)) != (v := find(g)):
-                            both = len(s & t)
-                            if both >= similarity * (len(s) + len(t) - both):
-                                root[max(u, v)] = min(u, v)
-                for h in root:
-                    if (g := find(h)) != h:
-                        a.append(h)
-                        b.append(g)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return run
-
-
 def distinct_paragraphs(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """``h, first, last`` (least and greatest document) and MinHash values of every different paragraph of ``docs`` (doc, text)."""
     values = [F.first(f"m{b}").alias(f"m{b}") for b in range(BANDS)]
@@ -187,26 +166,16 @@ def distinct_paragraphs(docs: DataFrame, reach: int = REACH) -> DataFrame:
 def near_paragraphs(docs: DataFrame, distinct: DataFrame, similarity: float = SIMILARITY, reach: int = REACH, tile: int = TILE) -> DataFrame:
     """``a, b``: links between hashes of different paragraphs that are similar enough.
 
-    Equal paragraphs count once. Those that share a MinHash value meet in a
-    bucket; a bucket of over ``tile`` paragraphs is cut into tiles, and pairs of
-    tiles are spread over the tasks, so all candidates are verified however
-    large a bucket is.
+    Equal paragraphs count once. Those with a least shingle in common meet in a
+    bucket, whichever band it is from; all candidates are verified however
+    large a bucket is (see ``similar_links``).
     """
-    band = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col(f"m{b}").alias("value")) for b in range(BANDS))))
-    bands = distinct.filter("m0 is not null").select("h", band.alias("e")).select("h", "e.band", "e.value")
-    sized = bands.groupBy("band", "value").agg(F.count("*").alias("c")).filter("c > 1")
-    keyed = materialise(bands.join(sized, ["band", "value"]).select("h", "band", "value", F.ceil(F.col("c") / tile).cast("int").alias("tiles")))
+    least = F.array_distinct(F.array(*(f"m{b}" for b in range(BANDS))))
+    keyed = materialise(in_buckets(distinct.filter("m0 is not null").select("h", F.explode(least).alias("value"))))
     chosen = keyed.select("h").distinct()
-    sets = _scan(docs, "s", reach).select("h", "s").join(chosen, "h", "left_semi").groupBy("h").agg(F.first("s").alias("s"))
-    members = keyed.join(sets, "h").withColumn("t", F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int"))
-    tiles = materialise(members.groupBy("band", "value", "t").agg(F.collect_list(F.struct("h", "s")).alias("rows"), F.first("tiles").alias("tiles")))
-    one = tiles.filter(F.size("rows") > 1).select("rows", F.lit(None).cast(tiles.schema["rows"].dataType).alias("other"))
-    left = tiles.filter("tiles > 1").withColumn("t2", F.explode(F.sequence(F.col("t"), F.col("tiles") - 1))).filter("t2 > t").drop("tiles")
-    right = tiles.filter("tiles > 1").select("band", "value", F.col("t").alias("t2"), F.col("rows").alias("other"))
-    two = left.join(right, ["band", "value", "t2"]).select("rows", "other")
-    links = materialise(one.union(two).mapInArrow(_verify(similarity), "a long, b long").distinct())
+    sets = _scan(docs, "s", reach).select("h", "s").join(chosen, "h", "left_semi").groupBy("h").agg(F.array_distinct(F.first("s")).alias("s"))
+    links = similar_links(keyed, sets, similarity, tile, split=True)
     discard(keyed)
-    discard(tiles)
     return links
 
 
@@ -217,7 +186,10 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, reach:
     alone = distinct.select("h", "first", "last").join(roots, "h", "left_anti").filter("first != last").select("h", F.col("h").alias("root"), "first")
     linked = distinct.select("h", "first", "last").join(roots, "h")
     spans = linked.groupBy("root").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first != last").select("root", "first")
-    return materialise(alone.union(roots.join(spans, "root").select("h", "root", "first")))
+    shared = materialise(alone.union(roots.join(spans, "root").select("h", "root", "first")))
+    discard(distinct)
+    discard(roots)
+    return shared
 
 
 def _numbers(words: list[bytes]) -> np.ndarray:
@@ -247,21 +219,21 @@ def _contexts(reach: int):
 
 
 def run_ends(texts: DataFrame, places: DataFrame, reach: int = REACH) -> DataFrame:
-    """``doc, k, n, before, after``: paragraphs at the ends of runs that repeat, with the words around their source.
+    """``doc, row, k, n, before, after``: paragraphs at the ends of runs that repeat, with the words around their source.
 
-    ``places`` (doc, h, root, first, k, n) are the shared paragraphs of all
+    ``places`` (doc, row, h, root, first, k, n) are the shared paragraphs of all
     documents. The source is the first paragraph of the component in its least
     document; only CONTEXT words to either side travel, and only to the ends of
     runs, however long the source or the run is.
     """
-    row = Window.partitionBy("doc").orderBy("k")
-    ends = places.filter("doc != first").withColumn("_l", F.coalesce(F.col("k") - F.lag("k").over(row) > 1, F.col("k") > 0)).withColumn("_r", F.coalesce(F.lead("k").over(row) - F.col("k") > 1, F.lit(True)))
-    ends = materialise(ends.filter("_l or _r").select("doc", "root", "k", "n", "_l", "_r"))
-    asked = places.filter("doc = first").join(ends.select("root").distinct(), "root", "left_semi").groupBy("root", "doc").agg(F.min(F.struct("k", "h")).alias("at"))
-    asked = asked.groupBy("doc").agg(F.collect_list(F.struct("root", "at.k", "at.h")).alias("asked"))
-    around = texts.join(asked, "doc").select("text", "asked").mapInArrow(_contexts(reach), "root long, before array<int>, after array<int>")
+    order = Window.partitionBy("doc", "row").orderBy("k")
+    ends = places.filter("doc != first").withColumn("_l", F.coalesce(F.col("k") - F.lag("k").over(order) > 1, F.col("k") > 0)).withColumn("_r", F.coalesce(F.lead("k").over(order) - F.col("k") > 1, F.lit(True)))
+    ends = materialise(ends.filter("_l or _r").select("doc", "row", "root", "k", "n", "_l", "_r"))
+    asked = places.filter("doc = first").join(ends.select("root").distinct(), "root", "left_semi").groupBy("root", "doc").agg(F.min(F.struct("row", "k", "h")).alias("at"))
+    asked = asked.groupBy("doc", "at.row").agg(F.collect_list(F.struct("root", "at.k", "at.h")).alias("asked"))
+    around = texts.join(asked, ["doc", "row"]).select("text", "asked").mapInArrow(_contexts(reach), "root long, before array<int>, after array<int>")
     around = around.groupBy("root").agg(F.first("before").alias("before"), F.first("after").alias("after"))
-    return ends.join(around, "root").select("doc", "k", "n", F.when(F.col("_l"), F.col("before")).alias("before"), F.when(F.col("_r"), F.col("after")).alias("after"))
+    return ends.join(around, "root").select("doc", "row", "k", "n", F.when(F.col("_l"), F.col("before")).alias("before"), F.when(F.col("_r"), F.col("after")).alias("after"))
 
 
 def _runs(marks: list[dict]) -> list[tuple[int, int, int]]:
@@ -375,22 +347,25 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeats elsewhere. Repeated paragraphs in a row grow word by word along
     their source, across small gaps while the whole stays similar enough. They
     are taken out if they have ``least_words`` words, or LEAST_GROWN as grown.
-    Repeats within one document stay. Null texts stay
-    null; rows without id are told apart by their text; rows of one id count as
-    one document. Older columns of these names are replaced.
+    Repeats within one document stay. Null texts stay null; rows without id are
+    told apart by their text. Rows of one id count as one document, so what they
+    share stays in each of them, but each row's text is cut for itself. Equal
+    paragraphs are told by 64-bit hashes. Older columns of these names are
+    replaced.
     """
-    new = ("kept_text", "removed_words", "removed", "first_doc", "_key", "_text", "_ks")
+    new = ("kept_text", "removed_words", "removed", "first_doc", "_key", "_row", "_text", "_ks")
     own = [c for c in docs.columns if c not in new]
-    late = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 2).bitwiseOR(F.lit(1 << 62))
-    named = docs.select(*own, F.coalesce(F.col(id_col).cast("long"), late).alias("_key"))
-    texts = named.select(F.col("_key").alias("doc"), F.col(text_col).alias("text"))
+    content = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    late = F.shiftrightunsigned(content, 2).bitwiseOR(F.lit(1 << 62))
+    named = docs.select(*own, F.coalesce(F.col(id_col).cast("long"), late).alias("_key"), content.alias("_row"))
+    texts = named.select(F.col("_key").alias("doc"), F.col(text_col).alias("text"), F.col("_row").alias("row"))
     shared = repeated_paragraphs(texts, similarity, reach, tile)
-    places = materialise(_scan(texts, "k", reach).join(shared, "h"))
+    places = materialise(_scan(texts, "k", reach).join(shared, "h").dropDuplicates(["doc", "row", "k"]))
     none = F.lit(None).cast("array<int>")
-    again = places.filter("doc != first").select("doc", "first", "k", "n", none.alias("before"), none.alias("after"))
-    again = again.union(run_ends(texts, places, reach).select("doc", F.lit(None).cast("long").alias("first"), "k", "n", "before", "after"))
-    marks = again.groupBy(F.col("doc").alias("_key")).agg(F.collect_list(F.struct("k", "n", "before", "after")).alias("_ks"), F.min("first").alias("_first"))
-    joined = named.join(marks, "_key", "left").select(*own, F.col(text_col).alias("_text"), "_ks", "_first")
+    again = places.filter("doc != first").select("doc", "row", "first", "k", "n", none.alias("before"), none.alias("after"))
+    again = again.union(run_ends(texts, places, reach).select("doc", "row", F.lit(None).cast("long").alias("first"), "k", "n", "before", "after"))
+    marks = again.groupBy(F.col("doc").alias("_key"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("k", "n", "before", "after")).alias("_ks"), F.min("first").alias("_first"))
+    joined = named.join(marks, ["_key", "_row"], "left").select(*own, F.col(text_col).alias("_text"), "_ks", "_first")
     plain = docs.select(*own, F.lit(None).cast("long").alias("_first"), F.lit(None).cast("string").alias("kept_text"), F.lit(None).cast("long").alias("removed_words"), F.lit(None).cast("array<struct<start:bigint,end:bigint,words:bigint>>").alias("removed"))
     done = joined.select(*own, "_first", "_text", "_ks").mapInArrow(_without(similarity, least_words, reach), plain.schema)
     return done.select(*own, "kept_text", "removed_words", "removed", F.when(F.col("removed_words") > 0, F.col("_first")).alias("first_doc"))

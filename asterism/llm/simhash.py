@@ -166,16 +166,3 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document of the table."""
     found = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """``docs`` with one row of each near-duplicate component, that of the least id.
-
-    Rows without id come after those with one, in the order of a hash of their
-    text. Of repeated rows one stays.
-    """
-    late = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 2).bitwiseOR(F.lit(1 << 62))
-    named = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("long"), late))
-    found = simhash_components(named, "_key", text_col, radius)
-    first = found.filter("doc = component").select(F.col("doc").alias("_key")).distinct()
-    return named.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

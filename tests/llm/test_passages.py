@@ -3,6 +3,7 @@ import random
 import numpy as np
 from asterism.llm import passages as p
 from asterism.llm.components import connected_components
+from asterism.llm.similar_sets import in_buckets, similar_links
 
 
 def words(rng, n):
@@ -42,7 +43,7 @@ def test_links_against_brute_force(spark):
                 w[rng.choice([0, 1, 24, 25])] = f"x{rng.randrange(10**6)}"
             docs.append((i, " ".join(w)))
             i += 1
-    df = spark.createDataFrame(docs, "doc long, text string")
+    df = spark.createDataFrame(docs, "doc long, text string").selectExpr("*", "0L row")
     sets = {}
     for _, t in docs:
         _, _, whole, shingles = one(t.split())
@@ -131,6 +132,44 @@ def test_whole_passages_with_edits_are_taken_out(spark):
     assert all(np.mean(s) > 0.9 and np.mean(np.array(s) > 0.95) > 0.9 for s in share), [(np.mean(s), np.mean(np.array(s) > 0.95)) for s in share]
 
 
+def test_mixing_is_undone():
+    x = np.random.default_rng(0).integers(0, 1 << 63, 500, dtype=np.uint64)
+    assert all((p._undone(p._mixed(x.copy(), k), k) == x).all() for k in range(9))
+
+
+def test_rows_of_one_id_are_cut_for_themselves(spark):
+    rng = random.Random(8)
+    passage, one, two = words(rng, 80), words(rng, 300), words(rng, 120)
+    rows = [(1, " ".join(words(rng, 20) + passage)), (5, " ".join(one)), (5, " ".join(two + passage + two[:5])), (5, " ".join(words(rng, 40))), (5, " ".join(one)), (9, " ".join(one))]
+    got = p.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["text"] for r in got) == sorted(t for _, t in rows)
+    for r in got:
+        if r["doc_id"] == 5 and passage[9] in r["text"]:
+            assert 70 <= r["removed_words"] <= 90 and two[9] in r["kept_text"] and passage[30] not in r["kept_text"]
+        elif r["doc_id"] != 9:
+            assert r["removed_words"] == 0 and r["kept_text"] == r["text"]
+    assert [r["kept_text"] for r in got if r["doc_id"] == 9] == [""]
+
+
+def test_a_popular_shingle_loses_no_pair(spark):
+    rng = random.Random(9)
+    sets, keys = [], []
+    for i in range(160):
+        own = [rng.randrange(1 << 40) for _ in range(rng.randint(4, 12))]
+        sets.append((3 * i, [7, *own]))
+        sets.append((3 * i + 1, [7, *own, rng.randrange(1 << 40)][: len(own) + 1 + (len(own) > 4)]))
+        sets.append((3 * i + 2, [7]))
+    keys = [(h, 7) for h, _ in sets]
+    got = similar_links(in_buckets(spark.createDataFrame(keys, "h long, value long")), spark.createDataFrame(sets, "h long, s array<long>"), 0.8, tile=8, split=True)
+    roots = {r["node"]: r["root"] for r in connected_components(got).collect()}
+    held = {h: frozenset(s) for h, s in sets}
+    for i in range(160):
+        a, b = held[3 * i], held[3 * i + 1]
+        near = len(a & b) >= 0.8 * len(a | b)
+        assert (roots.get(3 * i, -1) == roots.get(3 * i + 1, -2)) == near
+        assert roots[3 * i + 2] == 2
+
+
 def test_growing_keeps_the_similarity():
     base = list(range(200))
     assert p.grow(base[:10], base[10:40], base[:8], [*base[10:30], 999, *base[31:60]], 20) == (8, 30)
