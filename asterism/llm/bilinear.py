@@ -3,26 +3,32 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import materialise
+from ..shared import discard, materialise
 
 GAP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Classes: the end of a text, the commonest words one by one, all other words by their last two bytes, and the start of a text.
-OWN, ENDINGS = 62, 64
-END, FIRST_ENDING, START = 0, 1 + OWN, 1 + OWN + ENDINGS
+#: Classes: the end of a text, the commonest words one by one, KINDS clusters of all other words, and the start of a text.
+OWN, KINDS = 62, 64
+END, FIRST_KIND, START = 0, 1 + OWN, 1 + OWN + KINDS
 CLASSES = START + 1
-#: Words whose counts every task gets at once; counts of rarer words are joined.
-HEAD_WORDS = 1 << 16
-DIMENSIONS, NOISE, BATCH, STEPS, RATE = 32, 64, 2048, 600, 0.02
+#: Words that the model has a vector for; all rarer words share one vector for each of so many endings.
+HEAD_WORDS, ENDINGS = 1 << 15, 1 << 10
+#: Numbers that describe in which company a word is found, for each side of it.
+SKETCH = 32
+DIMENSIONS, NOISE, STEPS, RATE = 32, 16, 200, 0.05
+#: Observations that pull a word's vector to zero, and steps of its training.
+RIDGE, WORD_STEPS = 4.0, 60
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -30,19 +36,50 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def ending_class(word: bytes) -> int:
-    return FIRST_ENDING + zlib.crc32(word[-2:]) % ENDINGS
+def ending(word: bytes) -> int:
+    """Bucket of a word's last three bytes."""
+    return zlib.crc32(word[-3:]) % ENDINGS
+
+
+def _rough(word: bytes) -> int:
+    """A first class of a word that has none of its own, to describe the company of others by."""
+    return FIRST_KIND + zlib.crc32(word[-2:]) % KINDS
+
+
+class _Adam:
+    def __init__(self, parameters: list[np.ndarray]):
+        self.p, self.m, self.v, self.t = parameters, [np.zeros_like(x) for x in parameters], [np.zeros_like(x) for x in parameters], 0
+
+    def step(self, gradients, rate: float) -> None:
+        self.t += 1
+        for x, g, m, v in zip(self.p, gradients, self.m, self.v, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            x -= rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-10)
+
+
+def _contrast(scores: np.ndarray, seen: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """Gradient of the noise-contrastive loss in the scores: ``seen`` and ``noise`` are counts of real and of expected noise words."""
+    with np.errstate(divide="ignore"):
+        real = 1 / (1 + noise / np.maximum(seen.sum(axis=1, keepdims=True), 1) * np.exp(-np.clip(scores, -40, 40)))
+    return (noise * real - seen * (1 - real)).astype(np.float32)
 
 
 @dataclass
 class Bilinear:
-    """Predicted vector = sum over the two classes before of their vector times a matrix; score = product with a class's vector, plus its bias."""
+    """Predicted vector = sum over the two classes before of their vector times a matrix; score = product with a class's vector, plus its bias.
+
+    ``words`` and ``word_bias``: the same for words within their class, from the class before alone.
+    """
 
     inputs: np.ndarray
     outputs: np.ndarray
     bias: np.ndarray
     near: np.ndarray
     far: np.ndarray
+    words: np.ndarray
+    word_bias: np.ndarray
+    kinds: np.ndarray
 
     def log_probabilities(self) -> np.ndarray:
         """log10 of each class after each two classes, [second before, first before, class]; each row sums to one.
@@ -57,61 +94,98 @@ class Bilinear:
         scores -= top + np.log(np.exp(scores - top).sum(axis=1, keepdims=True))
         return (scores / np.log(10)).reshape(CLASSES, CLASSES, CLASSES)
 
+    def log_shares(self) -> np.ndarray:
+        """log10 of each word's share of its class after each class, [before, word]; a class's words sum to one."""
+        scores = (self.inputs @ self.near) @ self.words.T + self.word_bias
+        if not scores.shape[1]:
+            return scores
+        order = np.argsort(self.kinds, kind="stable")
+        kinds = self.kinds[order]
+        first = np.append(0, np.nonzero(np.diff(kinds))[0] + 1)
+        where = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(kinds))))
+        scores = scores[:, order]
+        scores -= np.maximum.reduceat(scores, first, axis=1)[:, where]
+        scores -= np.log(np.add.reduceat(np.exp(scores), first, axis=1))[:, where]
+        out = np.empty_like(scores)
+        out[:, order] = scores / np.log(10)
+        return out
+
 
 def train(at: np.ndarray, counts: np.ndarray, seed: int = 7, steps: int = STEPS) -> Bilinear:
     """Fit to counts of class triples (``at`` = (far * CLASSES + near) * CLASSES + class) by noise-contrastive estimation.
 
-    Each step draws triples as often as they occur, and noise classes from the
-    frequencies of classes; the model learns to tell them apart, its scores
-    taken as normalised. Adam updates all parameters.
+    Every step passes over all triples, weighted by their counts, against NOISE
+    words for each real one from the frequencies of classes, taken at their
+    expected numbers; the model learns to tell them apart, its scores taken as
+    normalised. Adam updates all parameters.
     """
     rng = np.random.default_rng(seed)
     shape = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
     p = [shape(CLASSES, DIMENSIONS), shape(CLASSES, DIMENSIONS), np.zeros(CLASSES, np.float32), shape(DIMENSIONS, DIMENSIONS) + np.eye(DIMENSIONS, dtype=np.float32), shape(DIMENSIONS, DIMENSIONS)]
-    model = Bilinear(*p)
+    model = Bilinear(*p, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.float32), np.zeros(0, np.int64))
     if not len(at):
         return model
-    share = np.bincount(at % CLASSES, counts, CLASSES) + 0.5
+    rows, row = np.unique(at // CLASSES, return_inverse=True)
+    seen = np.bincount(row * CLASSES + at % CLASSES, counts, len(rows) * CLASSES).reshape(-1, CLASSES).astype(np.float32)
+    share = seen.sum(axis=0) + 0.5
     share[START] = 0
     share /= share.sum()
-    with np.errstate(divide="ignore"):
-        log_share = np.log(share)
-    model.bias[:] = np.where(share > 0, log_share, 0)
-    upto = np.cumsum(counts, dtype=np.float64)
-    m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
-    for step in range(1, steps + 1):
-        rows = at[np.minimum(np.searchsorted(upto, rng.random(BATCH) * upto[-1], side="right"), len(at) - 1)]
-        far, near, word = rows // CLASSES**2, rows // CLASSES % CLASSES, rows % CLASSES
-        noise = rng.choice(CLASSES, NOISE, p=share)
-        a, b = model.inputs[far], model.inputs[near]
-        context = a @ model.far + b @ model.near
-        real = (context * model.outputs[word]).sum(axis=1) + model.bias[word] - log_share[word] - np.log(NOISE)
-        false = context @ model.outputs[noise].T + model.bias[noise] - log_share[noise] - np.log(NOISE)
-        g_real = (-1 / (1 + np.exp(np.clip(real, -30, 30))) / BATCH).astype(np.float32)
-        g_false = (1 / (1 + np.exp(-np.clip(false, -30, 30))) / BATCH).astype(np.float32)
-        g_context = g_real[:, None] * model.outputs[word] + g_false @ model.outputs[noise]
-        one = np.zeros((BATCH, CLASSES), np.float32)
-        one[np.arange(BATCH), word] = g_real
-        g_out, g_bias = one.T @ context, one.sum(axis=0)
-        np.add.at(g_out, noise, g_false.T @ context)
-        np.add.at(g_bias, noise, g_false.sum(axis=0))
-        hot = np.zeros((CLASSES, BATCH), np.float32)
-        hot[far, np.arange(BATCH)] = 1
-        g_in = hot @ (g_context @ model.far.T)
-        hot[:] = 0
-        hot[near, np.arange(BATCH)] = 1
-        g_in += hot @ (g_context @ model.near.T)
-        rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
-        for x, g, m_, v_ in zip(p, (g_in, g_out, g_bias, b.T @ g_context, a.T @ g_context), m, v, strict=True):
-            m_ += 0.1 * (g - m_)
-            v_ += 0.01 * (g * g - v_)
-            x -= rate * (m_ / (1 - 0.9**step)) / (np.sqrt(v_ / (1 - 0.99**step)) + 1e-8)
+    model.bias[:START] = np.log(share[:START])
+    noise = NOISE * seen.sum(axis=1, keepdims=True) * share
+    real, total = seen[:, :START], seen.sum()
+    far, near = rows // CLASSES, rows % CLASSES
+    by_near = np.argsort(near, kind="stable")
+    adam = _Adam(p)
+    starts = lambda x: np.append(0, np.nonzero(np.diff(x))[0] + 1)
+    far_at, near_at = starts(far), starts(near[by_near])
+    for step in range(steps):
+        context = (model.inputs @ model.far)[far] + (model.inputs @ model.near)[near]
+        g = np.zeros_like(seen)
+        g[:, :START] = _contrast(context @ model.outputs[:START].T + model.bias[:START], real, noise[:, :START]) / total
+        g_context = g @ model.outputs
+        g_far, g_near = np.zeros_like(model.inputs), np.zeros_like(model.inputs)
+        g_far[far[far_at]] = np.add.reduceat(g_context, far_at)
+        g_near[near[by_near][near_at]] = np.add.reduceat(g_context[by_near], near_at)
+        g_in = g_far @ model.far.T + g_near @ model.near.T
+        adam.step((g_in, g.T @ context, g.sum(axis=0), model.inputs.T @ g_near, model.inputs.T @ g_far), RATE * min(1.0, 2 * (1 - step / steps)))
     return model
 
 
+def train_words(seen: np.ndarray, context: np.ndarray, steps: int = WORD_STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and biases of the words of one class, from counts after each class (classes by words), by the same estimation."""
+    n = seen.sum(axis=0) + 0.5
+    share = (n / n.sum()).astype(np.float32)
+    p = [np.zeros((seen.shape[1], context.shape[1]), np.float32), np.log(share)]
+    noise = NOISE * seen.sum(axis=1, keepdims=True) * share
+    adam, weight = _Adam(p), (1 / n)[:, None].astype(np.float32)
+    for step in range(steps):
+        g = _contrast(context @ p[0].T + p[1], seen, noise)
+        adam.step(((g.T @ context + RIDGE * p[0]) * weight, g.sum(axis=0) * weight[:, 0]), RATE * min(1.0, 2 * (1 - step / steps)))
+    return p[0], p[1]
+
+
+def cluster(x: np.ndarray, weight: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
+    """Weighted k-means of the rows of ``x``: the cluster of each."""
+    if len(x) <= k:
+        return np.arange(len(x))
+    rng = np.random.default_rng(seed)
+    near, centres = np.full(len(x), np.inf), []
+    for _ in range(k):
+        chance = weight * np.where(np.isinf(near), 1, near)
+        centres.append(x[rng.choice(len(x), p=chance / chance.sum())] if chance.sum() > 0 else x[0])
+        near = np.minimum(near, ((x - centres[-1]) ** 2).sum(axis=1))
+    c = np.array(centres)
+    for _ in range(rounds):
+        own = ((c * c).sum(axis=1) - 2 * x @ c.T).argmin(axis=1)
+        total = np.bincount(own, weight, k)
+        sums = np.stack([np.bincount(own, weight * x[:, j], k) for j in range(x.shape[1])], axis=1)
+        c = np.where(total[:, None] > 0, sums / np.maximum(total, 1e-12)[:, None], c)
+    return own
+
+
 @dataclass
 class LanguageModel:
-    """``classes`` and ``logs`` (log10 of count + 0.5) of the head words; ``spread``: log10 of what the counts of an ending's words are divided by."""
+    """``words``: place of each head word; ``classes`` of head words and endings; ``logs``: log10 of a head word's count + 0.5; ``spread``: log10 of what the counts of an ending's rare words are divided by."""
 
     bilinear: Bilinear
     words: dict[bytes, int]
@@ -124,36 +198,69 @@ class LanguageModel:
     texts: int
 
 
-_ENDINGS: dict[bytes, int] = {}
-
-
-def _classes(words: list[bytes], known: dict[bytes, int], of_known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each word, and its place in the head or -1."""
+def _places(words: list[bytes], known: dict[bytes, int], memory: dict[bytes, int]) -> np.ndarray:
+    """Place of each word: in the head, or behind it by its ending."""
     at = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
-    out = of_known[at] if len(of_known) else np.zeros(len(words), np.int64)
     for i in np.nonzero(at < 0)[0].tolist():
-        end = words[i][-2:]
-        if (c := _ENDINGS.get(end)) is None:
-            c = _ENDINGS[end] = ending_class(end)
-        out[i] = c
-    return out, at
+        end = words[i][-3:]
+        if (c := memory.get(end)) is None:
+            c = memory[end] = len(known) + ending(end)
+        at[i] = c
+    return at
+
+
+def _company(known: dict[bytes, int], rough: np.ndarray, axes: np.ndarray):
+    """For each place, its occurrences, and sums of ``axes`` over the rough classes before and after."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, memory, ends = len(known) + ENDINGS, {}, {}
+        before, after = np.zeros(size * CLASSES, np.float32), np.zeros(size * CLASSES, np.float32)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                at, kinds = [], []
+                for text in batch.column(0).slice(i, 1024):
+                    words = tokens(text.as_py())
+                    x = _places(words, known, memory)
+                    k = np.concatenate([(START,), rough[x], (END,)])
+                    for j in np.nonzero(x >= len(known))[0].tolist():
+                        end = words[j][-2:]
+                        if (c := ends.get(end)) is None:
+                            c = ends[end] = _rough(end)
+                        k[j + 1] = c
+                    at.append(x)
+                    kinds.append(k)
+                x = np.concatenate(at)
+                for out, side in ((before, [k[:-2] for k in kinds]), (after, [k[2:] for k in kinds])):
+                    np.add.at(out, x * CLASSES + np.concatenate(side), np.float32(1))
+        before, after = before.reshape(size, CLASSES), after.reshape(size, CLASSES)
+        n = before.sum(axis=1)
+        some = np.nonzero(n)[0]
+        sums = np.hstack([before[some] @ axes[0], after[some] @ axes[1]])
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some].astype(np.float64)), *(pa.array(c.astype(np.float64)) for c in sums.T)], ["place", "n", *(f"v{i}" for i in range(sums.shape[1]))])
+
+    return run
 
 
-def _triples(known: dict[bytes, int], of_known: np.ndarray):
-    """Counts of class triples of a partition."""
+def _counts(known: dict[bytes, int], classes: np.ndarray):
+    """Counts of class triples (kind -1), and for each class of several words of its words after each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES**3, np.int64)
+        total, size, memory = np.zeros(CLASSES**3, np.int64), len(classes), {}
+        pairs = np.zeros(CLASSES * size, np.int64)
         for batch in batches:
-            parts = []
-            for text in batch.column(0):
-                parts += [(START, START), _classes(tokens(text.as_py()), known, of_known)[0], (END,)]
-            if parts:
-                x = np.concatenate(parts).astype(np.int64)
-                codes = (x[:-2] * CLASSES + x[1:-1]) * CLASSES + x[2:]
-                total += np.bincount(codes[x[2:] != START], minlength=CLASSES**3)
-        where = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), pa.array(total[where])], ["at", "n"])
+            for i in range(0, batch.num_rows, 1024):
+                kinds, places = [], []
+                for text in batch.column(0).slice(i, 1024):
+                    x = _places(tokens(text.as_py()), known, memory)
+                    kinds += [(START, START), classes[x], (END,)]
+                    places += [(-1, -1), x, (-1,)]
+                x, at = np.concatenate(kinds).astype(np.int64), np.concatenate(places).astype(np.int64)
+                np.add.at(total, ((x[:-2] * CLASSES + x[1:-1]) * CLASSES + x[2:])[x[2:] != START], 1)
+                np.add.at(pairs, (x[:-1] * size + at[1:])[at[1:] >= 0], 1)
+        where, own = np.nonzero(total)[0], np.nonzero(pairs)[0]
+        own = own[classes[own % max(size, 1)] >= FIRST_KIND]
+        kind = np.concatenate([np.full(len(where), -1, np.int32), classes[own % max(size, 1)].astype(np.int32)])
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([where, own]).astype(np.int32)), pa.array(np.concatenate([total[where], pairs[own]]))], ["kind", "at", "n"])
 
     return run
 
@@ -161,10 +268,14 @@ def _triples(known: dict[bytes, int], of_known: np.ndarray):
 def fit_language_model(docs: DataFrame, text_col: str = "text", head_words: int = HEAD_WORDS, seed: int = 7) -> LanguageModel:
     """Learn from all rows of ``docs``; null texts are empty ones.
 
-    Words and class triples are counted by Spark over every text. The driver
-    gets the counts of head words (at most ``head_words``: those above the
-    lowest eighth of a power of two that keeps within it), of the endings and
-    of at most CLASSES cubed triples, and trains on these.
+    Words are counted by Spark over every text; head words are at most
+    ``head_words``, those above the lowest eighth of a power of two that keeps
+    within it. A second pass over every text describes the company that each
+    head word and each ending keeps, and the driver clusters them into classes
+    by it. A third counts class triples and, for each class, its words after
+    each class. The driver trains the classes' level on at most CLASSES cubed
+    counts; each class's words are trained by a task of its own, on at most
+    CLASSES times their number.
     """
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
     words = docs.select(F.explode(F.split(text, GAP)).alias("word")).filter("word != ''")
@@ -177,44 +288,79 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", head_words: int
         if held > head_words:
             break
         least = k
-    head = [] if least is None else sorted(((r["n"], r["w"]) for r in counts.filter(level >= least).select("n", F.col("word").cast("binary").alias("w")).collect()), key=lambda x: (-x[0], x[1]))
-    known = {bytes(w): i for i, (_, w) in enumerate(head)}
-    own = [bytes(w) for _, w in head[:OWN]]
-    of_known = np.array([1 + i if i < OWN else ending_class(bytes(w)) for i, (_, w) in enumerate(head)], np.int64)
+    head = [] if least is None else sorted(((r["n"], bytes(r["w"])) for r in counts.filter(level >= least).select("n", F.col("word").cast("binary").alias("w")).collect()), key=lambda x: (-x[0], x[1]))
+    known = {w: i for i, (_, w) in enumerate(head)}
     logs = np.log10(np.array([n for n, _ in head], float) + 0.5)
-    ending = F.pmod(F.crc32(F.substring(F.col("word").cast("binary"), -2, 2)), F.lit(ENDINGS)).cast("int")
-    rest = counts.filter(~F.col("word").isin([w.decode() for w in own])) if own else counts
-    spread = np.full(CLASSES, np.log10(0.5))
-    for r in rest.groupBy(ending.alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        spread[FIRST_ENDING + r["c"]] = np.log10(r["n"] + 0.5 * (r["v"] + 1))
+    bytes_ = F.col("word").cast("binary")
+    rest = counts if least is None else counts.filter(level < least)
+    spread = np.full(ENDINGS, np.log10(0.5))
+    for r in rest.groupBy(F.pmod(F.crc32(F.substring(bytes_, -3, 3)), F.lit(ENDINGS)).cast("int").alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        spread[r["c"]] = np.log10(r["n"] + 0.5 * (r["v"] + 1))
     texts = docs.count()
-    found = docs.select(text_col).mapInArrow(_triples(known, of_known), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas().sort_values("at")
-    bilinear = train(found["at"].to_numpy(np.int64), found["n"].to_numpy(np.float64), seed)
-    return LanguageModel(bilinear, known, of_known, logs, spread, counts, sum(x[2] for x in levels) + texts, sum(x[1] for x in levels) + (texts > 0), texts)
+    size = len(head) + ENDINGS
+    own = min(OWN, len(head))
+
+    rough = np.array([1 + i if i < own else _rough(w) for i, (_, w) in enumerate(head)] + [FIRST_KIND] * ENDINGS, np.int64)
+    often = np.full(CLASSES, 0.5)
+    often[[END, START]] += texts
+    for i, (n, w) in enumerate(head):
+        often[rough[i]] += n
+    for r in rest.groupBy((FIRST_KIND + F.pmod(F.crc32(F.substring(bytes_, -2, 2)), F.lit(KINDS))).cast("int").alias("c")).agg(F.sum("n").alias("n")).collect():
+        often[r["c"]] += r["n"]
+    often /= often.sum()
+    axes = (np.random.default_rng(seed).normal(size=(2, CLASSES, SKETCH)) / np.sqrt(often)[None, :, None]).astype(np.float32)
+    names = [f"v{i}" for i in range(2 * SKETCH)]
+    company = docs.select(text_col).mapInArrow(_company(known, rough, axes), ", ".join(["place int", "n double", *(f"{c} double" for c in names)]))
+    company = company.groupBy("place").agg(*(F.sum(c).alias(c) for c in ("n", *names))).toPandas().sort_values("place")
+    n, x = np.zeros(size), np.zeros((size, 2 * SKETCH))
+    place = company["place"].to_numpy()
+    n[place], x[place] = company["n"], company[names]
+    x = (x - n[:, None] * np.hstack([often @ axes[0], often @ axes[1]])) / (n[:, None] + 20)
+    classes = np.arange(1, size + 1)
+    classes[own:] = FIRST_KIND + cluster(x[own:], np.sqrt(n[own:]) + 1e-3, KINDS, seed)
+
+    found = materialise(docs.select(text_col).mapInArrow(_counts(known, classes), "kind int, at int, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")))
+    triples = found.filter("kind = -1").select("at", "n").toPandas().sort_values("at")
+    bilinear = train(triples["at"].to_numpy(np.int64), triples["n"].to_numpy(np.float64), seed)
+    context = bilinear.inputs @ bilinear.near
+
+    def within(pdf):
+        at = pdf["at"].to_numpy(np.int64)
+        places = np.nonzero(classes == pdf["kind"].iloc[0])[0]
+        seen = np.bincount(at // size * len(places) + np.searchsorted(places, at % size), pdf["n"], CLASSES * len(places)).reshape(CLASSES, -1).astype(np.float32)
+        vectors, bias = train_words(seen, context)
+        return pd.DataFrame({"place": places, "bias": bias.astype(float), "vector": [v.tobytes() for v in vectors]})
+
+    bilinear.words, bilinear.word_bias, bilinear.kinds = np.zeros((size, DIMENSIONS), np.float32), np.zeros(size, np.float32), classes
+    for r in found.filter("kind >= 0").groupBy("kind").applyInPandas(within, "place long, bias double, vector binary").collect():
+        bilinear.words[r["place"]], bilinear.word_bias[r["place"]] = np.frombuffer(r["vector"], np.float32), r["bias"]
+    discard(found)
+    return LanguageModel(bilinear, known, classes, logs, spread, counts, sum(x[2] for x in levels) + texts, sum(x[1] for x in levels) + (texts > 0), texts)
 
 
 def _score(model: LanguageModel):
-    """Row number, id, tokens, known head words, sums over head words, model part and rare words of each text."""
-    known, of_known, logs, spread, bilinear, texts = model.words, model.classes, model.logs, model.spread, model.bilinear, model.texts
+    """Row number, id, tokens, known head words, sums over head words, model part and rare words (each with its number) of each text."""
+    known, classes, logs, spread, bilinear, texts = model.words, model.classes, model.logs, model.spread, model.bilinear, model.texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, probability = TaskContext.get().partitionId() << 40, bilinear.log_probabilities().reshape(-1).astype(np.float64)
+        row, memory, head = TaskContext.get().partitionId() << 40, {}, len(known)
+        probability, shares = bilinear.log_probabilities().reshape(-1), bilinear.log_shares()
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 words = tokens(text.as_py())
-                c, at = _classes(words, known, of_known)
-                x = np.concatenate([(START, START), c, (END,)])
-                part = probability[(x[:-2] * CLASSES + x[1:-1]) * CLASSES + x[2:]].sum()
-                single = (at < 0) | (at >= OWN)
-                part -= spread[c[single]].sum()
-                head = logs[at[at >= 0]]
-                base = head.sum() + np.log10(texts + 0.5)
-                part += logs[at[at >= OWN]].sum()
-                rare = [words[i] for i in np.nonzero(at < 0)[0].tolist()]
-                out.append((row, doc.as_py(), len(words) + 1, len(head) + (texts > 0), base, part, rare))
+                at = _places(words, known, memory)
+                x = np.concatenate([(START, START), classes[at], (END,)])
+                part = probability[(x[:-2] * CLASSES + x[1:-1]) * CLASSES + x[2:]].sum(dtype=np.float64)
+                inner = x[2:-1] >= FIRST_KIND
+                part += shares[x[1:-2][inner], at[inner]].sum(dtype=np.float64)
+                rare = at >= head
+                part -= spread[at[rare] - head].sum()
+                base = logs[at[~rare]].sum() + np.log10(texts + 0.5)
+                counted = Counter(words[i] for i in np.nonzero(rare)[0].tolist())
+                out.append((row, doc.as_py(), len(words) + 1, int((~rare).sum()) + (texts > 0), base, part, [{"w": w, "k": k} for w, k in counted.items()]))
                 row += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("w", pa.binary()), ("k", pa.int64())])))
             columns = zip(*out, strict=True) if out else ([],) * 7
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["row", "doc", "n_tokens", "n_known", "base", "part", "rare"])
 
@@ -225,17 +371,18 @@ def score_texts(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", t
     """``doc, n_tokens, n_known, base_score, score`` of every row.
 
     score: log10 of the probability of the whole text: of each class after the
-    two before it, times for words classed by ending the word's share of its
-    ending, (count + 0.5) over all counts of the ending + 0.5 * (words + 1).
-    base_score: the same of single words. Counts of rare words are joined; they
-    are rare, so no key is hot. Null texts count as empty and have the end
-    alone; repeated rows stay; other columns are not read.
+    two before it, times for words that share a class the word's share of it
+    after the class before, times for words outside the head their share of
+    their ending, (count + 0.5) over all counts of the ending + 0.5 * (words + 1).
+    base_score: the same of single words. Counts of rare words are joined, each
+    once for a row, however often it has it. Null texts count as empty and have
+    the end alone; repeated rows stay; other columns are not read.
     """
-    schema = "row long, doc long, n_tokens long, n_known long, base double, part double, rare array<binary>"
+    schema = "row long, doc long, n_tokens long, n_known long, base double, part double, rare array<struct<w:binary,k:bigint>>"
     found = materialise(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(_score(model), schema))
-    rare = found.select("row", F.explode("rare").alias("w")).select("row", F.col("w").cast("string").alias("word"))
+    rare = found.select("row", F.explode("rare").alias("r")).select("row", F.col("r.w").cast("string").alias("word"), "r.k")
     joined = rare.join(model.counts, "word", "left")
-    sums = joined.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"), F.count("n").alias("seen"))
+    sums = joined.groupBy("row").agg(F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("k"))).alias("seen"))
     more, seen = F.coalesce("more", F.lit(0.0)), F.coalesce("seen", F.lit(0))
     whole = float(np.log10(model.total + 0.5 * (model.distinct + 1)))
     return found.drop("rare").join(sums, "row", "left").select("doc", "n_tokens", (F.col("n_known") + seen).alias("n_known"), (F.col("base") + more - F.col("n_tokens") * F.lit(whole)).alias("base_score"), (F.col("part") + more).alias("score"))
