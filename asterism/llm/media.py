@@ -17,7 +17,9 @@ from . import progressive_jpeg as jpeg
 GROUP = 192
 #: Blocks of an MCU: four of luma, one of each chroma, each 64 coefficients.
 MCU_BLOCKS = 6
-MOST_COLUMNS = 64
+#: MCUs in a row, unless there are so many that the rows would be more than a file's 16 bits can tell.
+COLUMNS = 64
+MOST_ROWS = 4095
 #: A byte b is stored as the coefficient 256 + b: its magnitude has nine bits whatever b is, so a scan's codes are all alike.
 OFFSET = 256
 _ONES = np.ones(64, np.int64)
@@ -31,8 +33,9 @@ def payload(text: str | None) -> tuple[bytes, int]:
 
 
 def _layout(n_bytes: int) -> tuple[int, int]:
+    """Rows and columns of MCUs. The format ends at 4095 of each, 6.4 GB, beyond what a text of Spark can hold."""
     mcus = math.ceil(n_bytes / (64 * MCU_BLOCKS))
-    cols = min(mcus, MOST_COLUMNS)
+    cols = min(mcus, max(COLUMNS, math.ceil(mcus / MOST_ROWS)))
     return math.ceil(mcus / cols), cols
 
 

@@ -14,14 +14,12 @@ from ..shared import materialise
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
-#: Sources that the driver may plan for; more raise an error.
-MAX_SOURCES = 100_000
 #: The dynamic programme covers budgets up to so many words, or twice the longest document; what lies above is filled before.
 EXACT_WORDS = 1 << 16
 #: With few lengths it covers more: so many words times lengths.
 EXACT_WORK = 1 << 26
-#: Documents of one source and length are ranked in so many parts.
-BUCKETS = 256
+#: Documents of one source and length are ranked in parts, so many or one for so many documents of the table.
+LEAST_PARTS, PART_ROWS = 256, 1 << 16
 
 
 def word_count(text_col: str = "text"):
@@ -29,21 +27,33 @@ def word_count(text_col: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[int], weights: list[float], most: float = MOST_COPIES) -> list[float]:
-    """Share the sum of ``sizes`` by weight; what exceeds ``most`` times a size is shared again among the others."""
-    out, left, open_ = [0.0] * len(sizes), float(sum(sizes)), list(range(len(sizes)))
-    while open_:
-        total = sum(weights[i] for i in open_)
-        over = [i for i in open_ if left * weights[i] / total > most * sizes[i]]
-        if not over:
-            for i in open_:
-                out[i] = left * weights[i] / total
+def source_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
+    """``s, source_size, target`` of ``sources`` (s, late, source_size): the sum of sizes shared by weight.
+
+    Sources in order of ``late, s`` have ``weights`` in turn. What exceeds
+    ``most`` times a size is shared again among the others, in rounds: each is
+    one sum over the table, so any number of sources will do.
+    """
+    spread = sources.repartitionByRange("late", "s").sortWithinPartitions("late", "s").withColumn("_at", F.monotonically_increasing_id())
+    spread = materialise(spread)
+    parts = sorted((r["part"], r["n"]) for r in spread.groupBy(F.shiftright("_at", 33).alias("part")).agg(F.count("*").alias("n")).collect())
+    before = [(p, sum(n for q, n in parts if q < p)) for p, _ in parts]
+    offsets = spread.sparkSession.createDataFrame(before, "part long, before long")
+    spread = spread.withColumn("part", F.shiftright("_at", 33)).join(F.broadcast(offsets), "part")
+    place = F.col("before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (place % len(weights) + 1).cast("int"))
+    weighed = materialise(spread.select("s", "source_size", weight.alias("w")))
+    cap = F.lit(most) * F.col("source_size")
+    left, total, level = 0.0, 0.0, None
+    while True:
+        over = F.lit(False) if level is None else F.lit(level[0]) * F.col("w") / F.lit(level[1]) > cap
+        row = weighed.agg(F.sum("source_size").alias("all"), F.sum(F.when(over, cap)).alias("taken"), F.sum(F.when(~over, F.col("w"))).alias("open")).first()
+        left, total = float(row["all"] or 0) - float(row["taken"] or 0), float(row["open"] or 0)
+        if (left, total) == level or not total:
             break
-        for i in over:
-            out[i] = float(most * sizes[i])
-        left -= sum(out[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)]
-    return out
+        level = (left, total)
+    shares = cap if level is None else F.least(F.lit(level[0]) * F.col("w") / F.lit(level[1]), cap)
+    return weighed.select("s", "source_size", shares.cast("double").alias("target"))
 
 
 def _bits(number: int) -> np.ndarray:
@@ -112,30 +122,27 @@ def _plan(seed: str):
     return run
 
 
-def mix_sources(docs: DataFrame, size: str, id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, seed: str = "mix", max_sources: int = MAX_SOURCES) -> DataFrame:
+def mix_sources(docs: DataFrame, size: str, id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, seed: str = "mix") -> DataFrame:
     """``docs`` with ``source_size``, ``target`` and ``copies`` (how often the mix takes each row, up to three times).
 
     ``size`` names a column of whole numbers, null meaning 0. Sources in order
     of code points, null last, weigh ``weights`` in turn. Sources are counted by
-    exact length; one task plans a source from its lengths and their counts.
+    exact length; each source is planned from its lengths and their counts.
     Rows of one source and length are taken in the order of a seeded hash of id
     and content, ranked within parts by hash, so that no length is one task
     however many rows have it. Rows of length 0 get the whole copies alone.
     Older columns of these names are replaced; an empty table stays empty.
     """
     own = [c for c in docs.columns if c not in ("source_size", "target", "copies")]
-    tie = F.xxhash64(F.lit(seed), F.col(id_col), *(F.col(c) for c in own if c != id_col and dict(docs.dtypes)[c] in ("string", "bigint", "int")))
+    kinds = dict(docs.dtypes)
+    tie = F.xxhash64(F.lit(seed), F.col(id_col), *(F.col(c) for c in own if c != id_col and not any(k in kinds[c] for k in ("map<", "variant"))))
+    parts = max(LEAST_PARTS, 1 << (docs.count() // PART_ROWS).bit_length())
     rows = docs.select(*own, F.when(F.col(source_col).isNull(), "0").otherwise(F.concat(F.lit("1"), F.col(source_col))).alias("_s"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"), tie.alias("_tie"))
-    rows = rows.withColumn("_b", F.pmod("_tie", F.lit(BUCKETS)).cast("int"))
+    rows = rows.withColumn("_b", F.pmod("_tie", F.lit(parts)).cast("int"))
     cells = materialise(rows.groupBy(F.col("_s").alias("s"), F.col("_size").alias("size"), F.col("_b").alias("b")).agg(F.count("*").alias("n")))
     lengths = cells.groupBy("s", "size").agg(F.sum("n").alias("n"))
-    sources = lengths.groupBy("s").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")).limit(max_sources + 1).collect()
-    if len(sources) > max_sources:
-        raise ValueError(f"over {max_sources} sources")
-    sources = sorted(sources, key=lambda r: (r["s"] == "0", r["s"]))
-    shares = targets([r["source_size"] for r in sources], [weights[i % len(weights)] for i in range(len(sources))])
-    table = docs.sparkSession.createDataFrame([(r["s"], r["source_size"], t) for r, t in zip(sources, shares, strict=True)], "s string, source_size long, target double")
-    plan = lengths.join(F.broadcast(table), "s").groupBy("s").applyInPandas(_plan(seed), "s string, size long, whole int, part long, source_size long, target double")
+    sources = lengths.groupBy("s").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")).withColumn("late", F.col("s") == "0")
+    plan = lengths.join(source_targets(sources, weights), "s").groupBy("s").applyInPandas(_plan(seed), "s string, size long, whole int, part long, source_size long, target double")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("s", "size").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     quota = cells.join(plan, ["s", "size"]).withColumn("quota", F.greatest(F.lit(0), F.least(F.col("n"), F.col("part") - before)))
     quota = quota.select("s", F.col("size").alias("q_size"), "b", "whole", "quota", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .labels import labelled_rows
+
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 #: Signs that count as symbols.
@@ -193,7 +195,8 @@ def cover(cells: list[Cell], names: list[str], cuts: list[list[float]]) -> Decis
 def learn_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DecisionList:
     """Rules that reject what ``labels`` call bad (0), from labelled rows that do not fail the base rules.
 
-    The labelled rows of least hash, up to ``sample_rows``, are taken; of
+    The labelled rows of least hash, up to ``sample_rows``, are taken, equal
+    ones once; of
     several labels of an id the lowest counts; null ids and labels are left out.
     Spark finds the quantiles that serve as thresholds and counts equal rows by
     bins; rows reach the driver only as such counts. Without labels of both
@@ -201,7 +204,7 @@ def learn_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """
     named = labels.select(F.col(id_col).alias("id"), (F.col(label_col) != 0).cast("int").alias("label")).dropna()
     chosen = named.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = labelled_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), chosen, sample_rows)
     part = F.pmod(F.xxhash64(F.lit("prune"), "id"), F.lit(3)) == 0
     rows = statistics(rows).filter(~base_failed()).select("label", part.alias("prune"), *(c.alias(k) for k, c in ratios().items())).cache()
     try:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import materialise
+from .labels import labelled_rows
 from .noisy_channel import character_model, spaced_words, words_of
 
 #: The classifier is fitted on so many labelled rows at most, those of least hash.
@@ -103,7 +104,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """Learn from labelled rows of ``docs``; the caller leaves out what is held out.
 
     The character model counts all texts. The classifier sees the labelled rows
-    of least hash, up to ``sample_rows``: features that toxic rows have more
+    of least hash, up to ``sample_rows``, equal rows once: features that toxic rows have more
     often are ranked by chi-square and the best ``max_features`` enter a
     logistic regression. An id with several labels counts as toxic if one says
     so; null ids and labels are left out. Without labels of both kinds every
@@ -113,7 +114,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     named = labels.select(F.col(id_col).alias("id"), (F.col(label_col) != 0).cast("int").alias("label")).dropna()
     known = docs.select(F.col(id_col).alias("id")).distinct()
     chosen = named.groupBy("id").agg(F.max("label").alias("label")).join(known, "id").orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    rows = materialise(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").repartition(F.xxhash64("id", "text")))
+    rows = materialise(labelled_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), chosen, sample_rows).repartition(F.xxhash64("id", "text")))
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     no, yes = sizes.get(0, 0), sizes.get(1, 0)
     if not no or not yes:

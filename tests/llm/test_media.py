@@ -112,3 +112,12 @@ def test_query(spark, sf_dir):
         data, n = media.payload(docs[r["doc_id"]])
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]))
         assert r["media_sha256"] == hashlib.sha256(media.store(data)).hexdigest() and r["media_bytes"] == len(media.store(data))
+
+
+def test_layouts_fit_the_format():
+    from asterism.llm import media
+
+    for n in (192, 10**6, 10**8, 103_000_000, 2 * 10**9):
+        rows, cols = media._layout(n)
+        assert rows <= 4095 and cols <= 4095 and rows * cols * 384 >= n and (rows - 1) * cols * 384 < n
+    assert media._layout(10**6)[1] == 64

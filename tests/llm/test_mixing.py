@@ -2,17 +2,35 @@ import random
 from collections import defaultdict
 
 import pytest
-from asterism.llm.mixing import fit_lengths, mix_sources, op7_mixing, targets, word_count
+from asterism.llm.mixing import fit_lengths, mix_sources, op7_mixing, source_targets, word_count
 from hypothesis import given
 from hypothesis import strategies as st
 
 
-def test_targets_are_shared_again():
-    assert targets([100, 100, 100], [1, 2, 3]) == [50, 100, 150]
+def targets(sizes, weights, most=3):
+    """The rule, source by source: what exceeds ``most`` times a size is shared again among the others."""
+    out, left, open_ = [0.0] * len(sizes), float(sum(sizes)), list(range(len(sizes)))
+    while open_:
+        total = sum(weights[i] for i in open_)
+        over = [i for i in open_ if left * weights[i] / total > most * sizes[i]]
+        for i in over or open_:
+            out[i] = float(most * sizes[i]) if over else left * weights[i] / total
+        left -= sum(out[i] for i in over)
+        open_ = [i for i in open_ if i not in set(over)] if over else []
+    return out
+
+
+def test_targets_are_shared_again(spark):
     assert targets([10, 1000, 90], [3, 1, 1]) == [30, 800, 270]
-    got = targets([10, 1000, 90], [1, 2, 3])
-    assert sum(got) == pytest.approx(1100) and got[2] == 270 and got[0] == 30
-    assert targets([], []) == [] and targets([0, 0], [1, 2]) == [0, 0]
+    rng = random.Random(1)
+    cases = [[100, 100, 100], [10, 1000, 90], [], [0, 0], [0, 5], [rng.choice([0, 1, 7, 100, 10_000]) * rng.randint(1, 9) for _ in range(400)]]
+    for sizes in cases:
+        names = [f"s{i:04}" for i in range(len(sizes))]
+        rows = [(n, i == 0, v) for i, (n, v) in enumerate(zip(names, sizes, strict=True))]
+        order = [names[i] for i in (*range(1, len(sizes)), *range(min(1, len(sizes))))]
+        want = dict(zip(order, targets([sizes[int(n[1:])] for n in order], [1 + k % 3 for k in range(len(order))]), strict=True))
+        got = {r["s"]: r["target"] for r in source_targets(spark.createDataFrame(rows, "s string, late boolean, source_size long")).collect()}
+        assert got == pytest.approx(want)
 
 
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 6), min_size=1, max_size=8), st.floats(0, 1), st.sampled_from([4, 40, 4000]))

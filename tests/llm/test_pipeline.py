@@ -1,8 +1,9 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline as cp
-from asterism.llm import mixing, pseudonyms, toxicity
+from asterism.llm import pseudonyms, toxicity
 from asterism.llm.bpe import coder, default_vocabulary
+from test_mixing import targets
 from test_near_duplicates import brute
 
 
@@ -38,7 +39,7 @@ def test_each_stage_against_brute_force(spark, sf_dir):
         size[r["source"]] += n
         taken[r["source"]] += n * copies[r["doc_id"]]
     order = sorted(size)
-    want = mixing.targets([size[s] for s in order], [1 + k % 3 for k in range(len(order))])
+    want = targets([size[s] for s in order], [1 + k % 3 for k in range(len(order))])
     assert all(abs(taken[s] - w) < 0.2 * w for s, w in zip(order, want, strict=True))
 
     code = coder(default_vocabulary())

@@ -71,3 +71,13 @@ def test_query_on_held_out_rows(spark):
     labels = [r for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if got[r["doc_id"]]["held_out"]]
     right = sum(got[r["doc_id"]]["predicted"] == r["toxic"] for r in labels)
     assert right / len(labels) > 0.98
+
+
+def test_an_id_of_many_rows_is_bounded(spark):
+    from asterism.llm.labels import labelled_rows
+
+    docs = spark.range(900).selectExpr("id % 3 id", "concat('t', id % 300) text")
+    chosen = spark.createDataFrame([(0, 1), (1, 0)], "id long, label int")
+    got = labelled_rows(docs, chosen, 40).collect()
+    assert len(got) == len({(r["id"], r["text"]) for r in got}) == 40
+    assert labelled_rows(docs, chosen, 4000).count() == 200
