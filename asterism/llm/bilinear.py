@@ -27,8 +27,8 @@ HEAD_WORDS, ENDINGS = 1 << 15, 1 << 10
 #: Numbers that describe in which company a word is found, for each side of it.
 SKETCH = 32
 DIMENSIONS, NOISE, STEPS, RATE = 32, 16, 200, 0.05
-#: Observations that pull a word's vector to zero, and steps of its training.
-RIDGE, WORD_STEPS = 4.0, 60
+#: Observations that pull a word's vector to zero, steps of its training, and words that a task trains together.
+RIDGE, WORD_STEPS, WORD_BLOCK = 4.0, 60, 256
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -58,13 +58,6 @@ class _Adam:
             x -= rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-10)
 
 
-def _contrast(scores: np.ndarray, seen: np.ndarray, noise: np.ndarray) -> np.ndarray:
-    """Gradient of the noise-contrastive loss in the scores: ``seen`` and ``noise`` are counts of real and of expected noise words."""
-    with np.errstate(divide="ignore"):
-        real = 1 / (1 + noise / np.maximum(seen.sum(axis=1, keepdims=True), 1) * np.exp(-np.clip(scores, -40, 40)))
-    return (noise * real - seen * (1 - real)).astype(np.float32)
-
-
 @dataclass
 class Bilinear:
     """Predicted vector = sum over the two classes before of their vector times a matrix; score = product with a class's vector, plus its bias.
@@ -131,8 +124,8 @@ def train(at: np.ndarray, counts: np.ndarray, seed: int = 7, steps: int = STEPS)
     share[START] = 0
     share /= share.sum()
     model.bias[:START] = np.log(share[:START])
-    noise = NOISE * seen.sum(axis=1, keepdims=True) * share
-    real, total = seen[:, :START], seen.sum()
+    odds, often = NOISE * share[:START], seen.sum(axis=1, keepdims=True)
+    known, total = seen[:, :START], seen.sum()
     far, near = rows // CLASSES, rows % CLASSES
     by_near = np.argsort(near, kind="stable")
     adam = _Adam(p)
@@ -141,7 +134,8 @@ def train(at: np.ndarray, counts: np.ndarray, seed: int = 7, steps: int = STEPS)
     for step in range(steps):
         context = (model.inputs @ model.far)[far] + (model.inputs @ model.near)[near]
         g = np.zeros_like(seen)
-        g[:, :START] = _contrast(context @ model.outputs[:START].T + model.bias[:START], real, noise[:, :START]) / total
+        real = 1 / (1 + odds * np.exp(-np.clip(context @ model.outputs[:START].T + model.bias[:START], -40, 40)))
+        g[:, :START] = (odds * often * real - known * (1 - real)) / total
         g_context = g @ model.outputs
         g_far, g_near = np.zeros_like(model.inputs), np.zeros_like(model.inputs)
         g_far[far[far_at]] = np.add.reduceat(g_context, far_at)
@@ -151,16 +145,21 @@ def train(at: np.ndarray, counts: np.ndarray, seed: int = 7, steps: int = STEPS)
     return model
 
 
-def train_words(seen: np.ndarray, context: np.ndarray, steps: int = WORD_STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors and biases of the words of one class, from counts after each class (classes by words), by the same estimation."""
-    n = seen.sum(axis=0) + 0.5
-    share = (n / n.sum()).astype(np.float32)
-    p = [np.zeros((seen.shape[1], context.shape[1]), np.float32), np.log(share)]
-    noise = NOISE * seen.sum(axis=1, keepdims=True) * share
-    adam, weight = _Adam(p), (1 / n)[:, None].astype(np.float32)
+def train_words(seen: np.ndarray, share: np.ndarray, after: np.ndarray, context: np.ndarray, steps: int = WORD_STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and biases of words by the same estimation.
+
+    ``seen``: counts after each class (classes by words); ``share``: each word's
+    share of its own class; ``after``: how often its class comes after each
+    class. Each word learns for itself, so any set of words can be trained apart.
+    """
+    n = (seen.sum(axis=0) + 0.5)[:, None].astype(np.float32)
+    p = [np.zeros((seen.shape[1], context.shape[1]), np.float32), np.log(share).astype(np.float32)]
+    odds = (NOISE * share).astype(np.float32)
+    adam = _Adam(p)
     for step in range(steps):
-        g = _contrast(context @ p[0].T + p[1], seen, noise)
-        adam.step(((g.T @ context + RIDGE * p[0]) * weight, g.sum(axis=0) * weight[:, 0]), RATE * min(1.0, 2 * (1 - step / steps)))
+        real = 1 / (1 + odds * np.exp(-np.clip(context @ p[0].T + p[1], -40, 40)))
+        g = odds * after * real - seen * (1 - real)
+        adam.step(((g.T @ context + RIDGE * p[0]) / n, g.sum(axis=0) / n[:, 0]), RATE * min(1.0, 2 * (1 - step / steps)))
     return p[0], p[1]
 
 
@@ -242,7 +241,7 @@ def _company(known: dict[bytes, int], rough: np.ndarray, axes: np.ndarray):
 
 
 def _counts(known: dict[bytes, int], classes: np.ndarray):
-    """Counts of class triples (kind -1), and for each class of several words of its words after each class."""
+    """Counts of class triples (block -1), and of words after each class (by blocks of words), if they share a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, size, memory = np.zeros(CLASSES**3, np.int64), len(classes), {}
@@ -259,8 +258,8 @@ def _counts(known: dict[bytes, int], classes: np.ndarray):
                 np.add.at(pairs, (x[:-1] * size + at[1:])[at[1:] >= 0], 1)
         where, own = np.nonzero(total)[0], np.nonzero(pairs)[0]
         own = own[classes[own % max(size, 1)] >= FIRST_KIND]
-        kind = np.concatenate([np.full(len(where), -1, np.int32), classes[own % max(size, 1)].astype(np.int32)])
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([where, own]).astype(np.int32)), pa.array(np.concatenate([total[where], pairs[own]]))], ["kind", "at", "n"])
+        block = np.concatenate([np.full(len(where), -1), own % max(size, 1) // WORD_BLOCK]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.concatenate([where, own]).astype(np.int32)), pa.array(np.concatenate([total[where], pairs[own]]))], ["block", "at", "n"])
 
     return run
 
@@ -274,8 +273,8 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", head_words: int
     head word and each ending keeps, and the driver clusters them into classes
     by it. A third counts class triples and, for each class, its words after
     each class. The driver trains the classes' level on at most CLASSES cubed
-    counts; each class's words are trained by a task of its own, on at most
-    CLASSES times their number.
+    counts; words are trained in blocks by the tasks, on at most CLASSES counts
+    each.
     """
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
     words = docs.select(F.explode(F.split(text, GAP)).alias("word")).filter("word != ''")
@@ -319,20 +318,23 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", head_words: int
     classes = np.arange(1, size + 1)
     classes[own:] = FIRST_KIND + cluster(x[own:], np.sqrt(n[own:]) + 1e-3, KINDS, seed)
 
-    found = materialise(docs.select(text_col).mapInArrow(_counts(known, classes), "kind int, at int, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")))
-    triples = found.filter("kind = -1").select("at", "n").toPandas().sort_values("at")
-    bilinear = train(triples["at"].to_numpy(np.int64), triples["n"].to_numpy(np.float64), seed)
+    found = materialise(docs.select(text_col).mapInArrow(_counts(known, classes), "block int, at int, n long").groupBy("block", "at").agg(F.sum("n").alias("n")))
+    triples = found.filter("block = -1").select("at", "n").toPandas().sort_values("at")
+    at = triples["at"].to_numpy(np.int64)
+    bilinear = train(at, triples["n"].to_numpy(np.float64), seed)
     context = bilinear.inputs @ bilinear.near
-
-    def within(pdf):
-        at = pdf["at"].to_numpy(np.int64)
-        places = np.nonzero(classes == pdf["kind"].iloc[0])[0]
-        seen = np.bincount(at // size * len(places) + np.searchsorted(places, at % size), pdf["n"], CLASSES * len(places)).reshape(CLASSES, -1).astype(np.float32)
-        vectors, bias = train_words(seen, context)
+    after = np.bincount(at % CLASSES**2, triples["n"], CLASSES**2).reshape(CLASSES, CLASSES).astype(np.float32)
+    share = ((n + 0.5) / np.bincount(classes, n + 0.5, CLASSES)[classes]).astype(np.float32)
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = WORD_BLOCK * int(pdf["block"].iloc[0])
+        places, at = np.arange(first, min(first + WORD_BLOCK, size)), pdf["at"].to_numpy(np.int64)
+        seen = np.bincount(at // size * len(places) + at % size - first, pdf["n"], CLASSES * len(places)).reshape(CLASSES, -1).astype(np.float32)
+        vectors, bias = train_words(seen, share[places], after[:, classes[places]], context)
         return pd.DataFrame({"place": places, "bias": bias.astype(float), "vector": [v.tobytes() for v in vectors]})
 
-    bilinear.words, bilinear.word_bias, bilinear.kinds = np.zeros((size, DIMENSIONS), np.float32), np.zeros(size, np.float32), classes
-    for r in found.filter("kind >= 0").groupBy("kind").applyInPandas(within, "place long, bias double, vector binary").collect():
+    bilinear.words, bilinear.word_bias, bilinear.kinds = np.zeros((size, DIMENSIONS), np.float32), np.log(share), classes
+    for r in found.filter("block >= 0").groupBy("block").applyInPandas(block, "place long, bias double, vector binary").collect():
         bilinear.words[r["place"]], bilinear.word_bias[r["place"]] = np.frombuffer(r["vector"], np.float32), r["bias"]
     discard(found)
     return LanguageModel(bilinear, known, classes, logs, spread, counts, sum(x[2] for x in levels) + texts, sum(x[1] for x in levels) + (texts > 0), texts)

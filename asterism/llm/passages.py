@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +18,6 @@ from ..shared import discard, materialise
 from .components import connected_components
 from .similar_sets import TILE, in_buckets, similar_links
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: A paragraph begins at each word whose hash is least among so many words to either side.
 REACH = 5
 SHINGLE = 5
@@ -65,7 +63,7 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 
 @dataclass
 class Paragraphs:
-    """Of several texts, end to end: first words and ends, text of each, hash of the whole, hash of the shingle that begins at each word, and shingles of each."""
+    """Of several texts, end to end: first words and ends, text of each, hash of the whole, hash of the shingle that begins at each word, shingles of each, and hash of each word."""
 
     starts: np.ndarray
     ends: np.ndarray
@@ -73,6 +71,15 @@ class Paragraphs:
     whole: np.ndarray
     runs: np.ndarray
     shingles: np.ndarray
+    words: np.ndarray
+
+    def of_texts(self, sizes: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """First words, ends and hashes of the paragraphs, and 32 bits of each word's hash, text by text (``sizes`` words each)."""
+        numbers, at = self.words.astype(np.uint32).view(np.int32), 0
+        for i, n in enumerate(sizes):
+            a, b = np.searchsorted(self.text, (i, i + 1))
+            yield self.starts[a:b] - at, self.ends[a:b] - at, self.whole[a:b].view(np.int64), numbers[at : at + n]
+            at += n
 
     def number(self) -> np.ndarray:
         """Place of each paragraph in its text."""
@@ -104,7 +111,7 @@ def cut(texts: list[list[bytes]], reach: int = REACH) -> Paragraphs:
     h = _hashes([w for t in texts for w in t])
     n, none = len(h), np.zeros(0, np.int64)
     if not n:
-        return Paragraphs(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none)
+        return Paragraphs(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none, none.astype(np.uint64))
     doc = np.repeat(np.arange(len(texts)), sizes)
     place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     behind = sizes[doc] - 1 - place
@@ -122,7 +129,7 @@ def cut(texts: list[list[bytes]], reach: int = REACH) -> Paragraphs:
     wide, runs = np.concatenate([h, np.zeros(SHINGLE, np.uint64)]), np.zeros(n, np.uint64)
     for k in range(SHINGLE):
         runs = runs * _MIX[0] + wide[k : k + n]
-    return Paragraphs(starts, ends, doc[starts], whole, _mixed(runs, 4), np.maximum(1, ends - starts - SHINGLE + 1))
+    return Paragraphs(starts, ends, doc[starts], whole, _mixed(runs, 4), np.maximum(1, ends - starts - SHINGLE + 1), h)
 
 
 def words_of(text: str | bytes | None) -> list[bytes]:
@@ -192,26 +199,22 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, reach:
     return shared
 
 
-def _numbers(words: list[bytes]) -> np.ndarray:
-    """32 bits of each word's hash."""
-    return _hashes(words).astype(np.uint32).view(np.int32)
-
-
 def _contexts(reach: int):
     """The words before (nearest first) and after each asked paragraph of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, asked in zip(batch.column(0), batch.column(1), strict=True):
-                words = words_of(text.as_py())
-                cuts, numbers = cut([words], reach), _numbers(words)
-                whole, root, before, after = cuts.whole.view(np.int64), [], [], []
-                for x in asked.as_py():
-                    if x["k"] < len(whole) and whole[x["k"]] == x["h"]:
-                        begin, end = cuts.starts[x["k"]], cuts.ends[x["k"]]
-                        root.append(x["root"])
-                        before.append(numbers[max(0, begin - CONTEXT) : begin][::-1])
-                        after.append(numbers[end : end + CONTEXT])
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                texts = [words_of(t) for t in part.column(0).cast(pa.binary()).to_pylist()]
+                root, before, after = [], [], []
+                for (starts, ends, whole, numbers), asked in zip(cut(texts, reach).of_texts([len(t) for t in texts]), part.column(1), strict=True):
+                    for x in asked.as_py():
+                        if x["k"] < len(whole) and whole[x["k"]] == x["h"]:
+                            begin, end = starts[x["k"]], ends[x["k"]]
+                            root.append(x["root"])
+                            before.append(numbers[max(0, begin - CONTEXT) : begin][::-1])
+                            after.append(numbers[end : end + CONTEXT])
                 kind = pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(root, pa.int64()), pa.array(before, kind), pa.array(after, kind)], ["root", "before", "after"])
 
@@ -280,17 +283,15 @@ def grow(left: list[int], right: list[int], before: list[int], after: list[int],
     return out[0], out[1]
 
 
-def _regions(words: list[bytes], marks: list[dict], similarity: float, least_words: int, reach: int) -> list[tuple[int, int]]:
+def _regions(starts: np.ndarray, ends: np.ndarray, numbers: np.ndarray, marks: list[dict], similarity: float, least_words: int) -> list[tuple[int, int]]:
     """First words and ends of what repeats: runs of paragraphs, each grown along its source; those that meet are one."""
-    cuts, numbers = cut([words], reach), _numbers(words).tolist()
     before = {m["k"]: m["before"] for m in marks if m["before"] is not None}
     after = {m["k"]: m["after"] for m in marks if m["after"] is not None}
     found: list[tuple[int, int, bool]] = []
     for first, last, n in _runs(marks):
-        if last >= len(cuts.starts):
-            continue
-        begin, end = int(cuts.starts[first]), int(cuts.ends[last])
-        less, more = grow(numbers[max(0, begin - 2 * CONTEXT) : begin][::-1], numbers[end : end + 2 * CONTEXT], before.get(first, []), after.get(last, []), end - begin, similarity)
+        begin, end = int(starts[first]), int(ends[last])
+        left, right = numbers[max(0, begin - 2 * CONTEXT) : begin][::-1].tolist(), numbers[end : end + 2 * CONTEXT].tolist()
+        less, more = grow(left, right, before.get(first, []), after.get(last, []), end - begin, similarity)
         found.append((begin - less, end + more, n >= least_words))
     out: list[tuple[int, int, bool]] = []
     for begin, end, sure in sorted(found):
@@ -301,12 +302,20 @@ def _regions(words: list[bytes], marks: list[dict], similarity: float, least_wor
     return [(begin, end) for begin, end, sure in out if sure or end - begin >= LEAST_GROWN]
 
 
+def word_bounds(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first character of each word, and of the first behind it."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.concatenate([[False], (c != 32) & ((c < 9) | (c > 13)), [False]])
+    edges = np.nonzero(inside[1:] != inside[:-1])[0]
+    return edges[::2], edges[1::2]
+
+
 def _taken(text: str, regions: list[tuple[int, int]]) -> tuple[str, list[dict]]:
     """A text without the words of ``regions``, and the spans of characters taken out."""
-    found = list(WORD.finditer(text))
+    first, behind = word_bounds(text)
     parts, at, gone = [], 0, []
     for a, b in regions:
-        begin, end = found[a].start(), found[b - 1].end()
+        begin, end = int(first[a]), int(behind[b - 1])
         while end < len(text) and text[end] == " ":
             end += 1
         parts.append(text[at:begin])
@@ -324,12 +333,17 @@ def _without(similarity: float, least_words: int, reach: int):
             text, marks = batch.column("_text"), batch.column("_ks")
             spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             changed, texts = np.zeros(batch.num_rows, bool), []
-            for i in np.nonzero(marks.is_valid().to_numpy(zero_copy_only=False))[0].tolist():
-                regions = _regions(words_of(text[i].as_py()), marks[i].as_py(), similarity, least_words, reach)
-                if regions:
-                    new, spans[i] = _taken(text[i].as_py(), regions)
-                    texts.append(new)
-                    changed[i] = True
+            marked = np.nonzero(marks.is_valid().to_numpy(zero_copy_only=False))[0].tolist()
+            for at in range(0, len(marked), 64):
+                block = marked[at : at + 64]
+                words = [words_of(text[i].as_py()) for i in block]
+                cuts = cut(words, reach).of_texts([len(w) for w in words])
+                for i, (starts, ends, _, numbers) in zip(block, cuts, strict=True):
+                    regions = _regions(starts, ends, numbers, marks[i].as_py(), similarity, least_words)
+                    if regions:
+                        new, spans[i] = _taken(text[i].as_py(), regions)
+                        texts.append(new)
+                        changed[i] = True
             kept = pc.replace_with_mask(text, pa.array(changed), pa.array(texts, text.type))
             own = [i for i, c in enumerate(batch.schema.names) if c not in ("_text", "_ks")]
             removed = pa.array([sum(g["words"] for g in gone) for gone in spans], pa.int64())

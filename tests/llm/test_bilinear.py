@@ -23,8 +23,12 @@ def test_words_of_a_class_learn_their_company():
     rng = np.random.default_rng(2)
     context, seen = rng.normal(size=(b.CLASSES, b.DIMENSIONS)).astype(np.float32), np.zeros((b.CLASSES, 4), np.float32)
     seen[3], seen[4] = (90, 10, 5, 0), (10, 90, 5, 0)
-    vectors, bias = b.train_words(seen, context)
+    after = seen.sum(axis=1, keepdims=True) * np.ones((1, 4), np.float32)
+    share = (seen.sum(axis=0) + 0.5) / (seen.sum() + 2)
+    vectors, bias = b.train_words(seen, share, after, context)
     scores = context @ vectors.T + bias
+    apart = [b.train_words(seen[:, k : k + 1], share[k : k + 1], after[:, :1], context)[0][0] for k in range(4)]
+    assert np.allclose(vectors, apart, atol=1e-3)
     assert scores[3, 0] > scores[3, 1] + 0.5 and scores[4, 1] > scores[4, 0] + 0.5 and scores[3, 3] < scores[3, 2]
 
 

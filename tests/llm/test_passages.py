@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 from asterism.llm import passages as p
@@ -6,6 +7,9 @@ from asterism.llm.components import connected_components
 from asterism.llm.similar_sets import in_buckets, similar_links
 
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
 def words(rng, n):
     return [f"w{rng.randrange(100_000)}" for _ in range(n)]
 
@@ -101,8 +105,8 @@ def test_query_keeps_one_of_each(spark, sf_dir):
     assert set(got) == set(docs)
     first = {}
     for i in sorted(docs):
-        w = p.WORD.findall(docs[i].lower())
-        left = set(zip(*(p.WORD.findall(got[i]["text"].lower())[k:] for k in range(60)), strict=False))
+        w = WORD.findall(docs[i].lower())
+        left = set(zip(*(WORD.findall(got[i]["text"].lower())[k:] for k in range(60)), strict=False))
         for g in set(zip(*(w[k:] for k in range(60)), strict=False)):
             if g in first and len(set(g)) > 30:
                 assert g not in left
@@ -170,6 +174,11 @@ def test_a_popular_shingle_loses_no_pair(spark):
         assert roots[3 * i + 2] == 2
 
 
+def test_bounds_of_words():
+    for text in ("", " ", "a", "  é\x0b\U0001f600b c\n", "a\u00a0b\u2003c d\x1fe"):
+        assert list(zip(*map(np.ndarray.tolist, p.word_bounds(text)), strict=True)) == [m.span() for m in WORD.finditer(text)]
+
+
 def test_growing_keeps_the_similarity():
     base = list(range(200))
     assert p.grow(base[:10], base[10:40], base[:8], [*base[10:30], 999, *base[31:60]], 20) == (8, 30)
