@@ -4,62 +4,107 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import discard, materialise
 
 
-def nearest(points: DataFrame, refs: DataFrame, k: int, ties: bool = False, max_rounds: int = 60) -> DataFrame:
+#: A grid cell with more places is split into CUT x CUT, for the points in it.
+CROWD, CUT, DEEPEST = 12, 4, 22
+
+
+def _cell(c: str, side: Column) -> Column:
+    return F.floor(F.col(c) / side).cast("long")
+
+
+def _levels(points: DataFrame, places: DataFrame, side: float, crowd: int) -> DataFrame:
+    """``points`` with ``level``: how often the cell around each is split until it holds at most ``crowd`` places.
+
+    Each step counts places by cell and goes on with those in cells that hold
+    too many, so a crowded part of the plane is counted anew and the rest is not.
+    """
+    left, crowded = places.select("rx", "ry"), []
+    while len(crowded) < DEEPEST:
+        now = F.lit(side / CUT ** len(crowded))
+        left = left.withColumns({"cx": _cell("rx", now), "cy": _cell("ry", now)})
+        full = materialise(left.groupBy("cx", "cy").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("cx", "cy"))
+        if full.isEmpty():
+            discard(full)
+            break
+        crowded.append(full)
+        left = left.join(full, ["cx", "cy"], "left_semi").select("rx", "ry")
+    out = points.withColumn("level", F.lit(0))
+    for k, full in enumerate(crowded):
+        now = F.lit(side / CUT**k)
+        keyed = out.withColumns({"cx": F.when(F.col("level") == k, _cell("x", now)), "cy": _cell("y", now)})
+        out = keyed.join(full.withColumn("in", F.lit(1)), ["cx", "cy"], "left").select("id", "x", "y", (F.col("level") + F.coalesce("in", F.lit(0))).alias("level"))
+    out = materialise(out)
+    for full in crowded:
+        discard(full)
+    return out
+
+
+def nearest(points: DataFrame, refs: DataFrame, k: int, ties: bool = False, max_rounds: int = 120) -> DataFrame:
     """``id, ref, d2, rank``: the ``k`` nearest references of every point (both: id, x, y; the references' ids differ).
 
     Points meet the references of the 3 x 3 grid cells around them; what lies
-    within one cell's side is then complete. Points with fewer than ``k``
-    references so near go on to cells of twice the side, so crowded places are
-    settled on fine grids and empty ones on coarse ones, and no pair outside
-    neighbouring cells is ever built. Ranks go by distance, then id; with
+    within one cell's side is then complete. Each point starts with cells so
+    small that its own holds few references, and goes on to cells of twice the
+    side while it has fewer than ``k`` so near; so crowded places are settled on
+    fine grids and empty ones on coarse ones. References at one place count as
+    one there, with their ``k`` least ids. Ranks go by distance, then id; with
     ``ties`` all references as near as the ``k``-th have their rank. Points get
     fewer rows if there are fewer references; rows with null or NaN places are left out.
     """
-    good = lambda d: d.select("id", "x", "y").filter(~(F.isnan("x") | F.isnan("y")) & F.col("x").isNotNull() & F.col("y").isNotNull())
-    points, refs = good(points), materialise(good(refs).select(F.col("id").alias("ref"), F.col("x").alias("rx"), F.col("y").alias("ry")))
-    n, x0, x1, y0, y1 = refs.agg(F.count("*"), F.min("rx"), F.max("rx"), F.min("ry"), F.max("ry")).first()
+    good = lambda d: d.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter(~(F.isnan("x") | F.isnan("y")) & F.col("x").isNotNull() & F.col("y").isNotNull())
+    points, refs = good(points), good(refs).select(F.col("id").alias("ref"), (F.col("x") + 0.0).alias("rx"), (F.col("y") + 0.0).alias("ry"))
+    first = refs.withColumn("_n", F.row_number().over(Window.partitionBy("rx", "ry").orderBy("ref"))).filter(F.col("_n") <= k)
+    places = materialise(first.groupBy("rx", "ry").agg(F.min("ref").alias("place"), F.array_sort(F.collect_list("ref")).alias("refs")))
+    n, x0, x1, y0, y1 = places.agg(F.count("*"), F.min("rx"), F.max("rx"), F.min("ry"), F.max("ry")).first()
     schema = "id long, ref long, d2 double, rank int"
     if not n:
         return refs.sparkSession.createDataFrame([], schema)
     a0, a1, b0, b1 = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if a0 is None:
         return refs.sparkSession.createDataFrame([], schema)
-    span = max(x1, a1) - min(x0, a0), max(y1, b1) - min(y0, b0)
-    extent = math.hypot(*span) or 1.0
-    side = min(extent, max(math.sqrt(max(x1 - x0, 1e-9) * max(y1 - y0, 1e-9) * k / n), extent / 2**40))
-    pending, parts = materialise(points), []
-    by = Window.partitionBy("id").orderBy("d2", "ref")
+    extent = math.hypot(max(x1, a1) - min(x0, a0), max(y1, b1) - min(y0, b0)) or 1.0
+    crowd = max(CROWD, 2 * k)
+    side = min(extent, max(math.sqrt(max(x1 - x0, 1e-9) * max(y1 - y0, 1e-9) * crowd / n), extent / 2**30))
+    pending = _levels(points, places, side, crowd)
+    pending = pending.select("id", "x", "y", (-2 * F.col("level")).alias("scale"))
+    parts, by, around = [], Window.partitionBy("id").orderBy("d2", "place"), F.array(*(F.lit(i) for i in (-1, 0, 1)))
     for _ in range(max_rounds):
-        last = side >= extent
-        cell = lambda c, s=side: F.floor(F.col(c) / F.lit(s)).cast("long")
-        spread = refs.select("*", F.explode(F.sequence(cell("rx") - 1, cell("rx") + 1)).alias("cx"), cell("ry").alias("_y")).select("ref", "rx", "ry", "cx", F.explode(F.sequence(F.col("_y") - 1, F.col("_y") + 1)).alias("cy"))
-        met = pending.withColumns({"cx": cell("x"), "cy": cell("y")}).join(spread, ["cx", "cy"])
+        scales = sorted(r["scale"] for r in pending.select("scale").distinct().collect())
+        if not scales:
+            break
+        width = F.lit(side) * F.pow(F.lit(2.0), F.col("scale"))
+        asked = pending.withColumns({"_x": _cell("x", width), "_y": _cell("y", width)})
+        asked = asked.withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around)).select("id", "x", "y", "scale", (F.col("_x") + F.col("_i")).alias("cx"), (F.col("_y") + F.col("_j")).alias("cy"))
+        spread = places.withColumn("scale", F.explode(F.array(*map(F.lit, scales)))).select("*", _cell("rx", width).alias("cx"), _cell("ry", width).alias("cy"))
         d2 = (F.col("x") - F.col("rx")) ** 2 + (F.col("y") - F.col("ry")) ** 2
-        near = met.select("id", "ref", d2.alias("d2"))
-        if not last:
-            near = near.filter(F.col("d2") <= side * side)
+        last = width >= extent
+        near = asked.join(spread, ["scale", "cx", "cy"]).select("id", "place", "refs", d2.alias("d2"), "scale", last.alias("last"), width.alias("width")).filter(F.col("last") | (F.col("d2") <= F.col("width") * F.col("width")))
         rank = F.rank().over(Window.partitionBy("id").orderBy("d2")) if ties else F.row_number().over(by)
-        ranked = near.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("found", F.count("*").over(Window.partitionBy("id")))
-        done = materialise((ranked if last else ranked.filter(F.col("found") >= k)).select("id", "ref", "d2", "rank"))
+        kept = near.withColumn("_r", rank).filter(F.col("_r") <= k).withColumn("found", F.sum(F.size("refs")).over(Window.partitionBy("id")))
+        done = materialise(kept.filter(F.col("last") | (F.col("found") >= k)).select("id", "place", "refs", "d2"))
         parts.append(done)
-        if last:
-            break
-        rest = materialise(pending.join(done.select("id").distinct(), "id", "left_anti"))
+        rest = materialise(pending.filter(~last).join(done.select("id").distinct(), "id", "left_anti").select("id", "x", "y", (F.col("scale") + 1).alias("scale")))
         discard(pending)
         pending = rest
-        if pending.isEmpty():
-            break
-        side *= 2
+    else:
+        raise RuntimeError(f"neighbours did not settle in {max_rounds} rounds")
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out
+    if ties:
+        held = refs.join(places.select("rx", "ry", "place"), ["rx", "ry"]).select("place", "ref")
+        each = out.drop("refs").join(held, "place")
+        rank = F.rank().over(Window.partitionBy("id").orderBy("d2"))
+    else:
+        each = out.select("id", "d2", F.explode("refs").alias("ref"))
+        rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "ref"))
+    return each.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "ref", "d2", "rank")
 
 
 def assign_regions(points: DataFrame, generators: DataFrame, pad: float = 0.0) -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -76,6 +77,31 @@ def test_nearest_against_all_pairs(spark, k):
     assert neighbours.nearest(points(spark, asked).limit(0), points(spark, refs), 2).count() == 0
 
 
+def test_crowded_catalogues_take_no_longer(spark):
+    rng = np.random.default_rng(3)
+    n, k = 20_000, 6
+    wide = rng.uniform(0, 1000, (n, 2))
+    core = np.vstack([rng.normal(500, 0.3, (n - n // 100 - 200, 2)), rng.uniform(0, 1000, (n // 100, 2)), [[500.0, 500.0]] * 200])
+    took = []
+    for place in (wide[:500], wide, core):
+        df = points(spark, place).drop("g").cache()
+        begun = time.perf_counter()
+        found = neighbours.nearest(df, df, k).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "ref"))).alias("r")).collect()
+        took.append(time.perf_counter() - begun)
+        assert len(found) == len(place)
+        for row in random.Random(1).sample(found, 300):
+            d = ((place - place[row["id"]]) ** 2).sum(axis=1)
+            assert [e["ref"] for e in row["r"]] == np.lexsort((np.arange(len(d)), d))[:k].tolist()
+        df.unpersist()
+    assert took[2] < 2 * took[1] + 5, took
+
+
+def test_all_ties_at_a_crowded_place(spark):
+    refs = points(spark, [(1, 1)] * 40 + [(3, 1)] * 30 + [(9, 9)]).drop("g")
+    got = neighbours.nearest(points(spark, [(2, 1), (1, 1)]).drop("g"), refs, 1, ties=True).collect()
+    assert sorted((r["id"], r["ref"]) for r in got) == [(0, i) for i in range(70)] + [(1, i) for i in range(40)] and {r["rank"] for r in got} == {1}
+
+
 def test_cells_fill_the_box_and_know_their_neighbours(spark):
     rng = random.Random(4)
     pts = [(rng.random(), rng.random()) for _ in range(120)] + [(0.5 + 1e-4 * i, 0.5) for i in range(30)]
