@@ -11,17 +11,19 @@ from ..operators import decontamination, neighbours, splines, statistics, tessel
 from ..shared import materialise
 
 
-def spatial_groups(cluster: DataFrame, min_stars: int = 200, clip: bool = False) -> tuple[DataFrame, list[tuple]]:
-    """``star_id, g`` and the rings (see ``tessellation.annuli``) about the middle of the field, each with area for ``min_stars`` at the mean density.
+def spatial_groups(cluster: DataFrame, field: DataFrame, min_stars: int = 200, clip: bool = False) -> tuple[DataFrame, list[tuple]]:
+    """``star_id, g`` of the cluster's stars and the rings (see ``tessellation.annuli``) about the middle of its field.
 
-    Stars on a border, corners of the field's hull among them, are in no group.
+    Each ring has area for ``min_stars`` at the mean density of ``field`` (ra,
+    dec): its stars over the circle that reaches its farthest one. Stars on a
+    border, corners of the cluster's hull among them, are in no group.
     """
     mid = lambda c: F.min(c) + (F.max(c) - F.min(c)) / 2
-    ra, dec = cluster.agg(mid("ra"), mid("dec")).first()
+    (ra, dec), (f_ra, f_dec) = (df.agg(mid("ra"), mid("dec")).first() for df in (cluster, field))
     none = cluster.select("star_id", F.lit(0).cast("long").alias("g")).limit(0)
-    if ra is None:
+    if ra is None or f_ra is None:
         return none, []
-    n, reach = cluster.agg(F.count("*"), F.max(sky_separation(F.lit(ra), F.lit(dec), F.col("ra"), F.col("dec")))).first()
+    n, reach = field.agg(F.count("*"), F.max(sky_separation(F.lit(f_ra), F.lit(f_dec), F.col("ra"), F.col("dec")))).first()
     ring = np.array([(r["x"], r["y"]) for r in tessellation.convex_hull(cluster, "ra", "dec").orderBy("k").collect()])
     if len(ring) < 3 or not reach:
         return none, []
@@ -78,15 +80,15 @@ def statistical_membership(
 ) -> DataFrame:
     """``star_id, g, band1, band2, delta_ebv, membership`` of every cluster star.
 
-    ``cluster``: star_id, ra, dec, x, y, band1, band2; ``field``: star_id,
-    band1, band2. All groups are worked on together in each iteration; state is
+    ``cluster``: star_id, ra, dec, x, y, band1, band2; ``field``: star_id, ra,
+    dec, band1, band2. All groups are worked on together in each iteration; state is
     written to the shared folder between iterations. ``expected`` gives the mean
     of the random subtraction, ``montecarlo`` draws it, seeded; there, stars
     that are never drawn keep their membership, as do those in no group.
     """
     if method not in ("expected", "montecarlo"):
         raise ValueError(f"no method {method}")
-    groups, rings = spatial_groups(cluster, min_stars)
+    groups, rings = spatial_groups(cluster, field, min_stars)
     state = materialise(cluster.join(groups, "star_id", "left").select("star_id", "x", "y", "band1", "band2", "g", F.lit(0.0).alias("delta_ebv"), F.lit(1.0).alias("membership")))
     ratio = F.lit(None).cast("double")
     for g, *_, share in rings:

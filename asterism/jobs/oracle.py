@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from .queries import DISCARD, DR, ERROR_CUT, FIXED, FOV_RATIO, HIGH, LINKS, LOW, MEMBER, MIN_STARS, NEIGHBOURS, PAD, RADII, RIDGE, STEP, THETAS, THIN
+from .queries import DISCARD, DR, ERROR_CUT, FIXED, FOV_RATIO, GRID, HIGH, LINKS, LOW, MEMBER, MIN_STARS, NEIGHBOURS, PAD, RADII, RIDGE, SCATTER, STEP, THETAS, THIN
 
 COS, SIN, SPAN = repr(math.cos(DR.theta)), repr(math.sin(DR.theta)), repr(DR.a1 - DR.a2)
 _E = [f"embedding[{i}]::DOUBLE" for i in range(1, 9)]
@@ -98,7 +98,31 @@ def _percentiles(source: str, col: str) -> str:
     return " UNION ALL ".join(f"SELECT {q}::DOUBLE AS q, {r6(f'quantile_cont({col}, {q})')} AS value FROM {source}" for q in (0.16, 0.5, 0.84))
 
 
-_DRAWS = ", ".join(f"({t[0]}::DOUBLE, {t[2]}::DOUBLE, {t[10]}::DOUBLE)" for t in THETAS)
+_THETA = ", ".join(f"{t}::DOUBLE + {SCATTER}::DOUBLE * (abs(theta0) * {i + 1} % 1)" for i, t in enumerate(THETAS[0]))
+DRAWS = f"{CHAIN}, draws AS (SELECT walker AS draw, [{_THETA}] AS t FROM chain QUALIFY row_number() OVER (PARTITION BY walker ORDER BY step DESC) = 1)"
+
+
+def _draw_parts() -> str:
+    out = []
+    for c, w in ((0, "t[11]"), (1, "(1 - t[11])")):
+        mu1, mu2, s1, s2, rho = (f"t[{5 * c + i}]" for i in range(1, 6))
+        o1, o2 = f"sqrt(pow({s1}, 2) + epm_ra * epm_ra)", f"sqrt(pow({s2}, 2) + epm_dec * epm_dec)"
+        out.append(f"{w} * {_normal('pm_ra', 'pm_dec', mu1, mu2, o1, o2, f'({rho} * {s1} * {s2} / ({o1} * {o2}))')} AS p{c}")
+    return ", ".join(out)
+
+
+def _corner() -> list[str]:
+    names, out = ("theta0", "log_prob", "step"), []
+    at = lambda p: f"least(floor(({p} - (SELECT min({p}) FROM params)) / {width(p)}), 19)::BIGINT"
+    width = lambda p: f"(SELECT (max({p}) - min({p})) / 20 FROM params)"
+    total = "(SELECT count(*) FROM params)"
+    for k, p in enumerate(names):
+        out.append(f"SELECT 'one' AS kind, '{p}' AS a, NULL::VARCHAR AS b, {at(p)} AS ia, NULL::BIGINT AS ib, count(*) AS n, {r6(f'count(*) / ({total} * {width(p)})')} AS value FROM params GROUP BY ALL")
+        out += [f"SELECT 'two', '{p}', '{q}', {at(p)}, {at(q)}, count(*), {r6(f'count(*) / ({total} * ({width(p)} * {width(q)}))')} FROM params GROUP BY ALL" for q in names[k + 1 :]]
+        out += [f"SELECT 'quantile', '{p}', NULL, NULL, {i}, NULL, {r6(f'quantile_cont({p}, {v})')} FROM params" for i, v in enumerate((0.16, 0.5, 0.84))]
+    return out
+
+
 _FIX_T = {0: "pm_ra", 1: "pm_dec", 2: "epm_ra", 3: "epm_ra", 4: "0.0::DOUBLE"}
 _HEX_FIRST = "pow(u - round_even(u, 0), 2) + 3 * pow(v - round_even(v, 0), 2) < pow(u - floor(u) - 0.5, 2) + 3 * pow(v - floor(v) - 0.5, 2)"
 
@@ -156,13 +180,18 @@ SELECT star_id, {r6('abs(a) / 2')} AS area, {r6('sx / (3 * a)')} AS cx, {r6('sy
     "mix_log_prior": f"WITH {STARS} SELECT star_id, CASE WHEN pm_ra BETWEEN -4 AND -2 AND pm_dec BETWEEN -7 AND -5 AND epm_ra BETWEEN 0.1::DOUBLE AND 1 AND epm_dec BETWEEN 0.1::DOUBLE AND 1 AND epm_ra - epm_dec BETWEEN -0.5 AND 0.5 AND membership BETWEEN 0.6::DOUBLE AND 1 THEN 0.0::DOUBLE ELSE '-inf'::DOUBLE END AS log_prior FROM stars",
     "mix_fix_link": f"WITH {STARS} SELECT star_id, {', '.join(f'{r6(c)} AS t{i}' for i, c in _FIX_T.items())} FROM stars",
     "mix_posterior": f"WITH {STARS} " + " UNION ALL ".join(f"SELECT {i}::BIGINT AS param_id, {r6(_loglik(_effective(t))) if _allowed(t) else chr(39) + '-inf' + chr(39) + '::DOUBLE'} AS log_posterior FROM {'stars' if _allowed(t) else '(SELECT 1)'}" for i, t in enumerate(THETAS)),
-    "mix_membership": f"WITH {STARS}, d AS (SELECT star_id, {', '.join(f'{p} / ({a} + {b}) AS p{k}_{i}' for i, (a, b) in enumerate(map(_parts, THETAS[:3])) for k, p in ((0, a), (1, b)))} FROM stars) " + " UNION ALL ".join(f"SELECT star_id, {k}::BIGINT AS comp, {r6(f'(p{k}_0 + p{k}_1 + p{k}_2) / 3')} AS p FROM d" for k in (0, 1)),
-    "gauss_bands": f"""WITH {STARS}, err AS (SELECT quantile_cont(epm_ra, 0.5) AS e FROM stars), draws AS (SELECT * FROM (VALUES {_DRAWS}) v(mu, s, w)), p AS (SELECT star_id, w * exp(-pow(pm_ra - mu, 2) / (2 * (s * s + e * e))) / (sqrt(s * s + e * e) * sqrt(2 * pi())) AS f FROM stars, err, draws)
-SELECT star_id, {r6('quantile_cont(f, 0.05)')} AS low, {r6('quantile_cont(f, 0.95)')} AS high FROM p GROUP BY star_id""",
+    "mix_membership": f"WITH {STARS}, {DRAWS}, p AS (SELECT star_id, draw, {_draw_parts()} FROM stars, draws) SELECT star_id, draw, 0::BIGINT AS comp, {r6('p0 / (p0 + p1)')} AS p FROM p UNION ALL SELECT star_id, draw, 1::BIGINT, {r6('p1 / (p0 + p1)')} FROM p",
+    "gauss_bands": f"""WITH {STARS}, {DRAWS}, err AS (SELECT quantile_cont(epm_ra, 0.5) AS e0, quantile_cont(epm_dec, 0.5) AS e1, min(pm_ra) AS a0, max(pm_ra) AS b0, min(pm_dec) AS a1, max(pm_dec) AS b1 FROM stars),
+grid AS (SELECT 0::BIGINT AS axis, i, a0 + i * ((b0 - a0) / {GRID - 1}) AS x, e0 AS e FROM range({GRID}) r(i), err UNION ALL SELECT 1, i, a1 + i * ((b1 - a1) / {GRID - 1}), e1 FROM range({GRID}) r(i), err),
+one AS (SELECT axis, i, draw, c AS component, CASE WHEN c = 0 THEN t[11] ELSE 1 - t[11] END * exp(-pow(x - t[5 * c + 1 + axis], 2) / (2 * (pow(t[5 * c + 3 + axis], 2) + e * e))) / (sqrt(pow(t[5 * c + 3 + axis], 2) + e * e) * sqrt(2 * pi())) AS p FROM grid, draws, (VALUES (0::BIGINT), (1::BIGINT)) v(c)),
+every AS (SELECT axis, i, draw, component, p FROM one UNION ALL SELECT axis, i, draw, -1::BIGINT, sum(p) FROM one GROUP BY ALL)
+SELECT axis, i, component, {r6('quantile_cont(p, 0.05)')} AS low, {r6('quantile_cont(p, 0.95)')} AS high FROM every GROUP BY ALL""",
     "chain_write_read": f"WITH {SLICED} SELECT 'kept' AS run_id, count(*) AS n, {r6('sum(theta0)')} AS total FROM sliced UNION ALL SELECT 'burn_in', count(*), {r6('sum(theta0)')} FROM chain WHERE step < {DISCARD}",
     "chain_slice": f"WITH {SLICED} SELECT walker, step, {r6('theta0')} AS theta0 FROM sliced",
     "chain_percentiles": f"WITH {SLICED} {_percentiles('sliced', 'theta0')}",
     "chain_argmax": f"WITH {CHAIN} SELECT walker, step, {r6('theta0')} AS theta0 FROM chain ORDER BY log_prob DESC, step, walker LIMIT 1",
     "trace_long": f"WITH {CHAIN} " + " UNION ALL ".join(f"SELECT walker, step, '{p}' AS param, {r6(p)} AS value, CASE WHEN step < {DISCARD} THEN 'burn_in' ELSE 'kept' END AS part FROM chain" for p in ("theta0", "log_prob")),
-    "corner_hist": f"WITH {SLICED}, st AS (SELECT theta0, step::DOUBLE AS t FROM sliced), {_hist2d('st', 'theta0', 't', 20)} SELECT ix, iy, n, {r6('density')} AS density FROM cells",
+    "corner_hist": f"WITH {SLICED}, params AS (SELECT theta0, log_prob, step::DOUBLE AS step FROM sliced) " + " UNION ALL ".join(_corner()),
+    "scan_whitespace": f"WITH {PHOT} SELECT star_id, {r6('x')} AS x, {r6('band1')} AS band1, {r6('membership')} AS membership FROM phot",
+    "scan_csv": f"WITH {PHOT} SELECT star_id, {r6('x')} AS x, {r6('band1')} AS band1, {r6('membership')} AS membership FROM phot",
 }

@@ -6,11 +6,14 @@ import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import expressions as X
-from ..operators import chains, decontamination, mixture, neighbours, statistics, tessellation
+from ..operators import chains, decontamination, mixture, neighbours, splines, statistics, tessellation
 from ..shared import shared_dir
 from ..sources.catalogues import chain, photometry, read_chain, stars, write_chain
+from ..sources.catalogues import scan_csv as scan_comma
+from ..sources.catalogues import scan_whitespace as scan_text
 from . import membership, sampler
 
 DR = X.Reddening()
@@ -38,6 +41,10 @@ THETAS = [
 FIXED: list[float | None] = [None] * 4 + [0.0] + [None] * 6
 LINKS = [(2, 3)]
 DISCARD, THIN = 10, 5
+#: How far draws scatter, and places of a grid along an axis.
+SCATTER, GRID = 0.05, 100
+#: Field stars that a computed annulus should hold.
+GROUP_STARS = 100
 
 
 def r6(c: Column) -> Column:
@@ -216,6 +223,30 @@ def spline_eval(spark, d):
     return df.select("star_id", r6(ridge).alias("ridge"), r6(F.col("rx") - ridge).alias("residual"))
 
 
+def ridge_residuals(spark, d):
+    """Stars' distances from a spline through the medians of the fiducial bins."""
+    knots = sorted((r["ordinate"], r["abscissa"]) for r in statistics.binned_medians(_roi(spark, d).select("rx", "ry"), "ry", "rx", STEP).collect())
+    ridge = splines.evaluate(F.col("ry"), *splines.fit([k[0] for k in knots], [k[1] for k in knots]))
+    return _rotated(photometry(spark, d)).select("star_id", r6(ridge).alias("ridge"), r6(F.col("rx") - ridge).alias("residual"))
+
+
+SCANNED = T.StructType([T.StructField("star_id", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("x", "band1", "membership"))])
+
+
+def scan_whitespace(spark, d):
+    """The photometry written as text between runs of blanks, scanned for some of its columns."""
+    path, df = f"{shared_dir(spark)}/asterism-scan-{uuid.uuid4().hex}", photometry(spark, d)
+    df.select(F.concat_ws("  ", F.lit(""), *(F.col(c).cast("string") for c in df.columns), F.lit("")).alias("value")).write.text(path)
+    return _rounded(scan_text(spark, path, SCANNED, df.columns), "x", "band1", "membership")
+
+
+def scan_csv(spark, d):
+    """The photometry written as comma-separated files with headers, scanned for some of its columns."""
+    path = f"{shared_dir(spark)}/asterism-scan-{uuid.uuid4().hex}"
+    photometry(spark, d).write.csv(path, header=True)
+    return _rounded(scan_comma(spark, path, SCANNED), "x", "band1", "membership")
+
+
 def ring_centroid(spark, d):
     p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     x, y, w, h = F.col("x"), F.col("y"), F.col("epm_ra"), F.col("epm_dec")
@@ -286,7 +317,7 @@ def membership_update(spark, d):
 
 def mc_membership(spark, d):
     field, cluster = _regions(spark, d)
-    return decontamination.sampled_membership(_rates(field), cluster, 200).withColumnRenamed("id", "star_id")
+    return decontamination.sampled_membership(_rates(field), cluster, 1000).withColumnRenamed("id", "star_id")
 
 
 def bivar_pdf(spark, d):
@@ -324,15 +355,26 @@ def mix_posterior(spark, d):
     return _rounded(mixture.log_posteriors(stars(spark, d), THETAS, LOW, HIGH, FIXED, LINKS), "log_posterior")
 
 
+def _draws(spark, d) -> DataFrame:
+    """A parameter vector for the last step of every walker, scattered about the first of THETAS by what the walker has seen."""
+    part = lambda i: F.abs("theta0") * (i + 1) % 1
+    theta = F.array(*(F.lit(t) + SCATTER * part(i) for i, t in enumerate(THETAS[0])))
+    return chains.last_steps(chain(spark, d)).select(F.col("walker").alias("draw"), theta.alias("theta"))
+
+
 def mix_membership(spark, d):
-    return _rounded(mixture.component_membership(stars(spark, d), "star_id", THETAS[:3]), "p")
+    return _rounded(mixture.component_membership(stars(spark, d), "star_id", _draws(spark, d), len(THETAS[0])), "p")
 
 
 def gauss_bands(spark, d):
+    """Bands over GRID places along either axis of the proper motions, widened by the median errors."""
     df = stars(spark, d)
-    error = statistics.exact_quantiles(df, "epm_ra", (0.5,))[0]
-    draws = [(t[0], t[2], t[10]) for t in THETAS]
-    return _rounded(mixture.density_bands(df, "star_id", "pm_ra", draws, error or 0.0), "low", "high")
+    errors = tuple(statistics.exact_quantiles(df, c, (0.5,))[0] or 0.0 for c in ("epm_ra", "epm_dec"))
+    ends = df.agg(*(f(c) for c in ("pm_ra", "pm_dec") for f in (F.min, F.max))).first()
+    place = lambda low, high: F.lit(low) + F.col("i") * F.lit((high - low) / (GRID - 1))
+    axes = F.array(*(F.struct(F.lit(a).cast("long").alias("axis"), place(*ends[2 * a : 2 * a + 2]).alias("x")) for a in (0, 1)))
+    grid = spark.range(GRID if ends[0] is not None else 0).withColumnRenamed("id", "i").select("i", F.explode(axes).alias("e")).select("i", "e.*")
+    return _rounded(mixture.density_bands(grid, _draws(spark, d), len(THETAS[0]), errors), "low", "high")
 
 
 def chain_slice(spark, d):
@@ -352,8 +394,7 @@ def trace_long(spark, d):
 
 
 def corner_hist(spark, d):
-    df = chains.slice_chain(chain(spark, d), DISCARD, THIN).select("theta0", F.col("step").cast("double").alias("t"))
-    return _rounded(statistics.histogram2d(df, "theta0", "t", 20), "density")
+    return _rounded(statistics.corner(chains.slice_chain(chain(spark, d), DISCARD, THIN), ["theta0", "log_prob", "step"], 20), "value")
 
 
 def chain_write_read(spark, d):
@@ -373,8 +414,18 @@ def convex_hull(spark, d):
     return tessellation.convex_hull(stars(spark, d), "ra", "dec")
 
 
+def _groups(spark, d) -> tuple[DataFrame, list[tuple]]:
+    df = stars(spark, d)
+    return membership.spatial_groups(df.filter("is_cluster"), df.filter("is_field"), GROUP_STARS)
+
+
+def annulus_groups(spark, d):
+    """Cluster stars by computed annulus."""
+    return _groups(spark, d)[0].select("star_id", F.col("g").alias("group_id"))
+
+
 def annuli(spark, d):
-    groups, rings = membership.spatial_groups(stars(spark, d), MIN_STARS)
+    groups, rings = _groups(spark, d)
     table = spark.createDataFrame(rings or [(0, 0.0, 0.0, 0.0, 0.0)], "group_id long, r_low double, r_high double, area double, fov_ratio double").limit(len(rings))
     return table.join(groups.groupBy(F.col("g").alias("group_id")).agg(F.count("*").alias("n")), "group_id", "left")
 
@@ -416,7 +467,7 @@ def cvt_grid(spark, d):
 def statistical_membership(spark, d):
     df = stars(spark, d)
     roi = [(-8.0, -8.0), (8.0, -8.0), (8.0, 8.0), (-8.0, 8.0)]
-    return membership.statistical_membership(df.filter("is_cluster"), df.filter("is_field").select("star_id", "band1", "band2"), DR, roi, nref=10, step=0.5, threshold=0.3, iterations=2, min_stars=100)
+    return membership.statistical_membership(df.filter("is_cluster"), df.filter("is_field"), DR, roi, nref=10, step=0.5, threshold=0.3, iterations=3, min_stars=GROUP_STARS, target_median=3.0)
 
 
 def _box(spark, d) -> tuple[list[float], list[float]]:
@@ -438,7 +489,7 @@ QUERIES = {f.__name__: f for f in (
     cmd_project, filter_members, split_members, filter_error_cut, filter_quality, split_catalogs, rotate_cmd, roi_filter, fiducial_bins,
     hist_density, hist2d_density, density_weights, membership_percentiles, hexbin_median, describe_column, bbox_center, sky_separation,
     field_density, annulus_assign, knn_join, sigma_clip_median, dr_median, dr_apply, dr_threshold, spline_eval, ring_centroid,
-    region_counts, points_in_regions, median_region_count, cell_count_norm, common_regions, cell_counts_points, mc_rate,
+    ridge_residuals, scan_whitespace, scan_csv, annulus_groups, region_counts, points_in_regions, median_region_count, cell_count_norm, common_regions, cell_counts_points, mc_rate,
     expected_membership, membership_update, mc_membership, bivar_pdf, mvar_pdf, univar_pdf, mix_loglik, mix_log_prior, mix_fix_link,
     mix_posterior, mix_membership, gauss_bands, chain_write_read, convex_hull, annuli, voronoi_cells, cell_adjacency, cvt, merge_regions,
     dilate_grid, kmeans_centroids, cvt_grid, statistical_membership, sampler_init, sampler_run, chain_slice, chain_percentiles, chain_argmax, trace_long, corner_hist,

@@ -17,8 +17,20 @@ def best_step(chain: DataFrame) -> DataFrame:
     return chain.agg(F.max_by(F.struct(*chain.columns), order).alias("r")).select("r.*")
 
 
-def trace(chain: DataFrame, params: list[str], burn_in: int = 0) -> DataFrame:
-    """``walker, step, param, value, part``: one row per parameter; part tells burn-in from kept steps."""
+def last_steps(chain: DataFrame) -> DataFrame:
+    """The last step of every walker: one partial maximum."""
+    return chain.groupBy("walker").agg(F.max_by(F.struct(*(c for c in chain.columns if c != "walker")), "step").alias("r")).select("walker", "r.*")
+
+
+def trace(chain: DataFrame, params: list[str], burn_in: int = 0, walkers: list[int] | None = None, without: list[int] = ()) -> DataFrame:
+    """``walker, step, param, value, part``: one row per parameter; part tells burn-in from kept steps.
+
+    ``walkers`` names those to show (None: all), ``without`` those to leave out.
+    """
+    if walkers is not None:
+        chain = chain.filter(F.col("walker").isin(list(walkers)))
+    if without:
+        chain = chain.filter(~F.col("walker").isin(list(without)))
     named = F.array(*(F.struct(F.lit(p).alias("param"), F.col(p).cast("double").alias("value")) for p in params))
     part = F.when(F.col("step") < burn_in, "burn_in").otherwise("kept")
     return chain.select("walker", "step", part.alias("part"), F.explode(named).alias("e")).select("walker", "step", "e.param", "e.value", "part")

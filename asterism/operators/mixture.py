@@ -100,40 +100,58 @@ def log_posteriors(data: DataFrame, thetas: list[list[float]], low: list[float],
     return inside.union(spark.createDataFrame([(i, -math.inf) for i in outside], "param_id long, log_posterior double")) if outside else inside
 
 
-def component_membership(data: DataFrame, key: str, draws: list[list[float]], x=("pm_ra", "pm_dec", "epm_ra", "epm_dec")) -> DataFrame:
-    """``key, comp, p``: each row's share of each component, averaged over the draws of a chain; null where all densities vanish.
+def with_draws(data: DataFrame, draws: DataFrame, block: int = 64) -> DataFrame:
+    """Each row of ``data`` with each draw (``draws``: draw, theta), by blocks of draws.
 
-    The draws, a bounded number on the driver, are unrolled into one expression
-    per row: no row is multiplied.
+    A row meets as many blocks as there are, each a bounded array of vectors, so
+    the plan is the same however long the chain is.
     """
-    cols = [F.col(c) for c in x]
-    k = components_of(len(draws[0]))
-    packed = F.array(*(F.array(*(F.lit(float(v)) for v in d)) for d in draws))
+    blocks = -(-draws.count() // block)
+    packed = draws.groupBy(F.pmod(F.xxhash64("draw"), F.lit(max(blocks, 1))).cast("int").alias("_block")).agg(F.collect_list(F.struct("draw", "theta")).alias("_draws"))
+    return data.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1)))).join(packed, "_block").withColumn("_d", F.explode("_draws")).select(*data.columns, "_d.draw", "_d.theta")
 
-    def share(d: Column) -> Column:
-        parts = weighted_densities([F.get(d, F.lit(i)) for i in range(len(draws[0]))], *cols)
-        total = parts[0]
-        for p in parts[1:]:
-            total = total + p
-        return F.array(*(F.try_divide(p, total) for p in parts))
 
-    shares = F.transform(packed, share)
+def component_membership(data: DataFrame, key: str, draws: DataFrame, size: int, x=("pm_ra", "pm_dec", "epm_ra", "epm_dec")) -> DataFrame:
+    """``key, draw, comp, p``: each row's share of each component under each draw of a chain; null where all densities vanish.
 
-    def mean(c: int) -> Column:
-        return F.aggregate(shares, F.lit(0.0), lambda a, s: a + F.get(s, F.lit(c))) / len(draws)
+    ``draws``: draw, theta (an array of ``size`` numbers).
+    """
+    parts = weighted_densities([F.get("theta", F.lit(i)) for i in range(size)], *(F.col(c) for c in x))
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    shares = F.array(*(F.try_divide(p, total) for p in parts))
+    rows = with_draws(data.select(key, *x), draws)
+    return rows.select(key, "draw", F.posexplode(shares).alias("comp", "p")).select(key, "draw", F.col("comp").cast("long").alias("comp"), "p")
 
-    means = F.array(*(mean(c) for c in range(k)))
-    return data.select(key, F.posexplode(means).alias("comp", "p")).select(key, F.col("comp").cast("long").alias("comp"), "p")
 
+def mean_membership(shares: DataFrame, key: str) -> DataFrame:
+    """``key, comp, p``: the mean over draws of ``component_membership``."""
+    return shares.groupBy(key, "comp").agg(F.avg("p").alias("p"))
 
-def density_bands(grid: DataFrame, key: str, x: str, draws: list[tuple[float, float, float]], error: float = 0.0, at: tuple[float, float] = (0.05, 0.95)) -> DataFrame:
-    """``key, low, high``: percentiles over draws (mean, deviation, weight) of a normal widened by ``error``, at each row's x."""
-    values = F.array_sort(F.array(*(univariate_normal(F.col(x), mu, math.sqrt(s * s + error * error), w) for mu, s, w in draws)))
 
-    def percentile(v: Column, p: float) -> Column:
-        place = p * (len(draws) - 1)
-        i = int(place)
-        j = min(i + 1, len(draws) - 1)
-        return F.get(v, F.lit(i)) + (F.get(v, F.lit(j)) - F.get(v, F.lit(i))) * (place - i)
+def density_bands(grid: DataFrame, draws: DataFrame, size: int, errors: tuple[float, float] = (0.0, 0.0), at: tuple[float, float] = (0.05, 0.95)) -> DataFrame:
+    """``axis, i, component, low, high``: percentiles over draws of each component's density along each axis, and of their sum (component -1).
 
-    return grid.select(key, values.alias("v")).select(key, percentile(F.col("v"), at[0]).alias("low"), percentile(F.col("v"), at[1]).alias("high"))
+    ``grid``: axis (0 or 1), i, x; ``draws``: draw, theta. A component is a
+    normal with its weight, widened by the axis's error.
+    """
+    k = components_of(size)
+    t = lambda i: F.get("theta", F.lit(i))
+    last = F.lit(1.0)
+    for i in range(k * PER_COMPONENT, size):
+        last = last - t(i)
+    weights = [t(PER_COMPONENT)] if k == 1 else [*(t(i) for i in range(k * PER_COMPONENT, size)), last]
+
+    def density(axis: int, c: int) -> Column:
+        mu, s = t(c * PER_COMPONENT + axis), t(c * PER_COMPONENT + 2 + axis)
+        return univariate_normal(F.col("x"), mu, F.sqrt(s * s + errors[axis] ** 2), weights[c])
+
+    parts = [F.when(F.col("axis") == 0, density(0, c)).otherwise(density(1, c)) for c in range(k)]
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    each = F.array(*(F.struct(F.lit(c).cast("long").alias("component"), p.alias("p")) for c, p in ((-1, total), *enumerate(parts))))
+    rows = with_draws(grid, draws).select("axis", "i", F.explode(each).alias("e")).select("axis", "i", "e.*")
+    found = rows.groupBy("axis", "i", "component").agg(F.percentile("p", F.array(*map(F.lit, at))).alias("v"))
+    return found.select("axis", "i", "component", F.get("v", F.lit(0)).alias("low"), F.get("v", F.lit(1)).alias("high"))

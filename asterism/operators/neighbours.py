@@ -18,7 +18,7 @@ def _cell(c: str, side: Column) -> Column:
     return F.floor(F.col(c) / side).cast("long")
 
 
-def _levels(points: DataFrame, places: DataFrame, side: float, crowd: int) -> DataFrame:
+def cell_levels(points: DataFrame, places: DataFrame, side: float, crowd: int) -> DataFrame:
     """``points`` with ``level``: how often the cell around each is split until it holds at most ``crowd`` places.
 
     Each step counts places by cell and goes on with those in cells that hold
@@ -71,7 +71,7 @@ def nearest(points: DataFrame, refs: DataFrame, k: int, ties: bool = False, max_
     extent = math.hypot(max(x1, a1) - min(x0, a0), max(y1, b1) - min(y0, b0)) or 1.0
     crowd = max(CROWD, 2 * k)
     side = min(extent, max(math.sqrt(max(x1 - x0, 1e-9) * max(y1 - y0, 1e-9) * crowd / n), extent / 2**30))
-    pending = _levels(points, places, side, crowd)
+    pending = cell_levels(points, places, side, crowd)
     pending = pending.select("id", "x", "y", (-2 * F.col("level")).alias("scale"))
     parts, by, around = [], Window.partitionBy("id").orderBy("d2", "place"), F.array(*(F.lit(i) for i in (-1, 0, 1)))
     for _ in range(max_rounds):

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import materialise
+
 
 def _range(df: DataFrame, *cols: str) -> tuple:
     """Minimum and maximum of each column, as numbers: one partial aggregate."""
@@ -44,25 +46,67 @@ def histogram2d(df: DataFrame, x: str, y: str, bins: int = 200) -> DataFrame:
 
 
 def density_weights(df: DataFrame, key: str, x: str, y: str, bins: int = 200) -> DataFrame:
-    """``key, weight``: the histogram's density between the four bin centres around each row; 0 outside the outermost centres.
+    """``key, weight``, one row for each: the histogram's density between the four bin centres around the row; 0 outside the outermost centres.
 
-    At most ``bins`` squared cells are joined to four corners of each row; the
-    table of cells is bounded by that parameter, so every task gets it.
+    The densities at the four corners are gathered for each of the at most
+    (``bins`` + 1) squared squares between centres; the parameter bounds that
+    table, so every task gets it, and rows are neither shuffled nor grouped.
     """
     df = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
     x0, x1, y0, y1 = _range(df, x, y)
     if x0 is None:
         return df.select(key, F.lit(0.0).alias("weight"))
     wx, wy = (x1 - x0) / bins or 1.0, (y1 - y0) / bins or 1.0
-    cells = histogram2d(df, x, y, bins).select("ix", "iy", "density")
+    sides = [(i, j) for i in (0, 1) for j in (0, 1)]
+    shared = F.explode(F.array(*(F.struct((F.col("ix") - i).alias("qx"), (F.col("iy") - j).alias("qy"), F.lit(2 * i + j).alias("c")) for i, j in sides)))
+    squares = histogram2d(df, x, y, bins).select("density", shared.alias("s")).select("density", "s.*")
+    squares = squares.groupBy("qx", "qy").agg(*(F.coalesce(F.max(F.when(F.col("c") == 2 * i + j, F.col("density"))), F.lit(0.0)).alias(f"d{i}{j}") for i, j in sides))
     at = df.select(key, ((F.col(x) - x0) / wx - 0.5).alias("u"), ((F.col(y) - y0) / wy - 0.5).alias("v"))
+    at = at.withColumns({"qx": F.floor("u"), "qy": F.floor("v")})
     outside = (F.col("u") < 0) | (F.col("u") > bins - 1) | (F.col("v") < 0) | (F.col("v") > bins - 1)
-    fu, fv = F.col("u") - F.floor("u"), F.col("v") - F.floor("v")
-    corners = [F.struct((F.floor("u") + i).alias("ix"), (F.floor("v") + j).alias("iy"), ((fu if i else 1 - fu) * (fv if j else 1 - fv)).alias("w")) for i in (0, 1) for j in (0, 1)]
-    spread = at.select(key, outside.alias("out"), F.explode(F.array(*corners)).alias("c")).select(key, "out", "c.*")
-    joined = spread.join(F.broadcast(cells), ["ix", "iy"], "left")
-    part = F.when(F.col("out"), 0.0).otherwise(F.col("w") * F.coalesce("density", F.lit(0.0)))
-    return joined.groupBy(key).agg(F.sum(part).alias("weight"))
+    fu, fv = F.col("u") - F.col("qx"), F.col("v") - F.col("qy")
+    weight = sum(((fu if i else 1 - fu) * (fv if j else 1 - fv) * F.coalesce(f"d{i}{j}", F.lit(0.0)) for i, j in sides), F.lit(0.0))
+    return at.join(F.broadcast(squares), ["qx", "qy"], "left").select(key, F.when(outside, 0.0).otherwise(weight).alias("weight"))
+
+
+def group_medians(df: DataFrame, keys: list[str], cols: list[str], few: int = 4096, bins: int = 256) -> DataFrame:
+    """``keys`` and the exact median of each of ``cols`` in each group, for groups of any size.
+
+    The middle of a group starts with the range of its values as its bracket.
+    While a bracket holds over ``few`` values, a pass counts them by bin and
+    narrows it to the bin with the middle; only what is left in a bracket is
+    gathered, so no buffer holds more. Keys are not null; null and NaN values
+    are left out, and a group without others has a null median.
+    """
+    rows = df.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in cols))).alias("_e")).select(*keys, "_e.*").filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    on = [*keys, "_c"]
+    ends = rows.groupBy(*on).agg(F.count("*").alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+    now = materialise(ends.select(*on, F.floor((F.col("_n") - 1) / 2).alias("_r"), F.floor(F.col("_n") / 2).alias("_q"), "_a", "_b", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_m")))
+    settled = []
+    while True:
+        settled.append(now.filter("_a = _b").select(*on, F.col("_a").alias("_median")))
+        wide = now.filter((F.col("_a") < F.col("_b")) & (F.col("_m") > few))
+        if wide.isEmpty():
+            break
+        small = now.filter((F.col("_a") < F.col("_b")) & (F.col("_m") <= few))
+        inside = rows.join(wide, on).filter(F.col("_v").between(F.col("_a"), F.col("_b")))
+        k = F.least(F.floor((F.col("_v") - F.col("_a")) / ((F.col("_b") - F.col("_a")) / bins)), F.lit(bins - 1))
+        cells = inside.groupBy(*on, "_r", "_q", "_below", k.alias("_k")).agg(F.count("*").alias("_m"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+        before = F.coalesce(F.sum("_m").over(Window.partitionBy(*on).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        cells = cells.withColumn("_below", F.col("_below") + before)
+        holds = lambda r: (F.col(r) >= F.col("_below")) & (F.col(r) < F.col("_below") + F.col("_m"))
+        low, high = (F.min(F.when(holds(r), F.struct("_a", "_b", "_below", "_m"))) for r in ("_r", "_q"))
+        found = materialise(cells.groupBy(*on, "_r", "_q").agg(low.alias("l"), high.alias("h")))
+        settled.append(found.filter("l._below != h._below").select(*on, ((F.col("l._b") + F.col("h._a")) / 2).alias("_median")))
+        now = materialise(small.union(found.filter("l._below = h._below").select(*on, "_r", "_q", "l._a", "l._b", "l._below", "l._m")))
+    held = rows.join(now.filter("_a < _b"), on).filter(F.col("_v").between(F.col("_a"), F.col("_b")))
+    held = held.groupBy(*on, "_r", "_q", "_below").agg(F.array_sort(F.collect_list("_v")).alias("_o"))
+    pick = lambda r: F.get("_o", (F.col(r) - F.col("_below")).cast("int"))
+    settled.append(held.select(*on, ((pick("_r") + pick("_q")) / 2).alias("_median")))
+    every = settled[0]
+    for s in settled[1:]:
+        every = every.union(s)
+    return every.groupBy(*keys).agg(*(F.max(F.when(F.col("_c") == c, F.col("_median"))).alias(c) for c in cols))
 
 
 def exact_quantiles(df: DataFrame, col: str, at: tuple[float, ...], few: int = 4096, bins: int = 1024) -> list[float | None]:
@@ -133,7 +177,8 @@ def binned_medians(df: DataFrame, ordinate: str, abscissa: str, step: float) ->
     k = F.floor((F.col(ordinate) - low) / step).cast("long")
     inside = (F.col(ordinate) > low + k * step) & (F.col(ordinate) < low + (k + 1) * step) & (k < bins)
     kept = df.select(k.alias("bin"), F.col(ordinate).alias("o"), F.col(abscissa).alias("a"), inside.alias("in")).filter("in")
-    return kept.groupBy("bin").agg(F.count("*").alias("n"), F.percentile("o", 0.5).alias("ordinate"), F.percentile("a", 0.5).alias("abscissa"))
+    middles = group_medians(kept, ["bin"], ["o", "a"]).select("bin", F.col("o").alias("ordinate"), F.col("a").alias("abscissa"))
+    return kept.groupBy("bin").agg(F.count("*").alias("n")).join(middles, "bin").select("bin", "n", "ordinate", "abscissa")
 
 
 def hexagon_medians(df: DataFrame, x: str, y: str, value: str, gridsize: int = 100) -> DataFrame:
@@ -146,4 +191,36 @@ def hexagon_medians(df: DataFrame, x: str, y: str, value: str, gridsize: int = 1
     at = df.select(u.alias("u"), v.alias("v"), F.col(value).alias("value"))
     first = (F.col("u") - F.rint("u")) ** 2 + 3 * (F.col("v") - F.rint("v")) ** 2 < (F.col("u") - F.floor("u") - 0.5) ** 2 + 3 * (F.col("v") - F.floor("v") - 0.5) ** 2
     cell = at.select(F.when(first, 1).otherwise(2).cast("long").alias("lattice"), F.when(first, F.rint("u")).otherwise(F.floor("u")).cast("long").alias("hx"), F.when(first, F.rint("v")).otherwise(F.floor("v")).cast("long").alias("hy"), "value")
-    return cell.groupBy("lattice", "hx", "hy").agg(F.count("value").alias("n"), F.percentile("value", 0.5).alias("median"))
+    keys = ["lattice", "hx", "hy"]
+    middles = group_medians(cell, keys, ["value"]).withColumnRenamed("value", "median")
+    return cell.groupBy(*keys).agg(F.count("value").alias("n")).join(middles, keys, "left").select(*keys, "n", "median")
+
+
+def corner(df: DataFrame, params: list[str], bins: int = 20, at: tuple[float, ...] = (0.16, 0.5, 0.84)) -> DataFrame:
+    """``kind, a, b, ia, ib, n, value``: what a corner plot of ``params`` shows.
+
+    Rows of kind ``one`` are histograms of each parameter (``value``: density),
+    ``two`` those of each pair, in the order given, and ``quantile`` each
+    parameter's exact quantiles (``ib``: its place in ``at``). One pass counts all
+    histograms. Rows with a null or NaN parameter are left out.
+    """
+    df = df.select(*(F.col(p).cast("double").alias(p) for p in params))
+    good = F.lit(True)
+    for p in params:
+        good = good & F.col(p).isNotNull() & ~F.isnan(p)
+    df = df.filter(good)
+    ends = df.agg(F.count("*"), *(f(p) for p in params for f in (F.min, F.max))).first()
+    total, width, index = ends[0], {}, {}
+    schema = "kind string, a string, b string, ia long, ib long, n long, value double"
+    if not total:
+        return df.sparkSession.createDataFrame([], schema)
+    for k, p in enumerate(params):
+        low, high = ends[1 + 2 * k], ends[2 + 2 * k]
+        width[p], index[p] = (high - low) / bins or 1.0, bin_index(p, low, high, bins)
+    none = F.lit(None)
+    cells = [(p, None) for p in params] + [(p, q) for k, p in enumerate(params) for q in params[k + 1 :]]
+    made = [F.struct(F.lit(p).alias("a"), F.lit(q).cast("string").alias("b"), index[p].alias("ia"), (none if q is None else index[q]).cast("long").alias("ib"), F.lit(width[p] * (1 if q is None else width[q])).alias("size")) for p, q in cells]
+    counted = df.select(F.explode(F.array(*made)).alias("e")).select("e.*").groupBy("a", "b", "ia", "ib", "size").agg(F.count("*").alias("n"))
+    shown = counted.select(F.when(F.col("b").isNull(), "one").otherwise("two").alias("kind"), "a", "b", "ia", "ib", "n", (F.col("n") / (F.lit(total) * F.col("size"))).alias("value"))
+    rows = [("quantile", p, None, None, i, None, v) for p in params for i, v in enumerate(exact_quantiles(df, p, at))]
+    return shown.union(df.sparkSession.createDataFrame(rows, schema))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import ring_area_centroid
 from ..shared import discard, materialise
-from .neighbours import nearest
+from .neighbours import CUT, cell_levels, nearest
 
 #: Relative to the box: how near a corner must come to another cell's border to touch it.
 TOUCH = 1e-9
@@ -239,26 +239,24 @@ def centroidal(points: DataFrame, rounds: int = 1, pad: float = 0.0) -> DataFram
     return cells
 
 
-def merge_regions(areas: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def merge_regions(areas: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, parent``: regions in order of (area, id); each that no earlier one has absorbed absorbs its free neighbours.
 
     Equal to the greedy order, but in parallel rounds: a region becomes a seed
     when it is least among its undecided neighbours, whose decisions follow.
+    Every round settles at least the least region; rounds grow with the
+    logarithm of the regions unless long chains lie in order of area.
     ``areas``: id, area; ``edges``: i, j.
     """
     both = materialise(edges.select(F.col("i").alias("a"), F.col("j").alias("b")).union(edges.select(F.col("j").alias("a"), F.col("i").alias("b"))).distinct())
     ranked = materialise(areas.select("id", F.struct("area", "id").alias("r")))
     open_, seeds = ranked, None
-    for _ in range(max_rounds):
-        if open_.isEmpty():
-            break
+    while not open_.isEmpty():
         near = both.join(open_.select(F.col("id").alias("b"), "r"), "b").groupBy(F.col("a").alias("id")).agg(F.min("r").alias("low"))
         new = materialise(open_.join(near, "id", "left").filter(F.col("low").isNull() | (F.col("r") < F.col("low"))).select("id", "r"))
         seeds = new if seeds is None else seeds.union(new)
         gone = new.select("id").union(both.join(new.select(F.col("id").alias("b")), "b").select(F.col("a").alias("id"))).distinct()
         open_ = materialise(open_.join(gone, "id", "left_anti"))
-    else:
-        raise RuntimeError("regions did not settle")
     if seeds is None:
         return areas.select("id", F.col("id").alias("parent"))
     taken = both.join(seeds.select(F.col("id").alias("b"), "r"), "b").groupBy(F.col("a").alias("id")).agg(F.min("r").alias("r"))
@@ -266,7 +264,7 @@ def merge_regions(areas: DataFrame, edges: DataFrame, max_rounds: int = 100) ->
     return materialise(seeds.select("id", F.col("id").alias("parent")).union(absorbed))
 
 
-def dilate(cells: DataFrame, edges: DataFrame, assigned: DataFrame, target_median: float, max_rounds: int = 20) -> DataFrame:
+def dilate(cells: DataFrame, edges: DataFrame, assigned: DataFrame, target_median: float) -> DataFrame:
     """``cell, region``: cells merged, at least once, until the median of distinct stars per non-empty region reaches the target.
 
     ``cells``: id, area; ``assigned``: id of star, region = cell. Stops as well
@@ -274,7 +272,7 @@ def dilate(cells: DataFrame, edges: DataFrame, assigned: DataFrame, target_media
     """
     areas = cells.select("id", "area")
     mapped = cells.select(F.col("id").alias("cell"), F.col("id").alias("region"))
-    for _ in range(max_rounds):
+    while True:
         merged = merge_regions(areas, edges)
         mapped = materialise(mapped.join(merged, mapped["region"] == merged["id"]).select("cell", F.col("parent").alias("region")))
         before, after = areas.count(), mapped.select("region").distinct().count()
@@ -288,18 +286,51 @@ def dilate(cells: DataFrame, edges: DataFrame, assigned: DataFrame, target_media
     return mapped
 
 
-def kmeans_centroids(points: DataFrame, points_per_bin: int | None = None, bins: int | None = None, seed: int = 0, weight: str = "weight") -> DataFrame:
-    """``id, g, x, y``: centres of weighted k-means; rows over ``points_per_bin`` set their number if it is given, else ``bins``."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
+def _local_means(share: float, per: float | None, seed: int):
+    """Weighted k-means of the places of one part of the plane."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, w = pdf[["x", "y"]].to_numpy(float), pdf["w"].to_numpy(float)
+        order = np.lexsort(x.T)
+        x, w, n = x[order], w[order], pdf["n"].sum()
+        k = int(min(max(1, round(n / per if per else n * share)), len(x)))
+        rng = np.random.default_rng([seed, len(x), k])
+        near, c = np.full(len(x), np.inf), np.empty((k, 2))
+        for i in range(k):
+            chance = w * np.where(np.isinf(near), 1.0, near)
+            c[i] = x[rng.choice(len(x), p=chance / chance.sum()) if chance.sum() > 0 else i % len(x)]
+            near = np.minimum(near, ((x - c[i]) ** 2).sum(axis=1))
+        for _ in range(20):
+            own = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            total = np.bincount(own, w, k)
+            for d in (0, 1):
+                c[:, d] = np.where(total > 0, np.bincount(own, w * x[:, d], k) / np.where(total > 0, total, 1), c[:, d])
+        return pd.DataFrame(np.unique(c, axis=0), columns=["x", "y"])
+
+    return run
+
+
+def kmeans_centroids(points: DataFrame, points_per_bin: int | None = None, bins: int | None = None, seed: int = 0, weight: str = "weight", part: int = 2000) -> DataFrame:
+    """``id, g, x, y``: centres of weighted k-means; rows over ``points_per_bin`` set their number if it is given, else ``bins``.
+
+    The plane is split by counts into cells of at most ``part`` places, each
+    with its share of the centres, and each is a task of its own, so the centres
+    may grow with the rows: no task and no driver holds them all. Rows at one
+    place weigh together; rows of weight 0 have no part.
+    """
     if points_per_bin is None and bins is None:
         raise ValueError("either points_per_bin or bins")
-    k = max(2, points.count() // points_per_bin if points_per_bin else bins)
-    vectors = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(points.filter(F.col(weight) > 0))
-    model = KMeans(k=k, seed=seed, weightCol=weight, maxIter=20).fit(vectors)
-    rows = [(i, 0, float(c[0]), float(c[1])) for i, c in enumerate(model.clusterCenters())]
-    return points.sparkSession.createDataFrame(rows, "id long, g long, x double, y double")
+    held = points.filter(F.col(weight) > 0)
+    places = materialise(held.groupBy("x", "y").agg(F.sum(weight).alias("w"), F.count("*").alias("n")))
+    total, x0, x1, y0, y1 = places.agg(F.sum("n"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if not total:
+        return points.select("id", "g", "x", "y").limit(0)
+    side = max(x1 - x0, y1 - y0) or 1.0
+    dealt = cell_levels(places.select(F.monotonically_increasing_id().alias("id"), "x", "y"), places.select(F.col("x").alias("rx"), F.col("y").alias("ry")), side, part)
+    width = F.lit(side) / F.pow(F.lit(float(CUT)), F.col("level"))
+    cells = dealt.join(places, ["x", "y"]).withColumns({"cx": F.floor(F.col("x") / width), "cy": F.floor(F.col("y") / width)})
+    made = cells.groupBy("level", "cx", "cy").applyInPandas(_local_means((bins or 0) / total, points_per_bin, seed), "x double, y double")
+    return materialise(made).select(F.xxhash64("x", "y").alias("id"), F.lit(0).cast("long").alias("g"), "x", "y")
 
 
 def region_grid(points: DataFrame, which: str = "dilation", rounds: int = 1, pad: float = 0.0, target_median: float | None = None, points_per_bin: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -317,8 +348,3 @@ def region_grid(points: DataFrame, which: str = "dilation", rounds: int = 1, pad
     assigned = nearest(points, cells, 1, ties=True).select("id", F.col("ref").alias("region"))
     return cells, dilate(cells, adjacency(cells), assigned, target_median)
 
-
-def release(*tables: DataFrame) -> None:
-    """Delete intermediate tables that nothing reads any more."""
-    for t in tables:
-        discard(t)

@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def scan_whitespace(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def scan_whitespace(spark: SparkSession, path: str, schema: T.StructType, names: list[str] | None = None) -> DataFrame:
     """A text catalogue whose columns are parted by runs of blanks, with a header line in each file.
 
     Columns are found by the header's names, which are read from the file's
-    first line; a missing name is an error. Values that are no number of their
-    type become null.
+    first line unless ``names`` gives them; a missing name is an error. Values
+    that are no number of their type become null.
     """
     lines = spark.read.text(path)
-    first = lines.limit(1).collect()
-    if not first:
-        return spark.createDataFrame([], schema)
-    names = first[0]["value"].split()
+    if names is None:
+        first = lines.limit(1).collect()
+        if not first:
+            return spark.createDataFrame([], schema)
+        names = first[0]["value"].split()
     missing = [f.name for f in schema if f.name not in names]
     if missing:
         raise ValueError(f"no columns {missing}")

@@ -59,8 +59,15 @@ def test_densities_integrate_and_shares_sum_to_one(spark):
     low, high = df.agg(F.min("band1"), F.max("band1")).first()
     assert h.agg(F.sum("density")).first()[0] * (high - low) / 50 == pytest.approx(1)
     s = catalogues.stars(spark, "/root/testdata/sf0.001")
-    draws = [[-3.0, -6.0, 0.3, 0.3, 0.0, -2.5, -5.5, 1.0, 1.2, 0.2, 0.6], [-3.0, -6.0, 0.3, 0.3, 0.0, -2.5, -5.5, 1.0, 1.2, 0.2, 0.1]]
-    assert all(r["t"] == pytest.approx(1) for r in mixture.component_membership(s, "star_id", draws).groupBy("star_id").agg(F.sum("p").alias("t")).collect())
+    base = [-3.0, -6.0, 0.3, 0.3, 0.0, -2.5, -5.5, 1.0, 1.2, 0.2]
+    draws = spark.createDataFrame([(i, [*base, i / 200]) for i in range(150)], "draw long, theta array<double>")
+    shares = mixture.component_membership(s, "star_id", draws, 11)
+    rows = shares.groupBy("star_id", "draw").agg(F.sum("p").alias("t")).collect()
+    assert len(rows) == s.count() * 150 and all(r["t"] == pytest.approx(1) for r in rows)
+    means = {(r["star_id"], r["comp"]): r["p"] for r in mixture.mean_membership(shares, "star_id").collect()}
+    assert len(means) == 2 * s.count() and all(0 <= p <= 1 for p in means.values())
+    long = lambda df: len(df._jdf.queryExecution().analyzed().toString())
+    assert long(mixture.component_membership(s, "star_id", draws.limit(2), 11)) > 0.9 * long(shares)  # the plan does not grow with the chain
 
 
 def test_posterior_on_driver_and_in_spark(spark):
@@ -109,9 +116,9 @@ def catalogue(spark, n=400):
 @pytest.mark.parametrize("method,target", [("expected", None), ("montecarlo", 3.0)])
 def test_membership_falls_where_the_field_lies(spark, method, target):
     cluster = catalogue(spark)
-    field = cluster.filter("band1 > 22.5").select("star_id", "band1", "band2")
+    field = cluster.filter("band1 > 22.5").select("star_id", "ra", "dec", "band1", "band2")
     roi = [(-9.0, -9.0), (9.0, -9.0), (9.0, 9.0), (-9.0, 9.0)]
-    got = membership.statistical_membership(cluster, field, Reddening(), roi, nref=5, step=0.4, threshold=0.3, iterations=1, min_stars=100, method=method, draws=50, target_median=target)
+    got = membership.statistical_membership(cluster, field, Reddening(), roi, nref=5, step=0.4, threshold=0.3, iterations=1, min_stars=40, method=method, draws=50, target_median=target)
     rows = got.collect()
     assert len(rows) == 400 and len({r["g"] for r in rows if r["g"] is not None}) >= 2
     assert all(r["membership"] == 1.0 for r in rows if r["g"] is None)
@@ -122,6 +129,115 @@ def test_membership_falls_where_the_field_lies(spark, method, target):
         membership.statistical_membership(cluster.limit(3), field, Reddening(), roi, iterations=1)
 
 
+def test_weights_of_repeated_keys(spark):
+    df = spark.createDataFrame([(1, 0.2, 0.2), (1, 0.2, 0.2), (2, 0.8, 0.3), (3, 0.0, 0.0), (4, 1.0, 1.0), (5, 0.5, 0.5)], "k long, x double, y double")
+    got = statistics.density_weights(df, "k", "x", "y", 4).collect()
+    assert len(got) == 6 and len({r["weight"] for r in got if r["k"] == 1}) == 1
+    cells = {(r["ix"], r["iy"]): r["density"] for r in statistics.histogram2d(df, "x", "y", 4).collect()}
+    for x, y, k in ((0.2, 0.2, 1), (0.8, 0.3, 2), (0.5, 0.5, 5)):
+        u, v = x / 0.25 - 0.5, y / 0.25 - 0.5
+        a, b = math.floor(u), math.floor(v)
+        want = sum(cells.get((a + i, b + j), 0.0) * (u - a if i else 1 - u + a) * (v - b if j else 1 - v + b) for i in (0, 1) for j in (0, 1))
+        assert next(r["weight"] for r in got if r["k"] == k) == pytest.approx(want)
+
+
+def test_medians_of_groups_of_any_size(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, float(a), float(b)) for g, n in ((0, 1), (1, 2), (2, 999), (3, 5000)) for a, b in zip(rng.normal(size=n), rng.exponential(1e9, n), strict=True)]
+    rows += [(4, 7.0, None)] * 3000 + [(5, float("nan"), 1.0), (5, None, 3.0), (6, 0.0, 1.0), (6, 1.0, 1.0)] * 400
+    df = spark.createDataFrame(rows, "g long, a double, b double")
+    for few in (3, 10_000):
+        got = {r["g"]: (r["a"], r["b"]) for r in statistics.group_medians(df, ["g"], ["a", "b"], few=few, bins=8).collect()}
+        for g in range(7):
+            for k, v in enumerate(zip(*((x[1:]) for x in rows if x[0] == g), strict=True)):
+                some = [x for x in v if x is not None and not math.isnan(x)]
+                assert got[g][k] == (pytest.approx(np.median(some)) if some else None)
+
+
+def test_corner_of_nothing_and_of_one_value(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0), (None, 1.0)], "a double, b double")
+    rows = statistics.corner(df, ["a", "b"], 4).collect()
+    assert sorted((r["kind"], r["a"], r["n"]) for r in rows if r["kind"] != "quantile") == [("one", "a", 2), ("one", "b", 1), ("one", "b", 1), ("two", "a", 1), ("two", "a", 1)]
+    assert statistics.corner(df.limit(0), ["a", "b"]).count() == 0
+
+
+def test_traces_of_some_walkers(spark):
+    df = spark.createDataFrame([(w, s, float(s), 0.0) for w in range(4) for s in range(3)], "walker long, step int, t double, log_prob double")
+    from asterism.operators import chains
+
+    assert {r["walker"] for r in chains.trace(df, ["t"], 1, walkers=[0, 1, 2], without=[1]).collect()} == {0, 2}
+    assert sorted((r["walker"], r["step"]) for r in chains.last_steps(df).collect()) == [(w, 2) for w in range(4)]
+
+
+def test_groups_follow_the_field(spark):
+    """Radii and groups by counting a fine grid of points, apart from the closed forms."""
+    rng = np.random.default_rng(7)
+    stars = [(i, 290 + a, 2 + b) for i, (a, b) in enumerate(rng.normal(0, 0.004, (600, 2)))]
+    many = [(i, 290 + a, 2 + b) for i, (a, b) in enumerate(rng.uniform(-0.01, 0.01, (500, 2)))]
+    frame = lambda r: spark.createDataFrame([(i, float(a), float(b)) for i, a, b in r], "star_id long, ra double, dec double")
+    groups, rings = membership.spatial_groups(frame(stars), frame(many), 60)
+    f = np.array(many)[:, 1:]
+    mid = f.min(axis=0) + np.ptp(f, axis=0) / 2
+    sep = np.hypot((f[:, 0] - mid[0]) * np.cos(np.radians(2)), f[:, 1] - mid[1]).max() * 3600
+    least = 60 / (500 / (np.pi * sep**2)) / 3600**2
+    p = np.array(stars)[:, 1:]
+    hull = p[[0]] * 0 + p  # all stars: a point is inside if it is on no outer side of any edge of the hull
+    from asterism.operators.tessellation import hull_of
+
+    ring, c = hull_of(hull), p.min(axis=0) + np.ptp(p, axis=0) / 2
+    xs = np.stack(np.meshgrid(*(np.linspace(p[:, d].min(), p[:, d].max(), 1500) for d in (0, 1)), indexing="ij"), -1).reshape(-1, 2)
+    step = np.roll(ring, -1, axis=0) - ring
+    inside = np.ones(len(xs), bool)
+    for v, e in zip(ring, step, strict=True):
+        inside &= e[0] * (xs[:, 1] - v[1]) - e[1] * (xs[:, 0] - v[0]) >= 0
+    far = np.sort(np.hypot(*(xs[inside] - c).T))
+    one, radii, last, k = np.prod(np.ptp(p, axis=0)) / 1499**2, [], 0.0, 1
+    while k / 3600 < np.hypot(*(ring - c).T).max():
+        area = np.searchsorted(far, k / 3600) * one
+        if area - last > least:
+            radii.append(k / 3600)
+            last = area
+        k += 1
+    got = [b for _, _, b, *_ in rings[:-1]]
+    assert len(rings) == len(radii) and np.allclose(got, radii[:-1], atol=1.01 / 3600)
+    at = {r["star_id"]: r["g"] for r in groups.collect()}
+    corners = {i for i, a, b in stars if any((a, b) == tuple(v) for v in ring)}
+    for i, a, b in stars:
+        d = math.hypot(a - c[0], b - c[1])
+        want = next((g for g, low, high, *_ in rings if low < d < high), None)
+        assert at.get(i) == (None if i in corners and want == len(rings) - 1 else want)
+
+
+def test_ridge_is_the_spline_through_the_bins(spark):
+    from asterism.jobs import queries
+
+    d = "/root/testdata/sf0.001"
+    knots = sorted((r["ordinate"], r["abscissa"]) for r in statistics.binned_medians(queries._roi(spark, d).select("rx", "ry"), "ry", "rx", queries.STEP).collect())
+    y, x = map(np.array, zip(*knots, strict=True))
+    n = len(y) - 1  # pieces; all conditions of the definition as one linear system
+    rows, want = [], []
+    power = lambda t, d: np.array([[1, t, t * t, t**3], [0, 1, 2 * t, 3 * t * t], [0, 0, 2, 6 * t], [0, 0, 0, 6]][d], float)
+    def add(parts, value):
+        row = np.zeros(4 * n)
+        for i, v in parts:
+            row[4 * i : 4 * i + 4] += v
+        rows.append(row)
+        want.append(value)
+    for i in range(n):
+        add([(i, power(0, 0))], x[i])
+        add([(i, power(y[i + 1] - y[i], 0))], x[i + 1])
+    for i in range(n - 1):
+        for k in (1, 2):
+            add([(i, power(y[i + 1] - y[i], k)), (i + 1, -power(0, k))], 0)
+    for i in (0, n - 2):
+        add([(i, power(0, 3)), (i + 1, -power(0, 3))], 0)
+    c = np.linalg.solve(np.array(rows), np.array(want)).reshape(n, 4)
+    for r in queries._rotated(catalogues.photometry(spark, d)).join(queries.ridge_residuals(spark, d), "star_id").collect():
+        i = min(max(np.searchsorted(y, r["ry"], side="right") - 1, 0), n - 1)
+        value = power(r["ry"] - y[i], 0) @ c[i]
+        assert r["ridge"] == pytest.approx(value, rel=1e-4, abs=1e-4) and r["residual"] == pytest.approx(r["rx"] - value, rel=1e-4, abs=1e-4)
+
+
 def test_text_catalogues(spark, tmp_path):
     (tmp_path / "a.cat").write_text("  ra(1)   x(3) oktot(54)\n 1.5    2  1\n\n   2.5 -3.25   0\nbad 1 1\n")
     schema = T.StructType([T.StructField("oktot(54)", T.IntegerType()), T.StructField("ra(1)", T.DoubleType())])
