@@ -55,3 +55,14 @@ def test_odd_rows_pass_all_stages(spark, sf_dir):
         for _, stage in cp.STAGES:
             now = cp.materialise(stage(spark, now, sf_dir))
         assert (now.count() > 0) == (start is docs)
+
+
+def test_a_run_leaves_its_result_alone(spark, sf_dir):
+    import os
+
+    from asterism.shared import shared_dir
+
+    held = lambda: {f for f in os.listdir(shared_dir(spark).removeprefix("file:")) if f.startswith("asterism-")}
+    before = held()
+    got = cp.run(spark, sf_dir)
+    assert got.count() > 0 and len(held() - before) == 1
