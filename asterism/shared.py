@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables written inside each open ``scratch``, innermost last.
+_OPEN: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.
 
@@ -31,15 +37,45 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/asterism-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _folders(df: DataFrame) -> set[str]:
+    """Names of the folders of ``materialise`` that ``df`` reads."""
+    parts = (f.rpartition("/")[0] for f in df.inputFiles())
+    return {p for p in parts if p.rpartition("/")[2].startswith("asterism-")}
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``materialise`` wrote and nothing reads any more."""
     spark = df.sparkSession
     root = shared_dir(spark)
-    jvm = spark.sparkContext._jvm
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+    for name in _folders(df):
         if f"{root.split(':', 1)[-1].lstrip('/')}/asterism-" in name.split(":", 1)[-1]:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, name)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving all tables that ``materialise`` has written inside, but those that went through ``kept``."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            _delete(spark, path)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, whose tables outlive the ``scratch`` around."""
+    names = {f.rpartition("/")[2] for f in _folders(df)}
+    if _OPEN:
+        _OPEN[-1][:] = [p for p in _OPEN[-1] if p.rpartition("/")[2] not in names]
+    return df
