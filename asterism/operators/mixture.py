@@ -108,7 +108,8 @@ def with_draws(data: DataFrame, draws: DataFrame, block: int = 64) -> DataFrame:
     """
     blocks = -(-draws.count() // block)
     packed = draws.groupBy(F.pmod(F.xxhash64("draw"), F.lit(max(blocks, 1))).cast("int").alias("_block")).agg(F.collect_list(F.struct("draw", "theta")).alias("_draws"))
-    return data.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1)))).join(packed, "_block").withColumn("_d", F.explode("_draws")).select(*data.columns, "_d.draw", "_d.theta")
+    spread = data.repartition(max(data.sparkSession.sparkContext.defaultParallelism, 1), data.columns[0])  # each row becomes many
+    return spread.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1)))).join(packed, "_block").withColumn("_d", F.explode("_draws")).select(*data.columns, "_d.draw", "_d.theta")
 
 
 def component_membership(data: DataFrame, key: str, draws: DataFrame, size: int, x=("pm_ra", "pm_dec", "epm_ra", "epm_dec")) -> DataFrame:
