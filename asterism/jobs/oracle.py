@@ -195,3 +195,32 @@ SELECT axis, i, component, {r6('quantile_cont(p, 0.05)')} AS low, {r6('quantile_
     "scan_whitespace": f"WITH {PHOT} SELECT star_id, {r6('x')} AS x, {r6('band1')} AS band1, {r6('membership')} AS membership FROM phot",
     "scan_csv": f"WITH {PHOT} SELECT star_id, {r6('x')} AS x, {r6('band1')} AS band1, {r6('membership')} AS membership FROM phot",
 }
+
+
+#: Vertices of the hull: directions to all other points leave a gap of over half a turn. In order from the least vertex.
+ORACLE_SQL["convex_hull"] = f"""WITH {STARS}, p AS (SELECT DISTINCT ra AS x, "dec" AS y FROM stars),
+  ways AS (SELECT a.x, a.y, atan2(b.y - a.y, b.x - a.x) AS t FROM p a JOIN p b ON a.x <> b.x OR a.y <> b.y),
+  gaps AS (SELECT x, y, coalesce(lead(t) OVER (PARTITION BY x, y ORDER BY t), min(t) OVER (PARTITION BY x, y) + 2 * pi()) - t AS gap FROM ways),
+  v AS (SELECT x, y FROM gaps GROUP BY x, y HAVING max(gap) > pi() + 1e-12), mid AS (SELECT avg(x) AS mx, avg(y) AS my FROM v),
+  turned AS (SELECT x, y, atan2(y - my, x - mx) AS t FROM v, mid), first AS (SELECT t AS t0 FROM turned ORDER BY x, y LIMIT 1)
+SELECT row_number() OVER (ORDER BY CASE WHEN t < t0 THEN t + 2 * pi() ELSE t END) - 1 AS k, x, y FROM turned, first"""
+
+#: Each pair's bisector, run along by s, cut by the bisectors with all others and by the box: what is left is the border of both cells.
+#: A cell is made of the triangles between its star and its borders.
+CELLS = f"""{STARS}, p AS (SELECT star_id AS id, band1 - band2 AS x, band1 AS y FROM stars),
+  box AS (SELECT min(x) - {PAD} AS x0, max(x) + {PAD} AS x1, min(y) - {PAD} AS y0, max(y) + {PAD} AS y1 FROM p),
+  pairs AS (SELECT a.id AS i, b.id AS j, a.x AS ax, a.y AS ay, b.x - a.x AS wx, b.y - a.y AS wy FROM p a JOIN p b ON a.id < b.id),
+  cuts AS (SELECT i, j, 2 * (wx * (c.y - ay) - wy * (c.x - ax)) AS a, (c.x - ax) ** 2 + (c.y - ay) ** 2 - wx * (c.x - ax) - wy * (c.y - ay) AS b FROM pairs, p c WHERE c.id <> i AND c.id <> j
+    UNION ALL SELECT i, j, -wy, x1 - ax - wx / 2 FROM pairs, box UNION ALL SELECT i, j, wy, ax + wx / 2 - x0 FROM pairs, box
+    UNION ALL SELECT i, j, wx, y1 - ay - wy / 2 FROM pairs, box UNION ALL SELECT i, j, -wx, ay + wy / 2 - y0 FROM pairs, box),
+  spans AS (SELECT i, j, max(CASE WHEN a < 0 THEN b / a END) AS low, min(CASE WHEN a > 0 THEN b / a END) AS high FROM cuts GROUP BY i, j),
+  borders AS (SELECT * FROM spans WHERE low <= high)"""
+ORACLE_SQL["cell_adjacency"] = f"WITH {CELLS} SELECT i, j FROM borders"
+ORACLE_SQL["cell_areas"] = f"""WITH {CELLS},
+  inner_parts AS (SELECT i, j, (high - low) * (wx * wx + wy * wy) / 4 AS part FROM borders JOIN pairs USING (i, j)),
+  sides AS (SELECT id, x, y, x1 - x AS fx, 0.0::DOUBLE AS fy, y0 - y AS low, y1 - y AS high, true AS upright FROM p, box UNION ALL SELECT id, x, y, x0 - x, 0.0, y0 - y, y1 - y, true FROM p, box
+    UNION ALL SELECT id, x, y, 0.0, y1 - y, x0 - x, x1 - x, false FROM p, box UNION ALL SELECT id, x, y, 0.0, y0 - y, x0 - x, x1 - x, false FROM p, box),
+  side_cuts AS (SELECT s.id, s.fx, s.fy, s.low, s.high, 2 * CASE WHEN upright THEN c.y - s.y ELSE c.x - s.x END AS a, (c.x - s.x) ** 2 + (c.y - s.y) ** 2 - 2 * (s.fx * (c.x - s.x) + s.fy * (c.y - s.y)) AS b FROM sides s JOIN p c ON c.id <> s.id),
+  outer_parts AS (SELECT id, abs(fx + fy) / 2 * greatest(0, least(max(high), min(CASE WHEN a > 0 THEN b / a END)) - greatest(max(low), max(CASE WHEN a < 0 THEN b / a END))) AS part FROM side_cuts GROUP BY id, fx, fy),
+  parts AS (SELECT i AS id, part, 1 AS n FROM inner_parts UNION ALL SELECT j, part, 1 FROM inner_parts UNION ALL SELECT id, part, 0 FROM outer_parts)
+SELECT id AS star_id, {r6("sum(part)")} AS area, sum(n)::BIGINT AS n_neighbours FROM parts GROUP BY id"""

@@ -438,6 +438,12 @@ def cell_adjacency(spark, d):
     return tessellation.adjacency(tessellation.voronoi_cells(_points(spark, d), PAD))
 
 
+def cell_areas(spark, d):
+    """Area and number of neighbours of each star's cell."""
+    cells = tessellation.voronoi_cells(_points(spark, d), PAD)
+    return cells.select(F.col("id").alias("star_id"), r6(F.col("area")).alias("area"), F.size("touches").cast("long").alias("n_neighbours"))
+
+
 def cvt(spark, d):
     return tessellation.centroidal(_points(spark, d), 3, PAD).select("id", "x", "y", "area")
 
@@ -491,6 +497,6 @@ QUERIES = {f.__name__: f for f in (
     field_density, annulus_assign, knn_join, sigma_clip_median, dr_median, dr_apply, dr_threshold, spline_eval, ring_centroid,
     ridge_residuals, scan_whitespace, scan_csv, annulus_groups, region_counts, points_in_regions, median_region_count, cell_count_norm, common_regions, cell_counts_points, mc_rate,
     expected_membership, membership_update, mc_membership, bivar_pdf, mvar_pdf, univar_pdf, mix_loglik, mix_log_prior, mix_fix_link,
-    mix_posterior, mix_membership, gauss_bands, chain_write_read, convex_hull, annuli, voronoi_cells, cell_adjacency, cvt, merge_regions,
+    mix_posterior, mix_membership, gauss_bands, chain_write_read, convex_hull, annuli, voronoi_cells, cell_adjacency, cell_areas, cvt, merge_regions,
     dilate_grid, kmeans_centroids, cvt_grid, statistical_membership, sampler_init, sampler_run, chain_slice, chain_percentiles, chain_argmax, trace_long, corner_hist,
 )}

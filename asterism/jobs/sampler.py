@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-
-from ..operators.mixture import PER_COMPONENT, components_of, log_posteriors
-
-#: Rows of observations that every task may hold; beyond, posteriors are evaluated by Spark.
-MAX_LOCAL_ROWS = 200_000
+from pyspark.sql import functions as F
+
+from ..operators.mixture import PER_COMPONENT, components_of, effective
+from ..shared import discard, materialise, new_path
+
+#: Steps of walkers that the driver holds before it adds them to the chain's table.
+HELD_ROWS = 10_000
+#: Observations are written once in files of about so many rows; passes over few of them start few tasks.
+TASK_ROWS = 50_000
+TASKS_PER_CORE = 4
+#: The unit in which log likelihoods of tasks are added.
+MICRO = 1e-6
 SNOOKER = 0.2
 COLUMNS = ("pm_ra", "pm_dec", "epm_ra", "epm_dec")
 CHAIN = "chain_id long, step int, walker int, theta array<double>, log_prob double"
@@ -28,22 +36,21 @@ def start(walkers: int, low: list[float], high: list[float], seed: int) -> np.nd
     return p
 
 
-def posterior(theta: np.ndarray, data: np.ndarray, low, high, fixed=None, links=()) -> float:
-    """Log posterior of one vector over (n, 4) observations: the prior judges the raw vector, the likelihood sees it fixed and linked."""
+def allowed(theta: np.ndarray, low: np.ndarray, high: np.ndarray) -> bool:
+    """Whether the prior allows a vector: inside the closed box, with weights that sum to one at most."""
+    k = components_of(len(theta))
+    return bool((theta >= low).all() and (theta <= high).all() and (k == 1 or 1 - theta[k * PER_COMPONENT :].sum() >= 0))
+
+
+def log_likelihood(theta: np.ndarray, data: np.ndarray) -> float:
+    """Log likelihood of one vector, fixed and linked before, over (n, 4) observations."""
     k = components_of(len(theta))
-    if (theta < low).any() or (theta > high).any() or (k > 1 and 1 - theta[k * PER_COMPONENT :].sum() < 0):
-        return -math.inf
-    t = theta.copy()
-    if fixed is not None:
-        t = np.array([v if f is None else f for v, f in zip(t, fixed, strict=True)])
-    for a, b in links:
-        t[b] = t[a]
     x, y, ex, ey = data.T
-    own = t[k * PER_COMPONENT :]
+    own = theta[k * PER_COMPONENT :]
     weights = own if k == 1 else [*own, 1 - own.sum()]
     total = np.zeros(len(data))
     for i, w in enumerate(weights):
-        mx, my, sx, sy, rho = t[i * PER_COMPONENT : (i + 1) * PER_COMPONENT]
+        mx, my, sx, sy, rho = theta[i * PER_COMPONENT : (i + 1) * PER_COMPONENT]
         ox, oy = np.sqrt(sx * sx + ex * ex), np.sqrt(sy * sy + ey * ey)
         r = rho * sx * sy / (ox * oy)
         u, v, q = (x - mx) / ox, (y - my) / oy, 1 - r * r
@@ -52,6 +59,41 @@ def posterior(theta: np.ndarray, data: np.ndarray, low, high, fixed=None, links=
         return float(np.log(total).sum())
 
 
+def _sums(thetas: np.ndarray):
+    """Log likelihoods of all vectors over one task's rows, in whole MICRO; null where they vanish."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(thetas))
+        for batch in batches:
+            data = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            total += [log_likelihood(t, data) for t in thetas]
+        units = [round(v / MICRO) if math.isfinite(v) else None for v in total.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([units], pa.list_(pa.int64()))], ["units"])
+
+    return run
+
+
+def log_posteriors(rows: DataFrame, thetas: np.ndarray, low: np.ndarray, high: np.ndarray, fixed=None, links=()) -> np.ndarray:
+    """Log posterior of each of (n, d) vectors over ``rows`` (four columns), in one pass without a shuffle.
+
+    The prior judges the raw vector, the likelihood sees it fixed and linked.
+    The pass has TASKS_PER_CORE tasks a core at most, each over its share of the
+    rows, and the driver adds one number of each vector and task: that grows with
+    the cluster, not with the rows. The numbers are whole millionths, so their
+    order does not matter; a vector under which some row has no density, or none
+    that is a number, gets minus infinity.
+    """
+    found = np.full(len(thetas), -math.inf)
+    inside = [i for i, t in enumerate(thetas) if allowed(t, low, high)]
+    if inside:
+        asked = np.array([effective(thetas[i].tolist(), fixed, links) for i in inside])
+        tasks = TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism
+        parts = [r["units"] for r in rows.coalesce(tasks).mapInArrow(_sums(asked), "units array<long>").collect()]
+        for i, units in zip(inside, zip(*parts, strict=True) if parts else [()] * len(inside), strict=True):
+            found[i] = -math.inf if None in units else sum(units) * MICRO
+    return found
+
+
 def propose(now: np.ndarray, other: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """New places of half an ensemble from pairs of the other half, with log corrections of the acceptance.
 
@@ -79,20 +121,17 @@ def propose(now: np.ndarray, other: np.ndarray, rng: np.random.Generator) -> tup
     return out, fix
 
 
-def run(p: np.ndarray, steps: int, evaluate, seed: int):
-    """Yield (walkers, log posteriors) after every step; ``evaluate`` takes (n, d) vectors."""
-    rng = np.random.default_rng(seed)
-    p, log_p = p.copy(), np.array(evaluate(p))
-    half = len(p) // 2
-    for _ in range(steps):
-        for mine, theirs in ((slice(0, half), slice(half, None)), (slice(half, None), slice(0, half))):
-            new, fix = propose(p[mine], p[theirs], rng)
-            log_new = np.array(evaluate(new))
+def advance(places: list[np.ndarray], logs: list[np.ndarray], rngs: list[np.random.Generator], evaluate) -> None:
+    """One step of all ensembles, in place; ``evaluate`` takes the (n, d) vectors proposed for half of each at once."""
+    half = len(places[0]) // 2
+    for mine, theirs in ((slice(0, half), slice(half, None)), (slice(half, None), slice(0, half))):
+        offers = [propose(p[mine], p[theirs], rng) for p, rng in zip(places, rngs, strict=True)]
+        found = np.split(evaluate(np.concatenate([new for new, _ in offers])), len(places))
+        for p, log_p, rng, (new, fix), log_new in zip(places, logs, rngs, offers, found, strict=True):
             with np.errstate(invalid="ignore"):
                 accept = np.log(rng.random(len(new))) < fix + log_new - log_p[mine]
             p[mine] = np.where(accept[:, None], new, p[mine])
             log_p[mine] = np.where(accept, log_new, log_p[mine])
-        yield p.copy(), log_p.copy()
 
 
 def start_table(spark: SparkSession, chains: int, walkers: int, low, high, seed: int = 0) -> DataFrame:
@@ -101,33 +140,26 @@ def start_table(spark: SparkSession, chains: int, walkers: int, low, high, seed:
     return spark.createDataFrame(rows, CHAIN)
 
 
-def sample(data: DataFrame, chains: int, walkers: int, steps: int, low, high, fixed=None, links=(), seed: int = 0, columns=COLUMNS, max_local_rows: int = MAX_LOCAL_ROWS) -> DataFrame:
-    """Chains of independent ensembles (CHAIN columns) over observations.
+def sample(data: DataFrame, chains: int, walkers: int, steps: int, low, high, fixed=None, links=(), seed: int = 0, columns=COLUMNS) -> DataFrame:
+    """Chains of independent ensembles (CHAIN columns) over observations; rows with a null are left out.
 
-    Up to ``max_local_rows`` observations go to all tasks and each ensemble is a
-    task of its own. With more, the ensembles run in turn and each half step is
-    one distributed pass that evaluates all proposed vectors.
+    Each half step is one distributed pass over the observations for the
+    proposals of all ensembles. The driver holds the walkers and the steps not
+    yet written: the chain is a table that grows by HELD_ROWS rows at a time.
     """
-    spark, low_, high_ = data.sparkSession, np.array(low, float), np.array(high, float)
-    rows = data.select(*columns).dropna()
-    if rows.limit(max_local_rows + 1).count() <= max_local_rows:
-        shared = spark.sparkContext.broadcast(rows.toPandas().to_numpy(float))
-
-        def ensemble(pdf: pd.DataFrame) -> pd.DataFrame:
-            c = int(pdf["chain_id"].iloc[0])
-            evaluate = lambda v: [posterior(t, shared.value, low_, high_, fixed, links) for t in v]
-            out = [(c, s, w, t.tolist(), float(l)) for s, (p, lp) in enumerate(run(start(walkers, low, high, seed + c), steps, evaluate, seed + c)) for w, (t, l) in enumerate(zip(p, lp, strict=True))]
-            return pd.DataFrame(out, columns=["chain_id", "step", "walker", "theta", "log_prob"])
-
-        ids = spark.range(chains).withColumnRenamed("id", "chain_id")
-        return ids.groupBy("chain_id").applyInPandas(ensemble, CHAIN)
-
-    def distributed(v: np.ndarray) -> list[float]:
-        found = {r["param_id"]: r["log_posterior"] for r in log_posteriors(rows, v.tolist(), list(low), list(high), fixed, links, columns).collect()}
-        return [found[i] for i in range(len(v))]
-
-    out = []
-    for c in range(chains):
-        for s, (p, lp) in enumerate(run(start(walkers, low, high, seed + c), steps, distributed, seed + c)):
-            out += [(c, s, w, t.tolist(), float(l)) for w, (t, l) in enumerate(zip(p, lp, strict=True))]
-    return spark.createDataFrame(out, CHAIN)
+    spark, low, high = data.sparkSession, np.array(low, float), np.array(high, float)
+    path = new_path(spark)
+    spark.createDataFrame([], CHAIN).write.parquet(path)
+    rows = data.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna()
+    rows = materialise(rows.repartition(-(-rows.count() // TASK_ROWS) or 1))
+    evaluate = lambda v: log_posteriors(rows, v, low, high, fixed, links)
+    places, rngs = [start(walkers, low, high, seed + c) for c in range(chains)], [np.random.default_rng(seed + c) for c in range(chains)]
+    logs, held = np.split(evaluate(np.concatenate(places)), chains), []
+    for s in range(steps):
+        advance(places, logs, rngs, evaluate)
+        held += [(c, s, w, t, v) for c in range(chains) for w, (t, v) in enumerate(zip(places[c].tolist(), logs[c].tolist(), strict=True))]
+        if len(held) >= HELD_ROWS or s == steps - 1:
+            spark.createDataFrame(held, CHAIN).coalesce(1).write.mode("append").parquet(path)
+            held = []
+    discard(rows)
+    return spark.read.schema(CHAIN).parquet(path)

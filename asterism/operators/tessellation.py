@@ -315,7 +315,8 @@ def kmeans_centroids(points: DataFrame, points_per_bin: int | None = None, bins:
 
     The plane is split by counts into cells of at most ``part`` places, each
     with its share of the centres, and each is a task of its own, so the centres
-    may grow with the rows: no task and no driver holds them all. Rows at one
+    may grow with the rows: no task and no driver holds them all. A part has one
+    centre at least, so parts of less than a share add to their number. Rows at one
     place weigh together; rows of weight 0 have no part.
     """
     if points_per_bin is None and bins is None:
@@ -325,12 +326,14 @@ def kmeans_centroids(points: DataFrame, points_per_bin: int | None = None, bins:
     total, x0, x1, y0, y1 = places.agg(F.sum("n"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if not total:
         return points.select("id", "g", "x", "y").limit(0)
-    side = max(x1 - x0, y1 - y0) or 1.0
+    side = (max(x1 - x0, y1 - y0) or 1.0) * (1 + 1e-9)  # the whole plane is one cell at level 0
+    places = places.select((F.col("x") - x0).alias("x"), (F.col("y") - y0).alias("y"), "w", "n")
     dealt = cell_levels(places.select(F.monotonically_increasing_id().alias("id"), "x", "y"), places.select(F.col("x").alias("rx"), F.col("y").alias("ry")), side, part)
     width = F.lit(side) / F.pow(F.lit(float(CUT)), F.col("level"))
     cells = dealt.join(places, ["x", "y"]).withColumns({"cx": F.floor(F.col("x") / width), "cy": F.floor(F.col("y") / width)})
     made = cells.groupBy("level", "cx", "cy").applyInPandas(_local_means((bins or 0) / total, points_per_bin, seed), "x double, y double")
-    return materialise(made).select(F.xxhash64("x", "y").alias("id"), F.lit(0).cast("long").alias("g"), "x", "y")
+    made = materialise(made.select((F.col("x") + x0).alias("x"), (F.col("y") + y0).alias("y")))
+    return made.select(F.xxhash64("x", "y").alias("id"), F.lit(0).cast("long").alias("g"), "x", "y")
 
 
 def region_grid(points: DataFrame, which: str = "dilation", rounds: int = 1, pad: float = 0.0, target_median: float | None = None, points_per_bin: int = 20) -> tuple[DataFrame, DataFrame]:

@@ -29,16 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def new_path(spark: SparkSession) -> str:
+    """A folder for one more table, deleted with the ``scratch`` that is open."""
+    path = f"{shared_dir(spark)}/asterism-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet and read it back: cuts the lineage.
 
     The files outlive executors, so a lost one costs no recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/asterism-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
-    if _OPEN:
-        _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

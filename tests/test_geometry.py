@@ -166,3 +166,64 @@ def test_open_cells_are_an_error(spark):
     ring = [(np.cos(a), np.sin(a)) for a in np.linspace(0, 6.2, 80)]
     with pytest.raises(RuntimeError):
         t.voronoi_cells(points(spark, [(0, 0), *ring]), 0.1, max_rounds=1)
+
+
+def test_lloyd_moves_to_centroids(spark):
+    """Centroids by counting the points of a fine grid."""
+    rng = np.random.default_rng(11)
+    p, pad, side = rng.random((40, 2)), 0.1, 1200
+    axis = [(np.arange(side) + 0.5) / side * (np.ptp(p[:, d]) + 2 * pad) + p[:, d].min() - pad for d in (0, 1)]
+    grid = np.stack(np.meshgrid(*axis, indexing="ij"), -1).reshape(-1, 2)
+    own, best = np.zeros(len(grid), int), np.full(len(grid), np.inf)
+    for i, q in enumerate(p):
+        d = ((grid - q) ** 2).sum(axis=1)
+        own[d < best], best = i, np.minimum(d, best)
+    want = np.stack([np.bincount(own, grid[:, d]) / np.bincount(own) for d in (0, 1)], 1)
+    got = {r["id"]: (r["x"], r["y"]) for r in t.centroidal(points(spark, p), 2, pad).collect()}
+    assert np.allclose([got[i] for i in range(40)], want, atol=2e-3)
+    with pytest.raises(ValueError):
+        t.centroidal(points(spark, p), 0)
+
+
+@pytest.mark.parametrize("target", [1.0, 1e9])
+def test_dilation_against_a_plain_loop(spark, target):
+    rng = random.Random(13)
+    area = {i: rng.choice([1.0, 2.0]) + i % 5 / 10 for i in range(50)}
+    edges = {tuple(sorted(rng.sample(range(50), 2))) for _ in range(80)}
+    stars = [(s, rng.randrange(50)) for s in range(60)] + [(s, rng.randrange(50)) for s in range(10)]
+    region, live, links = {i: i for i in area}, dict(area), set(edges)
+    while True:
+        parent = {}
+        for i in sorted(live, key=lambda i: (live[i], i)):
+            if i not in parent:
+                parent[i] = i
+                for a, b in links:
+                    if i in (a, b):
+                        parent.setdefault(b if a == i else a, i)
+        region = {c: parent[r] for c, r in region.items()}
+        held = {}
+        for s, c in stars:
+            held.setdefault(region[c], set()).add(s)
+        before, after = len(live), len(set(region.values()))
+        if np.median([len(v) for v in held.values()]) >= target or after == before or after <= 1:
+            break
+        live = {r: sum(v for i, v in live.items() if parent[i] == r) for r in set(parent.values())}
+        links = {tuple(sorted((parent[a], parent[b]))) for a, b in links if parent[a] != parent[b]}
+    cells = spark.createDataFrame(list(area.items()), "id long, area double")
+    got = t.dilate(cells, spark.createDataFrame(list(edges), "i long, j long"), spark.createDataFrame(stars, "id long, region long"), target)
+    assert {r["cell"]: r["region"] for r in got.collect()} == region
+
+
+def test_centres_are_means_of_their_rows(spark):
+    rng = np.random.default_rng(17)
+    p = np.vstack([rng.normal(m, 0.05, (90, 2)) for m in ((0, 0), (3, 0), (0, 3))] + [[[3.0, 0.0]] * 9])
+    w = rng.uniform(0.5, 2, len(p))
+    df = spark.createDataFrame([(i, 0, float(x), float(y), float(v)) for i, ((x, y), v) in enumerate(zip(p, w, strict=True))], "id long, g long, x double, y double, weight double")
+    c = np.array([(r["x"], r["y"]) for r in t.kmeans_centroids(df, bins=3).collect()])
+    own = ((p[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert len(c) == 3 and np.allclose(c, [np.average(p[own == k], axis=0, weights=w[own == k]) for k in range(3)])
+    many = t.kmeans_centroids(df, points_per_bin=9, part=40).collect()
+    assert len(p) / 9 - 5 <= len(many) <= len(p) and all(-0.5 < r["x"] < 3.5 and -0.5 < r["y"] < 3.5 for r in many)  # each part has one at least
+    assert t.kmeans_centroids(df.withColumn("weight", F.lit(0.0)), bins=3).count() == 0
+    with pytest.raises(ValueError):
+        t.kmeans_centroids(df)

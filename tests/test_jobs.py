@@ -79,8 +79,11 @@ def test_posterior_on_driver_and_in_spark(spark):
     fixed, links = [None] * 4 + [0.0] + [None] * 6, [(2, 3)]
     got = {r["param_id"]: r["log_posterior"] for r in mixture.log_posteriors(df, thetas, low, high, fixed, links).collect()}
     for i, t in enumerate(thetas):
-        want = sampler.posterior(np.array(t), np.array(rows), np.array(low), np.array(high), fixed, links)
+        free = sampler.allowed(np.array(t), np.array(low), np.array(high))
+        want = sampler.log_likelihood(np.array(mixture.effective(t, fixed, links)), np.array(rows)) if free else -math.inf
         assert got[i] == pytest.approx(want, rel=1e-9)
+    spread = sampler.log_posteriors(df.repartition(5), np.array(thetas), np.array(low), np.array(high), fixed, links)
+    assert spread == pytest.approx([got[i] for i in range(len(thetas))], abs=1e-5)
     zero = mixture.log_likelihoods(df.withColumn("pm_ra", F.lit(1e9)), thetas[:1]).first()
     assert zero["log_likelihood"] == -math.inf
     with pytest.raises(ValueError):
@@ -95,10 +98,28 @@ def test_sampler_finds_planted_means(spark):
     chain = sampler.sample(df, 2, 24, 150, low, high)
     kept = chain.filter("step >= 100").agg(F.avg(F.col("theta")[0]), F.avg(F.col("theta")[1]), F.count("*")).first()
     assert kept[0] == pytest.approx(-3, abs=0.1) and kept[1] == pytest.approx(-6, abs=0.1) and kept[2] == 2 * 24 * 50
-    far = sampler.sample(df, 1, 8, 1, low, high, max_local_rows=10).collect()
-    near = sampler.sample(df, 1, 8, 1, low, high).collect()
-    assert [r["theta"] for r in far] == [r["theta"] for r in near]
-    assert [r["log_prob"] for r in far] == pytest.approx([r["log_prob"] for r in near])
+    far = sampler.sample(df.repartition(6), 2, 8, 3, low, high).orderBy("chain_id", "step", "walker").collect()
+    data, box = df.toPandas().to_numpy(), (np.array(low), np.array(high))
+    alone = lambda v: np.array([sampler.log_likelihood(t, data) if sampler.allowed(t, *box) else -math.inf for t in v])
+    want = []
+    for c in range(2):
+        places, rng = [sampler.start(8, low, high, c)], [np.random.default_rng(c)]
+        logs = [alone(places[0])]
+        for _ in range(3):
+            sampler.advance(places, logs, rng, alone)
+            want += [(t, v) for t, v in zip(places[0].tolist(), logs[0].tolist(), strict=True)]
+    assert [r["theta"] for r in far] == [t for t, _ in want]
+    assert [r["log_prob"] for r in far] == pytest.approx([v for _, v in want], abs=1e-4)
+    assert sampler.sample(df.limit(0), 1, 8, 1, low, high).filter("log_prob = 0").count() > 0
+
+
+def test_long_chains_are_written_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sampler, "HELD_ROWS", 20)
+    df = spark.createDataFrame([(-3.0, -6.0, 0.1, 0.1)] * 9 + [(None, 0.0, 0.1, 0.1)], "pm_ra double, pm_dec double, epm_ra double, epm_dec double")
+    low, high = [-5.0, -8.0, 0.05, 0.05, -0.8, 0.99], [0.0, -4.0, 2.0, 2.0, 0.8, 1.0]
+    got = sampler.sample(df, 1, 8, 7, low, high)
+    assert sorted((r["step"], r["walker"]) for r in got.collect()) == [(s, w) for s in range(7) for w in range(8)]
+    assert len(got.inputFiles()) > 2
 
 
 def catalogue(spark, n=400):
