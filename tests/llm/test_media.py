@@ -121,3 +121,31 @@ def test_layouts_fit_the_format():
         rows, cols = media._layout(n)
         assert rows <= 4095 and cols <= 4095 and rows * cols * 384 >= n and (rows - 1) * cols * 384 < n
     assert media._layout(10**6)[1] == 64
+
+
+def by_java(spark, data):
+    """Samples of a file as the Java runtime's own decoder reads them, before any change of colours."""
+    jvm = spark._jvm
+    reader = jvm.javax.imageio.ImageIO.getImageReadersByFormatName("jpeg").next()
+    reader.setInput(jvm.javax.imageio.ImageIO.createImageInputStream(jvm.java.io.ByteArrayInputStream(bytearray(data))))
+    raster = reader.readRaster(0, None)
+    flat = np.frombuffer(bytes(raster.getDataBuffer().getData()), np.uint8)
+    return flat.reshape(raster.getHeight(), raster.getWidth(), raster.getNumBands()).astype(int)
+
+
+@pytest.mark.parametrize("factors", [[(1, 1)], [(1, 1)] * 3, [(2, 2), (1, 1), (1, 1)]])
+def test_files_against_another_decoder(spark, factors):
+    image = image_of(np.random.default_rng(8), 40, 56, factors, spread=4)
+    data = jpeg.encode(image)
+    want, got = by_java(spark, data), jpeg.planes(jpeg.decode(data))
+    alike = range(len(factors)) if factors[0] == (1, 1) else (0,)  # chroma is upsampled by interpolation there
+    for k in alike:
+        mine = np.rint(np.clip(got[k], 0, 255))[: image.height, : image.width]
+        assert np.abs(mine - want[:, :, k]).max() <= 1 and want[:, :, k].std() > 5
+
+
+def test_stored_texts_against_another_decoder(spark):
+    data = media.store(media.payload("passages of plain text, é ÿ\n" * 700)[0])
+    want, got = by_java(spark, data), jpeg.planes(jpeg.decode(data))
+    mine = np.rint(np.clip(got[0], 0, 255))
+    assert np.abs(mine - want[:, :, 0]).max() <= 1
