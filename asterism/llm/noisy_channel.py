@@ -17,8 +17,8 @@ OTHER = 27
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "§": "s"}
 #: Log costs of the channel: a sign for a letter, a letter written again, a sign put in between, a digit put in between.
 SWAP, AGAIN, BETWEEN, DIGIT = -1.0, -0.5, -0.7, -4.0
-#: Three or more single characters, each apart from the next by blanks.
-SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
+#: Three or more single characters, each apart from the next by white space.
+SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _OWN = re.compile(r"[^\W\d_]")
 
@@ -90,12 +90,13 @@ def decode(chars: str, model: list) -> str:
 
 
 def suspicious(core: str) -> bool:
-    """Whether a token holds two letters or more, and between or among them signs, digits or a letter three times running."""
+    """Whether a token may be a disguise: a letter twice running, two letters with anything else, or one beside a sign of LEET."""
     if len(core) < 3:
         return False
     if core.isalpha():
-        return any(a == b == c for a, b, c in zip(core, core[1:], core[2:], strict=False))
-    return len(_OWN.findall(core)) >= 2
+        return any(a == b for a, b in zip(core, core[1:], strict=False))
+    n = len(_OWN.findall(core))
+    return n >= 2 or (n == 1 and any((a in LEET and b.isalpha()) or (a.isalpha() and b in LEET) for a, b in zip(core, core[1:], strict=False)))
 
 
 def words_of(token: str, model: list) -> tuple[str, ...]:

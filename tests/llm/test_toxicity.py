@@ -16,7 +16,7 @@ def test_model_is_normalised(plain):
     assert np.allclose(np.exp(np.array(plain)).sum(axis=2), 1)
 
 
-@pytest.mark.parametrize("token", ["1d10t", "id!ot", "i.d.i.o.t", "idiooot", "i-d-i-o-t", "!d1ot", "iid10tt"])
+@pytest.mark.parametrize("token", ["1d10t", "id!ot", "i.d.i.o.t", "idiooot", "i-d-i-o-t", "!d1ot", "iid10tt", "idiiot", "1d107"])
 def test_disguises_are_seen_through(plain, token):
     assert "idiot" in nc.words_of(token, plain)
 
@@ -24,6 +24,7 @@ def test_disguises_are_seen_through(plain, token):
 def test_spaced_letters_and_plain_words(plain):
     assert nc.spaced_words("you s t u p i d  m o r o n !", plain)
     assert nc.spaced_words("an i d i o t here", plain) == ["idiot"]
+    assert nc.spaced_words("an i d\ni\n o t here", plain) == ["idiot"]
     assert nc.words_of("clown,", plain) == ("clown",)
     assert nc.words_of("th%%%", plain) == ("th",)
     assert nc.words_of("2024", plain) == ()
