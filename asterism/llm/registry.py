@@ -4,6 +4,7 @@ from .bilinear import op2_language_model
 from .bpe import op6_bpe
 from .media import op3_media
 from .passages import op5_passages
+from .periodic_runs import op12_periodic_runs
 from .pseudonyms import op4_pii
 from .mixing import op7_mixing
 from .quality_rules import op1_quality
@@ -22,6 +23,7 @@ QUERIES = {
     "op5_passages": op5_passages,
     "op9_urls": op9_urls,
     "op10_toxicity": op10_toxicity,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_urls": OP9_SQL,
