@@ -2,6 +2,7 @@
 
 from .bilinear import op2_language_model
 from .bpe import op6_bpe
+from .conversations import op11_conversations
 from .media import op3_media
 from .passages import op5_passages
 from .periodic_runs import op12_periodic_runs
@@ -23,6 +24,7 @@ QUERIES = {
     "op5_passages": op5_passages,
     "op9_urls": op9_urls,
     "op10_toxicity": op10_toxicity,
+    "op11_conversations": op11_conversations,
     "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {
