@@ -3,6 +3,7 @@
 from .bilinear import op2_language_model
 from .bpe import op6_bpe
 from .conversations import op11_conversations
+from .html_extraction import op13_html
 from .media import op3_media
 from .passages import op5_passages
 from .periodic_runs import op12_periodic_runs
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_conversations": op11_conversations,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_html": op13_html,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_urls": OP9_SQL,
