@@ -26,6 +26,10 @@ DAY_ONE, DAY_LAST = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toord
 #: Characters in an IBAN by country.
 IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
 
+#: Country codes of two digits; 1 and 7 have one, all others three.
+TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+_SMALL = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
 EMAIL = re.compile(r"[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 SECRET = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?<=[=:])[0-9a-f]{16,}|AKIA[0-9A-Z]{16})(?![0-9A-Za-z])")
 IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
@@ -34,7 +38,8 @@ NUMBER = re.compile(
     r"(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?!\.?\d)"
     r"|(?P<date>\d{4}([-/.])\d{1,2}\3\d{1,2}|\d{1,2}([-/.])\d{1,2}\4\d{4})"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
-    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}|(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4})"
+    r"|(?P<phone>(?:\+1[ .-]?|001[ .-])(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|(?:\+[2-9]|00[2-9](?=\d{0,2}[ .(-]))\d{0,2}[ .-]?(?:\(0\)[ .-]?)?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,4}){1,4}"
+    r"|(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4})"
     r"|(?P<card>\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})"
     r")(?![\w@]|-\d)"
 )
@@ -128,13 +133,41 @@ def ssn(s: str, key: bytes) -> str | None:
     return f"{a + 1 + (a + 1 >= 666):03d}-{g + 1:02d}-{n + 1:04d}"
 
 
+def country_code(digits: str) -> str:
+    """The country code at the head of an international number, by the zones of E.164: one digit, one of the two-digit codes, or three digits."""
+    return digits[:1] if digits[:1] in ("1", "7") else digits[:2] if digits[:2] in TWO_DIGIT_CODES else digits[:3]
+
+
 def phone(s: str, key: bytes) -> str | None:
-    """A country code stays; the other 7 to 14 digits move. Ten digits without a code are taken for numbers of code 1."""
-    head = re.match(r"\+\d{1,3}(?=[ .(-])|\+1(?=\d{10}$)", s)
-    at = head.end() if head else 0
-    d = _digits(s[at:])
-    code = s[:at] or ("+1" if len(d) == 10 and s[0] != "+" else "")
-    return s[:at] + _refill(s[at:], _move(d, key, "phone" + code)) if 7 <= len(d) <= 14 else None
+    """The country code stays and the national number moves, whatever parts them.
+
+    A code follows ``+`` or ``00``; ten digits without one, or behind a 1, have code 1. A 0 in
+    brackets behind the code is no part of the number and stays. A number of
+    code 1 has ten digits, others 7 to 15 with their code. Numbers that code 1
+    could assign (area and exchange from 2 on) become such numbers, and others
+    keep whether they begin with a 0: the permutation is walked until they do.
+    """
+    d = _digits(s)
+    head = 0 if s[0] == "+" else 2 if s.startswith("00") else None
+    if head is not None:
+        code = country_code(d[head:])
+        skip = head + len(code)
+    else:
+        code, skip = "1", int(len(d) == 11)
+    at = 0
+    while skip:
+        skip -= s[at].isdigit()
+        at += 1
+    if trunk := re.match(r"[ .-]?\(0\)", s[at:]):
+        at += trunk.end()
+    number = _digits(s[at:])
+    if (len(number) != 10) if code == "1" else (len(number) < 4 or not 7 <= len(code) + len(number) <= 15):
+        return None
+    form = (lambda x: x[0] in "23456789" and x[3] in "23456789") if code == "1" else (lambda x: x[0] == "0")
+    moved = _move(number, key, f"phone+{code}")
+    while form(moved) != form(number):
+        moved = _move(moved, key, f"phone+{code}")
+    return s[:at] + _refill(s[at:], moved)
 
 
 def ip(s: str, key: bytes) -> str | None:
@@ -227,9 +260,10 @@ def characters(s: str, key: bytes, tweak: str) -> str:
 
 
 def email(s: str, key: bytes) -> str | None:
-    """The part before the @ moves and the domain stays, so addresses of one domain stay together."""
+    """The part before the @ moves and the domain stays, so addresses of one domain stay together; capitals stay where they are and make no other address."""
     local, _, domain = s.partition("@")
-    return characters(local, key, "email" + domain.lower()) + "@" + domain
+    moved = characters(local.translate(_SMALL), key, "email" + domain.translate(_SMALL))
+    return "".join(c.upper() if "A" <= o <= "Z" else c for c, o in zip(moved, local, strict=True)) + "@" + domain
 
 
 def secret(s: str, key: bytes) -> str | None:

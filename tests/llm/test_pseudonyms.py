@@ -105,6 +105,67 @@ def test_numbers_link_with_and_without_code():
     assert p.phone("+44 555-123-4567", KEY) != "+44 " + plain
 
 
+#: Country code, national number and notations of it; # stands for a digit.
+NOTATIONS = [
+    ("1", "5552345678", ["###-###-####", "(###) ###-####", "(###)###-####", "###.###.####", "1-###-###-####", "1 (###) ###-####", "1.###.###.####", "+1##########", "+1-###-###-####", "+1 (###) ###-####", "+1 ### ### ####", "001-###-###-####", "001 ### ### ####"]),
+    ("44", "2079460958", ["+44##########", "+44 ## #### ####", "+44##-####-####", "+44 (0)## #### ####", "+44(0)##########", "0044 ## #### ####", "0044-##-####-####", "+44 (##) #### ####"]),
+    ("33", "123456789", ["+33#########", "+33 # ## ## ## ##", "+33 (0)# ## ## ## ##", "+33.#.##.##.##.##", "0033 # ## ## ## ##"]),
+    ("49", "30901820", ["+49########", "+49 ## ######", "+49-##-####-##", "+49 (0)## ######"]),
+    ("353", "12345678", ["+353########", "+353 # ### ####", "+353-#-###-####"]),
+    ("7", "4951234567", ["+7##########", "+7 ### ### ## ##", "+7 (###) ###-##-##"]),
+    ("39", "0612345678", ["+39##########", "+39 ## #### ####"]),
+    ("971", "501234567", ["+971#########", "+971 ## ### ####"]),
+]
+
+
+def filled(shape, digits):
+    it = iter(digits)
+    return "".join(next(it) if c == "#" else c for c in shape)
+
+
+@pytest.mark.parametrize(("code", "number", "shapes"), NOTATIONS)
+def test_one_number_in_any_notation_has_one_pseudonym(code, number, shapes):
+    found = set()
+    for shape in shapes:
+        text = f"call {filled(shape, number)}, or {filled(shape, number[:-1] + str(9 - int(number[-1])))}."
+        out, kinds = p.replaced(text, KEY)
+        assert kinds == ["phone", "phone"], shape
+        m = re.fullmatch("call " + re.escape(shape).replace(r"\#", r"(\d)") + ", or " + re.escape(shape).replace(r"\#", r"(\d)") + r"\.", out)
+        assert m, (shape, out)  # the code, brackets and separators stay
+        found.add("".join(m.groups()))
+    assert len(found) == 1
+    moved = found.pop()[: len(number)]
+    assert moved != number and (moved[0] == "0") == (number[0] == "0")
+    if code == "1":
+        assert moved[0] in "23456789" and moved[3] in "23456789"
+
+
+def test_numbers_of_one_form_are_permuted_among_themselves():
+    numbers = [f"+49 {i:04d}" for i in range(10_000)]
+    moved = [p.phone(s, KEY) for s in numbers]
+    assert len(set(moved) | {None}) == 1  # six digits with the code are no number
+    moved = [p.phone(f"+353 {i:04d}", KEY) for i in range(10_000)]
+    assert sorted(moved) == [f"+353 {i:04d}" for i in range(10_000)]
+    assert all((m[5] == "0") == (i < 1000) for i, m in enumerate(moved))
+
+
+def test_codes_by_zone():
+    assert [p.country_code(d) for d in ("15551234567", "442079460958", "35312345678", "971501234567", "74951234567", "2125")] == ["1", "44", "353", "971", "7", "212"]
+
+
+def test_numbers_beside_each_other_stay_apart():
+    out, kinds = p.replaced("+1 (974) 555-3436 27.65.93.188 and 1-555-123-4567 4539578763621486", KEY)
+    assert kinds == ["phone", "ip", "phone", "card"]
+    assert p.replaced("room 001 of 20 and 0012345678901", KEY)[1] == []  # without a sign or a gap, no number from abroad
+
+
+def test_addresses_link_whatever_their_capitals():
+    out, kinds = p.replaced("Foo.Bar@Example.com foo.bar@example.com FOO.BAR@EXAMPLE.COM foo.baz@example.com", KEY)
+    a, b, c, d = out.split()
+    assert kinds == ["email"] * 4 and a.lower() == b == c.lower() != d
+    assert a[0].isupper() and a[1:3].islower() and a[4].isupper() and a.endswith("@Example.com") and c.isupper()
+
+
 def test_a_key_is_needed(spark):
     with pytest.raises(ValueError):
         p.pseudonymise(spark.range(1).selectExpr("id doc_id", "'x' text"), "")
