@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import Reddening, inside_polygon, sky_separation
 from ..operators import decontamination, neighbours, splines, statistics, tessellation
-from ..shared import materialise
+from ..shared import materialise, tidy
 
 
 def spatial_groups(cluster: DataFrame, field: DataFrame, min_stars: int = 200, clip: bool = False) -> tuple[DataFrame, list[tuple]]:
@@ -37,6 +37,7 @@ def spatial_groups(cluster: DataFrame, field: DataFrame, min_stars: int = 200, c
     return cluster.select("star_id", group.alias("g")).filter("g is not null"), rings
 
 
+@tidy
 def differential_reddening(stars: DataFrame, dr: Reddening, roi: list[tuple[float, float]], nref: int, step: float, threshold: float, limited: bool) -> DataFrame:
     """``star_id, band1, band2, delta_e`` after one correction (``stars``: star_id, x, y, band1, band2, membership, delta_ebv).
 
@@ -74,6 +75,7 @@ def _assign(points: DataFrame, generators: DataFrame, boxes: DataFrame, apart: f
     return found.join(keyed.select("id", "star"), "id").select(F.col("star").alias("id"), F.col("ref").alias("region"))
 
 
+@tidy
 def statistical_membership(
     cluster: DataFrame, field: DataFrame, dr: Reddening, roi: list[tuple[float, float]], nref: int = 20, step: float = 0.1, threshold: float = 0.9,
     iterations: int = 3, min_stars: int = 200, pad: float = 0.0, target_median: float | None = None, fov_multiplier: float = 1.0, method: str = "expected", draws: int = 1000, seed: int = 0,
@@ -103,6 +105,7 @@ def statistical_membership(
     return state.select("star_id", "g", "band1", "band2", "delta_ebv", "membership")
 
 
+@tidy
 def _subtract(state: DataFrame, field: DataFrame, rings: list[tuple], ratio, pad: float, target_median, method: str, draws: int, seed: int) -> DataFrame:
     """One field subtraction in all groups."""
     stars = materialise(state.filter("g is not null").select(F.col("star_id").alias("id"), "g", (F.col("band1") - F.col("band2")).alias("x"), F.col("band1").alias("y")))

@@ -99,7 +99,7 @@ def _percentiles(source: str, col: str) -> str:
 
 
 _THETA = ", ".join(f"{t}::DOUBLE + {SCATTER}::DOUBLE * (abs(theta0) * {i + 1} % 1)" for i, t in enumerate(THETAS[0]))
-DRAWS = f"{CHAIN}, draws AS (SELECT walker AS draw, [{_THETA}] AS t FROM chain QUALIFY row_number() OVER (PARTITION BY walker ORDER BY step DESC) = 1)"
+DRAWS = f"{SLICED}, draws AS (SELECT walker || '-' || step AS draw, [{_THETA}] AS t FROM sliced)"
 
 
 def _draw_parts() -> str:
@@ -180,7 +180,7 @@ SELECT star_id, {r6('abs(a) / 2')} AS area, {r6('sx / (3 * a)')} AS cx, {r6('sy
     "mix_log_prior": f"WITH {STARS} SELECT star_id, CASE WHEN pm_ra BETWEEN -4 AND -2 AND pm_dec BETWEEN -7 AND -5 AND epm_ra BETWEEN 0.1::DOUBLE AND 1 AND epm_dec BETWEEN 0.1::DOUBLE AND 1 AND epm_ra - epm_dec BETWEEN -0.5 AND 0.5 AND membership BETWEEN 0.6::DOUBLE AND 1 THEN 0.0::DOUBLE ELSE '-inf'::DOUBLE END AS log_prior FROM stars",
     "mix_fix_link": f"WITH {STARS} SELECT star_id, {', '.join(f'{r6(c)} AS t{i}' for i, c in _FIX_T.items())} FROM stars",
     "mix_posterior": f"WITH {STARS} " + " UNION ALL ".join(f"SELECT {i}::BIGINT AS param_id, {r6(_loglik(_effective(t))) if _allowed(t) else chr(39) + '-inf' + chr(39) + '::DOUBLE'} AS log_posterior FROM {'stars' if _allowed(t) else '(SELECT 1)'}" for i, t in enumerate(THETAS)),
-    "mix_membership": f"WITH {STARS}, {DRAWS}, p AS (SELECT star_id, draw, {_draw_parts()} FROM stars, draws) SELECT star_id, draw, 0::BIGINT AS comp, {r6('p0 / (p0 + p1)')} AS p FROM p UNION ALL SELECT star_id, draw, 1::BIGINT, {r6('p1 / (p0 + p1)')} FROM p",
+    "mix_membership": f"WITH {STARS}, {DRAWS}, p AS (SELECT star_id, draw, {_draw_parts()} FROM stars, draws) SELECT star_id, 0::BIGINT AS comp, {r6('avg(p0 / (p0 + p1))')} AS p, count(*) AS draws FROM p WHERE p0 + p1 > 0 GROUP BY star_id UNION ALL SELECT star_id, 1::BIGINT, {r6('avg(p1 / (p0 + p1))')}, count(*) FROM p WHERE p0 + p1 > 0 GROUP BY star_id",
     "gauss_bands": f"""WITH {STARS}, {DRAWS}, err AS (SELECT quantile_cont(epm_ra, 0.5) AS e0, quantile_cont(epm_dec, 0.5) AS e1, min(pm_ra) AS a0, max(pm_ra) AS b0, min(pm_dec) AS a1, max(pm_dec) AS b1 FROM stars),
 grid AS (SELECT 0::BIGINT AS axis, i, a0 + i * ((b0 - a0) / {GRID - 1}) AS x, e0 AS e FROM range({GRID}) r(i), err UNION ALL SELECT 1, i, a1 + i * ((b1 - a1) / {GRID - 1}), e1 FROM range({GRID}) r(i), err),
 one AS (SELECT axis, i, draw, c AS component, CASE WHEN c = 0 THEN t[11] ELSE 1 - t[11] END * exp(-pow(x - t[5 * c + 1 + axis], 2) / (2 * (pow(t[5 * c + 3 + axis], 2) + e * e))) / (sqrt(pow(t[5 * c + 3 + axis], 2) + e * e) * sqrt(2 * pi())) AS p FROM grid, draws, (VALUES (0::BIGINT), (1::BIGINT)) v(c)),

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expressions as X
 from ..operators import chains, decontamination, mixture, neighbours, splines, statistics, tessellation
-from ..shared import shared_dir
+from ..shared import new_path, tidy
 from ..sources.catalogues import chain, photometry, read_chain, stars, write_chain
 from ..sources.catalogues import scan_csv as scan_comma
 from ..sources.catalogues import scan_whitespace as scan_text
@@ -235,14 +233,14 @@ SCANNED = T.StructType([T.StructField("star_id", T.LongType()), *(T.StructField(
 
 def scan_whitespace(spark, d):
     """The photometry written as text between runs of blanks, scanned for some of its columns."""
-    path, df = f"{shared_dir(spark)}/asterism-scan-{uuid.uuid4().hex}", photometry(spark, d)
+    path, df = new_path(spark), photometry(spark, d)
     df.select(F.concat_ws("  ", F.lit(""), *(F.col(c).cast("string") for c in df.columns), F.lit("")).alias("value")).write.text(path)
     return _rounded(scan_text(spark, path, SCANNED, df.columns), "x", "band1", "membership")
 
 
 def scan_csv(spark, d):
     """The photometry written as comma-separated files with headers, scanned for some of its columns."""
-    path = f"{shared_dir(spark)}/asterism-scan-{uuid.uuid4().hex}"
+    path = new_path(spark)
     photometry(spark, d).write.csv(path, header=True)
     return _rounded(scan_comma(spark, path, SCANNED), "x", "band1", "membership")
 
@@ -356,14 +354,15 @@ def mix_posterior(spark, d):
 
 
 def _draws(spark, d) -> DataFrame:
-    """A parameter vector for the last step of every walker, scattered about the first of THETAS by what the walker has seen."""
+    """A parameter vector for every kept step of every walker, scattered about the first of THETAS by what the walker has seen."""
     part = lambda i: F.abs("theta0") * (i + 1) % 1
     theta = F.array(*(F.lit(t) + SCATTER * part(i) for i, t in enumerate(THETAS[0])))
-    return chains.last_steps(chain(spark, d)).select(F.col("walker").alias("draw"), theta.alias("theta"))
+    return chains.slice_chain(chain(spark, d), DISCARD, THIN).select("walker", "step", theta.alias("theta"))
 
 
 def mix_membership(spark, d):
-    return _rounded(mixture.component_membership(stars(spark, d), "star_id", _draws(spark, d), len(THETAS[0])), "p")
+    """Mean membership over all kept draws."""
+    return _rounded(mixture.mean_membership(stars(spark, d), "star_id", _draws(spark, d), len(THETAS[0])), "p")
 
 
 def gauss_bands(spark, d):
@@ -399,7 +398,7 @@ def corner_hist(spark, d):
 
 def chain_write_read(spark, d):
     """Burn-in and kept steps stored as two runs, read back and summed by run."""
-    path = f"{shared_dir(spark)}/asterism-chain-{uuid.uuid4().hex}"
+    path = new_path(spark)
     sliced = chains.slice_chain(chain(spark, d), DISCARD, THIN)
     write_chain(sliced, path, "kept")
     write_chain(chain(spark, d).filter(F.col("step") < DISCARD), path, "burn_in")
@@ -491,7 +490,7 @@ def sampler_run(spark, d):
     return sampler.sample(stars(spark, d), 2, 32, 60, *_box(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (
+QUERIES = {f.__name__: tidy(f) for f in (
     cmd_project, filter_members, split_members, filter_error_cut, filter_quality, split_catalogs, rotate_cmd, roi_filter, fiducial_bins,
     hist_density, hist2d_density, density_weights, membership_percentiles, hexbin_median, describe_column, bbox_center, sky_separation,
     field_density, annulus_assign, knn_join, sigma_clip_median, dr_median, dr_apply, dr_threshold, spline_eval, ring_centroid,

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import bivariate_normal, observed, safe_log, univariate_normal
+from ..functions.expressions import bivariate_normal, observed, safe_log
+from ..shared import materialise, tidy
+from .statistics import bracketed
 
 #: Parameters of one component: means, deviations and correlation; k components carry k - 1 weights behind (one has its weight).
 PER_COMPONENT = 5
+#: Rows and draws that a task meets at most, and their pairs that it computes at once.
+DATA_ROWS, DRAW_ROWS, CELLS = 1 << 16, 1 << 14, 1 << 18
 
 
 def components_of(size: int) -> int:
@@ -100,59 +106,180 @@ def log_posteriors(data: DataFrame, thetas: list[list[float]], low: list[float],
     return inside.union(spark.createDataFrame([(i, -math.inf) for i in outside], "param_id long, log_posterior double")) if outside else inside
 
 
-def with_draws(data: DataFrame, draws: DataFrame, block: int = 64) -> DataFrame:
-    """Each row of ``data`` with each draw (``draws``: draw, theta), by blocks of draws.
+def _dealt(data: DataFrame, draws: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``data`` and ``draws`` (theta) in groups (``_part``, ``_block``) of DATA_ROWS and DRAW_ROWS at most, which hold every pair of a row and a draw once.
 
-    A row meets as many blocks as there are, each a bounded array of vectors, so
-    the plan is the same however long the chain is.
+    Both are written first, so that rows are dealt by their place, however many
+    are equal, and alike when a task is run again.
     """
-    blocks = -(-draws.count() // block)
-    packed = draws.groupBy(F.pmod(F.xxhash64("draw"), F.lit(max(blocks, 1))).cast("int").alias("_block")).agg(F.collect_list(F.struct("draw", "theta")).alias("_draws"))
-    spread = data.repartition(max(data.sparkSession.sparkContext.defaultParallelism, 1), data.columns[0])  # each row becomes many
-    return spread.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1)))).join(packed, "_block").withColumn("_d", F.explode("_draws")).select(*data.columns, "_d.draw", "_d.theta")
-
-
+    return _dealt_by_place(data, draws.select(F.col("theta").cast("array<double>").alias("theta")))
+
+
+def _dealt_by_place(data: DataFrame, draws: DataFrame) -> tuple[DataFrame, DataFrame]:
+    data, draws = materialise(data), materialise(draws)
+    n, m = data.count(), draws.count()
+    parts = -(-n // DATA_ROWS) or 1
+    cores = data.sparkSession.sparkContext.defaultParallelism
+    blocks = max(-(-m // DRAW_ROWS), min(-(-m // 256), -(-2 * cores // parts))) or 1
+    own = lambda k: F.pmod(F.monotonically_increasing_id(), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = data.withColumn("_part", own(parts)).withColumn("_block", every(blocks))
+    right = draws.withColumn("_block", own(blocks)).withColumn("_part", every(parts))
+    return left, right
+
+
+def _vectors(draws: pa.Table, size: int) -> np.ndarray:
+    """(draws, size) parameters."""
+    lists = draws["theta"].combine_chunks()
+    flat = lists.flatten()
+    if len(flat) != size * len(lists) or flat.null_count or lists.null_count:
+        raise ValueError(f"draws need {size} numbers each")
+    return flat.to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
+def _weights(thetas: np.ndarray) -> np.ndarray:
+    """(draws, k) weights of the components."""
+    k = components_of(thetas.shape[1])
+    own = thetas[:, k * PER_COMPONENT :]
+    return own if k == 1 else np.column_stack([own, 1.0 - own.sum(axis=1)])
+
+
+def _shares(x: np.ndarray, thetas: np.ndarray) -> np.ndarray:
+    """(rows, draws, k): each row's share of each component; NaN where all densities vanish."""
+    k, weights = components_of(thetas.shape[1]), _weights(thetas)
+    out = np.empty((len(x), len(thetas), k))
+    x1, x2, e1, e2 = (c[:, None] for c in x.T)
+    with np.errstate(all="ignore"):
+        for c in range(k):
+            m1, m2, s1, s2, rho = thetas[None, :, c * PER_COMPONENT : (c + 1) * PER_COMPONENT].transpose(2, 0, 1)
+            o1, o2 = np.sqrt(s1 * s1 + e1 * e1), np.sqrt(s2 * s2 + e2 * e2)
+            r = rho * s1 * s2 / (o1 * o2)
+            u, v, q = (x1 - m1) / o1, (x2 - m2) / o2, 1 - r * r
+            out[:, :, c] = weights[:, c] * np.exp(-(u * u - 2 * r * u * v + v * v) / (2 * q)) / (2 * np.pi * o1 * o2 * np.sqrt(q))
+        return out / out.sum(axis=2, keepdims=True)
+
+
+@tidy
+def mean_membership(data: DataFrame, key: str, draws: DataFrame, size: int, x=("pm_ra", "pm_dec", "epm_ra", "epm_dec")) -> DataFrame:
+    """``key, comp, p, draws``: each row's mean share of each component over all draws of a chain (``draws``: theta, an array of ``size`` numbers).
+
+    Draws under which all densities vanish don't count; ``draws`` has how many
+    do, and p is null without any, as for rows with a null. Rows of one key count together. A task multiplies
+    a block of rows by a block of draws and returns sums, so nothing is made or
+    shuffled for each row and draw.
+    """
+    k = components_of(size)
+    kind = data.schema[key].dataType.simpleString()
+    left, right = _dealt(data.select(key, *(F.col(c).cast("double").alias(c) for c in x)), draws)
+
+    def run(rows: pa.Table, draws: pa.Table) -> pa.Table:
+        thetas, n = _vectors(draws, size), rows.num_rows
+        at = np.column_stack([rows[c].to_numpy() for c in x]).astype(float).reshape(n, len(x))
+        total, count = np.zeros((n, k)), np.zeros(n, np.int64)
+        for i in range(0, n, step := max(1, CELLS // max(len(thetas), 1))):
+            found = _shares(at[i : i + step], thetas)
+            good = ~np.isnan(found).any(axis=2)
+            total[i : i + step], count[i : i + step] = np.where(good[:, :, None], found, 0.0).sum(axis=1), good.sum(axis=1)
+        sums = pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k), pa.int32()), pa.array(total.ravel()))
+        return pa.table({key: rows[key], "s": sums, "n": pa.array(count)})
+
+    found = left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInArrow(run, f"`{key}` {kind}, s array<double>, n long")
+    sums = found.groupBy(key).agg(F.sum("n").alias("n"), *(F.sum(F.get("s", F.lit(c))).alias(f"s{c}") for c in range(k)))
+    each = F.array(*(F.struct(F.lit(c).cast("long").alias("comp"), F.try_divide(F.col(f"s{c}"), F.col("n")).alias("p")) for c in range(k)))
+    return sums.select(key, F.col("n").alias("draws"), F.explode(each).alias("e")).select(key, "e.comp", "e.p", "draws")
+
+
+@tidy
 def component_membership(data: DataFrame, key: str, draws: DataFrame, size: int, x=("pm_ra", "pm_dec", "epm_ra", "epm_dec")) -> DataFrame:
-    """``key, draw, comp, p``: each row's share of each component under each draw of a chain; null where all densities vanish.
+    """``key, draw, comp, p``: each row's share of each component under each draw; null where all densities vanish.
 
-    ``draws``: draw, theta (an array of ``size`` numbers).
+    This is a row for every row, draw and component; ``mean_membership`` has
+    the mean without it. ``draws``: draw, theta (an array of ``size`` numbers).
     """
-    parts = weighted_densities([F.get("theta", F.lit(i)) for i in range(size)], *(F.col(c) for c in x))
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    shares = F.array(*(F.try_divide(p, total) for p in parts))
-    rows = with_draws(data.select(key, *x), draws)
-    return rows.select(key, "draw", F.posexplode(shares).alias("comp", "p")).select(key, "draw", F.col("comp").cast("long").alias("comp"), "p")
-
-
-def mean_membership(shares: DataFrame, key: str) -> DataFrame:
-    """``key, comp, p``: the mean over draws of ``component_membership``."""
-    return shares.groupBy(key, "comp").agg(F.avg("p").alias("p"))
-
-
-def density_bands(grid: DataFrame, draws: DataFrame, size: int, errors: tuple[float, float] = (0.0, 0.0), at: tuple[float, float] = (0.05, 0.95)) -> DataFrame:
-    """``axis, i, component, low, high``: percentiles over draws of each component's density along each axis, and of their sum (component -1).
-
-    ``grid``: axis (0 or 1), i, x; ``draws``: draw, theta. A component is a
-    normal with its weight, widened by the axis's error.
+    k = components_of(size)
+    numbered = materialise(draws.select("draw", F.col("theta").cast("array<double>").alias("theta")))
+    kinds = [d.schema[c].dataType.simpleString() for d, c in ((data, key), (draws, "draw"))]
+    tagged = numbered.select(F.struct("draw", "theta").alias("theta"))
+    left, right = _dealt_by_place(data.select(key, *(F.col(c).cast("double").alias(c) for c in x)), tagged)
+
+    def run(rows: pa.Table, draws: pa.Table) -> pa.Table:
+        both = draws["theta"].combine_chunks()
+        thetas, n = _vectors(pa.table({"theta": both.field("theta")}), size), rows.num_rows
+        found = _shares(np.column_stack([rows[c].to_numpy() for c in x]).astype(float).reshape(n, len(x)), thetas)
+        m = len(thetas)
+        p = found.ravel()
+        return pa.table({
+            key: rows[key].combine_chunks().take(pa.array(np.repeat(np.arange(n), m * k))),
+            "draw": both.field("draw").take(pa.array(np.tile(np.repeat(np.arange(m), k), n))),
+            "comp": pa.array(np.tile(np.arange(k), n * m)),
+            "p": pa.array(p, mask=np.isnan(p)),
+        })
+
+    return left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInArrow(run, f"`{key}` {kinds[0]}, draw {kinds[1]}, comp long, p double")
+
+
+@tidy
+def density_bands(grid: DataFrame, draws: DataFrame, size: int, errors: tuple[float, float] = (0.0, 0.0), at: tuple[float, float] = (0.05, 0.95), few: int = 4096) -> DataFrame:
+    """``axis, i, component, low, high``: percentiles over all draws of each component's density along each axis, and of their sum (component -1).
+
+    ``grid``: axis (0 or 1), i, x; ``draws``: theta. A component is a normal with
+    its weight, widened by the axis's error. Tasks multiply blocks of places by
+    blocks of draws and return ends, counts by bin, or the values in what is left
+    of a bracket, so no buffer holds the draws of a place.
     """
     k = components_of(size)
-    t = lambda i: F.get("theta", F.lit(i))
-    last = F.lit(1.0)
-    for i in range(k * PER_COMPONENT, size):
-        last = last - t(i)
-    weights = [t(PER_COMPONENT)] if k == 1 else [*(t(i) for i in range(k * PER_COMPONENT, size)), last]
-
-    def density(axis: int, c: int) -> Column:
-        mu, s = t(c * PER_COMPONENT + axis), t(c * PER_COMPONENT + 2 + axis)
-        return univariate_normal(F.col("x"), mu, F.sqrt(s * s + errors[axis] ** 2), weights[c])
-
-    parts = [F.when(F.col("axis") == 0, density(0, c)).otherwise(density(1, c)) for c in range(k)]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    each = F.array(*(F.struct(F.lit(c).cast("long").alias("component"), p.alias("p")) for c, p in ((-1, total), *enumerate(parts))))
-    rows = with_draws(grid, draws).select("axis", "i", F.explode(each).alias("e")).select("axis", "i", "e.*")
-    found = rows.groupBy("axis", "i", "component").agg(F.percentile("p", F.array(*map(F.lit, at))).alias("v"))
-    return found.select("axis", "i", "component", F.get("v", F.lit(0)).alias("low"), F.get("v", F.lit(1)).alias("high"))
+    names = np.array([-1, *range(k)])
+    held = materialise(grid.select(F.col("axis").cast("long").alias("axis"), F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x")))
+    on = ["axis", "i", "component"]
+
+    def densities(axis: int, x: float, thetas: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        mu = thetas[:, axis : k * PER_COMPONENT : PER_COMPONENT]
+        s = thetas[:, 2 + axis : k * PER_COMPONENT : PER_COMPONENT]
+        with np.errstate(all="ignore"):
+            s = np.sqrt(s * s + errors[axis] ** 2)
+            p = weights * np.exp(-(((x - mu) / s) ** 2) / 2) / (s * math.sqrt(2 * math.pi))
+        return np.column_stack([p.sum(axis=1), p])
+
+    def over(asked: DataFrame, make, schema: str) -> DataFrame:
+        """``make(values, row)`` of each place's component and block of draws; ``asked``: axis, i, x, component, and brackets if there are any."""
+        left, right = _dealt(asked, draws)
+
+        def run(rows: pa.Table, draws: pa.Table) -> pa.Table:
+            thetas, out, last = _vectors(draws, size), [], None
+            weights = _weights(thetas)
+            for r in sorted(rows.to_pylist(), key=lambda r: (r["axis"], r["i"])):
+                if last != (r["axis"], r["i"]):
+                    last, p = (r["axis"], r["i"]), densities(r["axis"], r["x"], thetas, weights)
+                v = p[:, int(np.flatnonzero(names == r["component"])[0])]
+                out += make(v[~np.isnan(v)], r)
+            fields = [f.split() for f in schema.split(", ")]
+            return pa.table({name: pa.array([o[j] for o in out], {"long": pa.int64(), "double": pa.float64()}[kind]) for j, (name, kind) in enumerate(fields)})
+
+        return left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInArrow(run, schema)
+
+    places = held.withColumn("component", F.explode(F.array(*(F.lit(int(c)).cast("long") for c in names))))
+    key = lambda r: (r["axis"], r["i"], r["component"])
+    head = "axis long, i long, component long"
+    ends = over(places, lambda v, r: [(*key(r), len(v), float(v.min()), float(v.max()))] if len(v) else [], f"{head}, n long, a double, b double")
+    ends = ends.groupBy(*on).agg(F.sum("n").alias("_n"), F.min("a").alias("_a"), F.max("b").alias("_b"))
+    put = lambda brackets: brackets.join(held, ["axis", "i"])
+
+    def count(wide: DataFrame, bins: int) -> DataFrame:
+        def make(v: np.ndarray, r: dict) -> list[tuple]:
+            v = np.sort(v[(v >= r["_a"]) & (v <= r["_b"])])
+            if not len(v):
+                return []
+            b = np.minimum((v - r["_a"]) // ((r["_b"] - r["_a"]) / bins), bins - 1).astype(int)
+            heads = np.flatnonzero(np.r_[True, np.diff(b) > 0])
+            tails = np.r_[heads[1:], len(v)]
+            return [(*key(r), r["_q"], int(b[s]), int(e - s), float(v[s]), float(v[e - 1])) for s, e in zip(heads, tails, strict=True)]
+
+        cells = over(put(wide), make, f"{head}, _q double, _k long, _m long, _a double, _b double")
+        return cells.groupBy(*on, "_q", "_k").agg(F.sum("_m").alias("_m"), F.min("_a").alias("_a"), F.max("_b").alias("_b"))
+
+    def gather(left: DataFrame) -> DataFrame:
+        return over(put(left), lambda v, r: [(*key(r), r["_q"], x) for x in v[(v >= r["_a"]) & (v <= r["_b"])].tolist()], f"{head}, _q double, _v double")
+
+    found = bracketed(on, ends, count, gather, at, few)
+    low, high = (F.max(F.when(F.col("q") == float(q), F.col("value"))) for q in at)
+    return found.groupBy(*on).agg(low.alias("low"), high.alias("high"))

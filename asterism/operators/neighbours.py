@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import discard, materialise
+from ..shared import discard, materialise, tidy
 
 
 #: A grid cell with more places is split into CUT x CUT, for the points in it.
@@ -45,6 +45,7 @@ def cell_levels(points: DataFrame, places: DataFrame, side: float, crowd: int) -
     return out
 
 
+@tidy
 def nearest(points: DataFrame, refs: DataFrame, k: int, ties: bool = False, max_rounds: int = 120) -> DataFrame:
     """``id, ref, d2, rank``: the ``k`` nearest references of every point (both: id, x, y; the references' ids differ).
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import materialise
+from ..shared import materialise, tidy
 
 
 def _range(df: DataFrame, *cols: str) -> tuple:
@@ -69,6 +69,7 @@ def density_weights(df: DataFrame, key: str, x: str, y: str, bins: int = 200) ->
     return at.join(F.broadcast(squares), ["qx", "qy"], "left").select(key, F.when(outside, 0.0).otherwise(weight).alias("weight"))
 
 
+@tidy
 def group_medians(df: DataFrame, keys: list[str], cols: list[str], few: int = 4096, bins: int = 256) -> DataFrame:
     """``keys`` and the exact median of each of ``cols`` in each group, for groups of any size.
 
@@ -109,6 +110,60 @@ def group_medians(df: DataFrame, keys: list[str], cols: list[str], few: int = 40
     return every.groupBy(*keys).agg(*(F.max(F.when(F.col("_c") == c, F.col("_median"))).alias(c) for c in cols))
 
 
+def bracketed(on: list[str], ends: DataFrame, count, gather, at: tuple[float, ...], few: int = 4096, bins: int = 256) -> DataFrame:
+    """``on, q, value``: exact percentiles of each group by brackets, with linear interpolation.
+
+    ``ends``: on, _n, _a, _b (number, least and greatest value). Each percentile
+    of a group starts with the whole range. While a bracket holds over ``few``
+    values, ``count`` (brackets: on, _q, _a, _b) gives its non-empty bins (on,
+    _q, _k, _m, _a, _b: place, number, least and greatest value), and it becomes
+    the bin, or the two bins, that hold the ranks; ``gather`` gives the values (on, _q, _v) of what
+    is left. No buffer holds more than ``few`` values.
+    """
+    asked = F.explode(F.array(*(F.lit(float(q)) for q in at)))
+    place = F.col("_q") * (F.col("_n") - 1)
+    now = ends.filter("_n > 0").select("*", asked.alias("_q")).select(*on, "_q", F.floor(place).alias("_r"), (place - F.floor(place)).alias("_f"), "_a", "_b", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_m"))
+    now = materialise(now)
+    keys, settled = [*on, "_q"], []
+    while True:
+        settled.append(now.filter("_a = _b").select(*keys, F.col("_a").alias("_value")))
+        wide = now.filter((F.col("_a") < F.col("_b")) & (F.col("_m") > few))
+        if wide.isEmpty():
+            break
+        small = now.filter((F.col("_a") < F.col("_b")) & (F.col("_m") <= few))
+        cells = count(wide.select(*keys, "_a", "_b"), bins).join(wide.select(*keys, "_r", "_f", "_below"), keys)
+        before = F.coalesce(F.sum("_m").over(Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        cells = cells.withColumn("_below", F.col("_below") + before)
+        holds = lambda r: (r >= F.col("_below")) & (r < F.col("_below") + F.col("_m"))
+        low, high = (F.min(F.when(holds(r), F.struct("_below", "_a", "_b", "_m"))) for r in (F.col("_r"), F.col("_r") + (F.col("_f") > 0).cast("int")))
+        found = materialise(cells.groupBy(*keys, "_r", "_f").agg(low.alias("l"), high.alias("h")))
+        apart = F.col("l._below") != F.col("h._below")
+        settled.append(found.filter(apart).select(*keys, (F.col("l._b") + (F.col("h._a") - F.col("l._b")) * F.col("_f")).alias("_value")))
+        now = materialise(small.union(found.filter(~apart).select(*keys, "_r", "_f", "l._a", "l._b", "l._below", "l._m")))
+    left = now.filter("_a < _b")
+    held = gather(left.select(*keys, "_a", "_b")).groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias("_o")).join(left, keys)
+    pick = lambda more: F.get("_o", (F.col("_r") - F.col("_below") + more).cast("int"))
+    settled.append(held.select(*keys, (pick(0) + F.when(F.col("_f") > 0, (pick(1) - pick(0)) * F.col("_f")).otherwise(0.0)).alias("_value")))
+    every = settled[0]
+    for part in settled[1:]:
+        every = every.union(part)
+    return every.select(*on, F.col("_q").alias("q"), F.col("_value").alias("value"))
+
+
+@tidy
+def group_quantiles(df: DataFrame, on: list[str], value: str, at: tuple[float, ...], few: int = 4096, bins: int = 256) -> DataFrame:
+    """``on, q, value``: exact percentiles of ``value`` in each group of any size, all in the same passes. Null and NaN are left out; keys are not null."""
+    rows = df.select(*on, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    inside = lambda brackets: rows.join(brackets, on).filter(F.col("_v").between(F.col("_a"), F.col("_b")))
+
+    def count(wide: DataFrame, bins: int) -> DataFrame:
+        k = F.least(F.floor((F.col("_v") - F.col("_a")) / ((F.col("_b") - F.col("_a")) / bins)), F.lit(bins - 1))
+        return inside(wide).groupBy(*on, "_q", k.alias("_k")).agg(F.count("*").alias("_m"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+
+    ends = rows.groupBy(*on).agg(F.count("*").alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+    return bracketed(on, ends, count, lambda left: inside(left).select(*on, "_q", "_v"), at, few, bins)
+
+
 def exact_quantiles(df: DataFrame, col: str, at: tuple[float, ...], few: int = 4096, bins: int = 1024) -> list[float | None]:
     """Exact percentiles of a whole column with linear interpolation, for any number of rows.
 
@@ -163,6 +218,7 @@ def describe(df: DataFrame, col: str) -> DataFrame:
     return df.agg(F.count(col).alias("n"), F.mean(col).alias("mean"), F.stddev(col).alias("std"), F.min(col).alias("min"), *(F.lit(v).cast("double").alias(f"p{p}") for p, v in zip((25, 50, 75), quartiles, strict=True)), F.max(col).alias("max"))
 
 
+@tidy
 def binned_medians(df: DataFrame, ordinate: str, abscissa: str, step: float) -> DataFrame:
     """``bin, n, ordinate, abscissa``: medians of bins of the ordinate that are open at both ends.
 
@@ -181,6 +237,7 @@ def binned_medians(df: DataFrame, ordinate: str, abscissa: str, step: float) ->
     return kept.groupBy("bin").agg(F.count("*").alias("n")).join(middles, "bin").select("bin", "n", "ordinate", "abscissa")
 
 
+@tidy
 def hexagon_medians(df: DataFrame, x: str, y: str, value: str, gridsize: int = 100) -> DataFrame:
     """``lattice, hx, hy, n, median`` of a value by hexagon: a row goes to the nearer centre of two rectangular lattices."""
     x0, x1, y0, y1 = _range(df, x, y)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import ring_area_centroid
-from ..shared import discard, materialise
+from ..shared import discard, materialise, tidy
 from .neighbours import CUT, cell_levels, nearest
 
 #: Relative to the box: how near a corner must come to another cell's border to touch it.
@@ -165,6 +165,7 @@ def _at_every_star(cells: DataFrame, stars: DataFrame) -> DataFrame:
     return rows.select("id", "g", "x", "y", "ring", F.filter("all", lambda e: e != F.col("id")).alias("touches"))
 
 
+@tidy
 def voronoi_cells(points: DataFrame, pad: float = 0.0, max_rounds: int = 60) -> DataFrame:
     """``id, g, x, y, ring, area, touches`` of every generator (``points``: id, g, x, y) within its group's padded bounding box.
 
@@ -229,6 +230,7 @@ def centroids(cells: DataFrame) -> DataFrame:
     return cells.select("id", "g", F.coalesce(c["cx"], "x").alias("x"), F.coalesce(c["cy"], "y").alias("y"))
 
 
+@tidy
 def centroidal(points: DataFrame, rounds: int = 1, pad: float = 0.0) -> DataFrame:
     """Cells after ``rounds`` of Lloyd's method: one gives the cells of the points themselves, each more moves generators to centroids first."""
     if rounds < 1:
@@ -239,6 +241,7 @@ def centroidal(points: DataFrame, rounds: int = 1, pad: float = 0.0) -> DataFram
     return cells
 
 
+@tidy
 def merge_regions(areas: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, parent``: regions in order of (area, id); each that no earlier one has absorbed absorbs its free neighbours.
 
@@ -264,6 +267,7 @@ def merge_regions(areas: DataFrame, edges: DataFrame) -> DataFrame:
     return materialise(seeds.select("id", F.col("id").alias("parent")).union(absorbed))
 
 
+@tidy
 def dilate(cells: DataFrame, edges: DataFrame, assigned: DataFrame, target_median: float) -> DataFrame:
     """``cell, region``: cells merged, at least once, until the median of distinct stars per non-empty region reaches the target.
 
@@ -310,6 +314,7 @@ def _local_means(share: float, per: float | None, seed: int):
     return run
 
 
+@tidy
 def kmeans_centroids(points: DataFrame, points_per_bin: int | None = None, bins: int | None = None, seed: int = 0, weight: str = "weight", part: int = 2000) -> DataFrame:
     """``id, g, x, y``: centres of weighted k-means; rows over ``points_per_bin`` set their number if it is given, else ``bins``.
 
@@ -336,6 +341,7 @@ def kmeans_centroids(points: DataFrame, points_per_bin: int | None = None, bins:
     return made.select(F.xxhash64("x", "y").alias("id"), F.lit(0).cast("long").alias("g"), "x", "y")
 
 
+@tidy
 def region_grid(points: DataFrame, which: str = "dilation", rounds: int = 1, pad: float = 0.0, target_median: float | None = None, points_per_bin: int = 20) -> tuple[DataFrame, DataFrame]:
     """Cells and (cell, region) of a grid that adapts to stars (``points``: id, g, x, y; wkmeans: also weight).
 

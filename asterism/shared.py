@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-#: Tables written inside each open ``scratch``, innermost last.
-_OPEN: list[list[str]] = []
+#: Folders written inside each open ``scratch`` of this thread or task, innermost last.
+_OPEN: ContextVar[tuple[dict[str, bool], ...]] = ContextVar("asterism_scratch", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,10 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession) -> str:
-    """A folder for one more table, deleted with the ``scratch`` that is open."""
+    """A folder for one more table, deleted with the ``scratch`` that is open in this thread."""
     path = f"{shared_dir(spark)}/asterism-{uuid.uuid4().hex}"
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if scopes := _OPEN.get():
+        scopes[-1][path] = False
     return path
 
 
@@ -54,9 +55,14 @@ def _delete(spark: SparkSession, name: str) -> None:
 
 
 def _folders(df: DataFrame) -> set[str]:
-    """Names of the folders of ``materialise`` that ``df`` reads."""
-    parts = (f.rpartition("/")[0] for f in df.inputFiles())
-    return {p for p in parts if p.rpartition("/")[2].startswith("asterism-")}
+    """The folders of ``new_path`` that ``df`` reads, at any depth."""
+    found = set()
+    for f in df.inputFiles():
+        parts = f.split("/")
+        at = next((i for i, p in enumerate(parts) if p.startswith("asterism-")), None)
+        if at is not None:
+            found.add("/".join(parts[: at + 1]))
+    return found
 
 
 def discard(df: DataFrame) -> None:
@@ -70,18 +76,46 @@ def discard(df: DataFrame) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Delete on leaving all tables that ``materialise`` has written inside, but those that went through ``kept``."""
-    _OPEN.append([])
+    """Delete on leaving all tables that this thread has written inside, but those that went through ``kept``.
+
+    The scopes belong to the thread or asynchronous task that opens them, so
+    jobs side by side in one driver don't see each other's tables. What an inner
+    scope keeps belongs to the one around it then.
+    """
+    around, own = _OPEN.get(), {}
+    mark = _OPEN.set((*around, own))
     try:
         yield
     finally:
-        for path in _OPEN.pop():
-            _delete(spark, path)
+        _OPEN.reset(mark)
+        for path, stays in own.items():
+            if not stays:
+                _delete(spark, path)
+            elif around:
+                around[-1].setdefault(path, False)
 
 
 def kept(df: DataFrame) -> DataFrame:
     """``df``, whose tables outlive the ``scratch`` around."""
-    names = {f.rpartition("/")[2] for f in _folders(df)}
-    if _OPEN:
-        _OPEN[-1][:] = [p for p in _OPEN[-1] if p.rpartition("/")[2] not in names]
+    if scopes := _OPEN.get():
+        names = {f.rpartition("/")[2] for f in _folders(df)}
+        for path in scopes[-1]:
+            if path.rpartition("/")[2] in names:
+                scopes[-1][path] = True
     return df
+
+
+def tidy(make: Callable) -> Callable:
+    """A function of tables that leaves those alone that its result, a DataFrame or a tuple with some, still reads."""
+
+    @wraps(make)
+    def run(*args, **options):
+        spark = next(a if isinstance(a, SparkSession) else a.sparkSession for a in (*args, *options.values()) if isinstance(a, (SparkSession, DataFrame)))
+        with scratch(spark):
+            found = make(*args, **options)
+            for part in found if isinstance(found, tuple) else (found,):
+                if isinstance(part, DataFrame):
+                    kept(part)
+            return found
+
+    return run

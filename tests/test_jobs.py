@@ -64,10 +64,63 @@ def test_densities_integrate_and_shares_sum_to_one(spark):
     shares = mixture.component_membership(s, "star_id", draws, 11)
     rows = shares.groupBy("star_id", "draw").agg(F.sum("p").alias("t")).collect()
     assert len(rows) == s.count() * 150 and all(r["t"] == pytest.approx(1) for r in rows)
-    means = {(r["star_id"], r["comp"]): r["p"] for r in mixture.mean_membership(shares, "star_id").collect()}
-    assert len(means) == 2 * s.count() and all(0 <= p <= 1 for p in means.values())
-    long = lambda df: len(df._jdf.queryExecution().analyzed().toString())
-    assert long(mixture.component_membership(s, "star_id", draws.limit(2), 11)) > 0.9 * long(shares)  # the plan does not grow with the chain
+    means = {(r["star_id"], r["comp"]): (r["p"], r["draws"]) for r in mixture.mean_membership(s, "star_id", draws, 11).collect()}
+    want = {(r["star_id"], r["comp"]): r["p"] for r in shares.groupBy("star_id", "comp").agg(F.avg("p").alias("p")).collect()}
+    assert {k: v[0] for k, v in means.items()} == pytest.approx(want) and {v[1] for v in means.values()} == {150}
+    assert {r["draw"] for r in shares.select("draw").distinct().collect()} == set(range(150))
+
+
+def test_membership_of_odd_rows_in_many_blocks(spark, monkeypatch):
+    """Nulls, a row under which all densities vanish, equal rows, and blocks of few rows and draws; densities as the column expressions give them."""
+    monkeypatch.setattr(mixture, "DATA_ROWS", 3)
+    monkeypatch.setattr(mixture, "DRAW_ROWS", 7)
+    monkeypatch.setattr(mixture, "CELLS", 4)
+    rows = [(i, -3.0 + i / 4, -6.0, 0.1, 0.2) for i in range(8)] + [(8, 1e9, 0.0, 0.1, 0.1), (9, None, 0.0, 0.1, 0.1), (3, -3.0 + 3 / 4, -6.0, 0.1, 0.2)]
+    data = spark.createDataFrame(rows, "id long, pm_ra double, pm_dec double, epm_ra double, epm_dec double")
+    thetas = [[-3.0, -6.0, 0.3, 0.3, 0.1, -2.5 - i / 9, -5.5, 1.0, 1.2, 0.2, i / 30] for i in range(30)]
+    draws = spark.createDataFrame([(t,) for t in thetas], "theta array<double>")
+    got = {(r["id"], r["comp"]): (r["p"], r["draws"]) for r in mixture.mean_membership(data, "id", draws, 11).collect()}
+    assert got[8, 0] == got[9, 1] == (None, 0) and len(got) == 20 and got[3, 0][1] == 60
+    cols = [F.col(c) for c in ("pm_ra", "pm_dec", "epm_ra", "epm_dec")]
+    parts = [mixture.weighted_densities(t, *cols) for t in thetas]
+    mean = sum((p[1] / (p[0] + p[1]) for p in parts), F.lit(0.0)) / len(parts)
+    for r in data.filter("id < 8").select("id", mean.alias("p")).collect():
+        assert got[r["id"], 1][0] == pytest.approx(r["p"])
+    assert mixture.mean_membership(data.limit(0), "id", draws, 11).count() == 0
+    assert {r["p"] for r in mixture.mean_membership(data, "id", draws.limit(0), 11).collect()} == {None}
+    with pytest.raises(Exception, match="need 11 numbers"):
+        mixture.mean_membership(data, "id", draws.selectExpr("slice(theta, 1, 10) theta"), 11).count()
+
+
+@pytest.mark.parametrize("few", [3, 4096])
+def test_bands_are_percentiles_of_all_draws(spark, few):
+    rng = np.random.default_rng(4)
+    base = np.array([-3.0, -6.0, 0.3, 0.3, 0.0, -2.5, -5.5, 1.0, 1.2, 0.2, 0.6])
+    thetas = base + rng.random((300, 11)) * 0.1
+    thetas[100:140] = thetas[100]  # ties
+    draws = spark.createDataFrame([(t.tolist(),) for t in thetas], "theta array<double>")
+    places = [(a, i, -3.0 - 3 * a + 0.4 * i) for a in (0, 1) for i in range(4)]
+    grid = spark.createDataFrame(places, "axis long, i long, x double")
+    got = {(r["axis"], r["i"], r["component"]): (r["low"], r["high"]) for r in mixture.density_bands(grid, draws, 11, (0.1, 0.3), (0.05, 0.9), few=few).collect()}
+    assert len(got) == 24
+    for axis, i, x in places:
+        each = []
+        for c in (0, 1):
+            s = np.sqrt(thetas[:, 5 * c + 2 + axis] ** 2 + (0.1, 0.3)[axis] ** 2)
+            w = thetas[:, 10] if c == 0 else 1 - thetas[:, 10]
+            each.append(w * np.exp(-(((x - thetas[:, 5 * c + axis]) / s) ** 2) / 2) / (s * math.sqrt(2 * math.pi)))
+        for c, v in ((-1, each[0] + each[1]), (0, each[0]), (1, each[1])):
+            assert got[axis, i, c] == pytest.approx(tuple(np.quantile(v, [0.05, 0.9])), rel=1e-9)
+
+
+@pytest.mark.parametrize("few", [2, 5, 4096])
+def test_group_quantiles(spark, few):
+    rng = np.random.default_rng(6)
+    values = {0: rng.normal(size=500), 1: np.repeat([1.0, 2.0], [40, 3]), 2: np.array([7.0]), 3: rng.integers(0, 4, 200).astype(float)}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [(0, None), (2, float("nan")), (4, None)]
+    found = statistics.group_quantiles(spark.createDataFrame(rows, "g long, v double"), ["g"], "v", (0.0, 0.16, 0.5, 0.84, 1.0), few, 7)
+    got = {(r["g"], r["q"]): r["value"] for r in found.collect()}
+    assert got == pytest.approx({(k, q): np.quantile(vs, q) for k, vs in values.items() for q in (0.0, 0.16, 0.5, 0.84, 1.0)})
 
 
 def test_posterior_on_driver_and_in_spark(spark):
