@@ -96,6 +96,39 @@ def test_crowded_catalogues_take_no_longer(spark):
     assert took[2] < 2 * took[1] + 5, took
 
 
+def test_a_crowd_far_from_the_points_and_blocks_that_many_ask_for(spark, monkeypatch):
+    """A directory of several levels over small blocks, several parts of the curve, places in one cell of it, points that all ask the same blocks, and ties across blocks."""
+    monkeypatch.setattr(neighbours, "BLOCK", 4)
+    monkeypatch.setattr(neighbours, "POINTS", 50)
+    rng = np.random.default_rng(9)
+    crowd = np.vstack([rng.random((900, 2)) * 1e-3 + 3, rng.random((60, 2)) * 1e-13 + 5, [[1e6, -1e6]], np.stack(np.meshgrid(range(9), range(9)), -1).reshape(-1, 2) + 10.0])
+    asked = np.vstack([rng.random((400, 2)), [[14.0, 14.0], [14.5, 14.5], [1e7, 0.0], [float("nan"), 1.0], [float("inf"), 1.0]]])
+    refs = points(spark, crowd).drop("g")
+    for k, ties in ((1, True), (5, True), (6, False)):
+        got = {}
+        for r in neighbours.nearest(points(spark, asked).drop("g"), refs, k, ties=ties).collect():
+            got.setdefault(r["id"], []).append((r["rank"], r["ref"]))
+        assert len(got) == 403
+        for i in got:
+            d = ((crowd - asked[i]) ** 2).sum(axis=1)
+            if ties:
+                last = np.sort(d)[k - 1]
+                assert sorted(j for _, j in got[i]) == np.flatnonzero(d <= last).tolist()
+            else:
+                assert [j for _, j in sorted(got[i])] == np.lexsort((np.arange(len(d)), d))[:k].tolist()
+
+
+def test_a_crowd_apart_is_met_in_part_alone(spark):
+    rng = np.random.default_rng(0)
+    took = []
+    for n in (500, 2_000, 16_000):
+        apart, far = points(spark, rng.random((n, 2))).drop("g"), points(spark, rng.random((n, 2)) * 1e-3 + 3).drop("g")
+        begun = time.perf_counter()
+        assert neighbours.nearest(apart, far, 6).count() == 6 * n
+        took.append(time.perf_counter() - begun)
+    assert took[2] < 4 * took[1] + 4, took
+
+
 def test_all_ties_at_a_crowded_place(spark):
     refs = points(spark, [(1, 1)] * 40 + [(3, 1)] * 30 + [(9, 9)]).drop("g")
     got = neighbours.nearest(points(spark, [(2, 1), (1, 1)]).drop("g"), refs, 1, ties=True).collect()
