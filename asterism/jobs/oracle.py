@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from .queries import DISCARD, DR, ERROR_CUT, FIXED, FOV_RATIO, GRID, HIGH, LINKS, LOW, MEMBER, MIN_STARS, NEIGHBOURS, PAD, RADII, RIDGE, SCATTER, STEP, THETAS, THIN
+from .queries import DISCARD, DR, ERROR_CUT, FIXED, FOV_RATIO, GRID, HIGH, LINKS, LOW, MEMBER, MIN_STARS, NEIGHBOURS, OFTEN, PAD, RADII, RIDGE, SCATTER, STEP, THETAS, THIN
 
 COS, SIN, SPAN = repr(math.cos(DR.theta)), repr(math.sin(DR.theta)), repr(DR.a1 - DR.a2)
 _E = [f"embedding[{i}]::DOUBLE" for i in range(1, 9)]
@@ -188,6 +188,20 @@ every AS (SELECT axis, i, draw, component, p FROM one UNION ALL SELECT axis, i,
 SELECT axis, i, component, {r6('quantile_cont(p, 0.05)')} AS low, {r6('quantile_cont(p, 0.95)')} AS high FROM every GROUP BY ALL""",
     "chain_write_read": f"WITH {SLICED} SELECT 'kept' AS run_id, count(*) AS n, {r6('sum(theta0)')} AS total FROM sliced UNION ALL SELECT 'burn_in', count(*), {r6('sum(theta0)')} FROM chain WHERE step < {DISCARD}",
     "chain_slice": f"WITH {SLICED} SELECT walker, step, {r6('theta0')} AS theta0 FROM sliced",
+    "theta_percentiles": f"WITH {DRAWS}, each AS (SELECT unnest(range(11)) AS param, unnest(t) AS v FROM draws), qs(q) AS (VALUES (0.16::DOUBLE), (0.5::DOUBLE), (0.84::DOUBLE)) SELECT param, q, round(CASE q WHEN 0.5::DOUBLE THEN quantile_cont(v, 0.5) WHEN 0.16::DOUBLE THEN quantile_cont(v, 0.16) ELSE quantile_cont(v, 0.84) END, 6) + 0.0::DOUBLE AS value FROM each, qs GROUP BY param, q",
+    "theta_argmax": f"WITH {SLICED}, best AS (SELECT walker, step, [{_THETA}] AS t FROM sliced ORDER BY log_prob DESC, step, walker LIMIT 1) SELECT walker, step, unnest(range(11)) AS param, round(unnest(t), 6) + 0.0::DOUBLE AS value FROM best",
+    "regions_join": f"""WITH {STARS}, s AS (SELECT *, band1 - band2 AS x0, band1 AS y0, epm_ra / 4 AS w, epm_dec / 4 AS h FROM stars),
+rings AS (SELECT star_id AS region, [x0 - w, x0 + w, x0, x0 + w, x0 - w] AS xs, [y0 - h, y0 - h, y0, y0 + h, y0 + h] AS ys FROM s
+  UNION ALL SELECT -1, [min(x0), max(x0), max(x0), min(x0)], [min(y0), min(y0), max(y0), max(y0)] FROM s),
+edges AS (SELECT region, unnest(xs) AS ax, unnest(ys) AS ay, unnest(list_concat(xs[2:], xs[1:1])) AS bx, unnest(list_concat(ys[2:], ys[1:1])) AS "by" FROM rings),
+met AS (SELECT region, star_id, (y0 < ay) != (y0 < "by") AND x0 < ax + (y0 - ay) * ((bx - ax) / nullif("by" - ay, 0)) AS crossed,
+  (bx - ax) * (y0 - ay) - ("by" - ay) * (x0 - ax) = 0 AND x0 BETWEEN least(ax, bx) AND greatest(ax, bx) AND y0 BETWEEN least(ay, "by") AND greatest(ay, "by") AS on_edge FROM edges, s WHERE is_field)
+SELECT region AS region_id, star_id FROM met GROUP BY region, star_id HAVING count(*) FILTER (crossed) % 2 = 1 OR bool_or(on_edge)""",
+    "grid_outlines": f"""WITH {PHOT}, cm AS (SELECT band1 - band2 AS x, band1 AS y FROM phot), ends AS (SELECT min(x) AS x0, (max(x) - min(x)) / 50 AS wx, min(y) AS y0, (max(y) - min(y)) / 50 AS wy FROM cm),
+cells AS (SELECT least(floor((x - x0) / wx), 49)::BIGINT AS ix, least(floor((y - y0) / wy), 49)::BIGINT AS iy, count(*) AS n FROM cm, ends GROUP BY ALL),
+named AS (SELECT ix, iy, (n >= {OFTEN})::BIGINT AS region FROM cells),
+beside AS (SELECT a.region, a.ix, a.iy, count(b.ix) AS k FROM named a LEFT JOIN named b ON a.region = b.region AND abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1 GROUP BY ALL)
+SELECT region AS region_id, count(*)::DOUBLE AS area, sum(4 - k)::BIGINT AS border FROM beside GROUP BY region""",
     "chain_percentiles": f"WITH {SLICED} {_percentiles('sliced', 'theta0')}",
     "chain_argmax": f"WITH {CHAIN} SELECT walker, step, {r6('theta0')} AS theta0 FROM chain ORDER BY log_prob DESC, step, walker LIMIT 1",
     "trace_long": f"WITH {CHAIN} " + " UNION ALL ".join(f"SELECT walker, step, '{p}' AS param, {r6(p)} AS value, CASE WHEN step < {DISCARD} THEN 'burn_in' ELSE 'kept' END AS part FROM chain" for p in ("theta0", "log_prob")),

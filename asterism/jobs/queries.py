@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expressions as X
-from ..operators import chains, decontamination, mixture, neighbours, splines, statistics, tessellation
+from ..operators import chains, decontamination, mixture, neighbours, regions, splines, statistics, tessellation
 from ..shared import new_path, tidy
 from ..sources.catalogues import chain, photometry, read_chain, stars, write_chain
 from ..sources.catalogues import scan_csv as scan_comma
@@ -41,6 +41,8 @@ LINKS = [(2, 3)]
 DISCARD, THIN = 10, 5
 #: How far draws scatter, and places of a grid along an axis.
 SCATTER, GRID = 0.05, 100
+#: Stars of a well-filled cell of a histogram, and how near corners of cells are the same.
+OFTEN, SNAP = 2, 1e-9
 #: Field stars that a computed annulus should hold.
 GROUP_STARS = 100
 
@@ -261,6 +263,35 @@ def _regions(spark, d) -> tuple[DataFrame, DataFrame]:
     return at("is_field"), at("is_cluster")
 
 
+def regions_join(spark, d):
+    """Field stars in each of many outlines: an arrow around every star, as large as its errors, and one outline around all."""
+    df = stars(spark, d)
+    x, y, w, h = _color(), F.col("band1"), F.col("epm_ra") / 4, F.col("epm_dec") / 4
+    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    arrows = df.select(F.col("star_id").alias("region"), F.array(p(x - w, y - h), p(x + w, y - h), p(x, y), p(x + w, y + h), p(x - w, y + h)).alias("ring"))
+    ends = df.agg(F.min(x).alias("a"), F.max(x).alias("b"), F.min(y).alias("c"), F.max(y).alias("d"))
+    whole = ends.select(F.lit(-1).cast("long").alias("region"), F.array(*(p(F.col(u), F.col(v)) for u, v in ("ac", "bc", "bd", "ad"))).alias("ring"))
+    found = regions.points_in_polygons(_xy(df.filter("is_field"), x, y), arrows.union(whole))
+    return found.select(F.col("region").alias("region_id"), F.col("id").alias("star_id"))
+
+
+def grid_outlines(spark, d):
+    """Rings, area and border of what the cells of a 2-D histogram with many and with few stars cover."""
+    df = photometry(spark, d).select(_color().alias("color"), F.col("band1").alias("mag"))
+    cells = statistics.histogram2d(df, "color", "mag", 50)
+    p = lambda i, j: F.struct((F.col("ix") + i).cast("double").alias("x"), (F.col("iy") + j).cast("double").alias("y"))
+    named = cells.select((F.col("ix") * 50 + F.col("iy")).alias("id"), F.array(p(0, 0), p(1, 0), p(1, 1), p(0, 1)).alias("ring"), (F.col("n") >= OFTEN).cast("long").alias("region"))
+    found = regions.dissolve(named.select("id", "ring"), named.select(F.col("id").alias("cell"), "region"))
+    return found.groupBy(F.col("region").alias("region_id")).agg(r6(F.sum("area")).alias("area"), F.sum(F.size("ring")).cast("long").alias("border"))
+
+
+def region_outlines(spark, d):
+    """Outlines of the regions that greedy merging makes of the stars' cells."""
+    cells = tessellation.voronoi_cells(_points(spark, d), PAD)
+    merged = tessellation.merge_regions(cells, tessellation.adjacency(cells))
+    return regions.dissolve(cells, merged.select(F.col("id").alias("cell"), F.col("parent").alias("region")), SNAP).select(F.col("region").alias("region_id"), "part", r6(F.col("area")).alias("area"), F.size("ring").cast("long").alias("corners"))
+
+
 def region_counts(spark, d):
     return decontamination.region_counts(_regions(spark, d)[0]).select(F.col("region").alias("region_id"), "n")
 
@@ -357,7 +388,7 @@ def _draws(spark, d) -> DataFrame:
     """A parameter vector for every kept step of every walker, scattered about the first of THETAS by what the walker has seen."""
     part = lambda i: F.abs("theta0") * (i + 1) % 1
     theta = F.array(*(F.lit(t) + SCATTER * part(i) for i, t in enumerate(THETAS[0])))
-    return chains.slice_chain(chain(spark, d), DISCARD, THIN).select("walker", "step", theta.alias("theta"))
+    return chains.slice_chain(chain(spark, d), DISCARD, THIN).select("walker", "step", theta.alias("theta"), "log_prob")
 
 
 def mix_membership(spark, d):
@@ -380,6 +411,17 @@ def chain_slice(spark, d):
     return _rounded(chains.slice_chain(chain(spark, d), DISCARD, THIN).select("walker", F.col("step").cast("long").alias("step"), "theta0"), "theta0")
 
 
+def theta_percentiles(spark, d):
+    """Percentiles of every parameter of the kept steps."""
+    return _rounded(chains.parameter_quantiles(_draws(spark, d)), "value")
+
+
+def theta_argmax(spark, d):
+    """The most probable kept step's value of every parameter."""
+    best = chains.best_step(_draws(spark, d))
+    return _rounded(best.select("walker", F.col("step").cast("long").alias("step"), F.posexplode("theta").alias("param", "value")).withColumn("param", F.col("param").cast("long")), "value")
+
+
 def chain_percentiles(spark, d):
     return _rounded(statistics.percentiles(chains.slice_chain(chain(spark, d), DISCARD, THIN), "theta0"), "value")
 
@@ -490,12 +532,20 @@ def sampler_run(spark, d):
     return sampler.sample(stars(spark, d), 2, 32, 60, *_box(spark, d))
 
 
+def sampler_resume(spark, d):
+    """A stored chain of 4 steps, continued by 4 more: steps, walkers and the mean log probability of each step."""
+    path, box = new_path(spark), _box(spark, d)
+    for _ in range(2):
+        run = sampler.sample(stars(spark, d), 1, 24, 4, *box, path=path)
+    return run.groupBy("chain_id", F.col("step").cast("long").alias("step")).agg(F.count_distinct("walker").alias("walkers"), F.avg("log_prob").alias("log_prob"))
+
+
 QUERIES = {f.__name__: tidy(f) for f in (
     cmd_project, filter_members, split_members, filter_error_cut, filter_quality, split_catalogs, rotate_cmd, roi_filter, fiducial_bins,
     hist_density, hist2d_density, density_weights, membership_percentiles, hexbin_median, describe_column, bbox_center, sky_separation,
     field_density, annulus_assign, knn_join, sigma_clip_median, dr_median, dr_apply, dr_threshold, spline_eval, ring_centroid,
-    ridge_residuals, scan_whitespace, scan_csv, annulus_groups, region_counts, points_in_regions, median_region_count, cell_count_norm, common_regions, cell_counts_points, mc_rate,
+    ridge_residuals, regions_join, grid_outlines, region_outlines, theta_percentiles, theta_argmax, scan_whitespace, scan_csv, annulus_groups, region_counts, points_in_regions, median_region_count, cell_count_norm, common_regions, cell_counts_points, mc_rate,
     expected_membership, membership_update, mc_membership, bivar_pdf, mvar_pdf, univar_pdf, mix_loglik, mix_log_prior, mix_fix_link,
     mix_posterior, mix_membership, gauss_bands, chain_write_read, convex_hull, annuli, voronoi_cells, cell_adjacency, cell_areas, cvt, merge_regions,
-    dilate_grid, kmeans_centroids, cvt_grid, statistical_membership, sampler_init, sampler_run, chain_slice, chain_percentiles, chain_argmax, trace_long, corner_hist,
+    dilate_grid, kmeans_centroids, cvt_grid, statistical_membership, sampler_init, sampler_run, sampler_resume, chain_slice, chain_percentiles, chain_argmax, trace_long, corner_hist,
 )}

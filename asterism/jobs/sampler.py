@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
@@ -22,6 +23,7 @@ TASKS_PER_CORE = 4
 MICRO = 1e-6
 SNOOKER = 0.2
 COLUMNS = ("pm_ra", "pm_dec", "epm_ra", "epm_dec")
+STATE = "done int, chain_id int, places array<array<double>>, logs array<double>, random string"
 CHAIN = "chain_id long, step int, walker int, theta array<double>, log_prob double"
 
 
@@ -140,26 +142,71 @@ def start_table(spark: SparkSession, chains: int, walkers: int, low, high, seed:
     return spark.createDataFrame(rows, CHAIN)
 
 
-def sample(data: DataFrame, chains: int, walkers: int, steps: int, low, high, fixed=None, links=(), seed: int = 0, columns=COLUMNS) -> DataFrame:
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """A table, or None if nothing was written there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.schema(schema).parquet(path) if there else None
+
+
+def read_chain(spark: SparkSession, path: str) -> DataFrame:
+    """The steps (CHAIN columns) of a chain that ``sample`` stores at ``path``, up to the last state that was stored with them."""
+    state = _read(spark, f"{path}/state", STATE)
+    done = None if state is None else state.agg(F.max("done")).first()[0]
+    if done is None:
+        return spark.createDataFrame([], CHAIN)
+    return spark.read.schema(f"{CHAIN}, block int").parquet(f"{path}/chain").filter((F.col("block") < done) & (F.col("step") < done)).drop("block")
+
+
+def _store(spark: SparkSession, path: str, first: int, done: int, held: list[tuple], places: list, logs: list, rngs: list) -> None:
+    """A block of steps, then the walkers behind it. A block without its state is written anew when the run goes on, so a loss in between costs that block alone."""
+    spark.createDataFrame(held, CHAIN).coalesce(1).write.mode("overwrite").parquet(f"{path}/chain/block={first}")
+    rows = [(done, c, p.tolist(), v.tolist(), json.dumps(r.bit_generator.state)) for c, (p, v, r) in enumerate(zip(places, logs, rngs, strict=True))]
+    spark.createDataFrame(rows, STATE).coalesce(1).write.mode("append").parquet(f"{path}/state")
+
+
+def sample(data: DataFrame, chains: int, walkers: int, steps: int, low, high, fixed=None, links=(), seed: int = 0, columns=COLUMNS, path: str | None = None, start_at: np.ndarray | None = None, reset: bool = False) -> DataFrame:
     """Chains of independent ensembles (CHAIN columns) over observations; rows with a null are left out.
 
     Each half step is one distributed pass over the observations for the
     proposals of all ensembles. The driver holds the walkers and the steps not
-    yet written: the chain is a table that grows by HELD_ROWS rows at a time.
+    yet written: the chain is a table that grows by HELD_ROWS rows at a time,
+    and with each block goes a state of walkers, logs and random numbers. With
+    ``path`` a stored run is continued by ``steps`` more, as if it had never
+    stopped, or begun anew with ``reset``. ``start_at`` (chains, walkers,
+    parameters) are the walkers of a new run; else they are spread over the box.
     """
     spark, low, high = data.sparkSession, np.array(low, float), np.array(high, float)
-    path = new_path(spark)
-    spark.createDataFrame([], CHAIN).write.parquet(path)
+    path = path or new_path(spark)
     rows = data.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna()
     rows = materialise(rows.repartition(-(-rows.count() // TASK_ROWS) or 1))
     evaluate = lambda v: log_posteriors(rows, v, low, high, fixed, links)
-    places, rngs = [start(walkers, low, high, seed + c) for c in range(chains)], [np.random.default_rng(seed + c) for c in range(chains)]
-    logs, held = np.split(evaluate(np.concatenate(places)), chains), []
-    for s in range(steps):
+    stored = None if reset else _read(spark, f"{path}/state", STATE)
+    last = [] if stored is None else stored.filter(F.col("done") == stored.agg(F.max("done")).first()[0]).orderBy("chain_id").collect()
+    if last:
+        if len(last) != chains or np.array(last[0]["places"]).shape != (walkers, len(low)):
+            raise ValueError("the stored run has other chains, walkers or parameters")
+        begin, places, logs, rngs = last[0]["done"], [np.array(r["places"]) for r in last], [np.array(r["logs"]) for r in last], []
+        for r in last:
+            rng = np.random.default_rng()
+            rng.bit_generator.state = json.loads(r["random"])
+            rngs.append(rng)
+    else:
+        for name in ("state", "chain"):
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        places = [start(walkers, low, high, seed + c) for c in range(chains)] if start_at is None else [np.array(p, float) for p in start_at]
+        if [p.shape for p in places] != [(walkers, len(low))] * chains:
+            raise ValueError("walkers to start at need one row of parameters each, for every chain")
+        begin, rngs = 0, [np.random.default_rng(seed + c) for c in range(chains)]
+        logs = np.split(evaluate(np.concatenate(places)), chains)
+        _store(spark, path, 0, 0, [], places, logs, rngs)
+    held, first = [], begin
+    for s in range(begin, begin + steps):
         advance(places, logs, rngs, evaluate)
         held += [(c, s, w, t, v) for c in range(chains) for w, (t, v) in enumerate(zip(places[c].tolist(), logs[c].tolist(), strict=True))]
-        if len(held) >= HELD_ROWS or s == steps - 1:
-            spark.createDataFrame(held, CHAIN).coalesce(1).write.mode("append").parquet(path)
-            held = []
+        if len(held) >= HELD_ROWS or s == begin + steps - 1:
+            _store(spark, path, first, s + 1, held, places, logs, rngs)
+            held, first = [], s + 1
     discard(rows)
-    return spark.read.schema(CHAIN).parquet(path)
+    return read_chain(spark, path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .statistics import group_quantiles
+
 
 def slice_chain(chain: DataFrame, discard: int = 0, thin: int = 1) -> DataFrame:
     """Steps after the first ``discard``, each ``thin``-th: discard + thin - 1, discard + 2 thin - 1, ..."""
@@ -17,6 +19,12 @@ def best_step(chain: DataFrame) -> DataFrame:
     return chain.agg(F.max_by(F.struct(*chain.columns), order).alias("r")).select("r.*")
 
 
+def parameter_quantiles(chain: DataFrame, at: tuple[float, ...] = (0.16, 0.5, 0.84)) -> DataFrame:
+    """``param, q, value``: exact percentiles of every parameter of an array chain (theta), all in the same passes; null and NaN values are left out."""
+    rows = chain.select(F.posexplode("theta").alias("param", "value")).select(F.col("param").cast("long").alias("param"), "value")
+    return group_quantiles(rows, ["param"], "value", at)
+
+
 def last_steps(chain: DataFrame) -> DataFrame:
     """The last step of every walker: one partial maximum."""
     return chain.groupBy("walker").agg(F.max_by(F.struct(*(c for c in chain.columns if c != "walker")), "step").alias("r")).select("walker", "r.*")

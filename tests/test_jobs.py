@@ -143,6 +143,32 @@ def test_posterior_on_driver_and_in_spark(spark):
         mixture.components_of(7)
 
 
+def test_sampler_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    """Two runs are one run; a block whose state was lost is made again; a run from given walkers; begun anew."""
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(float(a), float(b), 0.1, 0.1) for a, b in rng.normal([-3, -6], 0.3, (60, 2))], "pm_ra double, pm_dec double, epm_ra double, epm_dec double")
+    low, high = [-5.0, -8.0, 0.05, 0.05, -0.8, 0.99], [0.0, -4.0, 2.0, 2.0, 0.8, 1.0]
+    read = lambda c: sorted((r["chain_id"], r["step"], r["walker"], tuple(r["theta"]), r["log_prob"]) for r in c.collect())
+    path = f"file://{tmp_path}/run"
+    run = lambda steps, **more: sampler.sample(df, 2, 8, steps, low, high, path=path, **more)
+    whole = read(sampler.sample(df, 2, 8, 6, low, high))
+    assert len(whole) == 2 * 8 * 6 and read(run(3)) == [r for r in whole if r[1] < 3]
+    assert read(run(3)) == whole
+    stored = sampler._store
+    monkeypatch.setattr(sampler, "_store", lambda spark, path, first, done, held, *state: spark.createDataFrame(held, sampler.CHAIN).write.mode("overwrite").parquet(f"{path}/chain/block={first}"))
+    run(2)  # ended before its state was stored
+    monkeypatch.setattr(sampler, "_store", stored)
+    assert read(sampler.read_chain(spark, path)) == whole
+    assert read(run(2))[:0] == [] and [r for r in read(sampler.read_chain(spark, path)) if r[1] < 6] == whole and len(read(sampler.read_chain(spark, path))) == 2 * 8 * 8
+    places = np.array([sampler.start(8, low, high, 40 + c) for c in range(2)])
+    new = read(run(1, start_at=places, reset=True))
+    assert len(new) == 16 and {tuple(p) for p in places.reshape(-1, 6).tolist()} & {r[3] for r in new}
+    with pytest.raises(ValueError, match="other chains"):
+        sampler.sample(df, 1, 8, 1, low, high, path=path)
+    with pytest.raises(ValueError, match="one row of parameters"):
+        run(1, start_at=places[:1], reset=True)
+
+
 def test_sampler_finds_planted_means(spark):
     rng = np.random.default_rng(2)
     xy = rng.normal([-3, -6], 0.3, (300, 2))
