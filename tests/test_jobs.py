@@ -23,6 +23,25 @@ def test_sampling_agrees_with_its_mean(spark, rate):
     assert dc.expected_membership(rates.limit(0), cluster).count() == 0
 
 
+def test_sampling_in_blocks(spark, monkeypatch):
+    """Regions of many blocks lose as many stars in all as those of one, and each star as often as the others; stars in two regions lose both; the same however rows lie."""
+    cluster = spark.createDataFrame([(i, 1) for i in range(120)] + [(i, -2) for i in range(100, 110)] + [(500, 3)], "id long, region long")
+    rates = spark.createDataFrame([(1, 30.3), (-2, 2.0), (3, 0.0), (4, 7.0)], "region long, rate double")
+    found = []
+    for size in (4096, 7):
+        monkeypatch.setattr(dc, "BLOCK", size)
+        got = {r["id"]: r["membership"] for r in dc.sampled_membership(rates, cluster, 1500).collect()}
+        assert got == {r["id"]: r["membership"] for r in dc.sampled_membership(rates, cluster.repartition(7), 1500).collect()}
+        want = {r["id"]: r["membership"] for r in dc.expected_membership(rates, cluster).collect()}
+        assert set(got) == set(range(120))
+        assert all(abs(got[i] - want[i]) < 5 * math.sqrt(0.25 / 1500) for i in got)
+        chi = sum((got[i] - want[i]) ** 2 / (0.2525 * 0.7475 / 1500) for i in range(100))
+        assert 50 < chi < 170
+        found.append(sum(1 - m for m in got.values()))
+    assert found[0] == pytest.approx(found[1])  # draws take the same numbers
+    assert dc.sampled_membership(rates.limit(0), cluster, 10).count() == 0
+
+
 def test_update_keeps_the_rest(spark):
     old = spark.createDataFrame([(1, 1.0), (2, 0.5)], "id long, membership double")
     new = spark.createDataFrame([(2, 0.2)], "id long, membership double")
