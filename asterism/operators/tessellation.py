@@ -155,14 +155,10 @@ def _cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _at_every_star(cells: DataFrame, stars: DataFrame) -> DataFrame:
-    """Cells of places (``id``: the least there) given to every star at the place; ``touches`` names all stars of these cells."""
+    """Cells of places (``id``: the least there) given to every star at the place; ``touches`` names the least star of each cell around and of the own place, so its size does not grow with crowds."""
     c, s = cells.select(F.col("id").alias("_place"), F.col("g").alias("_g"), F.col("x").alias("_x"), F.col("y").alias("_y"), "ring", "touches"), stars
     here = c["_g"].eqNullSafe(s["g"]) & c["_x"].eqNullSafe(s["x"]) & c["_y"].eqNullSafe(s["y"])
-    held = materialise(s.join(c, here).select("id", "g", "x", "y", "_place"))
-    crowd = held.groupBy(F.col("_place").alias("_next")).agg(F.collect_list("id").alias("ids"))
-    near = c.select("_place", F.explode(F.concat("touches", F.array("_place"))).alias("_next")).join(crowd, "_next").groupBy("_place").agg(F.flatten(F.collect_list("ids")).alias("all"))
-    rows = held.join(c.select("_place", "ring"), "_place").join(near, "_place")
-    return rows.select("id", "g", "x", "y", "ring", F.filter("all", lambda e: e != F.col("id")).alias("touches"))
+    return s.join(c, here).select("id", "g", "x", "y", "ring", F.filter(F.concat("touches", F.array("_place")), lambda e: e != F.col("id")).alias("touches"))
 
 
 @tidy
@@ -173,8 +169,8 @@ def voronoi_cells(points: DataFrame, pad: float = 0.0, max_rounds: int = 60) ->
     settled once the next generator lies over twice as far as its farthest
     corner. Cells that are not go on with twice as many. Groups lie apart on one
     plane, so all are done by the same joins. ``touches``: cells that share an
-    edge or a corner. Generators at one place are each other's neighbours and
-    have the same cell; it is cut once, for the least id there. Cells that
+    edge or a corner. Generators at one place have the same cell, cut once, for
+    the least id there; that one stands for them in ``touches`` of all others. Cells that
     ``max_rounds`` leave open raise an error.
     """
     points = materialise(points.select("id", "g", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
@@ -219,7 +215,11 @@ def voronoi_cells(points: DataFrame, pad: float = 0.0, max_rounds: int = 60) ->
 
 
 def adjacency(cells: DataFrame) -> DataFrame:
-    """``i, j`` with i < j: cells that touch, seen from either side."""
+    """``i, j`` with i < j: cells that touch, seen from either side; of several stars at one place, cells touch the least, and so do the others there.
+
+    Merging comes out as if all of them touched all: the least star of a place is
+    asked before the others there, and takes them with it or is taken with them.
+    """
     pairs = cells.select(F.col("id").alias("a"), F.explode("touches").alias("b"))
     return pairs.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).filter("i != j").distinct()
 

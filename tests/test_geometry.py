@@ -1,3 +1,4 @@
+from collections import Counter
 import math
 import random
 import time
@@ -191,8 +192,29 @@ def test_crowded_places_keep_all_cells(spark):
     rows = {r["id"]: r for r in t.voronoi_cells(points(spark, pts), 0.1, max_rounds=1).collect()}
     assert sorted(rows) == list(range(64))
     assert {r["area"] for i, r in rows.items() if i < 60} == {rows[0]["area"]} and rows[0]["area"] > 0
-    assert sorted(rows[7]["touches"]) == [i for i in range(64) if i != 7]
-    assert all(i in rows[j]["touches"] for i, r in rows.items() for j in r["touches"])
+    assert sorted(rows[7]["touches"]) == [0, 60, 61, 62, 63] and sorted(rows[0]["touches"]) == [60, 61, 62, 63] and 0 in rows[60]["touches"]
+    assert sum(len(r["touches"]) for r in rows.values()) < 8 * 64
+
+
+def test_merging_with_crowded_places_equals_the_greedy_order(spark):
+    """As if each star touched all stars of its own place and of the cells around."""
+    rng = random.Random(12)
+    places = [(rng.random(), rng.random()) for _ in range(25)]
+    at = [k for k in range(25) for _ in range(rng.choice([1, 1, 3, 20]))]
+    rng.shuffle(at)
+    cells = t.voronoi_cells(points(spark, [places[k] for k in at]), 0.1)
+    rows = {r["id"]: r for r in cells.collect()}
+    least = {k: at.index(k) for k in set(at)}
+    around = {k: {at[j] for j in rows[least[k]]["touches"]} | {k} for k in least}
+    want = {}
+    for i in sorted(rows, key=lambda i: (rows[i]["area"], i)):
+        if i not in want:
+            want[i] = i
+            for j in range(len(at)):
+                if at[j] in around[at[i]]:
+                    want.setdefault(j, i)
+    got = t.merge_regions(cells.select("id", "area"), t.adjacency(cells)).collect()
+    assert {r["id"]: r["parent"] for r in got} == want and len(set(want.values())) > 3
 
 
 def test_open_cells_are_an_error(spark):
@@ -260,3 +282,32 @@ def test_centres_are_means_of_their_rows(spark):
     assert t.kmeans_centroids(df.withColumn("weight", F.lit(0.0)), bins=3).count() == 0
     with pytest.raises(ValueError):
         t.kmeans_centroids(df)
+
+
+def test_grid_of_weighted_centres(spark):
+    """Centres, their cells, and merged regions: every centre has a cell, cells fill the box, regions are unions of touching cells that hold the wanted median of points."""
+    rng = np.random.default_rng(21)
+    p = rng.normal(size=(400, 2))
+    rows = spark.createDataFrame([(i, 0, float(x), float(y), 1.0 + i % 3) for i, (x, y) in enumerate(p)], "id long, g long, x double, y double, weight double")
+    cells, mapped = t.region_grid(rows, "wkmeans", 1, 0.2, 40.0, 10)
+    cells, region = {r["id"]: r for r in cells.collect()}, {r["cell"]: r["region"] for r in mapped.collect()}
+    places = np.array([(r["x"], r["y"]) for r in cells.values()])
+    assert len(cells) == 40 and set(region) == set(cells)
+    box = np.prod(np.ptp(places, axis=0) + 0.4)
+    assert sum(r["area"] for r in cells.values()) == pytest.approx(box)
+    ids, own = list(cells), []
+    for q in p:
+        own.append(ids[((places - q) ** 2).sum(axis=1).argmin()])
+    counts = Counter(region[c] for c in own)
+    assert np.median(list(counts.values())) >= 40 or len(set(region.values())) == 1
+    for r in set(region.values()):
+        members = {c for c in region if region[c] == r}
+        seen, todo = set(), [min(members)]
+        while todo:
+            c = todo.pop()
+            if c not in seen:
+                seen.add(c)
+                todo += [j for j in cells[c]["touches"] if j in members] + [j for j in members if c in cells[j]["touches"]]
+        assert seen == members
+    centre_of = np.array([(cells[c]["x"], cells[c]["y"]) for c in own])
+    assert ((p - centre_of) ** 2).sum() < 0.2 * ((p - p.mean(axis=0)) ** 2).sum()

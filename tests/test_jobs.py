@@ -188,6 +188,17 @@ def test_sampler_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
         run(1, start_at=places[:1], reset=True)
 
 
+def test_sampler_starts_in_the_box(spark):
+    low, high = [-5.0, -8.0, 0.05, 0.05, -0.9] * 2 + [0.0], [0.0, -4.0, 3.0, 3.0, 0.9] * 2 + [1.0]
+    rows = sampler.start_table(spark, 3, 40, low, high, seed=4).collect()
+    assert sorted((r["chain_id"], r["walker"]) for r in rows) == [(c, w) for c in range(3) for w in range(40)] and {(r["step"], r["log_prob"]) for r in rows} == {(0, None)}
+    theta = np.array([r["theta"] for r in rows])
+    assert (theta >= low).all() and (theta <= high).all() and len({tuple(t) for t in theta}) == 120
+    assert np.abs(theta.mean(axis=0) - (np.array(low) + high) / 2).max() < 0.6 * np.ptp([low, high], axis=0).max() / 2
+    three = [-5.0, -8.0, 0.05, 0.05, -0.9] * 3 + [0.0, 0.0], [0.0, -4.0, 3.0, 3.0, 0.9] * 3 + [1.0, 1.0]
+    assert max(sum(r["theta"][15:]) for r in sampler.start_table(spark, 1, 300, *three).collect()) <= 1.0
+
+
 def test_sampler_finds_planted_means(spark):
     rng = np.random.default_rng(2)
     xy = rng.normal([-3, -6], 0.3, (300, 2))
