@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import ring_area_centroid
@@ -290,14 +290,13 @@ def dilate(cells: DataFrame, edges: DataFrame, assigned: DataFrame, target_media
     return mapped
 
 
-def _local_means(share: float, per: float | None, seed: int):
-    """Weighted k-means of the places of one part of the plane."""
+def _local_means(seed: int):
+    """Weighted k-means of the places of one part of the plane; ``k`` of them, in each row."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, w = pdf[["x", "y"]].to_numpy(float), pdf["w"].to_numpy(float)
+        x, w, k = pdf[["x", "y"]].to_numpy(float), pdf["w"].to_numpy(float), int(pdf["k"].iloc[0])
         order = np.lexsort(x.T)
-        x, w, n = x[order], w[order], pdf["n"].sum()
-        k = int(min(max(1, round(n / per if per else n * share)), len(x)))
+        x, w = x[order], w[order]
         rng = np.random.default_rng([seed, len(x), k])
         near, c = np.full(len(x), np.inf), np.empty((k, 2))
         for i in range(k):
@@ -309,36 +308,51 @@ def _local_means(share: float, per: float | None, seed: int):
             total = np.bincount(own, w, k)
             for d in (0, 1):
                 c[:, d] = np.where(total > 0, np.bincount(own, w * x[:, d], k) / np.where(total > 0, total, 1), c[:, d])
-        return pd.DataFrame(np.unique(c, axis=0), columns=["x", "y"])
+        head = {name: pdf[name].iloc[0] for name in ("level", "cx", "cy")}
+        return pd.DataFrame(head | {"i": np.arange(k), "x": c[:, 0], "y": c[:, 1]})
 
     return run
 
 
 @tidy
-def kmeans_centroids(points: DataFrame, points_per_bin: int | None = None, bins: int | None = None, seed: int = 0, weight: str = "weight", part: int = 2000) -> DataFrame:
-    """``id, g, x, y``: centres of weighted k-means; rows over ``points_per_bin`` set their number if it is given, else ``bins``.
-
-    The plane is split by counts into cells of at most ``part`` places, each
-    with its share of the centres, and each is a task of its own, so the centres
-    may grow with the rows: no task and no driver holds them all. A part has one
-    centre at least, so parts of less than a share add to their number. Rows at one
-    place weigh together; rows of weight 0 have no part.
+def kmeans_centroids(points: DataFrame, points_per_bin: int | None = None, bins: int | None = None, seed: int = 0, weight: str = "weight", part: int = 2000, rounds: int = 5) -> DataFrame:
+    """``id, g, x, y``: centres of weighted k-means, rows over ``points_per_bin`` of them if it is given (one at least), else ``bins``; no more than places.
+
+    The plane is split by counts into cells of at most ``part`` places, and the
+    centres are dealt to them by their share of the places, so that their number
+    is exact: each cell gets the whole numbers that its stretch of the running
+    share passes, perhaps none. Each cell seeds its centres in a task of its
+    own; then ``rounds`` of Lloyd's method move all over the whole plane, by a nearest-centre
+    join and one aggregate each. No task and no driver holds all centres; one
+    task sees a row for each cell. Rows at one place weigh together; rows of weight 0 have no part.
     """
     if points_per_bin is None and bins is None:
         raise ValueError("either points_per_bin or bins")
     held = points.filter(F.col(weight) > 0)
-    places = materialise(held.groupBy("x", "y").agg(F.sum(weight).alias("w"), F.count("*").alias("n")))
-    total, x0, x1, y0, y1 = places.agg(F.sum("n"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    places = materialise(held.groupBy("x", "y").agg(F.sum(weight).alias("w"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    total, count, x0, x1, y0, y1 = places.agg(F.sum("n"), F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if not total:
         return points.select("id", "g", "x", "y").limit(0)
+    k = min(count, max(1, round(total / points_per_bin)) if points_per_bin else bins)
     side = (max(x1 - x0, y1 - y0) or 1.0) * (1 + 1e-9)  # the whole plane is one cell at level 0
-    places = places.select((F.col("x") - x0).alias("x"), (F.col("y") - y0).alias("y"), "w", "n")
-    dealt = cell_levels(places.select(F.monotonically_increasing_id().alias("id"), "x", "y"), places.select(F.col("x").alias("rx"), F.col("y").alias("ry")), side, part)
+    near = places.select("id", (F.col("x") - x0).alias("x"), (F.col("y") - y0).alias("y"))
+    dealt = cell_levels(near, near.select(F.col("x").alias("rx"), F.col("y").alias("ry")), side, part)
     width = F.lit(side) / F.pow(F.lit(float(CUT)), F.col("level"))
-    cells = dealt.join(places, ["x", "y"]).withColumns({"cx": F.floor(F.col("x") / width), "cy": F.floor(F.col("y") / width)})
-    made = cells.groupBy("level", "cx", "cy").applyInPandas(_local_means((bins or 0) / total, points_per_bin, seed), "x double, y double")
-    made = materialise(made.select((F.col("x") + x0).alias("x"), (F.col("y") + y0).alias("y")))
-    return made.select(F.xxhash64("x", "y").alias("id"), F.lit(0).cast("long").alias("g"), "x", "y")
+    cells = dealt.select("id", "level", F.floor(F.col("x") / width).alias("cx"), F.floor(F.col("y") / width).alias("cy"))
+    cells = materialise(cells.join(places.select("id", "x", "y", "w"), "id"))
+    key = ["level", "cx", "cy"]
+    sizes = cells.groupBy(*key).agg(F.count("*").alias("m"))
+    until = F.sum("m").over(Window.orderBy(*key))
+    passed = lambda c: F.expr(f"({c} * {k}) div {count}")
+    shares = sizes.withColumn("to", until).withColumn("since", F.col("to") - F.col("m")).select(*key, (passed("to") - passed("since")).cast("int").alias("k")).filter("k > 0")
+    seeded = cells.join(shares, key).groupBy(*key).applyInPandas(_local_means(seed), "level int, cx long, cy long, i int, x double, y double")
+    centres = materialise(seeded.select(F.xxhash64(*key, "i").alias("id"), "x", "y"))
+    several = not shares.agg(F.count("*").alias("c")).filter("c > 1").isEmpty() or sizes.count() > 1
+    for _ in range(rounds if several else 0):
+        own = nearest(places.select("id", "x", "y"), centres, 1).select("id", "ref").join(places.select("id", "x", "y", "w"), "id")
+        mean = own.groupBy(F.col("ref").alias("id")).agg(*((F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(f"m{c}") for c in "xy"))
+        centres = materialise(centres.join(mean, "id", "left").select("id", F.coalesce("mx", "x").alias("x"), F.coalesce("my", "y").alias("y")))
+    return centres.select("id", F.lit(0).cast("long").alias("g"), "x", "y")
 
 
 @tidy

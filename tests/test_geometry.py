@@ -277,8 +277,22 @@ def test_centres_are_means_of_their_rows(spark):
     c = np.array([(r["x"], r["y"]) for r in t.kmeans_centroids(df, bins=3).collect()])
     own = ((p[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
     assert len(c) == 3 and np.allclose(c, [np.average(p[own == k], axis=0, weights=w[own == k]) for k in range(3)])
-    many = t.kmeans_centroids(df, points_per_bin=9, part=40).collect()
-    assert len(p) / 9 - 5 <= len(many) <= len(p) and all(-0.5 < r["x"] < 3.5 and -0.5 < r["y"] < 3.5 for r in many)  # each part has one at least
+    many = np.array([(r["x"], r["y"]) for r in t.kmeans_centroids(df, points_per_bin=9, part=40).collect()])
+    assert len(many) == round(len(p) / 9) == 31  # however many parts there are
+    cost = lambda c: (w * ((p[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1)).sum()
+    rng, best = np.random.default_rng(0), np.inf
+    for _ in range(5):
+        c = p[rng.choice(len(p), 1)]
+        while len(c) < 31:
+            far = w * ((p[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1)
+            c = np.vstack([c, p[rng.choice(len(p), p=far / far.sum())]])
+        for _ in range(25):
+            own = ((p[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            c = np.array([np.average(p[own == k], axis=0, weights=w[own == k]) if (own == k).any() else c[k] for k in range(31)])
+        best = min(best, cost(c))
+    print(cost(many) / best)
+    assert cost(many) < 1.25 * best
+    assert len(t.kmeans_centroids(df, bins=2, part=40).collect()) == 2 and t.kmeans_centroids(df.limit(5), bins=9).count() == 5
     assert t.kmeans_centroids(df.withColumn("weight", F.lit(0.0)), bins=3).count() == 0
     with pytest.raises(ValueError):
         t.kmeans_centroids(df)
