@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.expressions import Reddening, inside_polygon, sky_separation
@@ -75,10 +75,26 @@ def _assign(points: DataFrame, generators: DataFrame, boxes: DataFrame, apart: f
     return found.join(keyed.select("id", "star"), "id").select(F.col("star").alias("id"), F.col("ref").alias("region"))
 
 
+METRICS = "iteration long, stars long, grouped long, members long, membership double, corrected long, delta_ebv double"
+
+
+def _watched(state: DataFrame, iteration: int, metrics: list[dict] | None) -> DataFrame:
+    """``state``, written; what METRICS names is counted by the same pass."""
+    if metrics is None:
+        return materialise(state)
+    seen = Observation()
+    found = materialise(state.observe(
+        seen, F.count(F.lit(1)).alias("stars"), F.count("g").alias("grouped"), F.coalesce(F.sum((F.col("membership") > 0.5).cast("long")), F.lit(0).cast("long")).alias("members"), F.avg("membership").alias("membership"),
+        F.coalesce(F.sum((F.col("delta_ebv") != 0).cast("long")), F.lit(0).cast("long")).alias("corrected"), F.avg(F.abs("delta_ebv")).alias("delta_ebv"),
+    ))
+    metrics.append({"iteration": iteration} | seen.get)
+    return found
+
+
 @tidy
 def statistical_membership(
     cluster: DataFrame, field: DataFrame, dr: Reddening, roi: list[tuple[float, float]], nref: int = 20, step: float = 0.1, threshold: float = 0.9,
-    iterations: int = 3, min_stars: int = 200, pad: float = 0.0, target_median: float | None = None, fov_multiplier: float = 1.0, method: str = "expected", draws: int = 1000, seed: int = 0,
+    iterations: int = 3, min_stars: int = 200, pad: float = 0.0, target_median: float | None = None, fov_multiplier: float = 1.0, method: str = "expected", draws: int = 1000, seed: int = 0, metrics: list[dict] | None = None,
 ) -> DataFrame:
     """``star_id, g, band1, band2, delta_ebv, membership`` of every cluster star.
 
@@ -86,7 +102,8 @@ def statistical_membership(
     dec, band1, band2. All groups are worked on together in each iteration; state is
     written to the shared folder between iterations. ``expected`` gives the mean
     of the random subtraction, ``montecarlo`` draws it, seeded; there, stars
-    that are never drawn keep their membership, as do those in no group.
+    that are never drawn keep their membership, as do those in no group. To
+    ``metrics`` each iteration adds a row of METRICS, gathered while its state is written.
     """
     if method not in ("expected", "montecarlo"):
         raise ValueError(f"no method {method}")
@@ -99,9 +116,9 @@ def statistical_membership(
         fixed = differential_reddening(state, dr, roi, nref, step, threshold, limited=k > 0)
         new = fixed.select("star_id", F.col("band1").alias("n1"), F.col("band2").alias("n2"), "delta_e")
         state = state.join(new, "star_id", "left").select("star_id", "x", "y", F.coalesce("n1", "band1").alias("band1"), F.coalesce("n2", "band2").alias("band2"), "g", (F.col("delta_ebv") + F.coalesce("delta_e", F.lit(0.0))).alias("delta_ebv"), "membership")
-        state = materialise(state)
+        state = _watched(state, k, None if rings else metrics)
         if rings:
-            state = _subtract(state, field, rings, ratio, pad, target_median, method, draws, seed + k)
+            state = _watched(_subtract(state, field, rings, ratio, pad, target_median, method, draws, seed + k), k, metrics)
     return state.select("star_id", "g", "band1", "band2", "delta_ebv", "membership")
 
 
@@ -125,5 +142,4 @@ def _subtract(state: DataFrame, field: DataFrame, rings: list[tuple], ratio, pad
         in_field, in_cluster = in_field.withColumnRenamed("region", "cell").join(merged, "cell").select("id", "region"), as_region(in_cluster)
     rates = decontamination.region_counts(in_field).join(owner, "region").select("region", (F.col("n") * ratio).alias("rate"))
     new = decontamination.expected_membership(rates, in_cluster) if method == "expected" else decontamination.sampled_membership(rates, in_cluster, draws, seed)
-    updated = decontamination.update_membership(state.withColumnRenamed("star_id", "id"), new)
-    return materialise(updated.withColumnRenamed("id", "star_id"))
+    return decontamination.update_membership(state.withColumnRenamed("star_id", "id"), new).withColumnRenamed("id", "star_id")

@@ -517,6 +517,14 @@ def statistical_membership(spark, d):
     return membership.statistical_membership(df.filter("is_cluster"), df.filter("is_field"), DR, roi, nref=10, step=0.5, threshold=0.3, iterations=3, min_stars=GROUP_STARS, target_median=3.0)
 
 
+def membership_metrics(spark, d):
+    """What two iterations of the membership loop report while they write their states."""
+    df, metrics = stars(spark, d), []
+    roi = [(-8.0, -8.0), (8.0, -8.0), (8.0, 8.0), (-8.0, 8.0)]
+    membership.statistical_membership(df.filter("is_cluster"), df.filter("is_field"), DR, roi, nref=10, step=0.5, threshold=0.3, iterations=2, min_stars=GROUP_STARS, metrics=metrics)
+    return _rounded(spark.createDataFrame(metrics, membership.METRICS), "membership", "delta_ebv")
+
+
 def _box(spark, d) -> tuple[list[float], list[float]]:
     """A box around the middle of the proper motions."""
     ra, dec = (statistics.exact_quantiles(stars(spark, d), c, (0.5,))[0] for c in ("pm_ra", "pm_dec"))
@@ -547,5 +555,5 @@ QUERIES = {f.__name__: tidy(f) for f in (
     ridge_residuals, regions_join, grid_outlines, region_outlines, theta_percentiles, theta_argmax, scan_whitespace, scan_csv, annulus_groups, region_counts, points_in_regions, median_region_count, cell_count_norm, common_regions, cell_counts_points, mc_rate,
     expected_membership, membership_update, mc_membership, bivar_pdf, mvar_pdf, univar_pdf, mix_loglik, mix_log_prior, mix_fix_link,
     mix_posterior, mix_membership, gauss_bands, chain_write_read, convex_hull, annuli, voronoi_cells, cell_adjacency, cell_areas, cvt, merge_regions,
-    dilate_grid, kmeans_centroids, cvt_grid, statistical_membership, sampler_init, sampler_run, sampler_resume, chain_slice, chain_percentiles, chain_argmax, trace_long, corner_hist,
+    dilate_grid, kmeans_centroids, cvt_grid, statistical_membership, membership_metrics, sampler_init, sampler_run, sampler_resume, chain_slice, chain_percentiles, chain_argmax, trace_long, corner_hist,
 )}

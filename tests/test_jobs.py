@@ -248,8 +248,12 @@ def test_membership_falls_where_the_field_lies(spark, method, target):
     cluster = catalogue(spark)
     field = cluster.filter("band1 > 22.5").select("star_id", "ra", "dec", "band1", "band2")
     roi = [(-9.0, -9.0), (9.0, -9.0), (9.0, 9.0), (-9.0, 9.0)]
-    got = membership.statistical_membership(cluster, field, Reddening(), roi, nref=5, step=0.4, threshold=0.3, iterations=1, min_stars=40, method=method, draws=50, target_median=target)
+    metrics = []
+    got = membership.statistical_membership(cluster, field, Reddening(), roi, nref=5, step=0.4, threshold=0.3, iterations=1, min_stars=40, method=method, draws=50, target_median=target, metrics=metrics)
     rows = got.collect()
+    m = [r["membership"] for r in rows]
+    want = {"iteration": 0, "stars": 400, "grouped": sum(r["g"] is not None for r in rows), "members": sum(x > 0.5 for x in m), "membership": np.mean(m), "corrected": sum(r["delta_ebv"] != 0 for r in rows), "delta_ebv": np.mean([abs(r["delta_ebv"]) for r in rows])}
+    assert len(metrics) == 1 and metrics[0] == pytest.approx(want)
     assert len(rows) == 400 and len({r["g"] for r in rows if r["g"] is not None}) >= 2
     assert all(r["membership"] == 1.0 for r in rows if r["g"] is None)
     bright = [r["membership"] for r in rows if r["g"] is not None and r["band1"] < 22]
