@@ -16,7 +16,7 @@ from .statistics import bracketed
 #: Parameters of one component: means, deviations and correlation; k components carry k - 1 weights behind (one has its weight).
 PER_COMPONENT = 5
 #: Rows and draws that a task meets at most, and their pairs that it computes at once.
-DATA_ROWS, DRAW_ROWS, CELLS = 1 << 16, 1 << 14, 1 << 18
+DATA_ROWS, DRAW_ROWS, CELLS = 1 << 16, 1 << 14, 1 << 16
 
 
 def components_of(size: int) -> int:
@@ -125,7 +125,8 @@ def _dealt_by_place(data: DataFrame, draws: DataFrame) -> tuple[DataFrame, DataF
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     left = data.withColumn("_part", own(parts)).withColumn("_block", every(blocks))
     right = draws.withColumn("_block", own(blocks)).withColumn("_part", every(parts))
-    return left, right
+    tasks = min(parts * blocks, 4 * cores)  # of few bytes but much work: not to be merged
+    return left.repartition(tasks, "_part", "_block"), right.repartition(tasks, "_part", "_block")
 
 
 def _vectors(draws: pa.Table, size: int) -> np.ndarray:
