@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expressions as X
-from ..operators import chains, decontamination, mixture, neighbours, regions, splines, statistics, tessellation
+from ..operators import chains, decontamination, mixture, neighbours, overlays, regions, splines, statistics, tessellation
 from ..shared import new_path, tidy
 from ..sources.catalogues import chain, photometry, read_chain, stars, write_chain
 from ..sources.catalogues import scan_csv as scan_comma
@@ -263,18 +263,31 @@ def _regions(spark, d) -> tuple[DataFrame, DataFrame]:
     return at("is_field"), at("is_cluster")
 
 
+def _arrows(df: DataFrame) -> DataFrame:
+    """A concave outline around every star, as large as its errors, in the colour-magnitude plane."""
+    x, y, w, h = _color(), F.col("band1"), F.col("epm_ra") / 4, F.col("epm_dec") / 4
+    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    return df.select(F.col("star_id").alias("region"), F.array(p(x - w, y - h), p(x + w, y - h), p(x, y), p(x + w, y + h), p(x - w, y + h)).alias("ring"))
+
+
 def regions_join(spark, d):
     """Field stars in each of many outlines: an arrow around every star, as large as its errors, and one outline around all."""
     df = stars(spark, d)
-    x, y, w, h = _color(), F.col("band1"), F.col("epm_ra") / 4, F.col("epm_dec") / 4
+    x, y = _color(), F.col("band1")
     p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    arrows = df.select(F.col("star_id").alias("region"), F.array(p(x - w, y - h), p(x + w, y - h), p(x, y), p(x + w, y + h), p(x - w, y + h)).alias("ring"))
     ends = df.agg(F.min(x).alias("a"), F.max(x).alias("b"), F.min(y).alias("c"), F.max(y).alias("d"))
     whole = ends.select(F.lit(-1).cast("long").alias("region"), F.array(*(p(F.col(u), F.col(v)) for u, v in ("ac", "bc", "bd", "ad"))).alias("ring"))
-    found = regions.points_in_polygons(_xy(df.filter("is_field"), x, y), arrows.union(whole))
+    found = regions.points_in_polygons(_xy(df.filter("is_field"), x, y), _arrows(df).union(whole))
     return found.select(F.col("region").alias("region_id"), F.col("id").alias("star_id"))
 
 
+def region_overlays(spark, d):
+    """What the arrows around cluster stars share with those around the stars of the field alone, and keep for themselves."""
+    df = stars(spark, d)
+    found = overlays.overlay_areas(_arrows(df.filter("is_cluster")), _arrows(df.filter("is_field and not is_cluster")))
+    return _rounded(found.select(F.col("a").alias("star_id"), F.col("b").alias("field_id"), "both", "only_a", "only_b", "either"), "both", "only_a", "only_b", "either")
+
+
 def grid_outlines(spark, d):
     """Rings, area and border of what the cells of a 2-D histogram with many and with few stars cover."""
     df = photometry(spark, d).select(_color().alias("color"), F.col("band1").alias("mag"))
@@ -552,7 +565,7 @@ QUERIES = {f.__name__: tidy(f) for f in (
     cmd_project, filter_members, split_members, filter_error_cut, filter_quality, split_catalogs, rotate_cmd, roi_filter, fiducial_bins,
     hist_density, hist2d_density, density_weights, membership_percentiles, hexbin_median, describe_column, bbox_center, sky_separation,
     field_density, annulus_assign, knn_join, sigma_clip_median, dr_median, dr_apply, dr_threshold, spline_eval, ring_centroid,
-    ridge_residuals, regions_join, grid_outlines, region_outlines, theta_percentiles, theta_argmax, scan_whitespace, scan_csv, annulus_groups, region_counts, points_in_regions, median_region_count, cell_count_norm, common_regions, cell_counts_points, mc_rate,
+    ridge_residuals, regions_join, region_overlays, grid_outlines, region_outlines, theta_percentiles, theta_argmax, scan_whitespace, scan_csv, annulus_groups, region_counts, points_in_regions, median_region_count, cell_count_norm, common_regions, cell_counts_points, mc_rate,
     expected_membership, membership_update, mc_membership, bivar_pdf, mvar_pdf, univar_pdf, mix_loglik, mix_log_prior, mix_fix_link,
     mix_posterior, mix_membership, gauss_bands, chain_write_read, convex_hull, annuli, voronoi_cells, cell_adjacency, cell_areas, cvt, merge_regions,
     dilate_grid, kmeans_centroids, cvt_grid, statistical_membership, membership_metrics, sampler_init, sampler_run, sampler_resume, chain_slice, chain_percentiles, chain_argmax, trace_long, corner_hist,
