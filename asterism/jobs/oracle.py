@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from .queries import DISCARD, DR, ERROR_CUT, FIXED, FOV_RATIO, GRID, HIGH, LINKS, LOW, MEMBER, MIN_STARS, NEIGHBOURS, OFTEN, PAD, RADII, RIDGE, SCATTER, STEP, THETAS, THIN
+from .queries import CELL, DISCARD, DR, ERROR_CUT, FIXED, FOV_RATIO, GRID, HIGH, LINKS, LOW, MEMBER, MIN_STARS, NEIGHBOURS, OFTEN, PAD, RADII, RIDGE, SCATTER, STEP, THETAS, THIN
 
 COS, SIN, SPAN = repr(math.cos(DR.theta)), repr(math.sin(DR.theta)), repr(DR.a1 - DR.a2)
 _E = [f"embedding[{i}]::DOUBLE" for i in range(1, 9)]
@@ -125,6 +125,19 @@ def _corner() -> list[str]:
 
 _FIX_T = {0: "pm_ra", 1: "pm_dec", 2: "epm_ra", 3: "epm_ra", 4: "0.0::DOUBLE"}
 _HEX_FIRST = "pow(u - round_even(u, 0), 2) + 3 * pow(v - round_even(v, 0), 2) < pow(u - floor(u) - 0.5, 2) + 3 * pow(v - floor(v) - 0.5, 2)"
+#: Arrows around stars, with their boxes and areas.
+ARROWS = f"""{STARS}, s AS (SELECT *, band1 - band2 AS x0, band1 AS y0, epm_ra / 4 AS w, epm_dec / 4 AS h FROM stars),
+rings AS (SELECT star_id, is_cluster AS c, is_field AND NOT is_cluster AS f, x0 - w AS lx, x0 + w AS hx, y0 - h AS ly, y0 + h AS hy, [x0 - w, x0 + w, x0, x0 + w, x0 - w] AS xs, [y0 - h, y0 - h, y0, y0 + h, y0 + h] AS ys FROM s),
+size AS (SELECT star_id, abs(sum(ax * "by" - bx * ay)) / 2 AS area FROM (SELECT star_id, unnest(xs) - lx AS ax, unnest(ys) - ly AS ay, unnest(list_concat(xs[2:], xs[1:1])) - lx AS bx, unnest(list_concat(ys[2:], ys[1:1])) - ly AS "by" FROM rings) GROUP BY 1)"""
+#: What both outlines of each of ``pairs`` hold, by the even-odd rule in the middle of the strips between all corners and crossings.
+SWEEP = """edges AS (SELECT a, b, 0 AS side, unnest(axs) AS px, unnest(ays) AS py, unnest(list_concat(axs[2:], axs[1:1])) AS qx, unnest(list_concat(ays[2:], ays[1:1])) AS qy FROM pairs
+  UNION ALL SELECT a, b, 1, unnest(bxs), unnest(bys), unnest(list_concat(bxs[2:], bxs[1:1])), unnest(list_concat(bys[2:], bys[1:1])) FROM pairs),
+crossings AS (SELECT a, b, e.px + (e.qx - e.px) * ((g.px - e.px) * (g.qy - g.py) - (g.py - e.py) * (g.qx - g.px)) / nullif((e.qx - e.px) * (g.qy - g.py) - (e.qy - e.py) * (g.qx - g.px), 0) AS x FROM edges e JOIN edges g USING (a, b) WHERE e.side = 0 AND g.side = 1),
+strips AS (SELECT a, b, x AS lo, lead(x) OVER (PARTITION BY a, b ORDER BY x) AS hi FROM (SELECT a, b, px AS x FROM edges UNION SELECT a, b, x FROM crossings WHERE x IS NOT NULL)),
+heights AS (SELECT a, b, lo, hi, side, py + ((lo + hi) / 2 - px) * (qy - py) / (qx - px) AS y FROM strips JOIN edges USING (a, b) WHERE hi IS NOT NULL AND (lo + hi) / 2 > least(px, qx) AND (lo + hi) / 2 < greatest(px, qx)),
+between_them AS (SELECT a, b, hi - lo AS dx, lead(y) OVER o - y AS dy, sum(1 - side) OVER o % 2 = 1 AND sum(side) OVER o % 2 = 1 AS inside FROM heights WINDOW o AS (PARTITION BY a, b, lo ORDER BY y, side ROWS UNBOUNDED PRECEDING)),
+shared AS (SELECT a, b, sum(dx * dy) AS shared_area FROM between_them WHERE inside GROUP BY 1, 2)"""
+
 
 ORACLE_SQL = {
     "cmd_project": f"WITH {PHOT} SELECT star_id, round(band1 - band2, 9) AS color, round(band1, 9) AS mag FROM phot",
@@ -197,18 +210,15 @@ edges AS (SELECT region, unnest(xs) AS ax, unnest(ys) AS ay, unnest(list_concat(
 met AS (SELECT region, star_id, (y0 < ay) != (y0 < "by") AND x0 < ax + (y0 - ay) * ((bx - ax) / nullif("by" - ay, 0)) AS crossed,
   (bx - ax) * (y0 - ay) - ("by" - ay) * (x0 - ax) = 0 AND x0 BETWEEN least(ax, bx) AND greatest(ax, bx) AND y0 BETWEEN least(ay, "by") AND greatest(ay, "by") AS on_edge FROM edges, s WHERE is_field)
 SELECT region AS region_id, star_id FROM met GROUP BY region, star_id HAVING count(*) FILTER (crossed) % 2 = 1 OR bool_or(on_edge)""",
-    "region_overlays": f"""WITH {STARS}, s AS (SELECT *, band1 - band2 AS x0, band1 AS y0, epm_ra / 4 AS w, epm_dec / 4 AS h FROM stars),
-rings AS (SELECT star_id, is_cluster AS c, is_field AND NOT is_cluster AS f, x0 - w AS lx, x0 + w AS hx, y0 - h AS ly, y0 + h AS hy, [x0 - w, x0 + w, x0, x0 + w, x0 - w] AS xs, [y0 - h, y0 - h, y0, y0 + h, y0 + h] AS ys FROM s),
-size AS (SELECT star_id, abs(sum(ax * "by" - bx * ay)) / 2 AS area FROM (SELECT star_id, unnest(xs) - lx AS ax, unnest(ys) - ly AS ay, unnest(list_concat(xs[2:], xs[1:1])) - lx AS bx, unnest(list_concat(ys[2:], ys[1:1])) - ly AS "by" FROM rings) GROUP BY 1),
+    "region_overlays": f"""WITH {ARROWS},
 pairs AS (SELECT a.star_id AS a, b.star_id AS b, a.xs AS axs, a.ys AS ays, b.xs AS bxs, b.ys AS bys FROM rings a JOIN rings b ON a.c AND b.f AND a.lx <= b.hx AND b.lx <= a.hx AND a.ly <= b.hy AND b.ly <= a.hy),
-edges AS (SELECT a, b, 0 AS side, unnest(axs) AS px, unnest(ays) AS py, unnest(list_concat(axs[2:], axs[1:1])) AS qx, unnest(list_concat(ays[2:], ays[1:1])) AS qy FROM pairs
-  UNION ALL SELECT a, b, 1, unnest(bxs), unnest(bys), unnest(list_concat(bxs[2:], bxs[1:1])), unnest(list_concat(bys[2:], bys[1:1])) FROM pairs),
-crossings AS (SELECT a, b, e.px + (e.qx - e.px) * ((g.px - e.px) * (g.qy - g.py) - (g.py - e.py) * (g.qx - g.px)) / nullif((e.qx - e.px) * (g.qy - g.py) - (e.qy - e.py) * (g.qx - g.px), 0) AS x FROM edges e JOIN edges g USING (a, b) WHERE e.side = 0 AND g.side = 1),
-strips AS (SELECT a, b, x AS lo, lead(x) OVER (PARTITION BY a, b ORDER BY x) AS hi FROM (SELECT a, b, px AS x FROM edges UNION SELECT a, b, x FROM crossings WHERE x IS NOT NULL)),
-heights AS (SELECT a, b, lo, hi, side, py + ((lo + hi) / 2 - px) * (qy - py) / (qx - px) AS y FROM strips JOIN edges USING (a, b) WHERE hi IS NOT NULL AND (lo + hi) / 2 > least(px, qx) AND (lo + hi) / 2 < greatest(px, qx)),
-between_them AS (SELECT a, b, hi - lo AS dx, lead(y) OVER o - y AS dy, sum(1 - side) OVER o % 2 = 1 AND sum(side) OVER o % 2 = 1 AS inside FROM heights WINDOW o AS (PARTITION BY a, b, lo ORDER BY y, side ROWS UNBOUNDED PRECEDING)),
-shared AS (SELECT a, b, sum(dx * dy) AS shared_area FROM between_them WHERE inside GROUP BY 1, 2)
+{SWEEP}
 SELECT a AS star_id, b AS field_id, {r6('coalesce(shared_area, 0)')} AS "both", {r6('m.area - coalesce(shared_area, 0)')} AS only_a, {r6('n.area - coalesce(shared_area, 0)')} AS only_b, {r6('m.area + n.area - coalesce(shared_area, 0)')} AS either FROM pairs LEFT JOIN shared USING (a, b) JOIN size m ON m.star_id = a JOIN size n ON n.star_id = b""",
+    "smeared_counts": f"""WITH {ARROWS}, cells AS (SELECT DISTINCT floor((band1 - band2) / {CELL}::DOUBLE)::BIGINT AS i, floor(band1 / {CELL}::DOUBLE)::BIGINT AS j FROM stars),
+grid AS (SELECT i * 1000000 + j AS cell, i * {CELL}::DOUBLE AS lx, (i + 1) * {CELL}::DOUBLE AS hx, j * {CELL}::DOUBLE AS ly, (j + 1) * {CELL}::DOUBLE AS hy FROM cells),
+pairs AS (SELECT r.star_id AS a, g.cell AS b, r.xs AS axs, r.ys AS ays, [g.lx, g.hx, g.hx, g.lx] AS bxs, [g.ly, g.ly, g.hy, g.hy] AS bys FROM rings r JOIN grid g ON r.lx <= g.hx AND g.lx <= r.hx AND r.ly <= g.hy AND g.ly <= r.hy),
+{SWEEP}
+SELECT b AS cell, {r6('sum(coalesce(shared_area, 0) / area)')} AS n, {r6('sum(coalesce(shared_area, 0))')} AS area FROM pairs LEFT JOIN shared USING (a, b) JOIN size ON star_id = a GROUP BY b""",
     "grid_outlines": f"""WITH {PHOT}, cm AS (SELECT band1 - band2 AS x, band1 AS y FROM phot), ends AS (SELECT min(x) AS x0, (max(x) - min(x)) / 50 AS wx, min(y) AS y0, (max(y) - min(y)) / 50 AS wy FROM cm),
 cells AS (SELECT least(floor((x - x0) / wx), 49)::BIGINT AS ix, least(floor((y - y0) / wy), 49)::BIGINT AS iy, count(*) AS n FROM cm, ends GROUP BY ALL),
 named AS (SELECT ix, iy, (n >= {OFTEN})::BIGINT AS region FROM cells),

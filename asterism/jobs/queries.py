@@ -43,6 +43,8 @@ DISCARD, THIN = 10, 5
 SCATTER, GRID = 0.05, 100
 #: Stars of a well-filled cell of a histogram, and how near corners of cells are the same.
 OFTEN, SNAP = 2, 1e-9
+#: Side of a cell (magnitudes) over which outlines of stars are spread.
+CELL = 0.25
 #: Field stars that a computed annulus should hold.
 GROUP_STARS = 100
 
@@ -288,6 +290,17 @@ def region_overlays(spark, d):
     return _rounded(found.select(F.col("a").alias("star_id"), F.col("b").alias("field_id"), "both", "only_a", "only_b", "either"), "both", "only_a", "only_b", "either")
 
 
+def smeared_counts(spark, d):
+    """Stars in each filled cell of the colour-magnitude plane, each spread evenly over the arrow of its errors."""
+    df = stars(spark, d)
+    i, j = F.floor(_color() / CELL), F.floor(F.col("band1") / CELL)
+    p = lambda u, v: F.struct(((F.col("i") + u) * CELL).alias("x"), ((F.col("j") + v) * CELL).alias("y"))
+    cells = df.select(i.alias("i"), j.alias("j")).distinct().select((F.col("i") * 1_000_000 + F.col("j")).alias("region"), F.array(p(0, 0), p(1, 0), p(1, 1), p(0, 1)).alias("ring"))
+    found = overlays.overlay_areas(_arrows(df), cells)
+    spread = found.groupBy(F.col("b").alias("cell")).agg(F.sum(F.col("both") / (F.col("both") + F.col("only_a"))).alias("n"), F.sum("both").alias("area"))
+    return _rounded(spread, "n", "area")
+
+
 def grid_outlines(spark, d):
     """Rings, area and border of what the cells of a 2-D histogram with many and with few stars cover."""
     df = photometry(spark, d).select(_color().alias("color"), F.col("band1").alias("mag"))
@@ -565,7 +578,7 @@ QUERIES = {f.__name__: tidy(f) for f in (
     cmd_project, filter_members, split_members, filter_error_cut, filter_quality, split_catalogs, rotate_cmd, roi_filter, fiducial_bins,
     hist_density, hist2d_density, density_weights, membership_percentiles, hexbin_median, describe_column, bbox_center, sky_separation,
     field_density, annulus_assign, knn_join, sigma_clip_median, dr_median, dr_apply, dr_threshold, spline_eval, ring_centroid,
-    ridge_residuals, regions_join, region_overlays, grid_outlines, region_outlines, theta_percentiles, theta_argmax, scan_whitespace, scan_csv, annulus_groups, region_counts, points_in_regions, median_region_count, cell_count_norm, common_regions, cell_counts_points, mc_rate,
+    ridge_residuals, regions_join, region_overlays, smeared_counts, grid_outlines, region_outlines, theta_percentiles, theta_argmax, scan_whitespace, scan_csv, annulus_groups, region_counts, points_in_regions, median_region_count, cell_count_norm, common_regions, cell_counts_points, mc_rate,
     expected_membership, membership_update, mc_membership, bivar_pdf, mvar_pdf, univar_pdf, mix_loglik, mix_log_prior, mix_fix_link,
     mix_posterior, mix_membership, gauss_bands, chain_write_read, convex_hull, annuli, voronoi_cells, cell_adjacency, cell_areas, cvt, merge_regions,
     dilate_grid, kmeans_centroids, cvt_grid, statistical_membership, membership_metrics, sampler_init, sampler_run, sampler_resume, chain_slice, chain_percentiles, chain_argmax, trace_long, corner_hist,
