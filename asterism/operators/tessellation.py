@@ -61,7 +61,7 @@ def polygon_area(ring: np.ndarray) -> float:
 
 
 def disc_area(ring: np.ndarray, center: tuple[float, float], r: float) -> float:
-    """Area of a disc inside a convex polygon: over its edges, triangles where an edge runs inside the disc and sectors where it runs outside."""
+    """Area of a disc inside a polygon, convex or not: over its edges, signed triangles where an edge runs inside the disc and signed sectors where it runs outside."""
     p = ring - np.array(center)
     total = 0.0
     for a, b in zip(p, np.roll(p, -1, axis=0), strict=True):
@@ -70,14 +70,14 @@ def disc_area(ring: np.ndarray, center: tuple[float, float], r: float) -> float:
         if dd == 0:
             continue
         root = ad * ad - dd * (aa - r * r)
-        ts = [0.0, 1.0]
+        into = out = 0.0  # where the line is in the disc; a line that only touches it never is
         if root > 0:
-            ts += [t for t in ((-ad - math.sqrt(root)) / dd, (-ad + math.sqrt(root)) / dd) if 0 < t < 1]
-        ts.sort()
+            into, out = (-ad - math.sqrt(root)) / dd, (-ad + math.sqrt(root)) / dd
+        ts = sorted([0.0, 1.0, *(t for t in (into, out) if 0 < t < 1)])
         for s, t in zip(ts, ts[1:], strict=False):
-            u, v, m = a + s * d, a + t * d, a + (s + t) / 2 * d
+            u, v = a + s * d, a + t * d
             cross = u[0] * v[1] - u[1] * v[0]
-            total += cross / 2 if m @ m <= r * r else r * r / 2 * math.atan2(cross, u @ v)
+            total += cross / 2 if into < (s + t) / 2 < out else r * r / 2 * math.atan2(cross, u @ v)
     return abs(total)
 
 

@@ -42,6 +42,25 @@ def test_disc_in_square(r):
     assert t.disc_area(square, (0.3, 0.6), r) == pytest.approx(want, abs=2e-3)
 
 
+def test_disc_that_touches_the_middle_of_edges():
+    square = np.array([(-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (-1.0, 1.0)])
+    assert t.disc_area(square, (0.0, 0.0), 1.0) == pytest.approx(math.pi)
+    assert t.disc_area(square, (2.0, 0.0), 1.0) == pytest.approx(0.0)
+
+
+def test_disc_in_a_concave_field():
+    """Against a fine grid of points, with the centre inside, in the notch and far outside."""
+    ring = np.array([(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 1.0), (0.0, 4.0)])
+    grid = (np.arange(1600) + 0.5) / 400
+    x, y = (v.ravel() for v in np.meshgrid(grid, grid))
+    inside = y < np.where(x < 2, 4 - 1.5 * x, 1.5 * x - 2)
+    for way in (1, -1):
+        for center in ((1.0, 1.0), (2.0, 3.0), (2.0, 0.9), (-1.0, 2.0)):
+            far = np.hypot(x - center[0], y - center[1])
+            for r in (0.3, 1.0, 2.2, 3.5, 9.0):
+                assert t.disc_area(ring[::way], center, r) == pytest.approx((inside & (far < r)).sum() / 400**2, abs=0.01)
+
+
 def test_annuli_cover_the_field():
     square = np.array([(0, 0), (1, 0), (1, 1), (0, 1)], float)
     rings = t.annuli(square, (0.5, 0.5), 0.05, step=0.01, clip=True)
