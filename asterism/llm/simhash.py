@@ -51,23 +51,28 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def near_pairs(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Indices of pairs within ``radius`` bits: of ``a`` with ``b``, or within ``a``.
 
-    Both are sorted by population count and cut into blocks; a pair of blocks
-    whose counts lie further apart than the radius can hold no pair.
+    Prints are 64 bits, or rows of up to three times 64. Both are sorted by
+    population count and cut into blocks; a pair of blocks whose counts lie
+    further apart than the radius can hold no pair.
     """
     same = b is None
     b = a if same else b
-    pa_, pb = np.bitwise_count(a), np.bitwise_count(b)
+    a, b = a.reshape(len(a), -1), b.reshape(len(b), -1)
+    pa_, pb = (np.bitwise_count(x).sum(axis=1, dtype=int) for x in (a, b))
     ia, ib = np.argsort(pa_, kind="stable"), np.argsort(pb, kind="stable")
-    a, b, pa_, pb = a[ia], b[ib], pa_[ia].astype(int), pb[ib].astype(int)
+    (first, *more), pa_, pb = list(zip(np.ascontiguousarray(a[ia].T), np.ascontiguousarray(b[ib].T), strict=True)), pa_[ia], pb[ib]
     left, right = [], []
     for i in range(0, len(a), block):
-        x, low, high = a[i : i + block], pa_[i], pa_[min(i + block, len(a)) - 1]
+        low, high = pa_[i], pa_[min(i + block, len(a)) - 1]
         for j in range(i if same else 0, len(b), block):
             if pb[j] > high + radius:
                 break
             if pb[min(j + block, len(b)) - 1] < low - radius:
                 continue
-            u, v = np.nonzero(np.bitwise_count(x[:, None] ^ b[None, j : j + block]) <= radius)
+            apart = np.bitwise_count(first[0][i : i + block, None] ^ first[1][None, j : j + block])
+            for x, y in more:
+                apart += np.bitwise_count(x[i : i + block, None] ^ y[None, j : j + block])
+            u, v = np.nonzero(apart <= radius)
             if same and i == j:
                 u, v = u[u < v], v[u < v]
             left.append(ia[u + i])

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import discard, materialise
+from .simhash import near_pairs
 
 TILE = 256
 #: Hashes in a tile, on average; sets of long texts share a tile with fewer others.
@@ -22,13 +23,10 @@ def _find(root: dict, x):
     return x
 
 
-def _within(prints: list[int], other: list[int] | None, radius: int) -> Iterator[tuple[int, int]]:
+def _within(prints: list[list[int]], other: list[list[int]] | None, radius: int) -> Iterator[tuple[int, int]]:
     """Index pairs whose prints differ in at most ``radius`` bits, by exclusive or and bit counts of whole tiles."""
     a = np.array(prints, np.int64).view(np.uint64)
-    b = a if other is None else np.array(other, np.int64).view(np.uint64)
-    u, v = np.nonzero(np.bitwise_count(a[:, None] ^ b[None]) <= radius)
-    if other is None:
-        u, v = u[v < u], v[v < u]
+    u, v = near_pairs(a, None if other is None else np.array(other, np.int64).view(np.uint64), radius)
     return zip(u.tolist(), v.tolist(), strict=True)
 
 

@@ -77,3 +77,31 @@ def test_every_row_is_accounted_for(spark):
     got = sorted(((r["doc_id"], r["text"]) for r in nd.keep_one(df).collect()), key=str)
     assert got == sorted([(5, a), (3, b.upper()), (None, c), (6, ""), (8, "k " * 60_000)], key=str)
     assert nd.keep_one(df.limit(0)).count() == 0
+
+
+def test_prints_meet_by_bands_of_their_bits(spark):
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in rng.integers(4, 200, 600).tolist():
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        near = np.append(base[: n - n // 10], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64))
+        sets += [base, near if len(sets) % 3 else rng.integers(0, 1 << 63, n, dtype=np.uint64)]
+    found = nd.wide_prints(*nd.shingle_sets(np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])))
+    apart = np.bitwise_count(found[:, None] ^ found[None]).sum(axis=2)
+    alike = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))
+    near = [i for i in range(0, len(sets), 2) if alike(i, i + 1)]
+    assert len(near) > 300 and all(apart[i, i + 1] <= nd.radius_at(0.8) for i in near)
+    df = spark.createDataFrame([(i, *f) for i, f in enumerate(found.view(np.int64).tolist())], "h long, f0 long, f1 long, f2 long")
+    for bucket in (1 << 12, 8, 300):
+        met = {(min(r), max(r)) for r in map(tuple, nd.near_prints(df, bucket=bucket).collect())}
+        assert all(apart[i, j] <= nd.radius_at(0.8) for i, j in met)
+        assert sum((i, i + 1) in met for i in near) >= 0.99 * len(near)
+    assert len(nd.bands_for(1200, 0.8, 8)) > 20 and nd.bands_for(1200, 0.8, 1 << 12).shape == (1, 0)
+
+
+def test_words_repeated_at_length_do_not_part_equal_sets(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(100)]
+    rows = [(1, " ".join([*base, *["q"] * 2000])), (2, " ".join([*base, *["q"] * 8])), (3, " ".join(["q"] * 500))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in nd.keep_one(df).collect()) == [1, 3]
