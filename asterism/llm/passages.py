@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +53,8 @@ def _undone(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
-    """Hash of each word: different words are numbered, each is hashed once, and looked up by number."""
-    number: dict[bytes, int] = defaultdict(count().__next__)
-    at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    return np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))[at]
+    """Hash of each word: hashing a short one costs less than to look it up among those of a block."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 @dataclass

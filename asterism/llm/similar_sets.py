@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,20 @@ def _find(root: dict, x):
     return x
 
 
-def _within(prints: list[list[int]], other: list[list[int]] | None, radius: int) -> Iterator[tuple[int, int]]:
-    """Index pairs whose prints differ in at most ``radius`` bits, by exclusive or and bit counts of whole tiles."""
-    a = np.array(prints, np.int64).view(np.uint64)
-    u, v = near_pairs(a, None if other is None else np.array(other, np.int64).view(np.uint64), radius)
-    return zip(u.tolist(), v.tolist(), strict=True)
+def _tiles(column: pa.ListArray) -> Iterator[tuple[list[int], list[frozenset], np.ndarray | None] | None]:
+    """Hashes, sets and prints (if there are any) of each tile; None for a null one. Numbers are converted in stretches, one tile at a time."""
+    ends, inside = column.offsets.to_numpy(), column.values
+    h, sets = inside.field("h").to_numpy(), inside.field("s")
+    at, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+    prints = inside.field("fp") if inside.type.get_field_index("fp") >= 0 else None
+    for i, valid in enumerate(column.is_valid().to_pylist()):
+        a, b = int(ends[i]), int(ends[i + 1])
+        if not valid:
+            yield None
+            continue
+        part, cuts = flat[at[a] : at[b]].tolist(), (at[a : b + 1] - at[a]).tolist()
+        own = None if prints is None else prints.slice(a, b - a).flatten().to_numpy().view(np.uint64).reshape(b - a, -1 if a < b else 1)
+        yield h[a:b].tolist(), [frozenset(part[x:y]) for x, y in pairwise(cuts)], own
 
 
 def _verify(similarity: float, radius: int | None):
@@ -36,15 +46,14 @@ def _verify(similarity: float, radius: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for at in range(batch.num_rows):
-                left, right = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
-                rows = [(x["h"], frozenset(x["s"])) for x in left]
-                other = rows if right is None else [(x["h"], frozenset(x["s"])) for x in right]
+            for left, right in zip(_tiles(batch.column(0)), _tiles(batch.column(1)), strict=True):
+                rows = list(zip(left[0], left[1], strict=True))
+                other = rows if right is None else list(zip(right[0], right[1], strict=True))
                 root = {h: h for h, _ in (*rows, *other)}
                 if radius is None:
                     pairs = ((i, j) for i in range(len(rows)) for j in range(i if right is None else len(other)))
                 else:
-                    pairs = _within([x["fp"] for x in left], None if right is None else [x["fp"] for x in right], radius)
+                    pairs = zip(*(x.tolist() for x in near_pairs(left[2], None if right is None else right[2], radius)), strict=True)
                 for i, j in pairs:
                     (h, s), (g, t) = rows[i], other[j]
                     if min(len(s), len(t)) >= similarity * max(len(s), len(t)) and (u := _find(root, h)) != (v := _find(root, g)):

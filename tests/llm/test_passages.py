@@ -184,3 +184,23 @@ def test_growing_keeps_the_similarity():
     assert p.grow(base[:10], base[10:40], base[:8], [*base[10:30], 999, *base[31:60]], 20) == (8, 30)
     holes = [x if x % 7 else -x - 1 for x in base]
     assert p.grow([], base, [], holes, 10)[1] <= 7
+
+
+def test_tiles_hold_what_rows_say():
+    import pyarrow as pa
+    from asterism.llm.similar_sets import _tiles
+
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("s", pa.list_(pa.int64())), ("fp", pa.list_(pa.int64()))]))
+    rows = [[{"h": -1, "s": [5, -7], "fp": [1, -2]}, {"h": 2, "s": [], "fp": [3, 4]}], None, [], [{"h": 9, "s": [5], "fp": [-5, 6]}]]
+    for begin in (0, 1):
+        got = list(_tiles(pa.array(rows, kind).slice(begin)))
+        assert len(got) == 4 - begin
+        for row, tile in zip(rows[begin:], got, strict=True):
+            assert (tile is None) == (row is None)
+            if row:
+                assert tile[0] == [x["h"] for x in row] and tile[1] == [frozenset(x["s"]) for x in row] and tile[2].view(np.int64).tolist() == [x["fp"] for x in row]
+
+
+def test_words_are_hashed_alike_in_any_block():
+    a, b = p._hashes([b"x", b"y", b"x", b""]), p._hashes([b"y", b"x"])
+    assert a[0] == a[2] == b[1] and a[1] == b[0] and len(set(a.tolist())) == 3 and len(p._hashes([])) == 0 and p._hashes([]).dtype == np.uint64
