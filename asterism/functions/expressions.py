@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: total to selective extinction.
 R_V = 3.1
+#: Edges of a ring that are written out as an expression of their own.
+FEW_EDGES = 8
 
 
 def _c(x) -> Column:
@@ -94,8 +96,11 @@ class Reddening:
 
 def inside_polygon(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
     """Whether a point lies strictly inside a ring of vertices (even-odd rule; not on an edge)."""
+    edges = list(zip(ring, ring[1:] + ring[:1], strict=True))
+    if len(edges) > FEW_EDGES:  # as data, so that the expression does not grow with the ring
+        return _inside_many(x, y, edges)
     crossings, on_edge = F.lit(0), F.lit(False)
-    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+    for (ax, ay), (bx, by) in edges:
         if ay != by:
             at = ax + (y - ay) * ((bx - ax) / (by - ay))
             crossings = crossings + F.when(((y < ay) != (y < by)) & (x < at), 1).otherwise(0)
@@ -104,6 +109,13 @@ def inside_polygon(x: Column, y: Column, ring: list[tuple[float, float]]) -> Col
     return (crossings % 2 == 1) & ~on_edge
 
 
+def _inside_many(x: Column, y: Column, edges: list) -> Column:
+    each = F.array(*(F.array(*map(_c, (ax, ay, bx, by, (bx - ax) / (by - ay) if ay != by else 0.0))) for (ax, ay), (bx, by) in edges))
+    crossed = lambda e: ((y < e[1]) != (y < e[3])) & (x < e[0] + (y - e[1]) * e[4])
+    on = lambda e: ((e[2] - e[0]) * (y - e[1]) - (e[3] - e[1]) * (x - e[0]) == 0) & x.between(F.least(e[0], e[2]), F.greatest(e[0], e[2])) & y.between(F.least(e[1], e[3]), F.greatest(e[1], e[3]))
+    return (F.size(F.filter(each, crossed)) % 2 == 1) & ~F.exists(each, on)
+
+
 def ring_area_centroid(ring: Column) -> Column:
     """Area and centroid (struct area, cx, cy) of an array of structs x, y by the shoelace formula; null for zero area."""
     after = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))

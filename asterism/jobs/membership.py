@@ -30,10 +30,10 @@ def spatial_groups(cluster: DataFrame, field: DataFrame, min_stars: int = 200, c
     min_area = min_stars / (n / (np.pi * reach * reach)) / 3600**2
     rings = tessellation.annuli(ring, (ra, dec), float(min_area), clip=clip)
     d = F.sqrt((F.col("ra") - ra) ** 2 + (F.col("dec") - dec) ** 2)
-    group = F.lit(None).cast("long")
-    for g, low, high, *_ in rings:
-        inside = (d > low) & (d < high) if np.isfinite(high) else (d > low) & inside_polygon(F.col("ra"), F.col("dec"), [tuple(map(float, p)) for p in ring])
-        group = F.when(inside, F.lit(g).cast("long")).otherwise(group)
+    borders = F.array(*(F.lit(low) for _, low, *_ in rings)).cast("array<double>")  # each ring begins where the one before ends
+    passed = F.when(~F.array_contains(borders, d), F.size(F.filter(borders, lambda b: b < d)).cast("long"))
+    inside = (passed < len(rings)) | inside_polygon(F.col("ra"), F.col("dec"), [tuple(map(float, p)) for p in ring])
+    group = F.when((passed > 0) & inside, passed - 1)
     return cluster.select("star_id", group.alias("g")).filter("g is not null"), rings
 
 
@@ -109,9 +109,7 @@ def statistical_membership(
         raise ValueError(f"no method {method}")
     groups, rings = spatial_groups(cluster, field, min_stars)
     state = materialise(cluster.join(groups, "star_id", "left").select("star_id", "x", "y", "band1", "band2", "g", F.lit(0.0).alias("delta_ebv"), F.lit(1.0).alias("membership")))
-    ratio = F.lit(None).cast("double")
-    for g, *_, share in rings:
-        ratio = F.when(F.col("g") == g, F.lit(share * fov_multiplier)).otherwise(ratio)
+    ratio = F.get(F.array(*(F.lit(share * fov_multiplier) for *_, share in rings)).cast("array<double>"), F.col("g").cast("int"))
     for k in range(iterations):
         fixed = differential_reddening(state, dr, roi, nref, step, threshold, limited=k > 0)
         new = fixed.select("star_id", F.col("band1").alias("n1"), F.col("band2").alias("n2"), "delta_e")

@@ -78,7 +78,7 @@ def disc_area(ring: np.ndarray, center: tuple[float, float], r: float) -> float:
             u, v = a + s * d, a + t * d
             cross = u[0] * v[1] - u[1] * v[0]
             total += cross / 2 if into < (s + t) / 2 < out else r * r / 2 * math.atan2(cross, u @ v)
-    return abs(total)
+    return abs(float(total))
 
 
 def annuli(ring: np.ndarray, center: tuple[float, float], min_area: float, step: float = 1 / 3600, clip: bool = False) -> list[tuple[int, float, float, float, float]]:
