@@ -15,8 +15,8 @@ from .statistics import bracketed
 
 #: Parameters of one component: means, deviations and correlation; k components carry k - 1 weights behind (one has its weight).
 PER_COMPONENT = 5
-#: Rows and draws that a task meets at most, and their pairs that it computes at once.
-DATA_ROWS, DRAW_ROWS, CELLS = 1 << 16, 1 << 14, 1 << 16
+#: Rows and draws that a task meets at most, their pairs that it computes at once, and draws among these.
+DATA_ROWS, DRAW_ROWS, CELLS, TILE = 1 << 16, 1 << 14, 1 << 15, 1 << 10
 
 
 def components_of(size: int) -> int:
@@ -160,27 +160,76 @@ def _shares(x: np.ndarray, thetas: np.ndarray) -> np.ndarray:
         return out / out.sum(axis=2, keepdims=True)
 
 
+def _share_sums(x: np.ndarray, thetas: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, k) sums of each row's shares over draws, each ``times`` as often, and (rows,) how many draws count.
+
+    As ``_shares``, but tile by tile in the same few arrays, which stay in a core's cache.
+    """
+    k, n = components_of(thetas.shape[1]), len(x)
+    total, count = np.zeros((n, k)), np.zeros(n, np.int64)
+    wide = min(TILE, CELLS, len(thetas)) or 1
+    tall = max(1, CELLS // wide)
+    held = np.empty((5 + k, tall, wide))
+    x1, x2, e1, e2 = (c[:, None] for c in x.T)
+    e1, e2 = e1 * e1, e2 * e2
+    with np.errstate(all="ignore"):
+        for j in range(0, len(thetas), wide):
+            t, often = thetas[j : j + wide], times[j : j + wide]
+            weights = _weights(t).T.copy()
+            parts = [t[:, c * PER_COMPONENT : (c + 1) * PER_COMPONENT].T.copy() for c in range(k)]
+            for i in range(0, n, tall):
+                at = slice(i, i + tall)
+                a, b, u, v, q, *shares = held[:, : min(tall, n - i), : len(t)]
+                for p, w, (m1, m2, s1, s2, rho) in zip(shares, weights, parts, strict=True):
+                    np.sqrt(np.add(e1[at], s1 * s1, out=a), out=a)
+                    np.sqrt(np.add(e2[at], s2 * s2, out=b), out=b)
+                    np.divide(np.subtract(x1[at], m1, out=u), a, out=u)
+                    np.divide(np.subtract(x2[at], m2, out=v), b, out=v)
+                    np.multiply(a, b, out=a)
+                    r = np.divide(rho * s1 * s2, a, out=b)
+                    np.subtract(1.0, np.multiply(r, r, out=q), out=q)
+                    # u*u - 2*r*u*v + v*v over q is the square of u - r*v over q, and v*v
+                    np.subtract(u, np.multiply(r, v, out=b), out=u)
+                    np.divide(np.multiply(u, u, out=u), q, out=u)
+                    np.add(u, np.multiply(v, v, out=v), out=u)
+                    np.multiply(np.exp(np.multiply(u, -0.5, out=u), out=u), w, out=u)
+                    np.divide(u, np.multiply(a, np.sqrt(q, out=q), out=a), out=p)
+                every = a
+                every[:] = shares[0]
+                for p in shares[1:]:
+                    every += p
+                bad = False
+                for p in shares:
+                    np.divide(p, every, out=p)
+                    bad = bad | np.isnan(p)
+                some = bad.any()
+                for c, p in enumerate(shares):
+                    if some:
+                        p[bad] = 0.0
+                    total[at, c] += p @ often
+                count[at] += (~bad) @ often if some else often.sum()
+    return total, count
+
+
 @tidy
 def mean_membership(data: DataFrame, key: str, draws: DataFrame, size: int, x=("pm_ra", "pm_dec", "epm_ra", "epm_dec")) -> DataFrame:
     """``key, comp, p, draws``: each row's mean share of each component over all draws of a chain (``draws``: theta, an array of ``size`` numbers).
 
     Draws under which all densities vanish don't count; ``draws`` has how many
-    do, and p is null without any, as for rows with a null. Rows of one key count together. A task multiplies
+    do, and p is null without any, as for rows with a null. Rows of one key count together. Equal draws, as
+    a chain that stays where it is has them, are computed once and count as often as they occur. A task multiplies
     a block of rows by a block of draws and returns sums, so nothing is made or
     shuffled for each row and draw.
     """
     k = components_of(size)
     kind = data.schema[key].dataType.simpleString()
-    left, right = _dealt(data.select(key, *(F.col(c).cast("double").alias(c) for c in x)), draws)
+    different = draws.groupBy(F.col("theta").cast("array<double>").alias("theta")).agg(F.count("*").alias("times"))
+    left, right = _dealt_by_place(data.select(key, *(F.col(c).cast("double").alias(c) for c in x)), different)
 
     def run(rows: pa.Table, draws: pa.Table) -> pa.Table:
         thetas, n = _vectors(draws, size), rows.num_rows
         at = np.column_stack([rows[c].to_numpy() for c in x]).astype(float).reshape(n, len(x))
-        total, count = np.zeros((n, k)), np.zeros(n, np.int64)
-        for i in range(0, n, step := max(1, CELLS // max(len(thetas), 1))):
-            found = _shares(at[i : i + step], thetas)
-            good = ~np.isnan(found).any(axis=2)
-            total[i : i + step], count[i : i + step] = np.where(good[:, :, None], found, 0.0).sum(axis=1), good.sum(axis=1)
+        total, count = _share_sums(at, thetas, draws["times"].to_numpy())
         sums = pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k), pa.int32()), pa.array(total.ravel()))
         return pa.table({key: rows[key], "s": sums, "n": pa.array(count)})
 
