@@ -66,13 +66,23 @@ def differential_reddening(stars: DataFrame, dr: Reddening, roi: list[tuple[floa
     return moved.select("star_id", pick("new1", "band1").alias("band1"), pick("new2", "band2").alias("band2"), F.when(use, F.col("delta_e")).otherwise(0.0).alias("delta_e"))
 
 
-def _assign(points: DataFrame, generators: DataFrame, boxes: DataFrame, apart: float) -> DataFrame:
-    """Cell of each point (id, g, x, y) within its group's box; groups lie apart on one plane."""
+def _within(points: DataFrame, boxes: DataFrame, apart: float) -> DataFrame:
+    """``id, star, g, x, y`` of the points (id, g, x, y) within their group's box; groups lie apart on one plane."""
     inside = points.join(boxes, "g").filter(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
-    keyed = inside.select(F.xxhash64("id", "g").alias("id"), F.col("id").alias("star"), "g", (F.col("x") + F.col("g") * apart).alias("x"), "y")
+    return inside.select(F.xxhash64("id", "g").alias("id"), F.col("id").alias("star"), "g", (F.col("x") + F.col("g") * apart).alias("x"), "y")
+
+
+def _cell_counts(points: DataFrame, generators: DataFrame, boxes: DataFrame, apart: float) -> DataFrame:
+    """``region, n``: points in the cell of each generator of their group, on shared edges in each; they are counted alone, so none is looked up again."""
     islands = generators.select("id", (F.col("x") + F.col("g") * apart).alias("x"), "y")
-    found = neighbours.nearest(keyed, islands, 1, ties=True)
-    return found.join(keyed.select("id", "star"), "id").select(F.col("star").alias("id"), F.col("ref").alias("region"))
+    found = neighbours.nearest(_within(points, boxes, apart).select("id", "x", "y"), islands, 1, ties=True)
+    return decontamination.region_counts(found.select(F.col("ref").alias("region")))
+
+
+def _own_cells(stars: DataFrame, boxes: DataFrame, apart: float) -> DataFrame:
+    """``id, region``: the cells of the stars themselves, which are those of all stars at their places."""
+    here = _within(stars, boxes, apart).filter(~F.isnan("x") & ~F.isnan("y")).select("star", "x", "y")
+    return here.withColumnRenamed("star", "id").join(here.withColumnRenamed("star", "region"), ["x", "y"]).select("id", "region")
 
 
 METRICS = "iteration long, stars long, grouped long, members long, membership double, corrected long, delta_ebv double"
@@ -131,13 +141,13 @@ def _subtract(state: DataFrame, field: DataFrame, rings: list[tuple], ratio, pad
     apart = 8 * (high - low + top - bottom + 2 * pad + 1)
     every = F.array(*(F.lit(g).cast("long") for g, *_ in rings))
     points = field.select(F.col("star_id").alias("id"), F.explode(every).alias("g"), (F.col("band1") - F.col("band2")).alias("x"), F.col("band1").alias("y"))
-    in_field, in_cluster = _assign(points, stars, boxes, apart), _assign(stars, stars, boxes, apart)
+    in_field, in_cluster = _cell_counts(points, stars, boxes, apart), _own_cells(stars, boxes, apart)
     owner = stars.select(F.col("id").alias("region"), "g")
     if target_median is not None:
         cells = tessellation.voronoi_cells(stars, pad)
         merged = tessellation.dilate(cells, tessellation.adjacency(cells), in_cluster, target_median)
-        as_region = lambda a: a.withColumnRenamed("region", "cell").join(merged, "cell").select("id", "region").distinct()
-        in_field, in_cluster = in_field.withColumnRenamed("region", "cell").join(merged, "cell").select("id", "region"), as_region(in_cluster)
-    rates = decontamination.region_counts(in_field).join(owner, "region").select("region", (F.col("n") * ratio).alias("rate"))
+        in_field = in_field.withColumnRenamed("region", "cell").join(merged, "cell").groupBy("region").agg(F.sum("n").alias("n"))
+        in_cluster = in_cluster.withColumnRenamed("region", "cell").join(merged, "cell").select("id", "region").distinct()
+    rates = in_field.join(owner, "region").select("region", (F.col("n") * ratio).alias("rate"))
     new = decontamination.expected_membership(rates, in_cluster) if method == "expected" else decontamination.sampled_membership(rates, in_cluster, draws, seed)
     return decontamination.update_membership(state.withColumnRenamed("star_id", "id"), new).withColumnRenamed("id", "star_id")

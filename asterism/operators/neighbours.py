@@ -16,7 +16,7 @@ from ..shared import discard, materialise, tidy
 
 #: A grid cell with more places is split into CUT x CUT, for the points in it.
 CUT, DEEPEST = 4, 22
-#: Places in a block (more if there would be over DIRECTORY blocks), children of a node of the directory, bits of a coordinate along the curve.
+#: Places in a block, boxes in the directory (one for a FANth of a block, or more places if there would be too many), children of a node of the directory, bits of a coordinate along the curve.
 BLOCK, DIRECTORY, FAN, BITS = 256, 1 << 18, 16, 31
 #: Points that meet a block in one task, and pairs that are computed at once.
 POINTS, PAIRS = 1 << 15, 1 << 19
@@ -65,7 +65,9 @@ def _codes(x: np.ndarray, y: np.ndarray, low: tuple[float, float], side: float)
 
 
 def _blocks(places: DataFrame, low: tuple[float, float], side: float, n: int, size: int) -> DataFrame:
-    """``places`` with ``block``: runs of at most ``size`` places along the curve."""
+    """``places`` with ``block`` and ``leaf``: runs of at most ``size`` places along the curve, and of a FANth of them if the directory has room; ``code``: where along it."""
+    leaf = min(size, max(size // FAN, -(-n // DIRECTORY), 1))
+    size -= size % leaf
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,21 +77,23 @@ def _blocks(places: DataFrame, low: tuple[float, float], side: float, n: int, si
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, head = 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            block = head + (at + np.arange(batch.num_rows)) // size
+            block, part = (head + (at + np.arange(batch.num_rows)) // s for s in (size, leaf))
             at += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(block)], batch.schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(block), pa.array(part), batch.columns[-1]], [*batch.schema.names, "leaf", "code"])
 
     schema = T.StructType([*places.schema.fields, T.StructField("block", T.LongType())])
+    cut = T.StructType([*schema.fields, T.StructField("leaf", T.LongType()), T.StructField("code", T.LongType())])
     parts = -(-n // (64 * size))
     dealt = places.mapInArrow(coded, schema)
     dealt = dealt.coalesce(1) if parts == 1 else dealt.repartitionByRange(parts, "block", "rx", "ry")
-    return materialise(dealt.sortWithinPartitions("block", "rx", "ry").mapInArrow(numbered, schema))
+    return materialise(dealt.sortWithinPartitions("block", "rx", "ry").mapInArrow(numbered, cut))
 
 
 class _Directory:
-    """Boxes and numbers of references of blocks in order along the curve, with the boxes of FAN of them, of FAN such, and so on above."""
+    """Boxes and numbers of references of parts of blocks in order along the curve, with the boxes of FAN of them, of FAN such, and so on above."""
 
-    def __init__(self, rows: list) -> None:
+    def __init__(self, rows: list, low: tuple[float, float], side: float) -> None:
+        self.codes, self.low, self.side = np.array([r["code"] for r in rows], np.int64), low, side
         self.names = np.array([r["block"] for r in rows], np.int64)
         level = np.array([(r["x0"], r["x1"], r["y0"], r["y1"], r["n"]) for r in rows], float).reshape(-1, 5)
         self.levels = [level]
@@ -98,25 +102,41 @@ class _Directory:
             level = np.column_stack([f.reduceat(level[:, c], heads) for c, f in enumerate((np.minimum, np.maximum, np.minimum, np.maximum, np.add))])
             self.levels.append(level)
 
+    def _home(self, x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+        """A radius, squared, around each point that holds ``k`` references: those of the box that the curve passes nearest to it, or of one above."""
+        code = _codes(*(np.clip(v, a, a + self.side) for v, a in zip((x, y), self.low, strict=True)), self.low, self.side)
+        node, bound = np.maximum(np.searchsorted(self.codes, code, "right") - 1, 0), np.full(len(x), np.inf)
+        for level in self.levels:
+            x0, x1, y0, y1, n = level[node].T
+            far = np.maximum(x - x0, x1 - x) ** 2 + np.maximum(y - y0, y1 - y) ** 2
+            bound = np.where(np.isinf(bound) & (n >= k), far, bound)
+            node = node // FAN
+        return bound
+
     def asked(self, x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Indices of points and the blocks in which their ``k`` nearest references, and all as near as the last, can lie.
 
         The boxes that lie whole within a radius bound the distance to the k-th
-        reference; of each level only boxes that reach within the least such radius are opened.
+        reference, and so does the box around the point; of each level only boxes that reach within the least such radius are opened.
         """
+        bound = self._home(x, y, k)
         p, node = np.repeat(np.arange(len(x)), len(self.levels[-1])), np.tile(np.arange(len(self.levels[-1])), len(x))
         for depth in range(len(self.levels) - 1, -1, -1):
             x0, x1, y0, y1, n = self.levels[depth][node].T
             dx, dy = np.maximum(np.maximum(x0 - x[p], x[p] - x1), 0.0), np.maximum(np.maximum(y0 - y[p], y[p] - y1), 0.0)
             fx, fy = np.maximum(x[p] - x0, x1 - x[p]), np.maximum(y[p] - y0, y1 - y[p])
             least, most = dx * dx + dy * dy, fx * fx + fy * fy
-            order = np.lexsort((most, p))
-            held = np.cumsum(n[order])
-            first = np.flatnonzero(np.r_[True, np.diff(p[order]) > 0])
-            held -= np.repeat(held[first] - n[order][first], np.diff(np.r_[first, len(order)]))
-            bound = np.full(len(x), np.inf)
-            enough = order[held >= k]
-            bound[p[enough[::-1]]] = most[enough[::-1]]  # the first of each point is written last
+            if k == 1:  # any box holds one
+                first = np.flatnonzero(np.r_[True, np.diff(p) > 0])
+                bound[p[first]] = np.minimum(bound[p[first]], np.minimum.reduceat(most, first))
+            else:
+                order = np.lexsort((most, p))
+                held = np.cumsum(n[order])
+                first = np.flatnonzero(np.r_[True, np.diff(p[order]) > 0])
+                held -= np.repeat(held[first] - n[order][first], np.diff(np.r_[first, len(order)]))
+                enough, sure = order[held >= k], np.full(len(x), np.inf)
+                sure[p[enough[::-1]]] = most[enough[::-1]]  # the first of each point is written last
+                bound = np.minimum(bound, sure)
             stay = least <= bound[p] * (1 + 1e-9)
             p, node = p[stay], node[stay]
             if depth:
@@ -124,7 +144,9 @@ class _Directory:
                 width = np.minimum((node + 1) * FAN, below) - node * FAN
                 first = np.cumsum(width) - width
                 p, node = np.repeat(p, width), np.repeat(node * FAN - first, width) + np.arange(width.sum())
-        return p, self.names[node]
+        block = self.names[node]
+        new = np.r_[True, (np.diff(p) != 0) | (np.diff(block) != 0)][: len(p)]
+        return p[new], block[new]
 
 
 def _nearest_in_block(k: int, ties: bool):
@@ -138,7 +160,7 @@ def _nearest_in_block(k: int, ties: bool):
         for i in range(0, len(x), step := max(1, PAIRS // max(len(rx), 1))):
             d2 = (x[i : i + step, None] - rx) ** 2 + (y[i : i + step, None] - ry) ** 2
             if d2.shape[1] > k:
-                last = np.partition(d2, k - 1, axis=1)[:, k - 1 : k]
+                last = d2.min(axis=1, keepdims=True) if k == 1 else np.partition(d2, k - 1, axis=1)[:, k - 1 : k]
                 near = d2 <= last
                 if not ties:  # of equal distances those of least id
                     over = near & (d2 == last)
@@ -162,8 +184,8 @@ def nearest(points: DataFrame, refs: DataFrame, k: int, ties: bool = False) -> D
     """``id, ref, d2, rank``: the ``k`` nearest references of every point (both: id, x, y; ids differ).
 
     References are cut into blocks along a curve through the plane, crowded
-    parts into more. A directory of their boxes and counts, of DIRECTORY blocks
-    at most, goes to all tasks; for each point it gives a radius that surely
+    parts into more. A directory of boxes and counts of parts of blocks, of DIRECTORY
+    boxes at most, goes to all tasks; for each point it gives a radius that surely
     holds ``k`` references, and the point meets the few blocks that reach within
     it, wherever crowds lie. Blocks that very many points ask for meet them in
     parts. References at one place count as one there, with their ``k`` least
@@ -179,9 +201,10 @@ def nearest(points: DataFrame, refs: DataFrame, k: int, ties: bool = False) -> D
     n, x0, x1, y0, y1 = places.agg(F.count("*"), F.min("rx"), F.max("rx"), F.min("ry"), F.max("ry")).first()
     if not n:
         return refs.sparkSession.createDataFrame([], "id long, ref long, d2 double, rank int")
-    blocks = _blocks(places, (x0, y0), max(x1 - x0, y1 - y0) or 1.0, n, max(BLOCK, 4 * k, -(-n // DIRECTORY)))
-    boxes = blocks.groupBy("block").agg(F.min("rx").alias("x0"), F.max("rx").alias("x1"), F.min("ry").alias("y0"), F.max("ry").alias("y1"), F.sum(F.size("refs")).alias("n"))
-    directory = refs.sparkSession.sparkContext.broadcast(_Directory(sorted(boxes.collect())))
+    low, side = (x0, y0), max(x1 - x0, y1 - y0) or 1.0
+    blocks = _blocks(places, low, side, n, max(BLOCK, 4 * k, -(-n // DIRECTORY)))
+    boxes = blocks.groupBy("block", "leaf").agg(F.min("rx").alias("x0"), F.max("rx").alias("x1"), F.min("ry").alias("y0"), F.max("ry").alias("y1"), F.sum(F.size("refs")).alias("n"), F.min("code").alias("code"))
+    directory = refs.sparkSession.sparkContext.broadcast(_Directory(sorted(boxes.collect()), low, side))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,9 +223,12 @@ def nearest(points: DataFrame, refs: DataFrame, k: int, ties: bool = False) -> D
     if ties:
         # places as near as the k-th reference, then all references there
         out = near.withColumn("_r", F.rank().over(Window.partitionBy("id").orderBy("d2"))).filter(F.col("_r") <= k)
-        held = refs.join(places.select("rx", "ry", "place"), ["rx", "ry"]).select("place", "ref")
-        each = out.select("id", "place", "d2").join(held, "place")
-        rank = F.rank().over(Window.partitionBy("id").orderBy("d2"))
+        if refs.count() > n:
+            held = refs.join(places.select("rx", "ry", "place"), ["rx", "ry"]).select("place", "ref")
+            each = out.select("id", "place", "d2").join(held, "place")
+        else:  # one at every place
+            each = out.select("id", "d2", F.explode("refs").alias("ref"))
+        rank = F.rank().over(Window.partitionBy("id").orderBy("d2")) if k > 1 else F.lit(1)
     else:
         out = near.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("d2", "place"))).filter(F.col("_r") <= k)
         each = out.select("id", "d2", F.explode("refs").alias("ref"))

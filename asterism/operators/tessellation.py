@@ -144,11 +144,8 @@ def _cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             reach = ((ring - p) ** 2).sum(axis=1).max()
             done.append(bool(row.complete or (near and near[-1][0] > 4 * reach)))
             tol = TOUCH * max(box[1] - box[0], box[3] - box[2])
-            found = []
-            for (d2, ref, *_), q in zip(near, others, strict=True):
-                gap = ((ring - (p + q) / 2) @ (p - q)).min() / max(math.sqrt(d2), 1e-300) if d2 else 0.0
-                if gap <= tol:
-                    found.append(ref)
+            gaps = ((ring[:, None] - (p + others) / 2) * (p - others)).sum(axis=2).min(axis=0) if near else ()
+            found = [ref for (d2, ref, *_), gap in zip(near, gaps, strict=True) if not d2 or gap / max(math.sqrt(d2), 1e-300) <= tol]
             rings.append([{"x": x, "y": y} for x, y in ring.tolist()])
             touching.append(found)
         yield pd.DataFrame({"id": pdf["id"], "g": pdf["g"], "x": pdf["x"], "y": pdf["y"], "ring": rings, "touches": touching, "done": done})
